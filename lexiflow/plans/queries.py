@@ -1,3 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
 from lexiflow.plans import registry  # noqa: F401
+from lexiflow.plans import q_corpus  # noqa: F401
