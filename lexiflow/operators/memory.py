@@ -36,17 +36,19 @@ class TextMemory:
         self.max_broadcast_bytes = max_broadcast_bytes
         self.force = force
         idf, long_form = FE.fit_transform_tfidf(entries, analyzer=analyzer, min_df=min_df, id_col="mem_id")
-        self.vocab = FE.dense_ids(idf.select("term", "idf"), [F.asc("term")], "tid")
-        vec = SIM.sparse_vectors(long_form, self.vocab, "mem_id")
+        self.vocab = idf.select("term", "idf")
+        vec = SIM.sparse_vectors(long_form, "mem_id")
         cols = ["pos"] + (["label"] if with_label else [])
-        self.vectors = vec.join(entries.select("mem_id", *cols), "mem_id")
+        # the memory side is read by the size check and then collected or sharded:
+        # keep it once instead of recomputing its TF-IDF for each use
+        self.vectors = vec.join(entries.select("mem_id", *cols), "mem_id").persist()
 
     def query_vectors(self, queries: DataFrame, qid_col: str = "qid", text_col: str = "text") -> DataFrame:
         counts = FE.term_counts(queries.select(F.col(qid_col).alias("qid"), F.col(text_col).alias("text")), self.analyzer, "qid")
         joined = counts.join(self.vocab, "term").withColumn("_w", F.col("tf") * F.col("idf"))
         w = F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("qid")))
         long_form = joined.withColumn("tfidf", w)
-        return SIM.sparse_vectors(long_form, self.vocab, "qid")
+        return SIM.sparse_vectors(long_form, "qid")
 
     def match(
         self,

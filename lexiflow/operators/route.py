@@ -43,26 +43,57 @@ def _score(col: str = "mem_score") -> Column:
     return F.round(F.col(col), 6)
 
 
-def _run_generator(
-    df: DataFrame, generator: Generator | None, repair_quotes: bool = False
+def _no_memory(df: DataFrame) -> DataFrame:
+    return df.withColumn("mem_standard", F.lit(None).cast("string")).withColumn("mem_score", F.lit(None).cast("double"))
+
+
+def _resolve(
+    x: DataFrame,
+    chain: list[tuple[Column, Column, str]],
+    gen_cond: Column | None,
+    generator: Generator | None,
+    fallback: tuple[Column, str] | None = None,
+    repair_quotes: bool = False,
 ) -> DataFrame:
-    """Fill ``translation``/``origin`` for rows that need a generated text.
+    """Pick ``translation``/``origin`` from the first matching rule of ``chain``;
+    rows matching ``gen_cond`` (and no earlier rule) go to the generator.
 
-    With no generator the placeholder sentinel is built as a column (no Python).
+    Without a generator hook everything is one projection.  With a hook the
+    scored input is persisted and the hook runs on the unanswered rows only.
     """
-    if generator is None:
-        return df.withColumn("translation", T.placeholder("text")).withColumn("origin", F.lit("placeholder"))
-    schema = df.schema.add("generated", "string")
+
+    def pick(rules):
+        tr, og = None, None
+        for cond, value, origin in rules:
+            tr = F.when(cond, value) if tr is None else tr.when(cond, value)
+            og = F.when(cond, F.lit(origin)) if og is None else og.when(cond, F.lit(origin))
+        return tr, og
+
+    rules = list(chain)
+    if gen_cond is not None and generator is None:
+        rules.append((gen_cond, T.placeholder("text"), "placeholder"))
+    if fallback is not None:
+        rules.append((F.lit(True), fallback[0], fallback[1]))
+    if gen_cond is None or generator is None:
+        tr, og = pick(rules)
+        return x.withColumn("translation", tr).withColumn("origin", og)
+    answered = F.lit(False)
+    for cond, _, _ in chain:
+        answered = answered | F.coalesce(cond, F.lit(False))
+    to_gen = ~answered & F.coalesce(gen_cond, F.lit(False))
+    x = x.withColumn("_to_gen", to_gen).persist()
+    tr, og = pick(rules)
+    rest = x.where(~F.col("_to_gen")).withColumn("translation", tr).withColumn("origin", og)
+    todo = x.where(F.col("_to_gen"))
+    schema = todo.schema.add("generated", "string")
 
     def hook(batches):
-        for pdf in generator(batches):
-            yield pdf
+        yield from generator(batches)
 
-    gen = df.mapInPandas(hook, schema)
-    out = F.col("generated")
-    if repair_quotes:
-        out = T.quote_repair(out)
-    return gen.withColumn("translation", out).withColumn("origin", F.lit("generator")).drop("generated")
+    gen = todo.mapInPandas(hook, schema)
+    out = T.quote_repair("generated") if repair_quotes else F.col("generated")
+    gen = gen.withColumn("translation", out).withColumn("origin", F.lit("generator")).drop("generated")
+    return rest.unionByName(gen).drop("_to_gen")
 
 
 def _finish(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
@@ -90,7 +121,7 @@ def route_idiom_first(
     normalise-keyed dictionary with a lower-cased label test is the second.
     """
     x = inp.where(~(T.lookup_key("text") == F.lit(K.STOP_MARKER)) | F.col("text").isNull())
-    x = memory.match(x, "id", "text") if memory is not None else x.withColumn("mem_standard", F.lit(None).cast("string")).withColumn("mem_score", F.lit(None).cast("double"))
+    x = memory.match(x, "id", "text") if memory is not None else _no_memory(x)
     hit = F.coalesce(F.col("mem_score") >= F.lit(threshold), F.lit(False))
     x = x.withColumn("_hit", hit).withColumn("predicted", F.when(~F.col("_hit"), classifier(F.col("text"))))
     if case_sensitive:
@@ -100,20 +131,11 @@ def route_idiom_first(
     x = x.withColumn("_gen", F.coalesce(gen_ok, F.lit(False)))
     x = x.withColumn("label", F.when(F.col("_hit"), F.lit(memory_label)).otherwise(F.col("predicted")))
     x = x.withColumn("score", _score())
-    answered_mem = x.where("_hit").withColumn("translation", F.col("mem_standard")).withColumn("origin", F.lit("memory"))
-    no_module = x.where(~F.col("_hit") & ~F.col("_gen")).withColumn("translation", F.lit(K.NO_MODULE)).withColumn(
-        "origin", F.lit("none")
-    )
-    todo = x.where(~F.col("_hit") & F.col("_gen"))
-    parts = [answered_mem, no_module]
+    chain = [(F.col("_hit"), F.col("mem_standard"), "memory")]
     if lookup is not None:
-        todo = D.lookup(todo, lookup, T.normalize_text, "text", "lk")
-        parts.append(todo.where(F.col("lk_pos").isNotNull()).withColumn("translation", F.col("lk")).withColumn("origin", F.lit("lookup")))
-        todo = todo.where(F.col("lk_pos").isNull())
-    parts.append(_run_generator(todo, generator))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        x = D.lookup(x, lookup, T.normalize_text, "text", "lk")
+        chain.append((F.col("_gen") & F.col("lk_pos").isNotNull(), F.col("lk"), "lookup"))
+    out = _resolve(x, chain, F.col("_gen"), generator, (F.lit(K.NO_MODULE), "none"))
     return _finish(out)
 
 
@@ -128,29 +150,21 @@ def route_hybrid(
     """Memory chosen by the requested label (>= threshold), then the shared lookup
     overrides it, then generator / placeholder.  A classifier disagreement only
     adds a warning."""
-    x = inp
-    if memory is not None:
-        x = memory.match(x, "id", "text", label_col="requested_label")
-    else:
-        x = x.withColumn("mem_standard", F.lit(None).cast("string")).withColumn("mem_score", F.lit(None).cast("double"))
+    x = memory.match(inp, "id", "text", label_col="requested_label") if memory is not None else _no_memory(inp)
     hit = F.coalesce(F.col("mem_score") >= F.lit(threshold), F.lit(False))
     x = x.withColumn("_hit", hit).withColumn("score", _score())
+    chain = []
     if lookup is not None:
         x = D.lookup(x, lookup, T.lookup_key, "text", "lk")
-    else:
-        x = x.withColumn("lk", F.lit(None).cast("string")).withColumn("lk_pos", F.lit(None).cast("long"))
+        chain.append((F.col("lk_pos").isNotNull(), F.col("lk"), "lookup"))
+    chain.append((F.col("_hit"), F.col("mem_standard"), "memory"))
     x = x.withColumn("predicted", classifier(F.col("text")))
     warn = F.when(
         ~T.label_lower("predicted").eqNullSafe(T.label_lower("requested_label")),
         F.format_string(K.MISMATCH_WARNING.replace("{label}", "%s"), F.col("predicted")),
     )
     x = x.withColumn("warnings", F.array_compact(F.array(warn))).withColumn("label", F.col("requested_label"))
-    by_lookup = x.where(F.col("lk_pos").isNotNull()).withColumn("translation", F.col("lk")).withColumn("origin", F.lit("lookup"))
-    by_memory = x.where(F.col("lk_pos").isNull() & F.col("_hit")).withColumn("translation", F.col("mem_standard")).withColumn(
-        "origin", F.lit("memory")
-    )
-    todo = x.where(F.col("lk_pos").isNull() & ~F.col("_hit"))
-    out = by_lookup.unionByName(by_memory).unionByName(_run_generator(todo, generator))
+    out = _resolve(x, chain, F.lit(True), generator)
     return _finish(out, ["warnings"])
 
 
@@ -166,36 +180,31 @@ def route_gated(
     x = x.withColumn("predicted", classifier(F.col("text")))
     ok = T.label_lower("predicted").eqNullSafe(T.label_lower("requested_label"))
     x = x.withColumn("_ok", ok).withColumn("label", F.col("predicted"))
-    rejected = x.where(~F.col("_ok")).withColumn("origin", F.lit("rejected")).withColumn(
-        "message", F.col("predicted")
-    )
-    todo = x.where("_ok")
-    parts = [rejected]
+    x = x.withColumn("message", F.when(~F.col("_ok"), F.col("predicted")))
+    chain = [(~F.col("_ok"), F.lit(None).cast("string"), "rejected")]
     if lookup is not None:
-        todo = D.lookup(todo, lookup, T.lookup_key, "text", "lk")
-        parts.append(todo.where(F.col("lk_pos").isNotNull()).withColumn("translation", F.col("lk")).withColumn("origin", F.lit("lookup")))
-        todo = todo.where(F.col("lk_pos").isNull())
-    parts.append(_run_generator(todo, generator, repair_quotes=True))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
+        x = D.lookup(x, lookup, T.lookup_key, "text", "lk")
+        chain.append((F.col("lk_pos").isNotNull(), F.col("lk"), "lookup"))
+    out = _resolve(x, chain, F.lit(True), generator, repair_quotes=True)
     return _finish(out)
 
 
 def route_idiom_gate(inp: DataFrame, memory, threshold: float = K.MEMORY_THRESHOLD, memory_label: str = K.LABEL_IDIOM) -> DataFrame:
-    """Alphabet gate -> memory >= threshold -> idiom translation, else 'not an idiom'."""
+    """Alphabet gate -> memory >= threshold -> idiom translation, else 'not an idiom'.
+
+    The memory is consulted for gated rows only (the filter runs before scoring)."""
     x = inp.where(T.strip_ws("text") != F.lit(""))
     x = x.withColumn("_gate", T.alphabet_gate("text"))
     rejected = x.where(~F.col("_gate")).withColumn("origin", F.lit("rejected")).withColumn("message", F.lit(K.NOT_ENGLISH))
     cand = x.where("_gate")
-    cand = memory.match(cand, "id", "text") if memory is not None else cand.withColumn("mem_standard", F.lit(None).cast("string")).withColumn("mem_score", F.lit(None).cast("double"))
-    cand = cand.withColumn("score", _score())
+    cand = memory.match(cand, "id", "text") if memory is not None else _no_memory(cand)
     hit = F.coalesce(F.col("mem_score") >= F.lit(threshold), F.lit(False))
-    found = cand.where(hit).withColumn("translation", F.col("mem_standard")).withColumn("origin", F.lit("memory")).withColumn(
-        "label", F.lit(memory_label)
-    )
-    missed = cand.where(~hit).withColumn("origin", F.lit("none")).withColumn("message", F.lit(K.NOT_IDIOM))
-    return _finish(rejected.unionByName(found, allowMissingColumns=True).unionByName(missed, allowMissingColumns=True))
+    cand = cand.withColumn("score", _score()).withColumn("_hit", hit)
+    cand = cand.withColumn("translation", F.when(F.col("_hit"), F.col("mem_standard")))
+    cand = cand.withColumn("origin", F.when(F.col("_hit"), F.lit("memory")).otherwise(F.lit("none")))
+    cand = cand.withColumn("label", F.when(F.col("_hit"), F.lit(memory_label)))
+    cand = cand.withColumn("message", F.when(~F.col("_hit"), F.lit(K.NOT_IDIOM)))
+    return _finish(rejected.unionByName(cand, allowMissingColumns=True))
 
 
 def mismatch_warnings(inp: DataFrame, classifier: Classifier = lang_rule) -> DataFrame:

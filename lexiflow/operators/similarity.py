@@ -17,7 +17,7 @@ Scores are compared after rounding to 12 places, so summation order cannot
 change the winner.
 
 Dense memories carry ``vec array<float|double>``; sparse (TF-IDF) memories
-carry ``tids array<int>, ws array<double>`` already L2-normalised.
+carry ``terms array<string>, ws array<double>`` already L2-normalised.
 """
 
 from __future__ import annotations
@@ -54,19 +54,21 @@ def _dense_state(mem: pd.DataFrame) -> dict:
 
 
 def _sparse_state(mem: pd.DataFrame) -> dict:
+    """Postings by term: the memory vocabulary sorted, then (row, weight) runs."""
     mem = mem.sort_values("pos", kind="stable").reset_index(drop=True)
-    lens = mem["tids"].map(len).to_numpy(np.int64)
+    lens = mem["terms"].map(len).to_numpy(np.int64)
     rows = np.repeat(np.arange(len(mem), dtype=np.int64), lens)
-    tids = np.concatenate([np.asarray(t, dtype=np.int64) for t in mem["tids"]]) if len(mem) else np.zeros(0, np.int64)
-    ws = np.concatenate([np.asarray(w, dtype=np.float64) for w in mem["ws"]]) if len(mem) else np.zeros(0)
+    terms = np.concatenate([np.asarray(t, dtype=object) for t in mem["terms"]]) if lens.sum() else np.zeros(0, dtype=object)
+    ws = np.concatenate([np.asarray(w, dtype=np.float64) for w in mem["ws"]]) if lens.sum() else np.zeros(0)
+    vocab, tids = np.unique(terms.astype(str), return_inverse=True) if len(terms) else (np.zeros(0, dtype=str), np.zeros(0, np.int64))
     order = np.argsort(tids, kind="stable")
     tids, rows, ws = tids[order], rows[order], ws[order]
-    n_terms = int(tids.max()) + 1 if len(tids) else 0
-    indptr = np.zeros(n_terms + 1, dtype=np.int64)
+    indptr = np.zeros(len(vocab) + 1, dtype=np.int64)
     np.add.at(indptr, tids + 1, 1)
     indptr = np.cumsum(indptr)
     return {
         "kind": "sparse",
+        "vocab": vocab,
         "indptr": indptr,
         "rows": rows,
         "ws": ws,
@@ -89,12 +91,15 @@ def _dense_scores(state: dict, q: pd.DataFrame) -> np.ndarray:
 def _sparse_scores(state: dict, q: pd.DataFrame) -> np.ndarray:
     n_mem = state["n"]
     s = np.zeros((len(q), n_mem), dtype=np.float64)
-    indptr, rows, mws = state["indptr"], state["rows"], state["ws"]
-    n_terms = len(indptr) - 1
-    for i, (tids, ws) in enumerate(zip(q["tids"], q["ws"])):
-        t = np.asarray(tids, dtype=np.int64)
+    vocab, indptr, rows, mws = state["vocab"], state["indptr"], state["rows"], state["ws"]
+    for i, (terms, ws) in enumerate(zip(q["terms"], q["ws"])):
+        if terms is None or not len(terms) or not len(vocab):
+            continue
+        qt = np.asarray(terms, dtype=object).astype(str)
         w = np.asarray(ws, dtype=np.float64)
-        keep = (t >= 0) & (t < n_terms)
+        t = np.searchsorted(vocab, qt)
+        t = np.minimum(t, len(vocab) - 1)
+        keep = vocab[t] == qt
         t, w = t[keep], w[keep]
         if not len(t):
             continue
@@ -140,8 +145,12 @@ def _memory_bytes(memory: DataFrame, kind: str) -> int:
     if kind == "dense":
         stats = memory.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
         return int(stats["n"] or 0) * int(stats["d"] or 0) * 8
-    stats = memory.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tids")).alias("nnz")).first()
-    return int(stats["nnz"] or 0) * 24 + int(stats["n"] or 0) * 16
+    stats = memory.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.size("terms")).alias("nnz"),
+        F.sum(F.aggregate("terms", F.lit(0), lambda acc, t: acc + F.length(t))).alias("chars"),
+    ).first()
+    return int(stats["nnz"] or 0) * 72 + int(stats["chars"] or 0) * 4 + int(stats["n"] or 0) * 16
 
 
 def nearest(
@@ -162,7 +171,7 @@ def nearest(
     ``memory``: pos + vec or tids/ws, optional ``key`` and ``label``.
     Queries with no candidate get a null match and a null score.
     """
-    vcols = ["vec"] if kind == "dense" else ["tids", "ws"]
+    vcols = ["vec"] if kind == "dense" else ["terms", "ws"]
     qcols = ["qid", *vcols] + (["key"] if exclude_self else []) + (["label"] if same_label else [])
     mcols = ["pos", *vcols] + (["key"] if exclude_self else []) + (["label"] if same_label else [])
     q = queries.select(F.col("qid").cast("string").alias("qid"), *qcols[1:])
@@ -232,12 +241,12 @@ def cosine(a, b):
     return res
 
 
-def sparse_vectors(long_form: DataFrame, vocab: DataFrame, id_col: str, weight_col: str = "tfidf") -> DataFrame:
-    """Long form (id, term, weight) -> (id, tids, ws) restricted to the vocabulary."""
-    j = long_form.select(id_col, "term", weight_col).join(vocab.select("term", "tid"), "term")
-    g = j.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("tid", weight_col))).alias("_tw"))
+def sparse_vectors(long_form: DataFrame, id_col: str, weight_col: str = "tfidf") -> DataFrame:
+    """Long form (id, term, weight) -> (id, terms, ws); one group per document
+    (bounded by its distinct terms)."""
+    g = long_form.groupBy(id_col).agg(F.collect_list(F.struct("term", weight_col)).alias("_tw"))
     return g.select(
         id_col,
-        F.transform("_tw", lambda s: s["tid"]).alias("tids"),
+        F.transform("_tw", lambda s: s["term"]).alias("terms"),
         F.transform("_tw", lambda s: s[weight_col]).alias("ws"),
     )
