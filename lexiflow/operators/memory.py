@@ -42,6 +42,15 @@ class TextMemory:
         # the memory side is read by the size check and then collected or sharded:
         # keep it once instead of recomputing its TF-IDF for each use
         self.vectors = vec.join(entries.select("mem_id", *cols), "mem_id").persist()
+        self._prepared = None
+
+    def prepared(self):
+        if self._prepared is None:
+            self._prepared = SIM.prepare(
+                self.vectors, "sparse", same_label=self.with_label,
+                max_broadcast_bytes=self.max_broadcast_bytes, force=self.force,
+            )
+        return self._prepared
 
     def query_vectors(self, queries: DataFrame, qid_col: str = "qid", text_col: str = "text") -> DataFrame:
         counts = FE.term_counts(queries.select(F.col(qid_col).alias("qid"), F.col(text_col).alias("text")), self.analyzer, "qid")
@@ -61,14 +70,7 @@ class TextMemory:
         qv = self.query_vectors(queries, qid_col, text_col)
         if label_col is not None and self.with_label:
             qv = qv.join(queries.select(F.col(qid_col).alias("qid"), F.col(label_col).alias("label")), "qid")
-        best = SIM.nearest(
-            qv,
-            self.vectors,
-            kind="sparse",
-            same_label=label_col is not None and self.with_label,
-            max_broadcast_bytes=self.max_broadcast_bytes,
-            force=self.force,
-        )
+        best = SIM.nearest(qv, self.prepared(), "sparse", same_label=label_col is not None and self.with_label)
         info = self.entries.select(
             F.col("pos").alias("match_pos"), "mem_id", F.col("standard").alias("mem_standard")
         )

@@ -39,6 +39,17 @@ def lang_rule(col) -> Column:
     )
 
 
+def classify(x: DataFrame, classifier) -> DataFrame:
+    """Adds ``predicted``: a Column rule (JVM-side) or a fitted ``PipelineModel``."""
+    from pyspark.ml import PipelineModel
+
+    if isinstance(classifier, PipelineModel):
+        from lexiflow.operators.classify import predict
+
+        return predict(classifier, x)
+    return x.withColumn("predicted", classifier(F.col("text")))
+
+
 def _score(col: str = "mem_score") -> Column:
     return F.round(F.col(col), 6)
 
@@ -123,7 +134,8 @@ def route_idiom_first(
     x = inp.where(~(T.lookup_key("text") == F.lit(K.STOP_MARKER)) | F.col("text").isNull())
     x = memory.match(x, "id", "text") if memory is not None else _no_memory(x)
     hit = F.coalesce(F.col("mem_score") >= F.lit(threshold), F.lit(False))
-    x = x.withColumn("_hit", hit).withColumn("predicted", F.when(~F.col("_hit"), classifier(F.col("text"))))
+    x = classify(x.withColumn("_hit", hit), classifier)
+    x = x.withColumn("predicted", F.when(~F.col("_hit"), F.col("predicted")))
     if case_sensitive:
         gen_ok = F.col("predicted").isin(list(generator_labels))
     else:
@@ -158,7 +170,7 @@ def route_hybrid(
         x = D.lookup(x, lookup, T.lookup_key, "text", "lk")
         chain.append((F.col("lk_pos").isNotNull(), F.col("lk"), "lookup"))
     chain.append((F.col("_hit"), F.col("mem_standard"), "memory"))
-    x = x.withColumn("predicted", classifier(F.col("text")))
+    x = classify(x, classifier)
     warn = F.when(
         ~T.label_lower("predicted").eqNullSafe(T.label_lower("requested_label")),
         F.format_string(K.MISMATCH_WARNING.replace("{label}", "%s"), F.col("predicted")),
@@ -176,8 +188,7 @@ def route_gated(
 ) -> DataFrame:
     """Blank input skipped; predicted != requested -> rejected with a hint; else
     lookup, then generator (quote repair on generated text), then placeholder."""
-    x = inp.where(T.strip_ws("text") != F.lit(""))
-    x = x.withColumn("predicted", classifier(F.col("text")))
+    x = classify(inp.where(T.strip_ws("text") != F.lit("")), classifier)
     ok = T.label_lower("predicted").eqNullSafe(T.label_lower("requested_label"))
     x = x.withColumn("_ok", ok).withColumn("label", F.col("predicted"))
     x = x.withColumn("message", F.when(~F.col("_ok"), F.col("predicted")))
@@ -208,7 +219,7 @@ def route_idiom_gate(inp: DataFrame, memory, threshold: float = K.MEMORY_THRESHO
 
 
 def mismatch_warnings(inp: DataFrame, classifier: Classifier = lang_rule) -> DataFrame:
-    x = inp.withColumn("predicted", classifier(F.col("text")))
+    x = classify(inp, classifier)
     return x.where(~T.label_lower("predicted").eqNullSafe(T.label_lower("requested_label"))).select(
         "id",
         "requested_label",

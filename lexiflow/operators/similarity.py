@@ -153,47 +153,67 @@ def _memory_bytes(memory: DataFrame, kind: str) -> int:
     return int(stats["nnz"] or 0) * 72 + int(stats["chars"] or 0) * 4 + int(stats["n"] or 0) * 16
 
 
-def nearest(
-    queries: DataFrame,
+class Prepared:
+    """A memory side planned once: strategy chosen from its checked size, and for
+    the broadcast strategy the scoring state shipped to executors once."""
+
+    def __init__(self, memory: DataFrame, kind: str, strategy: str, n_shards: int = 1, state=None):
+        self.memory, self.kind, self.strategy, self.n_shards, self.state = memory, kind, strategy, n_shards, state
+
+
+def prepare(
     memory: DataFrame,
     kind: str = "dense",
     exclude_self: bool = False,
     same_label: bool = False,
     max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST,
     shard_bytes: int = 64 << 20,
-    batch_rows: int = 512,
     force: str | None = None,
-) -> DataFrame:
-    """Top-1 memory position per query: (qid, match_pos, score).
-
-    ``queries``: qid + vec (dense) or tids/ws (sparse), optional ``key`` (with
-    ``exclude_self``) and ``label`` (with ``same_label``).
-    ``memory``: pos + vec or tids/ws, optional ``key`` and ``label``.
-    Queries with no candidate get a null match and a null score.
-    """
+) -> Prepared:
     vcols = ["vec"] if kind == "dense" else ["terms", "ws"]
-    qcols = ["qid", *vcols] + (["key"] if exclude_self else []) + (["label"] if same_label else [])
     mcols = ["pos", *vcols] + (["key"] if exclude_self else []) + (["label"] if same_label else [])
-    q = queries.select(F.col("qid").cast("string").alias("qid"), *qcols[1:])
     m = memory.select(*mcols)
     size = _memory_bytes(m, kind)
     strategy = force or ("broadcast" if size <= max_broadcast_bytes else "sharded")
     if strategy == "broadcast":
-        return _nearest_broadcast(q, m, kind, batch_rows)
-    n_shards = max(1, math.ceil(size / shard_bytes))
-    return _nearest_sharded(q, m, kind, n_shards, batch_rows)
+        mem_pdf = m.toPandas()  # size checked above
+        state = _dense_state(mem_pdf) if kind == "dense" else _sparse_state(mem_pdf)
+        return Prepared(m, kind, strategy, state=m.sparkSession.sparkContext.broadcast(state))
+    return Prepared(m, kind, strategy, n_shards=max(1, math.ceil(size / shard_bytes)))
+
 
+def nearest(
+    queries: DataFrame,
+    memory: DataFrame | Prepared,
+    kind: str = "dense",
+    exclude_self: bool = False,
+    same_label: bool = False,
+    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST,
+    shard_bytes: int = 64 << 20,
+    batch_rows: int = 512,
+    force: str | None = None,
+) -> DataFrame:
+    """Top-1 memory position per query: (qid, match_pos, score).
 
-def _nearest_broadcast(q: DataFrame, m: DataFrame, kind: str, batch_rows: int) -> DataFrame:
-    spark = q.sparkSession
-    mem_pdf = m.toPandas()  # size checked by the caller
-    state = _dense_state(mem_pdf) if kind == "dense" else _sparse_state(mem_pdf)
-    bstate = spark.sparkContext.broadcast(state)
+    ``queries``: qid + vec (dense) or terms/ws (sparse), optional ``key`` (with
+    ``exclude_self``) and ``label`` (with ``same_label``).
+    ``memory``: pos + vec or terms/ws, optional ``key`` and ``label`` — or a
+    :class:`Prepared` memory.  Queries with no candidate get a null match and score.
+    """
+    prep = memory if isinstance(memory, Prepared) else prepare(
+        memory, kind, exclude_self, same_label, max_broadcast_bytes, shard_bytes, force
+    )
+    vcols = ["vec"] if prep.kind == "dense" else ["terms", "ws"]
+    qcols = [*vcols] + (["key"] if exclude_self else []) + (["label"] if same_label else [])
+    q = queries.select(F.col("qid").cast("string").alias("qid"), *qcols)
+    if prep.strategy == "broadcast":
+        bstate = prep.state
 
-    def run(batches):
-        yield from _score_batches(bstate.value, batches, batch_rows)
+        def run(batches):
+            yield from _score_batches(bstate.value, batches, batch_rows)
 
-    return q.mapInPandas(run, RESULT_SCHEMA)
+        return q.mapInPandas(run, RESULT_SCHEMA)
+    return _nearest_sharded(q, prep.memory, prep.kind, prep.n_shards, batch_rows)
 
 
 def _nearest_sharded(q: DataFrame, m: DataFrame, kind: str, n_shards: int, batch_rows: int) -> DataFrame:
