@@ -24,6 +24,7 @@ from lexiflow.functions import text as T
 from lexiflow.operators import features as FE
 
 VOCAB_LIMIT = 1 << 22
+ROWS_PER_PARTITION = 50_000
 
 
 class TextTokens(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -56,8 +57,13 @@ def fit_variant_classifier(
     max_iter: int = 500,
     balanced: bool = False,
     clean: bool = False,
+    tol: float = 1e-4,
 ) -> PipelineModel:
-    """Fit on ``train`` only; returns a model adding ``predicted`` (label string)."""
+    """Fit on ``train`` only; returns a model adding ``predicted`` (label string).
+
+    ``tol`` is the stopping tolerance of the quasi-Newton solver (1e-4, the usual
+    default of the reference's solver; Spark's own default is 1e-6).
+    """
     if train.select(label_col).distinct().limit(2).count() < 2:
         raise ValueError("need at least two classes to train a classifier")
     tok = TextTokens(inputCol=text_col, outputCol="_tokens", analyzer=analyzer, clean=clean)
@@ -69,13 +75,18 @@ def fit_variant_classifier(
     norm = Normalizer(p=2.0, inputCol="_tfidf", outputCol="_features")
     indexer = StringIndexer(inputCol=label_col, outputCol="_y", stringOrderType="alphabetAsc").fit(train)
     prepared = norm.transform(scale.transform(tf))
-    prepared = indexer.transform(prepared)
+    prepared = indexer.transform(prepared).select("_features", "_y", label_col)
     n = prepared.count()
+    # one iteration = one distributed pass: size partitions to the data, not to the
+    # cluster, so small training sets do not pay per-task overhead 500 times
+    shuffle = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prepared = prepared.repartition(max(1, min(shuffle, n // ROWS_PER_PARTITION)))
     lr = LogisticRegression(
         featuresCol="_features",
         labelCol="_y",
         maxIter=max_iter,
         regParam=1.0 / max(n, 1),
+        tol=tol,
         elasticNetParam=0.0,
         standardization=False,
         predictionCol="_pred",
@@ -86,7 +97,9 @@ def fit_variant_classifier(
         weights = FE.class_weights(train.select(F.col(label_col).alias("_lab")), "_lab").select("_lab", "weight")
         prepared = prepared.join(weights, prepared[label_col] == weights["_lab"]).drop("_lab")
         lr = lr.setWeightCol("weight")
+    prepared = prepared.persist()
     lr_model = lr.fit(prepared)
+    prepared.unpersist()
     to_label = IndexToString(inputCol="_pred", outputCol="predicted", labels=indexer.labels)
     return PipelineModel(stages=[*feat.stages, scale, norm, lr_model, to_label])
 
