@@ -9,6 +9,13 @@ WS_JAVA = r"\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2
 # The same set for DuckDB / RE2 (RE2 ``\s`` lacks the vertical tab).
 WS_RE2 = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+# The same set as a plain string of characters (for trim).
+WS_CHARS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    + "".join(chr(c) for c in range(0x2000, 0x200B))
+    + "\u2028\u2029\u202f\u205f\u3000"
+)
+
 # Word characters of Python's ``\w`` on str: letters, numbers, underscore.
 WORD_CLASS = r"\p{L}\p{N}_"
 

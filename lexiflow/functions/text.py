@@ -23,8 +23,9 @@ def _c(col) -> Column:
 
 
 def strip_ws(col) -> Column:
-    """Python ``str.strip()``: remove the full Unicode white-space set at both ends."""
-    return F.regexp_replace(_c(col), _EDGE_WS, "")
+    """Python ``str.strip()``: remove the full Unicode white-space set at both ends
+    (``TRIM(BOTH <set> FROM s)``, no regex)."""
+    return F.trim(_c(col), F.lit(K.WS_CHARS))
 
 
 def collapse_ws(col) -> Column:
@@ -162,3 +163,19 @@ def char_wb_ngrams(col, n_min: int = 3, n_max: int = 5) -> Column:
         return F.concat(*parts)
 
     return F.flatten(F.transform(words, per_word))
+
+
+def char_wb_gram_rows(df, id_col: str, text_col: str, n_min: int = 3, n_max: int = 5):
+    """Same grams as :func:`char_wb_ngrams`, as (id, term) rows built with flat
+    generators (explode words, then explode positions): codegen-friendly, no
+    nested lambdas, and no per-document array of every gram."""
+    w = df.select(id_col, F.explode(tokens(F.lower(F.col(text_col)))).alias("_w"))
+    w = w.select(id_col, F.concat(F.lit(" "), F.col("_w"), F.lit(" ")).alias("_pw"))
+    w = w.withColumn("_L", F.length("_pw"))
+    w = w.select(id_col, "_pw", "_L", F.explode(F.array(*[F.lit(n) for n in range(n_min, n_max + 1)])).alias("_n"))
+    w = w.where((F.col("_n") == n_min) | (F.col("_L") > F.col("_n") - 1))
+    g = w.select(id_col, "_pw", "_n", F.explode(F.sequence(F.lit(1), F.greatest(F.col("_L") - F.col("_n") + 1, F.lit(1)))).alias("_i"))
+    return g.select(id_col, F.substring(F.col("_pw"), F.col("_i"), F.col("_n")).alias("term"))
+
+
+char_wb_ngrams.rows = char_wb_gram_rows

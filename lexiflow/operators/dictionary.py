@@ -31,7 +31,9 @@ def build_dictionary(
     cols = [key.alias("key"), value.alias("standard"), F.col(pos_col).alias("pos")]
     for name, c in (extra or {}).items():
         cols.append(c.alias(name))
-    rows = df.select(*cols).where(F.col("key").isNotNull())
+    # key_fn maps null to null and non-null to non-null: test the raw column so
+    # the filter pushed towards the scan stays cheap
+    rows = df.where(F.col(text_col).isNotNull()).select(*cols)
     aggs = [F.max_by("standard", "pos").alias("standard"), F.min("pos").alias("pos")]
     for name in extra or {}:
         aggs.append(F.max_by(name, "pos").alias(name))

@@ -33,7 +33,11 @@ def term_counts(
 ) -> DataFrame:
     """(id, term, tf) — one row per distinct term of each document."""
     spread = _spread(docs.select(id_col, text_col), id_col, partitions)
-    exploded = spread.select(id_col, F.explode(analyzer(F.col(text_col))).alias("term"))
+    rows = getattr(analyzer, "rows", None)
+    if rows is not None:
+        exploded = rows(spread, id_col, text_col)
+    else:
+        exploded = spread.select(id_col, F.explode(analyzer(F.col(text_col))).alias("term"))
     return exploded.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

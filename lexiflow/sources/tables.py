@@ -20,8 +20,30 @@ TABLES = (
 ).split()
 
 
+KEYS = {
+    "documents": ["doc_id"],
+    "labels": ["doc_id"],
+    "conversations": ["conv_id", "turn"],
+    "embeddings": ["vec_id"],
+    "benchmark": ["item_id"],
+    "pages": ["page_id"],
+}
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition a scan on its key when it has fewer splits than the cluster
+    has task slots (e.g. one large row group).  Large inputs already scan as
+    many splits and are left untouched, so no shuffle is added at scale."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= slots:
+        return df
+    return df.repartition(slots, *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    keys = KEYS.get(name)
+    return spread(df, keys) if keys else df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
