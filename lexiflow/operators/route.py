@@ -17,6 +17,7 @@ from typing import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from lexiflow import constants as K
 from lexiflow.functions import text as T
@@ -96,7 +97,7 @@ def _resolve(
     tr, og = pick(rules)
     rest = x.where(~F.col("_to_gen")).withColumn("translation", tr).withColumn("origin", og)
     todo = x.where(F.col("_to_gen"))
-    schema = todo.schema.add("generated", "string")
+    schema = StructType([*todo.schema.fields, StructField("generated", StringType(), True)])
 
     def hook(batches):
         yield from generator(batches)

@@ -114,9 +114,20 @@ def _sparse_scores(state: dict, q: pd.DataFrame) -> np.ndarray:
     return s
 
 
+def _no_match(qids) -> pd.DataFrame:
+    n = len(qids)
+    return pd.DataFrame(
+        {
+            "qid": pd.Series(np.asarray(qids, dtype=object).astype(str), dtype=object),
+            "match_pos": pd.Series(np.zeros(n, dtype=np.int64)).astype("Int64").where(np.zeros(n, bool), pd.NA),
+            "score": pd.Series(np.full(n, np.nan), dtype=np.float64),
+        }
+    )
+
+
 def _best(state: dict, q: pd.DataFrame) -> pd.DataFrame:
     if len(state["pos"]) == 0 or len(q) == 0:
-        return pd.DataFrame({"qid": q["qid"].astype(str), "match_pos": pd.array([None] * len(q), "Int64"), "score": np.nan})
+        return _no_match(q["qid"].to_numpy() if "qid" in q else [])
     s = _dense_scores(state, q) if state["kind"] == "dense" else _sparse_scores(state, q)
     s[:, ~state["valid"]] = -np.inf
     if "key" in q and state["key"] is not None:
@@ -227,7 +238,7 @@ def _nearest_sharded(q: DataFrame, m: DataFrame, kind: str, n_shards: int, batch
 
     def run(qpdf: pd.DataFrame, mpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0:
-            return pd.DataFrame({"qid": [], "match_pos": [], "score": []})
+            return _no_match([])
         state = _dense_state(mpdf) if kind == "dense" else _sparse_state(mpdf)
         parts = [_best(state, qpdf.iloc[lo : lo + batch_rows]) for lo in range(0, len(qpdf), batch_rows)]
         return pd.concat(parts, ignore_index=True)

@@ -74,13 +74,13 @@ SELECT id, predicted, CASE WHEN hit THEN {S.sq(K.LABEL_IDIOM)} ELSE predicted EN
   round(mem_score, 6) AS score, CAST(NULL AS VARCHAR) AS message FROM z"""
 
 
-def route_idiom_lookup_df(spark, sf, inp=None):
+def route_idiom_lookup_df(spark, sf, inp=None, memory=None, lookup=None):
     inp = TB.route_input(spark, sf) if inp is None else inp
     return R.route_idiom_first(
         inp,
-        _memory(spark, sf),
+        memory if memory is not None else _memory(spark, sf),
         generator_labels=VARIANT_LABELS,
-        lookup=_dictionary(spark, sf, T.normalize_text),
+        lookup=lookup if lookup is not None else _dictionary(spark, sf, T.normalize_text),
         case_sensitive=False,
     )
 

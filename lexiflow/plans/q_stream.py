@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiflow.plans.q_route import ROUTE_COLS, _RT2_SQL, route_idiom_lookup_df
+from lexiflow.functions import text as T
+from lexiflow.plans.q_route import ROUTE_COLS, _RT2_SQL, _dictionary, _memory, route_idiom_lookup_df
 from lexiflow.plans.registry import register
 from lexiflow.session import scratch_path
 from lexiflow.sources import tables as TB
@@ -21,8 +22,13 @@ def q_stream_route(spark, sf):
     ckpt = scratch_path(spark, "stream-ckpt")
     TB.route_input(spark, sf).repartition(4).write.mode("overwrite").parquet(src)
 
+    # static sides built once and shared by every micro-batch
+    memory = _memory(spark, sf)
+    memory.prepared()
+    lookup = _dictionary(spark, sf, T.normalize_text).persist()
+
     def route_batch(batch):
-        return route_idiom_lookup_df(spark, sf, batch).select(*ROUTE_COLS)
+        return route_idiom_lookup_df(spark, sf, batch, memory, lookup).select(*ROUTE_COLS)
 
     query = SR.start_router(spark, src, sink, ckpt, route_batch, max_files_per_trigger=2)
     SR.run_to_completion(query)

@@ -28,12 +28,30 @@ LOCAL_CONF = {
 }
 
 
+# Broadcast only on measured sizes: no estimate-based broadcast at planning time
+# (estimates through explode/generate can be off by orders of magnitude); AQE
+# converts a join to broadcast after the shuffle stages report real sizes.
+SQL_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 << 20),
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    for k, v in SQL_CONF.items():
+        spark.conf.set(k, v)
+    return spark
+
+
 def local_session(cpus: int | str = "*", app: str = "lexiflow", extra: dict | None = None) -> SparkSession:
     builder = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     for k, v in {**LOCAL_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    configure(spark)
     ensure_checkpoint_dir(spark)
     return spark
 
