@@ -132,3 +132,21 @@ def q_ragged_csv(spark, sf):
     path = scratch_path(spark, "ragged")
     lines.select(F.col("before").alias("value")).write.mode("overwrite").text(path)
     return CSV.read_ragged_csv(spark, path, header=False).select("text", "label", "standard")
+
+
+@register("ragged_merge", None)
+def q_ragged_merge(spark, sf):
+    """Two ragged files (document lines, conversation lines) repaired, merged in
+    source order and written as one headered CSV; the merged file is read back."""
+    doc_lines = C.lines_of(TB.table(spark, sf, "documents"), "doc_id", "text")
+    conv_lines = C.lines_of(TB.table(spark, sf, "conversations"), "conv_id", "text")
+    a, b = scratch_path(spark, "ragged-a"), scratch_path(spark, "ragged-b")
+    doc_lines.select(F.col("before").alias("value")).write.mode("overwrite").text(a)
+    conv_lines.select(F.col("before").alias("value")).write.mode("overwrite").text(b)
+    merged = C.union_corpora(
+        [("a", CSV.read_ragged_csv(spark, a, header=False, source_rank=0)), ("b", CSV.read_ragged_csv(spark, b, header=False, source_rank=1))]
+    )
+    out = scratch_path(spark, "ragged-merged")
+    CSV.write_csv(merged.select("text", "label", "standard"), out)
+    back, _ = CSV.read_csv(spark, out, na_tokens=None)
+    return back.select("text", "label", "standard")
