@@ -27,6 +27,10 @@ def build_dictionary(
     """groupBy(key) with max_by/min: partial aggregation runs map-side, so a hot key
     is combined inside each task before the shuffle."""
     key = key_fn(F.col(text_col)) if key_fn is not None else F.col(text_col)
+    # rows are filtered on a non-null text first and key_fn keeps non-null values
+    # non-null, so the key is declared non-nullable: joins then infer no
+    # ``isnotnull(key_fn(text))`` filter that would be pushed into the scan
+    key = F.coalesce(key, F.lit(""))
     value = T.strip_ws(standard_col) if strip_standard else F.col(standard_col)
     cols = [key.alias("key"), value.alias("standard"), F.col(pos_col).alias("pos")]
     for name, c in (extra or {}).items():
@@ -64,11 +68,14 @@ def lookup_split(
     key_fn: Callable[[Column], Column] | None = T.normalize_text,
     text_col: str = "text",
 ) -> tuple[DataFrame, DataFrame]:
-    """Membership split: (hits, misses) via left-semi / left-anti joins."""
+    """Membership split: (hits, misses) — a left join tagged by a match flag for the
+    hits (dictionary keys are unique, so no row is repeated) and a left-anti join
+    for the misses."""
     key = key_fn(F.col(text_col)) if key_fn is not None else F.col(text_col)
     q = queries.withColumn("_key", key)
-    d = dictionary.select(F.col("key").alias("_key"))
-    return q.join(d, "_key", "left_semi").drop("_key"), q.join(d, "_key", "left_anti").drop("_key")
+    d = dictionary.select(F.col("key").alias("_key"), F.lit(True).alias("_hit"))
+    hits = q.join(d, "_key", "left").where(F.col("_hit")).drop("_key", "_hit")
+    return hits, q.join(d.drop("_hit"), "_key", "left_anti").drop("_key")
 
 
 def dictionary_size(dictionary: DataFrame) -> DataFrame:

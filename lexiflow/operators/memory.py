@@ -52,9 +52,13 @@ class TextMemory:
             )
         return self._prepared
 
+    def _bounded(self, df: DataFrame) -> DataFrame:
+        """Memory-side tables are broadcast only when the memory passed the size check."""
+        return F.broadcast(df) if self.prepared().strategy == "broadcast" else df
+
     def query_vectors(self, queries: DataFrame, qid_col: str = "qid", text_col: str = "text") -> DataFrame:
         counts = FE.term_counts(queries.select(F.col(qid_col).alias("qid"), F.col(text_col).alias("text")), self.analyzer, "qid")
-        joined = counts.join(self.vocab, "term").withColumn("_w", F.col("tf") * F.col("idf"))
+        joined = counts.join(self._bounded(self.vocab), "term").withColumn("_w", F.col("tf") * F.col("idf"))
         w = F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("qid")))
         long_form = joined.withColumn("tfidf", w)
         return SIM.sparse_vectors(long_form, "qid")
@@ -74,7 +78,7 @@ class TextMemory:
         info = self.entries.select(
             F.col("pos").alias("match_pos"), "mem_id", F.col("standard").alias("mem_standard")
         )
-        best = best.join(info, "match_pos", "left").select(
+        best = best.join(self._bounded(info), "match_pos", "left").select(
             F.col("qid").alias("_qid"), "mem_id", "mem_standard", F.col("score").alias("mem_score")
         )
         return queries.join(best, queries[qid_col].cast("string") == best["_qid"], "left").drop("_qid")
