@@ -91,14 +91,23 @@ class VectorMemory:
         self.entries = entries
         self.max_broadcast_bytes = max_broadcast_bytes
         self.force = force
+        self._prepared = {}
+
+    def prepared(self, with_label: bool = False):
+        if with_label not in self._prepared:
+            m = self.entries.select("pos", "vec", F.col("id").cast("string").alias("key"), *(["label"] if with_label else []))
+            self._prepared[with_label] = SIM.prepare(
+                m, "dense", exclude_self=True, same_label=with_label,
+                max_broadcast_bytes=self.max_broadcast_bytes, force=self.force,
+            )
+        return self._prepared[with_label]
 
     def match(self, queries: DataFrame, exclude_self: bool = False, same_label: bool = False) -> DataFrame:
         """queries: (id, vec[, label]) -> (qid, match_id, match_pos, score)."""
         q = queries.select(F.col("id").alias("qid"), "vec", F.col("id").cast("string").alias("key"), *(["label"] if same_label else []))
-        m = self.entries.select("pos", "vec", F.col("id").cast("string").alias("key"), *(["label"] if same_label else []))
-        best = SIM.nearest(
-            q, m, "dense", exclude_self=exclude_self, same_label=same_label,
-            max_broadcast_bytes=self.max_broadcast_bytes, force=self.force,
-        )
+        prep = self.prepared(same_label)
+        best = SIM.nearest(q, prep, "dense", exclude_self=exclude_self, same_label=same_label)
         info = self.entries.select(F.col("pos").alias("match_pos"), F.col("id").alias("match_id"))
+        if prep.strategy == "broadcast":  # bounded by the memory size check
+            info = F.broadcast(info)
         return best.join(info, "match_pos", "left")

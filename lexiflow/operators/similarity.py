@@ -224,11 +224,22 @@ def nearest(
             yield from _score_batches(bstate.value, batches, batch_rows)
 
         return q.mapInPandas(run, RESULT_SCHEMA)
-    return _nearest_sharded(q, prep.memory, prep.kind, prep.n_shards, batch_rows)
+    return _nearest_sharded(q, prep.memory, prep.kind, prep.n_shards, batch_rows, _query_blocks(q, prep.kind))
 
 
-def _nearest_sharded(q: DataFrame, m: DataFrame, kind: str, n_shards: int, batch_rows: int) -> DataFrame:
-    n_blocks = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def _query_blocks(q: DataFrame, kind: str, block_bytes: int = 64 << 20) -> int:
+    """Query blocks sized by query volume: every memory shard is replicated once per
+    block, so the block count follows the queries, not the cluster's partition count."""
+    if kind == "dense":
+        st = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+        size = int(st["n"] or 0) * int(st["d"] or 0) * 8
+    else:
+        st = q.agg(F.sum(F.size("terms")).alias("nnz")).first()
+        size = int(st["nnz"] or 0) * 72
+    return max(1, math.ceil(size / block_bytes))
+
+
+def _nearest_sharded(q: DataFrame, m: DataFrame, kind: str, n_shards: int, batch_rows: int, n_blocks: int = 1) -> DataFrame:
     qx = q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks))).withColumn(
         "_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
     )

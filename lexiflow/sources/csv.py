@@ -71,7 +71,9 @@ def read_csv(
         rows = raw
         quarantine = raw.limit(0)
     else:
-        # the corrupt-record column must be materialised before it can be filtered alone
+        # the reader rejects plans that need only the corrupt-record column (a
+        # quarantine count prunes to it), so the parsed rows are persisted once and
+        # both outputs read that copy (the documented way to query the column)
         raw = raw.persist()
         rows = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
         quarantine = raw.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record", "pos")
