@@ -77,6 +77,9 @@ def fit_transform_tfidf(
     Returns (idf table, long-form tfidf).
     """
     fit_counts = term_counts(fit_docs, analyzer, id_col, text_col)
+    if docs is None:
+        # document frequencies and weights both read the counts: tokenise once
+        fit_counts = fit_counts.persist()
     n_docs = fit_docs.select(id_col).count()
     idf = idf_table(fit_counts, n_docs, min_df)
     counts = fit_counts if docs is None else term_counts(docs, analyzer, id_col, text_col)

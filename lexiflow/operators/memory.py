@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as T
@@ -58,9 +58,9 @@ class TextMemory:
 
     def query_vectors(self, queries: DataFrame, qid_col: str = "qid", text_col: str = "text") -> DataFrame:
         counts = FE.term_counts(queries.select(F.col(qid_col).alias("qid"), F.col(text_col).alias("text")), self.analyzer, "qid")
-        joined = counts.join(self._bounded(self.vocab), "term").withColumn("_w", F.col("tf") * F.col("idf"))
-        w = F.col("_w") / F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy("qid")))
-        long_form = joined.withColumn("tfidf", w)
+        # raw tf*idf over the known terms; the scoring kernel L2-normalises each
+        # query vector, so no per-query window sort is needed here
+        long_form = counts.join(self._bounded(self.vocab), "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
         return SIM.sparse_vectors(long_form, "qid")
 
     def match(

@@ -97,6 +97,9 @@ def _sparse_scores(state: dict, q: pd.DataFrame) -> np.ndarray:
             continue
         qt = np.asarray(terms, dtype=object).astype(str)
         w = np.asarray(ws, dtype=np.float64)
+        nrm = np.sqrt(np.dot(w, w))
+        if nrm > 0:
+            w = w / nrm  # cosine: query weights are L2-normalised here
         t = np.searchsorted(vocab, qt)
         t = np.minimum(t, len(vocab) - 1)
         keep = vocab[t] == qt
