@@ -97,9 +97,8 @@ def fit_variant_classifier(
         weights = FE.class_weights(train.select(F.col(label_col).alias("_lab")), "_lab").select("_lab", "weight")
         prepared = prepared.join(weights, prepared[label_col] == weights["_lab"]).drop("_lab")
         lr = lr.setWeightCol("weight")
-    prepared = prepared.persist()
+    # not persisted here: the estimator then caches its own blockified instances
     lr_model = lr.fit(prepared)
-    prepared.unpersist()
     to_label = IndexToString(inputCol="_pred", outputCol="predicted", labels=indexer.labels)
     return PipelineModel(stages=[*feat.stages, scale, norm, lr_model, to_label])
 
