@@ -150,3 +150,18 @@ def q_ragged_merge(spark, sf):
     CSV.write_csv(merged.select("text", "label", "standard"), out)
     back, _ = CSV.read_csv(spark, out, na_tokens=None)
     return back.select("text", "label", "standard")
+
+
+@register("row_positions", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_no FROM documents")
+def q_row_positions(spark, sf):
+    """Row renumbering from file positions: the corpus is exported in order over
+    several files, read back with (file, block, row) positions, and given dense
+    row numbers by a distributed sort — equal to the original order."""
+    from lexiflow.operators import features as FE
+
+    d = TB.table(spark, sf, "documents").select("doc_id", "text")
+    path = scratch_path(spark, "ordered-csv")
+    CSV.write_csv(d.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id"), path)
+    rows, _ = CSV.read_csv(spark, path, columns=["doc_id", "text"])
+    numbered = FE.dense_ids(rows.select("doc_id", "pos"), [F.asc("pos")], "row_no")
+    return numbered.select(F.col("doc_id").cast("long").alias("doc_id"), "row_no")
