@@ -34,8 +34,12 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
     """Hash-partition a scan on its key when it has fewer splits than the cluster
     has task slots (e.g. one large row group).  Large inputs already scan as
     many splits and are left untouched, so no shuffle is added at scale."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a remote session): leave the scan as is
+        return df
+    if splits >= slots:
         return df
     return df.repartition(slots, *keys)
 

@@ -123,3 +123,22 @@ def test_stream_equals_batch(spark):
         .collect()
     )
     assert streamed == batch
+
+
+def test_trap_case_sensitive_label_test(spark):
+    """A classifier emitting lower-case 'ağız' never reaches the generator when the
+    label test is case-sensitive (first CLI loop); the lower-cased test routes it."""
+    mem, _, inp = _fixture(spark)
+    lower_rule = lambda c: F.lit("ağız")
+    sensitive = _by_id(R.route_idiom_first(inp, mem, classifier=lower_rule))
+    insensitive = _by_id(R.route_idiom_first(inp, mem, classifier=lower_rule, case_sensitive=False))
+    assert sensitive["g"].origin == "none"
+    assert insensitive["g"].origin == "placeholder"
+
+
+def test_trap_prefix_map_keyed_on_canonical_label(spark):
+    df = spark.createDataFrame([("t", "Ağız")], "text string, label string")
+    fixed = df.select(T.prompt_input("text", "label")).first()[0]
+    as_written = df.select(T.prompt_input("text", "label", {"osmanlica": "x: ", "agiz": "y: "})).first()[0]
+    assert fixed == K.TRAIN_PREFIXES["Ağız"] + "t"
+    assert as_written == "t"  # a map keyed on 'agiz' gives dialect rows no prefix
