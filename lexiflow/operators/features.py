@@ -108,7 +108,8 @@ def dense_ids(df: DataFrame, order: list[Column], id_name: str = "tid", start: i
     offsets = offsets.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     )
-    out = sorted_.join(offsets.select("_pid", "_off"), "_pid")
+    # one row per sorted partition: bounded by the partition count, safe to broadcast
+    out = sorted_.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
     rid = F.col("_off") + (F.col("_mono") - F.shiftleft(F.col("_pid").cast("long"), 33)) + F.lit(start)
     return out.withColumn(id_name, rid).drop("_pid", "_mono", "_off")
 
