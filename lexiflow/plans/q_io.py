@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lexiflow.functions import text as T
 from lexiflow.operators import corpus as C
 from lexiflow.operators import dictionary as D
 from lexiflow.plans import sqlfrag as S

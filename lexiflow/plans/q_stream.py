@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from lexiflow.functions import text as T
 from lexiflow.plans.q_route import ROUTE_COLS, _RT2_SQL, _dictionary, _memory, route_idiom_lookup_df

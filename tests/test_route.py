@@ -3,7 +3,6 @@
 import os
 import tempfile
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from lexiflow import constants as K
