@@ -103,3 +103,27 @@ def test_line_cleanup(spark):
     lines = C.lines_of(df, "id", "text")
     got = [(r.id, r.line_no, r.before, r.after, r.changed) for r in C.line_cleanup(lines).orderBy("id", "line_no").collect()]
     assert got == [(1, 0, "a.b  c", "ab c", True), (1, 1, "ok", "ok", False)]
+
+
+def test_dense_ids_equal_global_row_number(spark):
+    from pyspark.sql import Window
+
+    from lexiflow.operators import features as FE
+
+    df = spark.range(0, 3000, numPartitions=7).select((F.col("id") % 97).alias("cnt"), F.format_string("t%05d", "id").alias("term"))
+    got = {r.term: r.tid for r in FE.dense_ids(df, [F.desc("cnt"), F.asc("term")], "tid", 1).collect()}
+    want = {r.term: r.rn for r in df.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("cnt"), "term"))).collect()}
+    assert got == want
+
+
+def test_sequence_padding(spark):
+    from lexiflow.functions import seq as SEQ
+
+    df = spark.createDataFrame([(0, [5, 6, 7]), (1, [8]), (2, list(range(1, 12)))], "doc_id long, ids array<long>")
+    out = {r.doc_id: r for r in SEQ.pad_batches(df, "doc_id", 2).collect()}
+    assert out[0].input_ids == [5, 6, 7, 0, 0, 0, 0, 0] and out[1].input_ids == [8] + [0] * 7
+    assert out[1].attention_mask == [1] + [0] * 7
+    assert len(out[2].input_ids) == 16
+    masked = df.select(SEQ.mask_pad(F.array(F.lit(3).cast("long"), F.lit(0).cast("long")))).first()[0]
+    assert masked == [3, -100]
+    assert df.select(SEQ.truncate("ids", 2)).collect()[2][0] == [1, 2]
