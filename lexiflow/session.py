@@ -39,9 +39,35 @@ SQL_CONF = {
 }
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lexiflow`` importable by Python workers (``--py-files`` done once per
+    application): the package is zipped on the driver and added with ``addPyFile``."""
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # remote sessions ship code through their own artifact API
+        return
+    if app in _SHIPPED:
+        return
+    import zipfile
+    from pathlib import Path
+
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="lexiflow-pyfiles-")) / "lexiflow.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(pkg.rglob("*.py")):
+            z.write(f, f.relative_to(pkg.parent).as_posix())
+    sc.addPyFile(str(out))
+    _SHIPPED.add(app)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     for k, v in SQL_CONF.items():
         spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
