@@ -123,11 +123,36 @@ def build_vocabulary(docs: DataFrame, id_col: str = "id", text_col: str = "text"
     return dense_ids(counts, [F.desc("cnt"), F.asc("term")], "tid", start)
 
 
-def encode(docs: DataFrame, vocab: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<long>) in token order; unknown tokens are dropped."""
+VOCAB_BROADCAST_BYTES = 64 << 20
+
+
+def vocabulary_bytes(vocab: DataFrame) -> int:
+    """Measured in-memory size of a (term, tid) table (one pass over the vocabulary,
+    which is far smaller than the token stream it encodes)."""
+    st = vocab.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("term")).alias("chars")).first()
+    return int(st["n"] or 0) * 48 + int(st["chars"] or 0) * 2
+
+
+def encode(
+    docs: DataFrame,
+    vocab: DataFrame,
+    id_col: str = "id",
+    text_col: str = "text",
+    max_broadcast_bytes: int = VOCAB_BROADCAST_BYTES,
+) -> DataFrame:
+    """(id, ids array<long>) in token order; unknown tokens are dropped.
+
+    A vocabulary under ``max_broadcast_bytes`` (measured, not estimated) is
+    broadcast, so the token stream stays partitioned by document and is never
+    shuffled by term (a frequent term would be one hot join key).  A larger
+    vocabulary is joined by shuffle, with AQE splitting hot terms.
+    """
     spread = _spread(docs.select(id_col, text_col), id_col, None)
     toks = spread.select(id_col, F.posexplode(T.tokens(F.col(text_col))).alias("p", "term"))
-    joined = toks.join(vocab.select("term", "tid"), "term")
+    v = vocab.select("term", "tid")
+    if vocabulary_bytes(v) <= max_broadcast_bytes:
+        v = F.broadcast(v)
+    joined = toks.join(v, "term")
     grouped = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("p", "tid"))).alias("_pt"))
     enc = grouped.select(id_col, F.transform("_pt", lambda s: s["tid"]).alias("ids"))
     # documents without any known token keep an empty sequence

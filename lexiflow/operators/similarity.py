@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST = 256 << 20
 TIE_DECIMALS = 12
+# a scored block is (queries x memory rows) doubles: keep it near this size
+SCORE_BLOCK_BYTES = 32 << 20
 RESULT_SCHEMA = "qid string, match_pos long, score double"
 
 
@@ -146,10 +148,17 @@ def _best(state: dict, q: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"qid": q["qid"].astype(str).to_numpy(), "match_pos": pos, "score": np.where(ok, top, np.nan)})
 
 
+def _block_rows(state: dict, batch_rows: int) -> int:
+    """Queries per scored block, so that the score matrix stays bounded however
+    large the memory (a memory near the broadcast bound has ~10^6 rows)."""
+    return max(1, min(batch_rows, SCORE_BLOCK_BYTES // (8 * max(1, len(state["pos"])))))
+
+
 def _score_batches(state: dict, batches, batch_rows: int):
+    step = _block_rows(state, batch_rows)
     for pdf in batches:
-        for lo in range(0, len(pdf), batch_rows):
-            yield _best(state, pdf.iloc[lo : lo + batch_rows])
+        for lo in range(0, len(pdf), step):
+            yield _best(state, pdf.iloc[lo : lo + step])
 
 
 # ----------------------------------------------------------------------------- planning
@@ -254,7 +263,8 @@ def _nearest_sharded(q: DataFrame, m: DataFrame, kind: str, n_shards: int, batch
         if len(qpdf) == 0:
             return _no_match([])
         state = _dense_state(mpdf) if kind == "dense" else _sparse_state(mpdf)
-        parts = [_best(state, qpdf.iloc[lo : lo + batch_rows]) for lo in range(0, len(qpdf), batch_rows)]
+        step = _block_rows(state, batch_rows)
+        parts = [_best(state, qpdf.iloc[lo : lo + step]) for lo in range(0, len(qpdf), step)]
         return pd.concat(parts, ignore_index=True)
 
     cand = (

@@ -127,3 +127,21 @@ def test_sequence_padding(spark):
     masked = df.select(SEQ.mask_pad(F.array(F.lit(3).cast("long"), F.lit(0).cast("long")))).first()[0]
     assert masked == [3, -100]
     assert df.select(SEQ.truncate("ids", 2)).collect()[2][0] == [1, 2]
+
+
+def test_encode_broadcast_and_shuffle_paths_agree(spark):
+    """The measured-size broadcast of the vocabulary and the shuffle join encode alike;
+    unknown tokens are dropped and documents without known tokens keep []."""
+    from lexiflow.operators import features as FE
+
+    docs = spark.createDataFrame(
+        [(1, "the cat the hat"), (2, "the zebra"), (3, ""), (4, "cat\tcat  the")], "id long, text string"
+    )
+    vocab = FE.build_vocabulary(docs.where("id <> 2"), start=1)
+    small = {r.id: r.ids for r in FE.encode(docs, vocab).collect()}
+    shuffled = {r.id: r.ids for r in FE.encode(docs, vocab, max_broadcast_bytes=-1).collect()}
+    assert small == shuffled
+    tid = {r.term: r.tid for r in vocab.collect()}
+    # "cat" and "the" both occur 3 times: the count tie goes to the term order
+    assert tid["cat"] == 1 and tid["the"] == 2 and tid["hat"] == 3
+    assert small == {1: [2, 1, 2, 3], 2: [2], 3: [], 4: [1, 1, 2]}

@@ -78,3 +78,33 @@ def test_sharded_equals_broadcast_random(spark):
         s = M @ (np.array(v) / np.linalg.norm(v))
         assert a[str(qid)][0] == int(np.argmax(s))
     assert a == b
+
+
+def test_scored_block_bounded_by_memory_size(spark):
+    """A memory near the broadcast bound scores few queries per block, so the
+    (queries x memory) score matrix stays near SCORE_BLOCK_BYTES."""
+    big = {"pos": np.zeros(2_000_000, dtype=np.int64)}
+    rows = SIM._block_rows(big, 512)
+    assert 1 <= rows and rows * 8 * len(big["pos"]) <= SIM.SCORE_BLOCK_BYTES
+    assert SIM._block_rows({"pos": np.zeros(10, dtype=np.int64)}, 512) == 512
+    assert SIM._block_rows({"pos": np.zeros(10**9, dtype=np.int64)}, 512) == 1
+
+
+def test_dense_small_blocks_same_answer(monkeypatch):
+    """One query per scored block gives the same winners as full blocks (kernel run
+    in-process: the block bound is read where the scoring runs)."""
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    mv, qv = rng.normal(size=(40, 5)), rng.normal(size=(9, 5))
+    mv[7] = mv[3]  # duplicate: tie goes to position 3
+    qv[0] = mv[3]
+    mem = pd.DataFrame({"pos": np.arange(40, dtype=np.int64), "vec": list(mv)})
+    q = pd.DataFrame({"qid": [str(i) for i in range(9)], "vec": list(qv)})
+    state = SIM._dense_state(mem)
+    full = pd.concat(SIM._score_batches(state, [q], 512), ignore_index=True)
+    monkeypatch.setattr(SIM, "SCORE_BLOCK_BYTES", 1)
+    one = list(SIM._score_batches(state, [q], 512))
+    assert len(one) == len(q)
+    pd.testing.assert_frame_equal(pd.concat(one, ignore_index=True), full)
+    assert full.loc[0, "match_pos"] == 3
