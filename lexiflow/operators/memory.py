@@ -43,6 +43,14 @@ class TextMemory:
         # keep it once instead of recomputing its TF-IDF for each use
         self.vectors = vec.join(entries.select("mem_id", *cols), "mem_id").persist()
         self._prepared = None
+        self._idf = None
+
+    def idf_broadcast(self):
+        """The fitted vocabulary with its idf, shipped once per executor; it holds no
+        more terms than the memory postings, so the memory size check bounds it."""
+        if self._idf is None:
+            self._idf = self.entries.sparkSession.sparkContext.broadcast(SIM.idf_state(self.vocab.toPandas()))
+        return self._idf
 
     def prepared(self):
         if self._prepared is None:
@@ -70,7 +78,15 @@ class TextMemory:
         text_col: str = "text",
         label_col: str | None = None,
     ) -> DataFrame:
-        """Left-joins ``mem_id, mem_standard, mem_score`` (null when nothing is shared)."""
+        """Left-joins ``mem_id, mem_standard, mem_score`` (null when nothing is shared).
+
+        With a broadcast memory every row is scored where it lies (terms from the
+        JVM-side analyzer, weights and cosine in the scoring task): no shuffle of
+        the queries.  A sharded memory takes the long-form path below.
+        """
+        same_label = label_col is not None and self.with_label
+        if self.prepared().strategy == "broadcast":
+            return self._match_rows(queries, text_col, label_col if same_label else None)
         qv = self.query_vectors(queries, qid_col, text_col)
         if label_col is not None and self.with_label:
             qv = qv.join(queries.select(F.col(qid_col).alias("qid"), F.col(label_col).alias("label")), "qid")
@@ -83,6 +99,16 @@ class TextMemory:
         )
         return queries.join(best, queries[qid_col].cast("string") == best["_qid"], "left").drop("_qid")
 
+    def _match_rows(self, queries: DataFrame, text_col: str, label_col: str | None) -> DataFrame:
+        cols = queries.columns
+        rows = queries.withColumn("_terms", self.analyzer(F.col(text_col)))
+        scored = SIM.nearest_rows(rows, self.prepared(), self.idf_broadcast(), "_terms", label_col)
+        info = F.broadcast(  # bounded by the memory size check
+            self.entries.select(F.col("pos").alias("match_pos"), "mem_id", F.col("standard").alias("mem_standard"))
+        )
+        out = scored.join(info, "match_pos", "left")
+        return out.select(*cols, "mem_id", "mem_standard", F.col("score").alias("mem_score"))
+
 
 class VectorMemory:
     """Memory entries ``(id, vec, pos[, label])`` with precomputed embeddings."""

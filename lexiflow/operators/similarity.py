@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 DEFAULT_MAX_BROADCAST = 256 << 20
 TIE_DECIMALS = 12
@@ -239,6 +240,70 @@ def nearest(
     return _nearest_sharded(q, prep.memory, prep.kind, prep.n_shards, batch_rows, _query_blocks(q, prep.kind))
 
 
+def idf_state(idf_pdf: pd.DataFrame) -> dict:
+    """Sorted vocabulary with its idf weights (the fitted side of a text memory)."""
+    idf_pdf = idf_pdf.sort_values("term", kind="stable")
+    return {"terms": idf_pdf["term"].astype(str).to_numpy(), "idf": idf_pdf["idf"].to_numpy(np.float64)}
+
+
+def _weigh(terms, vocab: np.ndarray, idf: np.ndarray):
+    """Raw term list -> (distinct known terms, tf * idf); unknown terms are dropped
+    before the kernel normalises (transform semantics of a fitted vectoriser)."""
+    if terms is None or not len(terms) or not len(vocab):
+        return [], np.zeros(0)
+    u, c = np.unique(np.asarray(terms, dtype=object).astype(str), return_counts=True)
+    t = np.minimum(np.searchsorted(vocab, u), len(vocab) - 1)
+    keep = vocab[t] == u
+    return u[keep], c[keep] * idf[t[keep]]
+
+
+def nearest_rows(
+    rows: DataFrame,
+    prep: Prepared,
+    idf_bcast,
+    terms_col: str,
+    label_col: str | None = None,
+    batch_rows: int = 512,
+) -> DataFrame:
+    """Row-wise top-1 for a broadcast sparse memory: every input column is carried
+    through and ``match_pos``/``score`` are appended.
+
+    ``terms_col`` holds each row's raw term list (tokenised JVM-side); tf, idf
+    and the cosine are computed inside the scoring task, so the query stream is
+    never exploded, grouped or shuffled, and no join back to the input is needed.
+    """
+    if prep.strategy != "broadcast" or prep.kind != "sparse":
+        raise ValueError("row-wise scoring needs a broadcast sparse memory")
+    bstate = prep.state
+    keep_cols = [f for f in rows.schema.fields if f.name != terms_col]
+    schema = StructType([*keep_cols, StructField("match_pos", LongType()), StructField("score", DoubleType())])
+    names = [f.name for f in keep_cols]
+
+    def run(batches):
+        state, iv = bstate.value, idf_bcast.value
+        step = _block_rows(state, batch_rows)
+        for pdf in batches:
+            for lo in range(0, len(pdf), step):
+                chunk = pdf.iloc[lo : lo + step]
+                weighed = [_weigh(t, iv["terms"], iv["idf"]) for t in chunk[terms_col]]
+                q = pd.DataFrame(
+                    {
+                        "qid": np.arange(len(chunk)).astype(str),
+                        "terms": [w[0] for w in weighed],
+                        "ws": [w[1] for w in weighed],
+                    }
+                )
+                if label_col is not None:
+                    q["label"] = chunk[label_col].to_numpy()
+                best = _best(state, q)
+                out = chunk[names].reset_index(drop=True)
+                out["match_pos"] = best["match_pos"].to_numpy()
+                out["score"] = best["score"].to_numpy()
+                yield out
+
+    return rows.mapInPandas(run, schema)
+
+
 def _query_blocks(q: DataFrame, kind: str, block_bytes: int = 64 << 20) -> int:
     """Query blocks sized by query volume: every memory shard is replicated once per
     block, so the block count follows the queries, not the cluster's partition count."""

@@ -108,3 +108,33 @@ def test_dense_small_blocks_same_answer(monkeypatch):
     assert len(one) == len(q)
     pd.testing.assert_frame_equal(pd.concat(one, ignore_index=True), full)
     assert full.loc[0, "match_pos"] == 3
+
+
+@pytest.mark.parametrize("with_label", [False, True])
+def test_text_memory_rowwise_equals_long_form(spark, with_label):
+    """The broadcast memory scores rows in place (terms from the JVM analyzer, tf-idf
+    in the kernel); the sharded memory goes through the long form.  Same answers,
+    with and without the requested-label condition, null texts included."""
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rng = np.random.default_rng(3)
+
+    def text(n):
+        return " ".join(rng.choice(words, size=n))
+
+    entries = spark.createDataFrame(
+        [(i, text(int(rng.integers(1, 6))), f"t{i}", i, "xy"[i % 2]) for i in range(30)],
+        "mem_id long, text string, standard string, pos long, label string",
+    )
+    rows = [(f"q{i}", text(int(rng.integers(0, 8))), "xy"[i % 3 % 2]) for i in range(40)] + [("qn", None, "x")]
+    q = spark.createDataFrame(rows, "id string, text string, requested_label string")
+    label_col = "requested_label" if with_label else None
+
+    def run(force):
+        mem = MEM.TextMemory(entries, with_label=with_label, force=force)
+        out = mem.match(q, label_col=label_col)
+        assert out.columns == q.columns + ["mem_id", "mem_standard", "mem_score"]
+        return {r.id: (r.mem_id, None if r.mem_score is None else round(r.mem_score, 9)) for r in out.collect()}
+
+    a, b = run("broadcast"), run("sharded")
+    assert a == b and len(a) == len(rows)
+    assert a["qn"] == (None, None)
