@@ -92,6 +92,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            # executors on other machines cannot read a driver-local folder
+            raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder for checkpoints")
         conf = tempfile.mkdtemp(prefix="lexiflow-ckpt-")
     spark.sparkContext.setCheckpointDir(conf)
     return spark.sparkContext.getCheckpointDir() or conf
