@@ -91,10 +91,30 @@ def _dense_scores(state: dict, q: pd.DataFrame) -> np.ndarray:
     return s
 
 
-def _sparse_scores(state: dict, q: pd.DataFrame) -> np.ndarray:
-    n_mem = state["n"]
-    s = np.zeros((len(q), n_mem), dtype=np.float64)
+def _no_match(qids) -> pd.DataFrame:
+    n = len(qids)
+    return pd.DataFrame(
+        {
+            "qid": pd.Series(np.asarray(qids, dtype=object).astype(str), dtype=object),
+            "match_pos": pd.Series(np.zeros(n, dtype=np.int64)).astype("Int64").where(np.zeros(n, bool), pd.NA),
+            "score": pd.Series(np.full(n, np.nan), dtype=np.float64),
+        }
+    )
+
+
+def _best_sparse(state: dict, q: pd.DataFrame) -> pd.DataFrame:
+    """Top-1 over the candidates only: memory rows sharing a term with the query.
+
+    Work per query is the postings it touches, not the memory size.  Scores are
+    summed in posting order as in the dense-row form, so results are identical.
+    Memory rows are in position order, so the first maximum is the lowest position.
+    """
+    n = len(q)
     vocab, indptr, rows, mws = state["vocab"], state["indptr"], state["rows"], state["ws"]
+    qkey = q["key"].astype(str).to_numpy() if "key" in q and state["key"] is not None else None
+    qlab = q["label"].astype(str).to_numpy() if "label" in q and state["label"] is not None else None
+    best_row = np.full(n, -1, dtype=np.int64)
+    best_score = np.full(n, np.nan)
     for i, (terms, ws) in enumerate(zip(q["terms"], q["ws"])):
         if terms is None or not len(terms) or not len(vocab):
             continue
@@ -103,38 +123,40 @@ def _sparse_scores(state: dict, q: pd.DataFrame) -> np.ndarray:
         nrm = np.sqrt(np.dot(w, w))
         if nrm > 0:
             w = w / nrm  # cosine: query weights are L2-normalised here
-        t = np.searchsorted(vocab, qt)
-        t = np.minimum(t, len(vocab) - 1)
+        t = np.minimum(np.searchsorted(vocab, qt), len(vocab) - 1)
         keep = vocab[t] == qt
         t, w = t[keep], w[keep]
         if not len(t):
             continue
-        starts, ends = indptr[t], indptr[t + 1]
-        lens = ends - starts
+        starts, lens = indptr[t], indptr[t + 1] - indptr[t]
         total = int(lens.sum())
         if not total:
             continue
         idx = np.repeat(starts - np.cumsum(lens) + lens, lens) + np.arange(total)
-        s[i] = np.bincount(rows[idx], weights=np.repeat(w, lens) * mws[idx], minlength=n_mem)
-    s[s <= 0] = -np.inf  # no shared term: no candidate
-    return s
-
-
-def _no_match(qids) -> pd.DataFrame:
-    n = len(qids)
-    return pd.DataFrame(
-        {
-            "qid": pd.Series(np.asarray(qids, dtype=object).astype(str), dtype=object),
-            "match_pos": pd.Series(np.zeros(n, dtype=np.int64)).astype("Int64").where(np.zeros(n, bool), pd.NA),
-            "score": pd.Series(np.full(n, np.nan), dtype=np.float64),
-        }
-    )
+        cand, inv = np.unique(rows[idx], return_inverse=True)
+        sc = np.bincount(inv, weights=np.repeat(w, lens) * mws[idx], minlength=len(cand))
+        ok = (sc > 0) & state["valid"][cand]  # no shared weight: no candidate
+        if qkey is not None:
+            ok &= state["key"][cand] != qkey[i]
+        if qlab is not None:
+            ok &= state["label"][cand] == qlab[i]
+        if not ok.any():
+            continue
+        cand, sc = cand[ok], sc[ok]
+        j = int(np.argmax(np.round(sc, TIE_DECIMALS)))
+        best_row[i], best_score[i] = cand[j], sc[j]
+    found = best_row >= 0
+    pos = pd.array(np.where(found, state["pos"][np.maximum(best_row, 0)], 0), dtype="Int64")
+    pos[~found] = pd.NA
+    return pd.DataFrame({"qid": q["qid"].astype(str).to_numpy(), "match_pos": pos, "score": best_score})
 
 
 def _best(state: dict, q: pd.DataFrame) -> pd.DataFrame:
     if len(state["pos"]) == 0 or len(q) == 0:
         return _no_match(q["qid"].to_numpy() if "qid" in q else [])
-    s = _dense_scores(state, q) if state["kind"] == "dense" else _sparse_scores(state, q)
+    if state["kind"] == "sparse":
+        return _best_sparse(state, q)
+    s = _dense_scores(state, q)
     s[:, ~state["valid"]] = -np.inf
     if "key" in q and state["key"] is not None:
         s[q["key"].astype(str).to_numpy()[:, None] == state["key"][None, :]] = -np.inf
@@ -150,8 +172,11 @@ def _best(state: dict, q: pd.DataFrame) -> pd.DataFrame:
 
 
 def _block_rows(state: dict, batch_rows: int) -> int:
-    """Queries per scored block, so that the score matrix stays bounded however
-    large the memory (a memory near the broadcast bound has ~10^6 rows)."""
+    """Queries per scored block, so that a dense score matrix stays bounded however
+    large the memory (a memory near the broadcast bound has ~10^6 rows).  The
+    sparse kernel keeps candidates only and needs no bound."""
+    if state["kind"] == "sparse":
+        return batch_rows
     return max(1, min(batch_rows, SCORE_BLOCK_BYTES // (8 * max(1, len(state["pos"])))))
 
 

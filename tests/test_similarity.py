@@ -83,11 +83,12 @@ def test_sharded_equals_broadcast_random(spark):
 def test_scored_block_bounded_by_memory_size(spark):
     """A memory near the broadcast bound scores few queries per block, so the
     (queries x memory) score matrix stays near SCORE_BLOCK_BYTES."""
-    big = {"pos": np.zeros(2_000_000, dtype=np.int64)}
+    big = {"kind": "dense", "pos": np.zeros(2_000_000, dtype=np.int64)}
     rows = SIM._block_rows(big, 512)
     assert 1 <= rows and rows * 8 * len(big["pos"]) <= SIM.SCORE_BLOCK_BYTES
-    assert SIM._block_rows({"pos": np.zeros(10, dtype=np.int64)}, 512) == 512
-    assert SIM._block_rows({"pos": np.zeros(10**9, dtype=np.int64)}, 512) == 1
+    assert SIM._block_rows({"kind": "dense", "pos": np.zeros(10, dtype=np.int64)}, 512) == 512
+    assert SIM._block_rows({"kind": "sparse", "pos": np.zeros(10**9, dtype=np.int64)}, 512) == 512
+    assert SIM._block_rows({"kind": "dense", "pos": np.zeros(10**9, dtype=np.int64)}, 512) == 1
 
 
 def test_dense_small_blocks_same_answer(monkeypatch):
@@ -138,3 +139,46 @@ def test_text_memory_rowwise_equals_long_form(spark, with_label):
     a, b = run("broadcast"), run("sharded")
     assert a == b and len(a) == len(rows)
     assert a["qn"] == (None, None)
+
+
+def test_sparse_kernel_equals_brute_force():
+    """Candidate-only sparse scoring against a dense brute-force cosine argmax,
+    with label and self-key conditions, duplicate entries (ties) and empty rows."""
+    import pandas as pd
+
+    rng = np.random.default_rng(7)
+    vocab = np.array([f"w{i}" for i in range(25)])
+    n_mem, n_q = 80, 60
+    M = np.where(rng.random((n_mem, 25)) < 0.15, rng.random((n_mem, 25)), 0.0)
+    M[5] = M[2]  # duplicate: the tie goes to the lower position
+    M[9] = 0.0  # empty entry never matches
+    Q = np.where(rng.random((n_q, 25)) < 0.2, rng.integers(1, 4, (n_q, 25)).astype(float), 0.0)
+    Q[0] = M[2]
+    labels = np.array(list("ab"))[rng.integers(0, 2, n_mem)]
+    qlabels = np.array(list("ab"))[rng.integers(0, 2, n_q)]
+    keys = np.array([f"k{i}" for i in range(n_mem)])
+    qkeys = np.array([f"k{i}" if i % 4 == 0 else "none" for i in range(n_q)])
+
+    def sparse(m):
+        nz = [np.flatnonzero(r) for r in m]
+        return [list(vocab[i]) for i in nz], [r[i] / (np.linalg.norm(r) or 1.0) for r, i in zip(m, nz)]
+
+    mt, mw = sparse(M)
+    mem = pd.DataFrame({"pos": np.arange(n_mem) * 10, "terms": mt, "ws": mw, "key": keys, "label": labels})
+    state = SIM._sparse_state(mem.sample(frac=1.0, random_state=1))  # input order must not matter
+    qt = [list(vocab[np.flatnonzero(r)]) for r in Q]
+    qw = [r[np.flatnonzero(r)] for r in Q]
+    q = pd.DataFrame({"qid": [str(i) for i in range(n_q)], "terms": qt, "ws": qw, "key": qkeys, "label": qlabels})
+    got = SIM._best(state, q)
+
+    Mn = M / np.where(np.linalg.norm(M, axis=1) > 0, np.linalg.norm(M, axis=1), 1.0)[:, None]
+    for i in range(n_q):
+        qn = np.linalg.norm(Q[i])
+        s = Mn @ (Q[i] / qn) if qn > 0 else np.zeros(n_mem)
+        s[(s <= 0) | (labels != qlabels[i]) | (keys == qkeys[i])] = -np.inf
+        r = np.round(s, 12)
+        if not np.isfinite(r.max()):
+            assert pd.isna(got.loc[i, "match_pos"])
+            continue
+        assert got.loc[i, "match_pos"] == 10 * int(np.argmax(r))
+        assert got.loc[i, "score"] == pytest.approx(s.max(), abs=1e-12)
