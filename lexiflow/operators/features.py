@@ -98,12 +98,20 @@ def dense_ids(df: DataFrame, order: list[Column], id_name: str = "tid", start: i
     """Dense 0..n-1 ids in a global order without a single-partition window.
 
     A distributed sort, then per-partition row counts turned into offsets.  The
-    sorted rows are checkpointed so the offsets and rows see the same partitions.
+    sorted rows are written once, with their partition id and in-partition
+    position captured as columns, to a table in the shared checkpoint folder:
+    this cuts the lineage (a recomputed sort may cut its ranges differently) and,
+    unlike an eager ``checkpoint()``, does not compute the sort a second time to
+    save it.  Offsets and ids are then read from the stored columns.
     """
+    from lexiflow.session import scratch_path
+
     sorted_ = df.orderBy(*order).withColumn("_pid", F.spark_partition_id()).withColumn(
         "_mono", F.monotonically_increasing_id()
     )
-    sorted_ = sorted_.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "dense-ids")
+    sorted_.write.mode("overwrite").parquet(path)
+    sorted_ = df.sparkSession.read.parquet(path)
     offsets = sorted_.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = offsets.withColumn(
         "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
