@@ -63,7 +63,9 @@ def _sparse_state(mem: pd.DataFrame) -> dict:
     rows = np.repeat(np.arange(len(mem), dtype=np.int64), lens)
     terms = np.concatenate([np.asarray(t, dtype=object) for t in mem["terms"]]) if lens.sum() else np.zeros(0, dtype=object)
     ws = np.concatenate([np.asarray(w, dtype=np.float64) for w in mem["ws"]]) if lens.sum() else np.zeros(0)
-    vocab, tids = np.unique(terms.astype(str), return_inverse=True) if len(terms) else (np.zeros(0, dtype=str), np.zeros(0, np.int64))
+    # object arrays of str throughout: a fixed-width unicode array would be as wide as the
+    # longest term (one junk token of 10^4 characters) for every entry
+    vocab, tids = np.unique(terms, return_inverse=True) if len(terms) else (np.zeros(0, dtype=object), np.zeros(0, np.int64))
     order = np.argsort(tids, kind="stable")
     tids, rows, ws = tids[order], rows[order], ws[order]
     indptr = np.zeros(len(vocab) + 1, dtype=np.int64)
@@ -115,16 +117,21 @@ def _best_sparse(state: dict, q: pd.DataFrame) -> pd.DataFrame:
     qlab = q["label"].astype(str).to_numpy() if "label" in q and state["label"] is not None else None
     best_row = np.full(n, -1, dtype=np.int64)
     best_score = np.full(n, np.nan)
+    tids = q["tids"] if "tids" in q else None  # terms already resolved to memory-vocabulary rows
     for i, (terms, ws) in enumerate(zip(q["terms"], q["ws"])):
         if terms is None or not len(terms) or not len(vocab):
             continue
-        qt = np.asarray(terms, dtype=object).astype(str)
         w = np.asarray(ws, dtype=np.float64)
         nrm = np.sqrt(np.dot(w, w))
         if nrm > 0:
             w = w / nrm  # cosine: query weights are L2-normalised here
-        t = np.minimum(np.searchsorted(vocab, qt), len(vocab) - 1)
-        keep = vocab[t] == qt
+        if tids is not None:
+            t = np.asarray(tids.iloc[i], dtype=np.int64)
+            keep = t >= 0
+        else:
+            qt = np.asarray(terms, dtype=object)
+            t = np.minimum(np.searchsorted(vocab, qt), len(vocab) - 1)
+            keep = vocab[t] == qt
         t, w = t[keep], w[keep]
         if not len(t):
             continue
@@ -271,15 +278,35 @@ def idf_state(idf_pdf: pd.DataFrame) -> dict:
     return {"terms": idf_pdf["term"].astype(str).to_numpy(), "idf": idf_pdf["idf"].to_numpy(np.float64)}
 
 
-def _weigh(terms, vocab: np.ndarray, idf: np.ndarray):
-    """Raw term list -> (distinct known terms, tf * idf); unknown terms are dropped
+def _weigh_batch(term_lists, vocab: pd.Index, idf: np.ndarray, to_state: np.ndarray):
+    """Raw term lists of a chunk -> per row (known terms, tf * idf, memory-vocabulary
+    rows) in vocabulary order, computed for the whole chunk at once: one hash lookup
+    of all terms in the (sorted) vocabulary index, one count over integer (row, term) keys.  Unknown terms are dropped
     before the kernel normalises (transform semantics of a fitted vectoriser)."""
-    if terms is None or not len(terms) or not len(vocab):
-        return [], np.zeros(0)
-    u, c = np.unique(np.asarray(terms, dtype=object).astype(str), return_counts=True)
-    t = np.minimum(np.searchsorted(vocab, u), len(vocab) - 1)
-    keep = vocab[t] == u
-    return u[keep], c[keep] * idf[t[keep]]
+    n, v = len(term_lists), len(vocab)
+    lens = np.fromiter((0 if t is None else len(t) for t in term_lists), np.int64, n)
+    empty = [np.zeros(0, dtype=object)] * n, [np.zeros(0)] * n, [np.zeros(0, np.int64)] * n
+    if not v or not lens.sum():
+        return empty
+    flat = np.concatenate([np.asarray(t, dtype=object) for t, k in zip(term_lists, lens) if k])
+    tid = vocab.get_indexer(flat)
+    known = tid >= 0
+    row = np.repeat(np.arange(n, dtype=np.int64), lens)[known]
+    keys, counts = np.unique(row * v + tid[known], return_counts=True)
+    r, t = keys // v, keys % v
+    w = counts * idf[t]
+    b = np.searchsorted(r, np.arange(n + 1))
+    terms = vocab.to_numpy()
+    return (
+        [terms[t[b[i] : b[i + 1]]] for i in range(n)],
+        [w[b[i] : b[i + 1]] for i in range(n)],
+        [to_state[t[b[i] : b[i + 1]]] for i in range(n)],
+    )
+
+
+def _vocab_rows(vocab: pd.Index, state_vocab: np.ndarray) -> np.ndarray:
+    """Row of each fitted-vocabulary term in the memory postings (-1 when absent)."""
+    return pd.Index(state_vocab, dtype=object).get_indexer(vocab.to_numpy()).astype(np.int64)
 
 
 def nearest_rows(
@@ -306,18 +333,14 @@ def nearest_rows(
 
     def run(batches):
         state, iv = bstate.value, idf_bcast.value
+        vocab = pd.Index(iv["terms"], dtype=object)  # hash index, built once per task
+        to_state = _vocab_rows(vocab, state["vocab"])
         step = _block_rows(state, batch_rows)
         for pdf in batches:
             for lo in range(0, len(pdf), step):
                 chunk = pdf.iloc[lo : lo + step]
-                weighed = [_weigh(t, iv["terms"], iv["idf"]) for t in chunk[terms_col]]
-                q = pd.DataFrame(
-                    {
-                        "qid": np.arange(len(chunk)).astype(str),
-                        "terms": [w[0] for w in weighed],
-                        "ws": [w[1] for w in weighed],
-                    }
-                )
+                terms, ws, tids = _weigh_batch(list(chunk[terms_col]), vocab, iv["idf"], to_state)
+                q = pd.DataFrame({"qid": np.arange(len(chunk)).astype(str), "terms": terms, "ws": ws, "tids": tids})
                 if label_col is not None:
                     q["label"] = chunk[label_col].to_numpy()
                 best = _best(state, q)

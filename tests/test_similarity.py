@@ -182,3 +182,22 @@ def test_sparse_kernel_equals_brute_force():
             continue
         assert got.loc[i, "match_pos"] == 10 * int(np.argmax(r))
         assert got.loc[i, "score"] == pytest.approx(s.max(), abs=1e-12)
+
+
+def test_weigh_batch_counts_and_long_terms():
+    """Chunk weighting: tf x idf over known terms in vocabulary order, unknown terms
+    dropped, empty and null rows empty; a very long term is neither truncated nor
+    allowed to widen the arrays (object strings, hash lookup)."""
+    import pandas as pd
+
+    long_term = "x" * 20_000
+    vocab = pd.Index(sorted(["ab", "cd", long_term, "x" * 19_999]), dtype=object)
+    idf = np.array([1.0, 2.0, 3.0, 4.0])[np.argsort(np.argsort(["ab", "cd", long_term, "x" * 19_999]))]
+    idf_of = dict(zip(["ab", "cd", long_term, "x" * 19_999], [1.0, 2.0, 3.0, 4.0]))
+    to_state = np.arange(len(vocab), dtype=np.int64)
+    rows = [["cd", "ab", "cd", "zz"], None, [], [long_term + "y", long_term], ["zz"]]
+    terms, ws, tids = SIM._weigh_batch(rows, vocab, idf, to_state)
+    assert list(terms[0]) == ["ab", "cd"] and list(ws[0]) == [idf_of["ab"], 2 * idf_of["cd"]]
+    assert len(terms[1]) == len(terms[2]) == len(terms[4]) == 0
+    assert list(terms[3]) == [long_term] and list(ws[3]) == [idf_of[long_term]]
+    assert list(tids[0]) == [vocab.get_loc("ab"), vocab.get_loc("cd")]
