@@ -35,7 +35,10 @@ class TextMemory:
         self.with_label = with_label
         self.max_broadcast_bytes = max_broadcast_bytes
         self.force = force
-        idf, long_form = FE.fit_transform_tfidf(entries, analyzer=analyzer, min_df=min_df, id_col="mem_id")
+        # the memory's term counts feed both the idf and the weights: tokenise once
+        self._counts = FE.term_counts(entries, analyzer, "mem_id").persist()
+        idf = FE.idf_table(self._counts, entries.select("mem_id").count(), min_df)
+        long_form = FE.tfidf(self._counts, idf, "mem_id")
         self.vocab = idf.select("term", "idf")
         vec = SIM.sparse_vectors(long_form, "mem_id")
         cols = ["pos"] + (["label"] if with_label else [])
@@ -58,6 +61,12 @@ class TextMemory:
                 self.vectors, "sparse", same_label=self.with_label,
                 max_broadcast_bytes=self.max_broadcast_bytes, force=self.force,
             )
+            if self._prepared.strategy == "broadcast":
+                # scoring state and idf now live in broadcasts: release the cached
+                # memory tables (the sharded strategy keeps reading them)
+                self.idf_broadcast()
+                self.vectors.unpersist()
+                self._counts.unpersist()
         return self._prepared
 
     def _bounded(self, df: DataFrame) -> DataFrame:
