@@ -111,12 +111,14 @@ class TextMemory:
     def _match_rows(self, queries: DataFrame, text_col: str, label_col: str | None) -> DataFrame:
         cols = queries.columns
         rows = queries.withColumn("_terms", self.analyzer(F.col(text_col)))
-        scored = SIM.nearest_rows(rows, self.prepared(), self.idf_broadcast(), "_terms", label_col)
+        scored = SIM.nearest_rows(
+            rows, self.prepared(), self.idf_broadcast(), "_terms", label_col, pos_col="_match_pos", score_col="_mem_score"
+        )
         info = F.broadcast(  # bounded by the memory size check
-            self.entries.select(F.col("pos").alias("match_pos"), "mem_id", F.col("standard").alias("mem_standard"))
+            self.entries.select(F.col("pos").alias("_match_pos"), "mem_id", F.col("standard").alias("mem_standard"))
         )
-        out = scored.join(info, "match_pos", "left")
-        return out.select(*cols, "mem_id", "mem_standard", F.col("score").alias("mem_score"))
+        out = scored.join(info, "_match_pos", "left")
+        return out.select(*cols, "mem_id", "mem_standard", F.col("_mem_score").alias("mem_score"))
 
 
 class VectorMemory:

@@ -316,9 +316,11 @@ def nearest_rows(
     terms_col: str,
     label_col: str | None = None,
     batch_rows: int = 512,
+    pos_col: str = "match_pos",
+    score_col: str = "score",
 ) -> DataFrame:
     """Row-wise top-1 for a broadcast sparse memory: every input column is carried
-    through and ``match_pos``/``score`` are appended.
+    through and ``pos_col``/``score_col`` are appended.
 
     ``terms_col`` holds each row's raw term list (tokenised JVM-side); tf, idf
     and the cosine are computed inside the scoring task, so the query stream is
@@ -328,7 +330,7 @@ def nearest_rows(
         raise ValueError("row-wise scoring needs a broadcast sparse memory")
     bstate = prep.state
     keep_cols = [f for f in rows.schema.fields if f.name != terms_col]
-    schema = StructType([*keep_cols, StructField("match_pos", LongType()), StructField("score", DoubleType())])
+    schema = StructType([*keep_cols, StructField(pos_col, LongType()), StructField(score_col, DoubleType())])
     names = [f.name for f in keep_cols]
 
     def run(batches):
@@ -345,8 +347,8 @@ def nearest_rows(
                     q["label"] = chunk[label_col].to_numpy()
                 best = _best(state, q)
                 out = chunk[names].reset_index(drop=True)
-                out["match_pos"] = best["match_pos"].to_numpy()
-                out["score"] = best["score"].to_numpy()
+                out[pos_col] = best["match_pos"].to_numpy()
+                out[score_col] = best["score"].to_numpy()
                 yield out
 
     return rows.mapInPandas(run, schema)

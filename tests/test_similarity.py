@@ -57,8 +57,12 @@ def test_text_memory_threshold_and_no_overlap(spark, force):
         "mem_id long, text string, standard string, pos long",
     )
     mem = MEM.TextMemory(entries, force=force)
-    q = spark.createDataFrame([("a", "Break a leg!"), ("b", "zzz qqq"), ("c", "the bullet")], "id string, text string")
-    res = {r.id: (r.mem_id, r.mem_standard, r.mem_score) for r in mem.match(q).collect()}
+    q = spark.createDataFrame(
+        [("a", "Break a leg!", 1.0), ("b", "zzz qqq", 2.0), ("c", "the bullet", 3.0)], "id string, text string, score double"
+    )
+    out = mem.match(q)
+    assert out.columns == ["id", "text", "score", "mem_id", "mem_standard", "mem_score"]  # caller's score kept
+    res = {r.id: (r.mem_id, r.mem_standard, r.mem_score) for r in out.collect()}
     assert res["a"][0] == 1 and res["a"][2] == pytest.approx(1.0)  # duplicate key: first position
     assert res["b"] == (None, None, None)  # no shared term: no candidate
     assert res["c"][0] == 2 and 0 < res["c"][2] < 1
