@@ -156,14 +156,14 @@ def encode(
     vocabulary is joined by shuffle, with AQE splitting hot terms.
     """
     spread = _spread(docs.select(id_col, text_col), id_col, None)
-    toks = spread.select(id_col, F.posexplode(T.tokens(F.col(text_col))).alias("p", "term"))
+    # the outer explode keeps a (null) row for a document without tokens and the left
+    # join keeps unknown tokens as null ids, so every document reaches its group and
+    # no join back to the document list is needed; collect_list skips the nulls
+    toks = spread.select(id_col, F.posexplode_outer(T.tokens(F.col(text_col))).alias("p", "term"))
     v = vocab.select("term", "tid")
     if vocabulary_bytes(v) <= max_broadcast_bytes:
         v = F.broadcast(v)
-    joined = toks.join(v, "term")
-    grouped = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("p", "tid"))).alias("_pt"))
-    enc = grouped.select(id_col, F.transform("_pt", lambda s: s["tid"]).alias("ids"))
-    # documents without any known token keep an empty sequence
-    return docs.select(id_col).join(enc, id_col, "left").select(
-        id_col, F.coalesce("ids", F.array().cast("array<long>")).alias("ids")
-    )
+    joined = toks.join(v, "term", "left")
+    known = F.when(F.col("tid").isNotNull(), F.struct("p", "tid"))
+    grouped = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(known)).alias("_pt"))
+    return grouped.select(id_col, F.transform("_pt", lambda s: s["tid"]).alias("ids"))
