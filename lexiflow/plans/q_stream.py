@@ -30,5 +30,8 @@ def q_stream_route(spark, sf):
         return route_idiom_lookup_df(spark, sf, batch, memory, lookup).select(*ROUTE_COLS)
 
     query = SR.start_router(spark, src, sink, ckpt, route_batch, max_files_per_trigger=2)
-    SR.run_to_completion(query)
+    try:
+        SR.run_to_completion(query)
+    finally:
+        lookup.unpersist()  # the result is read back from the sink
     return spark.read.parquet(sink).select(*ROUTE_COLS)
