@@ -145,3 +145,31 @@ def test_encode_broadcast_and_shuffle_paths_agree(spark):
     # "cat" and "the" both occur 3 times: the count tie goes to the term order
     assert tid["cat"] == 1 and tid["the"] == 2 and tid["hat"] == 3
     assert small == {1: [2, 1, 2, 3], 2: [2], 3: [], 4: [1, 1, 2]}
+
+
+def test_hot_class_and_hot_key(spark):
+    """One class and one dictionary key each hold ~40 % of the rows (spread over many
+    partitions): the bucketed split still equals the whole-class window ranking row
+    for row, and last-wins picks the last value of the hot key."""
+    from pyspark.sql import Window
+
+    n = 20_000
+    df = spark.range(0, n, numPartitions=16).select(
+        "id",
+        F.when(F.col("id") % 5 < 2, F.lit("hot")).otherwise((F.col("id") % 7).cast("string")).alias("label"),
+    )
+    out = {r.id: r.split for r in SM.stratified_split(df, "label", "id", 0.2).collect()}
+    q = {r.label: r.quota for r in SM.class_quotas(df, "label", 0.2).collect()}
+    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy("label").orderBy(SM.hash_key("id"), "id"))).collect()
+    assert out == {r.id: ("test" if r.rn <= q[r.label] else "train") for r in ranked}
+
+    corpus = df.select(
+        F.when(F.col("label") == "hot", F.lit("Same Text")).otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"),
+        F.concat(F.lit("s"), F.col("id").cast("string")).alias("standard"),
+        F.col("id").alias("pos"),
+    )
+    d = D.build_dictionary(corpus)
+    hot = d.where(F.col("key") == "same text").collect()
+    last_hot = max(i for i in range(n) if i % 5 < 2)
+    assert len(hot) == 1 and hot[0].standard == f"s{last_hot}" and hot[0].pos == 0
+    assert d.count() == 1 + sum(1 for i in range(n) if i % 5 >= 2)
