@@ -99,7 +99,13 @@ class TextMemory:
         qv = self.query_vectors(queries, qid_col, text_col)
         if label_col is not None and self.with_label:
             qv = qv.join(queries.select(F.col(qid_col).alias("qid"), F.col(label_col).alias("label")), "qid")
-        best = SIM.nearest(qv, self.prepared(), "sparse", same_label=label_col is not None and self.with_label)
+        # block sizing from the raw token count (a bound on the distinct terms): a
+        # narrow scan, instead of a second run of the query-vector pipeline
+        tokens = F.coalesce(F.size(self.analyzer(F.col(text_col))), F.lit(0))
+        nnz = queries.select(F.sum(F.greatest(tokens, F.lit(0))).alias("n")).first()["n"] or 0
+        best = SIM.nearest(
+            qv, self.prepared(), "sparse", same_label=label_col is not None and self.with_label, query_nnz=int(nnz)
+        )
         info = self.entries.select(
             F.col("pos").alias("match_pos"), "mem_id", F.col("standard").alias("mem_standard")
         )

@@ -248,6 +248,7 @@ def nearest(
     shard_bytes: int = 64 << 20,
     batch_rows: int = 512,
     force: str | None = None,
+    query_nnz: int | None = None,
 ) -> DataFrame:
     """Top-1 memory position per query: (qid, match_pos, score).
 
@@ -269,7 +270,10 @@ def nearest(
             yield from _score_batches(bstate.value, batches, batch_rows)
 
         return q.mapInPandas(run, RESULT_SCHEMA)
-    return _nearest_sharded(q, prep.memory, prep.kind, prep.n_shards, batch_rows, _query_blocks(q, prep.kind))
+    # ``query_nnz``: a caller's bound on the queries' stored terms (e.g. their token
+    # count), which spares a sizing pass over the query vectors themselves
+    n_blocks = _query_blocks(q, prep.kind) if query_nnz is None else _blocks_for(query_nnz * 72)
+    return _nearest_sharded(q, prep.memory, prep.kind, prep.n_shards, batch_rows, n_blocks)
 
 
 def idf_state(idf_pdf: pd.DataFrame) -> dict:
@@ -354,6 +358,10 @@ def nearest_rows(
     return rows.mapInPandas(run, schema)
 
 
+def _blocks_for(size: int, block_bytes: int = 64 << 20) -> int:
+    return max(1, math.ceil(size / block_bytes))
+
+
 def _query_blocks(q: DataFrame, kind: str, block_bytes: int = 64 << 20) -> int:
     """Query blocks sized by query volume: every memory shard is replicated once per
     block, so the block count follows the queries, not the cluster's partition count."""

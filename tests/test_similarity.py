@@ -205,3 +205,26 @@ def test_weigh_batch_counts_and_long_terms():
     assert len(terms[1]) == len(terms[2]) == len(terms[4]) == 0
     assert list(terms[3]) == [long_term] and list(ws[3]) == [idf_of[long_term]]
     assert list(tids[0]) == [vocab.get_loc("ab"), vocab.get_loc("cd")]
+
+
+def test_sparse_many_shards_and_blocks_equal_broadcast(spark):
+    """Sharded scoring with several memory shards and several query blocks (the
+    block count from a caller's term bound) gives the broadcast answers."""
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(12)]
+
+    def vec(k):
+        t = sorted(set(rng.choice(words, size=k)))
+        return t, [float(x) for x in rng.random(len(t)) + 0.1]
+
+    mem = [(i, *vec(int(rng.integers(1, 5)))) for i in range(50)]
+    qs = [(f"q{i}", *vec(int(rng.integers(1, 6)))) for i in range(40)]
+    m = spark.createDataFrame(mem, "pos long, terms array<string>, ws array<double>")
+    q = spark.createDataFrame(qs, "qid string, terms array<string>, ws array<double>")
+    bcast = {r.qid: (r.match_pos, round(r.score, 9)) for r in SIM.nearest(q, m, "sparse", force="broadcast").collect()}
+    prep = SIM.prepare(m, "sparse", shard_bytes=256, force="sharded")
+    assert prep.n_shards > 1
+    four_blocks = 4 * (64 << 20) // 72
+    sharded = SIM.nearest(q, prep, "sparse", query_nnz=four_blocks)
+    got = {r.qid: (r.match_pos, None if r.score is None else round(r.score, 9)) for r in sharded.collect()}
+    assert got == bcast
