@@ -1,7 +1,7 @@
 """Toxicity: a counterfactually regularised linear classifier over the words of a text.
 
-A sparse logistic model of word presence is fitted on a bounded sample of labelled
-documents.  Its sentences that mention an identity term are copied with the term swapped
+A sparse logistic model of words and word beginnings (insults take endings), each by the
+steps 1, 2 and 4 of its count, is fitted on a bounded sample of labelled documents.  Its sentences that mention an identity term are copied with the term swapped
 for another of its group, and the change of the score is penalised, so that a mention of a
 group moves no score by itself; terms that the sample lacks are swapped into the sentences
 of a seeded choice of documents.  The training set is ``PER_CLASS`` labelled documents of
@@ -15,6 +15,7 @@ classes the score is the share of toxic training rows (0 if none).
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ from pyspark.sql import types as T
 from lexiflow.llm import common as C
 from lexiflow.llm import pieces as P
 
-PER_CLASS = 3000  # labelled documents of each class in the training sample
-MIN_DF = 5  # sampled documents that hold a feature word
-L1 = 0.0005
+PER_CLASS = 2000  # labelled documents of each class in the training sample
+MIN_DF = 3  # sampled documents that hold a feature word
+L1 = 0.001
 COUNTERFACTUAL = 1.0  # weight of the mean squared score change under a swap
 STEPS = 300
 THRESHOLD = 0.5
@@ -50,11 +51,20 @@ FIELDS = T.StructType([T.StructField("score", T.DoubleType(), False), T.StructFi
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def letters_of(piece: bytes) -> list[bytes]:
+PREFIXES = (4, 5, 6)
+LEVELS = (1, 2, 4)  # a feature counts at each of these counts that it reaches
+
+
+def features_of(word: str) -> list[str]:
+    """The word and its proper beginnings, marked by ``^``."""
+    return [word, *["^" + word[:n] for n in PREFIXES if len(word) > n]]
+
+
+def letters_of(piece: bytes) -> list[str]:
     """The letter runs of a piece; pieces of the fast path are one run or none."""
     if P.is_odd(piece):
-        return [w.lower().encode() for w in _LETTERS.findall(piece.decode())]
-    return [piece] if piece[:1].isalpha() or piece[0] >= 0x80 else []
+        return [w.lower() for w in _LETTERS.findall(piece.decode())]
+    return [piece.decode()] if piece[0] >= 0x61 and piece[:1] not in b"{|}~\x7f" else []
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -77,9 +87,9 @@ _GROUP_OF = {w: g for g, ring in enumerate(IDENTITY_GROUPS) for w in ring}
 
 
 class ToxicWords:
-    """Weights of words by presence."""
+    """Weights of words and word beginnings, one for each of LEVELS."""
 
-    def __init__(self, weights: dict[bytes, float], bias: float):
+    def __init__(self, weights: dict[str, tuple[float, ...]], bias: float):
         self.weights, self.bias = weights, bias
 
     def score(self, text: pa.Array) -> np.ndarray:
@@ -88,23 +98,34 @@ class ToxicWords:
         n_docs = len(first) - 1
         names = list(self.weights)
         place = {w: i for i, w in enumerate(names)}
-        hits: list[list[int]] = []
-        for p in distinct.to_pylist():
-            i = place.get(p)
-            hits.append([i] if i is not None else [place[w] for w in letters_of(p) if w in place] if P.is_odd(p) else [])
-        n_hits = np.array([len(h) for h in hits], np.int64)
-        at = np.flatnonzero(n_hits[code]) if len(code) else np.zeros(0, np.int64)
+        parts = [[place[f] for w in letters_of(p) for f in features_of(w) if f in place] for p in distinct.to_pylist()]
+        hit = np.array([bool(p) for p in parts], bool)
+        at = np.flatnonzero(hit[code]) if len(code) else np.zeros(0, np.int64)
         doc = np.searchsorted(first, at, "right") - 1
-        flat = np.array([i for h in hits for i in h], np.int64)
-        start = np.cumsum(n_hits) - n_hits
-        n = n_hits[code[at]]
-        feature = flat[np.repeat(start[code[at]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))] if len(at) else flat[:0]
-        pair = np.unique(np.repeat(doc, n) * max(1, len(names)) + feature)
-        w = np.array([self.weights[x] for x in names] or [0.0])
-        z = self.bias + np.bincount(pair // max(1, len(names)), w[pair % max(1, len(names))], n_docs)
+        doc, column = columns(doc, code[at], np.ones(len(at), np.int64), parts, max(1, len(names)))
+        w = np.array([x for f in names for x in self.weights[f]] or [0.0])
+        z = self.bias + np.bincount(doc, w[column], n_docs)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
+def columns(doc: np.ndarray, code: np.ndarray, count: np.ndarray, parts: list[list[int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, column) pairs: column ``f * len(LEVELS) + l`` if the words of feature f
+    occur LEVELS[l] times or more; ``parts`` has the features of each word code."""
+    size = np.array([len(p) for p in parts], np.int64)
+    flat = np.array([f for p in parts for f in p], np.int64)
+    start = np.cumsum(size) - size
+    k = size[code]
+    feature = flat[np.repeat(start[code] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
+    pair, at = np.unique(np.repeat(doc, k) * n + feature, return_inverse=True)
+    total = np.bincount(at, np.repeat(count, k), len(pair))
+    docs, cols = [], []
+    for lvl, least in enumerate(LEVELS):
+        some = pair[total >= least]
+        docs.append(some // n)
+        cols.append(some % n * len(LEVELS) + lvl)
+    return np.concatenate(docs), np.concatenate(cols)
+
+
 def fit(doc_of: np.ndarray, word_of: np.ndarray, y: np.ndarray, n_words: int, pairs: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias: logistic loss (classes weighed alike) + L1 + mean squared change of
     the score over the counterfactual ``pairs`` (word, swapped word), by accelerated
@@ -140,44 +161,50 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     def features(batches):
         for batch in batches:
             for part, text in C.slices(batch, 1):
-                words, terms, swapped = [], [], []
+                words, counts, terms, swapped = [], [], [], []
                 for i, s in zip(part.column(0).to_pylist(), text.to_pylist(), strict=True):
-                    words.append(sorted({w for x in sentences(s) for w in x}))
+                    found = Counter(w for x in sentences(s) for w in x)
+                    words.append(list(found))
+                    counts.append(list(found.values()))
                     pair = swaps(s, i) or swaps(_absent(i), i)
                     terms.append([a for a, _ in pair])
                     swapped.append([b for _, b in pair])
                 lists = pa.list_(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array(words, lists), pa.array(terms, lists), pa.array(swapped, lists)],
-                    names=["id", "y", "words", "term", "swapped"],
-                )
+                cols = [pa.array(words, lists), pa.array(counts, pa.list_(pa.int64())), pa.array(terms, lists), pa.array(swapped, lists)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols], names=["id", "y", "words", "counts", "term", "swapped"])
 
-    schema = "id long, y int, words array<string>, term array<string>, swapped array<string>"
+    schema = "id long, y int, words array<string>, counts array<long>, term array<string>, swapped array<string>"
     rows = chosen.select("_id", "_text", "_y").mapInArrow(features, schema).toArrow().combine_chunks().sort_by("id")
     y = rows["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
         return ToxicWords({}, float(np.log((p + 1e-9) / (1 - p + 1e-9))))
-    size = pc.list_value_length(rows["words"]).to_numpy()
-    code, names = C.codes(pc.list_flatten(rows["words"]).combine_chunks())
-    doc_of = np.repeat(np.arange(len(y)), size)
-    names = names.to_pylist()
-    known = {w: i for i, w in enumerate(names)}
-    for ring in IDENTITY_GROUPS:
-        for w in ring:
-            if w not in known:
-                known[w] = len(names)
-                names.append(w)
-    df = np.bincount(code, minlength=len(names))
-    use = df >= MIN_DF
-    use[[known[w] for ring in IDENTITY_GROUPS for w in ring]] = True
-    number = np.cumsum(use) - 1
-    held = use[code]
     flat = lambda c: pc.list_flatten(rows[c]).to_pylist()
-    pairs = np.array([(number[known[a]], number[known[b]]) for a, b in zip(flat("term"), flat("swapped"), strict=True)], np.int64).reshape(-1, 2)
-    theta, bias = fit(doc_of[held], number[code[held]], y.astype(np.float64), int(use.sum()), pairs)
-    chosen_names = [w for w, u in zip(names, use, strict=True) if u]
-    return ToxicWords({w.encode(): float(t) for w, t in zip(chosen_names, theta, strict=True) if t != 0}, bias)
+    doc = np.repeat(np.arange(len(y)), pc.list_value_length(rows["words"]).to_numpy())
+    code, distinct = C.codes(pc.list_flatten(rows["words"]).combine_chunks())
+    count = pc.list_flatten(rows["counts"]).to_numpy()
+    return learn(doc, code, count, distinct.to_pylist(), y, list(zip(flat("term"), flat("swapped"), strict=True)))
+
+
+def learn(doc: np.ndarray, code: np.ndarray, count: np.ndarray, words: list[str], y: np.ndarray, swapped: list[tuple[str, str]]) -> ToxicWords:
+    """Fit from (document, word code, count) rows and the swapped terms."""
+    place: dict[str, int] = {}
+    parts = [[place.setdefault(f, len(place)) for f in features_of(w)] for w in words]
+    terms = [w for ring in IDENTITY_GROUPS for w in ring]
+    for w in terms:
+        place.setdefault(w, len(place))
+    doc, column = columns(doc, code, count, parts, len(place))
+    use = np.bincount(column, minlength=len(place) * len(LEVELS)) >= MIN_DF
+    use[[place[w] * len(LEVELS) for w in terms]] = True
+    number = np.cumsum(use) - 1
+    held = use[column]
+    term = {w: number[place[w] * len(LEVELS)] for w in terms}
+    pairs = np.array([(term[a], term[b]) for a, b in swapped], np.int64).reshape(-1, 2)
+    theta, bias = fit(doc[held], number[column[held]], y.astype(np.float64), int(use.sum()), pairs)
+    full = np.zeros(len(use))
+    full[use] = theta
+    grid = full.reshape(-1, len(LEVELS))
+    return ToxicWords({f: tuple(grid[i].tolist()) for f, i in place.items() if grid[i].any()}, bias)
 
 
 def _absent(i: int) -> str:
