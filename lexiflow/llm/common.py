@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from lexiflow.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 #: bytes of text that a kernel handles at a time; one longer document is a slice of its own
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 WS = np.zeros(256, bool)
 WS[[0x20, *range(0x09, 0x0E)]] = True
@@ -25,7 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable by Python workers, know the shared folder, and bound
     the Arrow batches by bytes: they carry whole texts."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     ensure_checkpoint_dir(spark)
     return spark
 

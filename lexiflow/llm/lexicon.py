@@ -31,7 +31,7 @@ from lexiflow.llm import pieces as P
 
 LEXICON_WORDS = 1 << 16
 LONGEST = 24  # bytes of a lexicon word
-TEXT_SLICE = 8 << 20
+TEXT_SLICE = 2 << 20
 FIELDS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
 
 

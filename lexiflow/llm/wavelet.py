@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm import common as C
 from lexiflow.llm import pieces as P
-from lexiflow.llm.lexicon import default_file
+from lexiflow.llm.lexicon import TEXT_SLICE, default_file
 from lexiflow.session import scratch_path
 
 MAGIC = b"WVM1"
@@ -256,7 +256,7 @@ def write_shards(docs: DataFrame, path: str, file: str, id_col: str = "doc_id",
             return out
 
         for batch in batches:
-            for rows, text in C.slices(batch, 1):
+            for rows, text in C.slices(batch, 1, TEXT_SLICE):
                 part = rows.column(2)[0].as_py()
                 flat, off = enc(text)
                 n = np.diff(off) + 1
