@@ -23,9 +23,13 @@ def mask_pad(col, pad_id: int = K.PAD_ID, ignore_id: int = K.LABEL_IGNORE_ID) ->
 def pad_batches(
     df: DataFrame, id_col: str, batch_size: int, ids_col: str = "ids", multiple: int = 8, pad_id: int = K.PAD_ID
 ) -> DataFrame:
-    """Group consecutive ids into batches and pad every sequence of a batch to the
-    batch maximum rounded up to ``multiple``.  The window is bounded by the batch size."""
-    x = df.withColumn("batch", F.floor(F.col(id_col) / batch_size).cast("long"))
+    """Group consecutive rows (by id) into batches and pad every sequence of a batch to the
+    batch maximum rounded up to ``multiple``.  Rows are numbered by a distributed sort,
+    so gaps in the ids leave no short batches; the window is bounded by the batch size."""
+    from lexiflow.operators.features import dense_ids
+
+    x = dense_ids(df, [F.asc(id_col)], "_no")
+    x = x.withColumn("batch", F.floor(F.col("_no") / batch_size).cast("long")).drop("_no")
     longest = F.max(F.size(ids_col)).over(Window.partitionBy("batch"))
     x = x.withColumn("_target", F.ceil(longest / multiple).cast("int") * multiple)
     pad_n = F.col("_target") - F.size(ids_col)

@@ -39,8 +39,8 @@ def label_counts(df: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def source_counts(df: DataFrame, source_col: str = "source") -> DataFrame:
-    """Rows per source plus the total (rollup row with a null source)."""
-    return df.rollup(source_col).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per source plus the total: ``is_total`` tells the rollup row from a null source."""
+    return df.rollup(source_col).agg(F.count(F.lit(1)).alias("n"), (F.grouping(source_col) == 1).alias("is_total"))
 
 
 def hit_rate(df: DataFrame, hit_col: str = "hit") -> DataFrame:

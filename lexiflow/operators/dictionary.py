@@ -24,24 +24,76 @@ def build_dictionary(
     strip_standard: bool = True,
     extra: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """groupBy(key) with max_by/min: partial aggregation runs map-side, so a hot key
-    is combined inside each task before the shuffle."""
+    """Fixed-width aggregation, then the values by position.
+
+    The first and last position of every key are found by hash aggregation on a
+    128-bit digest of the key (map-side combined, so a hot key costs nothing), and the
+    row at the last position gives the key and its value.  Texts are neither sorted
+    nor compared in the aggregation, and the join is on unique positions.  Rows at
+    equal positions with one key leave one of them.
+    """
     key = key_fn(F.col(text_col)) if key_fn is not None else F.col(text_col)
     # rows are filtered on a non-null text first and key_fn keeps non-null values
     # non-null, so the key is declared non-nullable: joins then infer no
     # ``isnotnull(key_fn(text))`` filter that would be pushed into the scan
     key = F.coalesce(key, F.lit(""))
     value = T.strip_ws(standard_col) if strip_standard else F.col(standard_col)
-    cols = [key.alias("key"), value.alias("standard"), F.col(pos_col).alias("pos")]
-    for name, c in (extra or {}).items():
-        cols.append(c.alias(name))
-    # key_fn maps null to null and non-null to non-null: test the raw column so
-    # the filter pushed towards the scan stays cheap
-    rows = df.where(F.col(text_col).isNotNull()).select(*cols)
-    aggs = [F.max_by("standard", "pos").alias("standard"), F.min("pos").alias("pos")]
-    for name in extra or {}:
-        aggs.append(F.max_by(name, "pos").alias(name))
-    return rows.groupBy("key").agg(*aggs)
+    more = [c.alias(name) for name, c in (extra or {}).items()]
+    src = df.where(F.col(text_col).isNotNull())
+    rows = src.select(key.alias("key"), value.alias("standard"), F.col(pos_col).alias("_pos"), *more)
+    first = src.select(*digest(key), F.col(pos_col).alias("pos"))
+    ends = first.groupBy("_h1", "_h2").agg(F.max("pos").alias("_last"), F.min("pos").alias("pos"))
+    d1, d2 = digest(F.col("key"))
+    at = rows.withColumn("_d1", d1).withColumn("_d2", d2)
+    on = (at["_pos"] == ends["_last"]) & (at["_d1"] == ends["_h1"]) & (at["_d2"] == ends["_h2"])
+    return at.join(ends, on).select("key", "standard", "pos", *(extra or {}))
+
+
+def digest(key: Column) -> tuple[Column, Column]:
+    """Two independent 64-bit hashes of a key: the join key in place of a whole text."""
+    return F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit(1), key).alias("_h2")
+
+
+BATCH_KEYS = 1_000_000  # most rows of a micro-batch whose keys are broadcast (16 bytes each)
+
+
+def with_digest(dictionary: DataFrame) -> DataFrame:
+    """The dictionary with the digest of its keys, to be stored for :func:`restrict`."""
+    return dictionary.select("*", *digest(F.col("key")))
+
+
+def restrict(
+    stored: DataFrame, batch: DataFrame, key_fn: Callable[[Column], Column] | None = T.normalize_text, text_col: str = "text"
+) -> DataFrame:
+    """The entries of a stored dictionary that a small batch may ask for.
+
+    The digests of the batch's keys are broadcast (their number is checked) and the stored
+    digests are filtered by them, so a micro-batch does not shuffle the whole dictionary.
+    """
+    key = key_fn(F.col(text_col)) if key_fn is not None else F.col(text_col)
+    keys = batch.select(*digest(key)).distinct()
+    if keys.limit(BATCH_KEYS + 1).count() > BATCH_KEYS:
+        return stored.drop("_h1", "_h2")
+    return stored.join(F.broadcast(keys), ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")
+
+
+def _keyed(queries: DataFrame, key_fn: Callable[[Column], Column] | None, text_col: str, only: Column | None = None) -> DataFrame:
+    """Queries with their key and its digest; a null key, which never matches, is spread by
+    the hash of its row instead of meeting all others in one task."""
+    key = key_fn(F.col(text_col)) if key_fn is not None else F.col(text_col)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in queries.columns])
+    h1, h2 = digest(F.col("_key"))
+    q = queries.withColumn("_key", key if only is None else F.when(only, key))
+    return q.withColumn("_h1", F.when(F.col("_key").isNull(), row).otherwise(h1)).withColumn("_h2", h2)
+
+
+def _on(q: DataFrame, d: DataFrame) -> Column:
+    return (q["_h1"] == d["_k1"]) & (q["_h2"] == d["_k2"]) & (q["_key"] == d["_dkey"])
+
+
+def _entries(dictionary: DataFrame, *cols: Column) -> DataFrame:
+    h1, h2 = digest(F.col("key"))
+    return dictionary.select(h1.alias("_k1"), h2.alias("_k2"), F.col("key").alias("_dkey"), *cols)
 
 
 def lookup(
@@ -50,16 +102,18 @@ def lookup(
     key_fn: Callable[[Column], Column] | None = T.normalize_text,
     text_col: str = "text",
     out_col: str = "lookup",
+    only: Column | None = None,
 ) -> DataFrame:
-    """Left outer equi-join on the normalised key.
+    """Left outer equi-join on the digest of the normalised key, and the key itself;
+    ``only``: rows to look up, the others have no key.
 
-    No broadcast hint: the dictionary grows with the corpus, so the planner /
-    AQE picks broadcast only when the runtime size is under the threshold.
+    No broadcast hint: the dictionary grows with the corpus, so AQE picks broadcast
+    only when the runtime size is under the threshold.  Otherwise both sides are plain
+    shuffles on two long columns, which AQE can split where a query key is hot.
     """
-    key = key_fn(F.col(text_col)) if key_fn is not None else F.col(text_col)
-    q = queries.withColumn("_key", key)
-    d = dictionary.select(F.col("key").alias("_key"), F.col("standard").alias(out_col), F.col("pos").alias(out_col + "_pos"))
-    return q.join(d, "_key", "left").drop("_key")
+    q = _keyed(queries, key_fn, text_col, only)
+    d = _entries(dictionary, F.col("standard").alias(out_col), F.col("pos").alias(out_col + "_pos"))
+    return q.join(d, _on(q, d), "left").drop("_key", "_h1", "_h2", "_k1", "_k2", "_dkey")
 
 
 def lookup_split(
@@ -71,11 +125,10 @@ def lookup_split(
     """Membership split: (hits, misses) — a left join tagged by a match flag for the
     hits (dictionary keys are unique, so no row is repeated) and a left-anti join
     for the misses."""
-    key = key_fn(F.col(text_col)) if key_fn is not None else F.col(text_col)
-    q = queries.withColumn("_key", key)
-    d = dictionary.select(F.col("key").alias("_key"), F.lit(True).alias("_hit"))
-    hits = q.join(d, "_key", "left").where(F.col("_hit")).drop("_key", "_hit")
-    return hits, q.join(d.drop("_hit"), "_key", "left_anti").drop("_key")
+    q = _keyed(queries, key_fn, text_col)
+    d = _entries(dictionary, F.lit(True).alias("_hit"))
+    hits = q.join(d, _on(q, d), "left").where(F.col("_hit")).select(*[f"`{c}`" for c in queries.columns])
+    return hits, q.join(d, _on(q, d), "left_anti").select(*[f"`{c}`" for c in queries.columns])
 
 
 def dictionary_size(dictionary: DataFrame) -> DataFrame:

@@ -41,24 +41,64 @@ def term_counts(
     return exploded.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def term_df(
+    docs: DataFrame, analyzer: Callable[[Column], Column] = T.word_features, min_df: int = 1, id_col: str = "id", text_col: str = "text"
+) -> DataFrame:
+    """(term, df) straight from the texts: an analyzer that gives a term array is made
+    distinct inside the row, so no text is shuffled and only terms are counted."""
+    if getattr(analyzer, "rows", None) is not None:
+        return document_frequency(term_counts(docs, analyzer, id_col, text_col), min_df)
+    terms = docs.select(F.explode(F.array_distinct(analyzer(F.col(text_col)))).alias("term"))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return df.where(F.col("df") >= min_df) if min_df > 1 else df
+
+
 def document_frequency(counts: DataFrame, min_df: int = 1) -> DataFrame:
     """(term, df): number of documents containing the term, kept when df >= min_df."""
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.where(F.col("df") >= min_df) if min_df > 1 else df
 
 
-def idf_table(counts: DataFrame, n_docs: int, min_df: int = 1) -> DataFrame:
-    df = document_frequency(counts, min_df)
+def with_idf(df: DataFrame, n_docs: int) -> DataFrame:
     return df.withColumn("idf", F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1)
 
 
-def tfidf(counts: DataFrame, idf: DataFrame, id_col: str = "id") -> DataFrame:
+def idf_table(counts: DataFrame, n_docs: int, min_df: int = 1) -> DataFrame:
+    return with_idf(document_frequency(counts, min_df), n_docs)
+
+
+HOT_SHARE = 0.01  # terms in this share of the documents or more are joined by broadcast
+
+
+def join_idf(counts: DataFrame, idf: DataFrame, n_docs: int, id_col: str = "id", extra: list[str] | None = None) -> DataFrame:
+    """``counts`` with the ``df`` and ``idf`` (and ``extra`` columns) of their terms; unseen
+    terms are dropped.
+
+    A term that every document holds would put a row per document in one task.  Terms of
+    HOT_SHARE of the documents or more are few whatever the corpus (at most 1 / HOT_SHARE
+    times the mean number of distinct terms of a document): they are broadcast, and their
+    rows are spread by document in the shuffle join that serves the rest.
+    """
+    least = max(2.0, HOT_SHARE * n_docs)
+    cols = ["df", "idf", *(extra or [])]
+    hot = idf.where(F.col("df") >= least).select("term", *[F.col(c).alias(f"_h_{c}") for c in cols])
+    cold = idf.where(F.col("df") < least).select(F.col("term").alias("_k"), *[F.col(c).alias(f"_c_{c}") for c in cols])
+    x = counts.join(F.broadcast(hot), "term", "left")
+    spread = F.concat(F.lit("\u0000"), F.xxhash64(id_col).cast("string"))
+    x = x.withColumn("_k", F.when(F.col("_h_idf").isNull(), F.col("term")).otherwise(spread))
+    x = x.join(cold, "_k", "left")
+    x = x.withColumns({c: F.coalesce(f"_h_{c}", f"_c_{c}") for c in cols})
+    return x.where(F.col("idf").isNotNull()).drop("_k", *[f"_h_{c}" for c in cols], *[f"_c_{c}" for c in cols])
+
+
+def tfidf(counts: DataFrame, idf: DataFrame, id_col: str = "id", n_docs: int | None = None) -> DataFrame:
     """(id, term, tf, df, idf, tfidf) normalised to unit L2 norm per document.
 
     Terms unseen in the IDF table are dropped before normalising (transform
-    semantics of a fitted vectoriser).
+    semantics of a fitted vectoriser).  With ``n_docs``, the number of fitted
+    documents, frequent terms are kept out of the shuffle join (:func:`join_idf`).
     """
-    joined = counts.join(idf, "term")
+    joined = counts.join(idf, "term") if n_docs is None else join_idf(counts, idf, n_docs, id_col)
     raw = joined.withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(id_col)))
     return raw.withColumn("tfidf", F.col("_w") / norm).drop("_w")
@@ -74,16 +114,13 @@ def fit_transform_tfidf(
 ) -> tuple[DataFrame, DataFrame]:
     """Fit the IDF on ``fit_docs``; transform ``docs`` (default: the same docs).
 
-    Returns (idf table, long-form tfidf).
+    Returns (idf table, long-form tfidf).  Nothing is cached: the exploded counts are
+    larger than the texts they come from.
     """
-    fit_counts = term_counts(fit_docs, analyzer, id_col, text_col)
-    if docs is None:
-        # document frequencies and weights both read the counts: tokenise once
-        fit_counts = fit_counts.persist()
     n_docs = fit_docs.select(id_col).count()
-    idf = idf_table(fit_counts, n_docs, min_df)
-    counts = fit_counts if docs is None else term_counts(docs, analyzer, id_col, text_col)
-    return idf, tfidf(counts, idf, id_col)
+    idf = with_idf(term_df(fit_docs, analyzer, min_df, id_col, text_col), n_docs)
+    counts = term_counts(fit_docs if docs is None else docs, analyzer, id_col, text_col)
+    return idf, tfidf(counts, idf, id_col, n_docs)
 
 
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:
@@ -123,11 +160,9 @@ def dense_ids(df: DataFrame, order: list[Column], id_name: str = "tid", start: i
 
 
 def build_vocabulary(docs: DataFrame, id_col: str = "id", text_col: str = "text", start: int = 1) -> DataFrame:
-    """(term, cnt, tid) over whitespace tokens; ids by (count desc, term); id 0 = padding."""
-    spread = _spread(docs.select(id_col, text_col), id_col, None)
-    counts = spread.select(F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
+    """(term, cnt, tid) over whitespace tokens; ids by (count desc, term); id 0 = padding.
+    Tokens are counted where their texts lie; only partial counts are shuffled."""
+    counts = docs.select(F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))
     return dense_ids(counts, [F.desc("cnt"), F.asc("term")], "tid", start)
 
 
@@ -148,22 +183,67 @@ def encode(
     text_col: str = "text",
     max_broadcast_bytes: int = VOCAB_BROADCAST_BYTES,
 ) -> DataFrame:
-    """(id, ids array<long>) in token order; unknown tokens are dropped.
+    """(id, ids array<long>) in token order; unknown tokens are dropped, a null text has none.
 
-    A vocabulary under ``max_broadcast_bytes`` (measured, not estimated) is
-    broadcast, so the token stream stays partitioned by document and is never
-    shuffled by term (a frequent term would be one hot join key).  A larger
-    vocabulary is joined by shuffle, with AQE splitting hot terms.
+    A vocabulary under ``max_broadcast_bytes`` (measured, not estimated) is broadcast and
+    every row is encoded where it lies (Arrow hash lookup of its tokens): no token or text
+    is shuffled.  A larger vocabulary is joined by shuffle, with AQE splitting hot terms.
     """
+    v = vocab.select("term", "tid")
+    if vocabulary_bytes(v) <= max_broadcast_bytes:
+        return _encode_rows(docs, v, id_col, text_col)
     spread = _spread(docs.select(id_col, text_col), id_col, None)
     # the outer explode keeps a (null) row for a document without tokens and the left
     # join keeps unknown tokens as null ids, so every document reaches its group and
     # no join back to the document list is needed; collect_list skips the nulls
     toks = spread.select(id_col, F.posexplode_outer(T.tokens(F.col(text_col))).alias("p", "term"))
-    v = vocab.select("term", "tid")
-    if vocabulary_bytes(v) <= max_broadcast_bytes:
-        v = F.broadcast(v)
     joined = toks.join(v, "term", "left")
     known = F.when(F.col("tid").isNotNull(), F.struct("p", "tid"))
     grouped = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(known)).alias("_pt"))
     return grouped.select(id_col, F.transform("_pt", lambda s: s["tid"]).alias("ids"))
+
+
+def _encode_rows(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    table = vocab.toArrow()
+    terms = table["term"].combine_chunks()
+    shared = docs.sparkSession.sparkContext.broadcast((terms, table["tid"].to_numpy()))
+    rows = docs.select(F.col(id_col), T.tokens(F.col(text_col)).alias("_t"))
+
+    def run(batches):
+        import numpy as np
+
+        terms, tids = shared.value
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            at = pc.index_in(pc.list_flatten(lists), value_set=terms)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            ids = tids[pc.drop_null(at).to_numpy()]
+            ends = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(sizes)])]
+            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), out], names=[id_col, "ids"])
+
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return rows.mapInArrow(run, f"`{id_col}` {id_type}, ids array<long>")
+
+
+def hashed_trigrams(df: DataFrame, dim: int = 64, text_col: str = "text") -> DataFrame:
+    """All columns but the text, and ``vec``: counts of the character trigrams of the
+    lower-cased, blank-padded text in ``dim`` buckets by md5; a null text has a zero vector.
+
+    One expression per row: the grams are hashed and counted inside it, so nothing is
+    exploded or shuffled.
+    """
+    s = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(" "))
+    last = F.length(s) - 2
+    grams = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
+    bucket = lambda g: F.conv(F.substring(F.md5(g), 1, 4), 16, 10).cast("int") % dim
+    hashed = F.transform(F.coalesce(grams, F.array().cast("array<string>")), bucket)
+    counts = F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(F.col("_buckets"), lambda x: x == b)).cast("double")
+    )
+    rest = [c for c in df.columns if c != text_col]
+    return df.select(*rest, hashed.alias("_buckets")).select(*rest, counts.alias("vec"))

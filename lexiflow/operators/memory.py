@@ -10,16 +10,25 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from lexiflow.functions import text as T
 from lexiflow.operators import features as FE
 from lexiflow.operators import similarity as SIM
+from lexiflow.session import scratch_path
+from lexiflow.sources import artefacts as AR
 
 
 class TextMemory:
-    """Memory entries ``(mem_id, text, standard, pos[, label])``."""
+    """Memory entries ``(mem_id, text, standard, pos[, label])``.
+
+    The entries are written once with a row number of their own, which keys every table
+    of the memory: equal or null ids stay rows of their own.  ``pos`` may be any orderable
+    column (a file position struct is numbered first).  The result does not depend on the
+    strategy that the memory's size selects.
+    """
 
     def __init__(
         self,
@@ -27,57 +36,75 @@ class TextMemory:
         analyzer: Callable[[Column], Column] = T.word_features,
         min_df: int = 1,
         with_label: bool = False,
-        max_broadcast_bytes: int = SIM.DEFAULT_MAX_BROADCAST,
+        max_broadcast_bytes: int | None = None,
         force: str | None = None,
+        stored_path: str | None = None,
     ):
-        self.entries = entries
         self.analyzer = analyzer
         self.with_label = with_label
         self.max_broadcast_bytes = max_broadcast_bytes
         self.force = force
-        # the memory's term counts feed both the idf and the weights: tokenise once
-        self._counts = FE.term_counts(entries, analyzer, "mem_id").persist()
-        idf = FE.idf_table(self._counts, entries.select("mem_id").count(), min_df)
-        long_form = FE.tfidf(self._counts, idf, "mem_id")
-        self.vocab = idf.select("term", "idf")
-        vec = SIM.sparse_vectors(long_form, "mem_id")
-        cols = ["pos"] + (["label"] if with_label else [])
-        # the memory side is read by the size check and then collected or sharded:
-        # keep it once instead of recomputing its TF-IDF for each use
-        self.vectors = vec.join(entries.select("mem_id", *cols), "mem_id").persist()
+        spark = entries.sparkSession
+        self.path = stored_path or self._fit(entries, min_df)
+        self.vocab = spark.read.parquet(f"{self.path}/vocab").select("term", "idf")
+        self.vectors = spark.read.parquet(f"{self.path}/vectors")
         self._prepared = None
         self._idf = None
 
+    def _fit(self, entries: DataFrame, min_df: int) -> str:
+        """Write the entries, the vocabulary and the vectors; returns their folder."""
+        spark = entries.sparkSession
+        path = scratch_path(spark, "text-memory")
+        cols = ["mem_id", "text", "standard", "pos"] + (["label"] if self.with_label else [])
+        own = entries.select(*cols)
+        if not isinstance(own.schema["pos"].dataType, IntegralType):
+            own = FE.dense_ids(own, [F.asc_nulls_last("pos")], "_n").drop("pos").withColumnRenamed("_n", "pos")
+        own.withColumn("_mk", F.monotonically_increasing_id()).write.parquet(f"{path}/entries")
+        own = spark.read.parquet(f"{path}/entries")
+        n_docs = own.count()
+        counts = FE.term_counts(own, self.analyzer, "_mk")
+        FE.with_idf(FE.term_df(own, self.analyzer, min_df, "_mk"), n_docs).write.parquet(f"{path}/vocab")
+        idf = spark.read.parquet(f"{path}/vocab")
+        vec = SIM.sparse_vectors(FE.tfidf(counts, idf, "_mk", n_docs), "_mk")
+        vec.join(own.drop("text"), "_mk").drop("_mk").write.parquet(f"{path}/vectors")
+        return path
+
+    def save(self, path: str) -> str:
+        """Keep the fitted memory under ``path``."""
+        for part in ("vocab", "vectors"):
+            AR.save_table(self.vectors.sparkSession.read.parquet(f"{self.path}/{part}"), f"{path.rstrip('/')}/{part}")
+        return path
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, optional: bool = False, **options) -> TextMemory | None:
+        """A saved memory; a missing one raises, or is None if ``optional``."""
+        for part in ("vocab", "vectors"):
+            if AR.load_table(spark, f"{path.rstrip('/')}/{part}", optional) is None:
+                return None
+        vectors = spark.read.parquet(f"{path.rstrip('/')}/vectors")
+        return cls(vectors, with_label="label" in vectors.columns, stored_path=path.rstrip("/"), **options)
+
     def idf_broadcast(self):
         """The fitted vocabulary with its idf, shipped once per executor; it holds no
         more terms than the memory postings, so the memory size check bounds it."""
         if self._idf is None:
-            self._idf = self.entries.sparkSession.sparkContext.broadcast(SIM.idf_state(self.vocab.toPandas()))
+            self._idf = self.vocab.sparkSession.sparkContext.broadcast(SIM.idf_state(self.vocab.toPandas()))
         return self._idf
 
     def prepared(self):
         if self._prepared is None:
             self._prepared = SIM.prepare(
                 self.vectors, "sparse", same_label=self.with_label,
-                max_broadcast_bytes=self.max_broadcast_bytes, force=self.force,
+                max_broadcast_bytes=self.max_broadcast_bytes, force=self.force, carry=("mem_id", "standard"),
             )
-            if self._prepared.strategy == "broadcast":
-                # scoring state and idf now live in broadcasts: release the cached
-                # memory tables (the sharded strategy keeps reading them)
-                self.idf_broadcast()
-                self.vectors.unpersist()
-                self._counts.unpersist()
         return self._prepared
 
-    def _bounded(self, df: DataFrame) -> DataFrame:
-        """Memory-side tables are broadcast only when the memory passed the size check."""
-        return F.broadcast(df) if self.prepared().strategy == "broadcast" else df
-
     def query_vectors(self, queries: DataFrame, qid_col: str = "qid", text_col: str = "text") -> DataFrame:
         counts = FE.term_counts(queries.select(F.col(qid_col).alias("qid"), F.col(text_col).alias("text")), self.analyzer, "qid")
-        # raw tf*idf over the known terms; the scoring kernel L2-normalises each
-        # query vector, so no per-query window sort is needed here
-        long_form = counts.join(self._bounded(self.vocab), "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
+        # raw tf*idf over the known terms; the scoring kernel divides by the norm of the
+        # whole query, so no per-query window sort is needed here
+        vocab = F.broadcast(self.vocab) if self.prepared().strategy == "broadcast" else self.vocab
+        long_form = counts.join(vocab, "term").withColumn("tfidf", F.col("tf") * F.col("idf"))
         return SIM.sparse_vectors(long_form, "qid")
 
     def match(
@@ -91,46 +118,44 @@ class TextMemory:
 
         With a broadcast memory every row is scored where it lies (terms from the
         JVM-side analyzer, weights and cosine in the scoring task): no shuffle of
-        the queries.  A sharded memory takes the long-form path below.
+        the queries.  For a sharded memory the rows are written once with a number of
+        their own, scored in long form, and joined by that number.
         """
-        same_label = label_col is not None and self.with_label
+        label = label_col if label_col is not None and self.with_label else None
         if self.prepared().strategy == "broadcast":
-            return self._match_rows(queries, text_col, label_col if same_label else None)
-        qv = self.query_vectors(queries, qid_col, text_col)
-        if label_col is not None and self.with_label:
-            qv = qv.join(queries.select(F.col(qid_col).alias("qid"), F.col(label_col).alias("label")), "qid")
+            return self._match_rows(queries, text_col, label)
+        spark = queries.sparkSession
+        path = scratch_path(spark, "memory-rows")
+        queries.withColumn("_qrow", F.monotonically_increasing_id()).write.parquet(path)
+        rows = spark.read.parquet(path)
+        qv = self.query_vectors(rows, "_qrow", text_col)
+        if label is not None:
+            qv = qv.join(rows.select(F.col("_qrow").alias("qid"), F.col(label).alias("label")), "qid")
         # block sizing from the raw token count (a bound on the distinct terms): a
         # narrow scan, instead of a second run of the query-vector pipeline
         tokens = F.coalesce(F.size(self.analyzer(F.col(text_col))), F.lit(0))
-        nnz = queries.select(F.sum(F.greatest(tokens, F.lit(0))).alias("n")).first()["n"] or 0
-        best = SIM.nearest(
-            qv, self.prepared(), "sparse", same_label=label_col is not None and self.with_label, query_nnz=int(nnz)
-        )
-        info = self.entries.select(
-            F.col("pos").alias("match_pos"), "mem_id", F.col("standard").alias("mem_standard")
-        )
-        best = best.join(self._bounded(info), "match_pos", "left").select(
-            F.col("qid").alias("_qid"), "mem_id", "mem_standard", F.col("score").alias("mem_score")
-        )
-        return queries.join(best, queries[qid_col].cast("string") == best["_qid"], "left").drop("_qid")
+        nnz = rows.select(F.sum(F.greatest(tokens, F.lit(0))).alias("n")).first()["n"] or 0
+        best = SIM.nearest(qv, self.prepared(), "sparse", same_label=label is not None, query_nnz=int(nnz))
+        best = best.select(F.col("qid").cast("long").alias("_qrow"), F.col("mem_id"), F.col("standard").alias("mem_standard"), F.col("score").alias("mem_score"))
+        best = best.withColumnsRenamed({c: f"_best_{c}" for c in best.columns if c != "_qrow"})
+        out = rows.join(best, "_qrow", "left")
+        return out.select(*[f"`{c}`" for c in queries.columns], *[F.col(f"_best_{c}").alias(c) for c in ("mem_id", "mem_standard", "mem_score")])
 
     def _match_rows(self, queries: DataFrame, text_col: str, label_col: str | None) -> DataFrame:
-        cols = queries.columns
         rows = queries.withColumn("_terms", self.analyzer(F.col(text_col)))
         scored = SIM.nearest_rows(
             rows, self.prepared(), self.idf_broadcast(), "_terms", label_col, pos_col="_match_pos", score_col="_mem_score"
         )
-        info = F.broadcast(  # bounded by the memory size check
-            self.entries.select(F.col("pos").alias("_match_pos"), "mem_id", F.col("standard").alias("mem_standard"))
-        )
-        out = scored.join(info, "_match_pos", "left")
-        return out.select(*cols, "mem_id", "mem_standard", F.col("_mem_score").alias("mem_score"))
+        return scored.select(
+            *[f"`{c}`" for c in queries.columns],
+            F.col("_carry_mem_id").alias("mem_id"), F.col("_carry_standard").alias("mem_standard"), F.col("_mem_score").alias("mem_score"),
+        )
 
 
 class VectorMemory:
     """Memory entries ``(id, vec, pos[, label])`` with precomputed embeddings."""
 
-    def __init__(self, entries: DataFrame, max_broadcast_bytes: int = SIM.DEFAULT_MAX_BROADCAST, force: str | None = None):
+    def __init__(self, entries: DataFrame, max_broadcast_bytes: int | None = None, force: str | None = None):
         self.entries = entries
         self.max_broadcast_bytes = max_broadcast_bytes
         self.force = force
@@ -138,19 +163,14 @@ class VectorMemory:
 
     def prepared(self, with_label: bool = False):
         if with_label not in self._prepared:
-            m = self.entries.select("pos", "vec", F.col("id").cast("string").alias("key"), *(["label"] if with_label else []))
+            m = self.entries.select("pos", "vec", F.col("id").alias("match_id"), F.col("id").cast("string").alias("key"), *(["label"] if with_label else []))
             self._prepared[with_label] = SIM.prepare(
                 m, "dense", exclude_self=True, same_label=with_label,
-                max_broadcast_bytes=self.max_broadcast_bytes, force=self.force,
+                max_broadcast_bytes=self.max_broadcast_bytes, force=self.force, carry=("match_id",),
             )
         return self._prepared[with_label]
 
     def match(self, queries: DataFrame, exclude_self: bool = False, same_label: bool = False) -> DataFrame:
-        """queries: (id, vec[, label]) -> (qid, match_id, match_pos, score)."""
+        """queries: (id, vec[, label]) -> (qid, match_id, match_pos, score), a row per query row."""
         q = queries.select(F.col("id").alias("qid"), "vec", F.col("id").cast("string").alias("key"), *(["label"] if same_label else []))
-        prep = self.prepared(same_label)
-        best = SIM.nearest(q, prep, "dense", exclude_self=exclude_self, same_label=same_label)
-        info = self.entries.select(F.col("pos").alias("match_pos"), F.col("id").alias("match_id"))
-        if prep.strategy == "broadcast":  # bounded by the memory size check
-            info = F.broadcast(info)
-        return best.join(info, "match_pos", "left")
+        return SIM.nearest(q, self.prepared(same_label), "dense", exclude_self=exclude_self, same_label=same_label)

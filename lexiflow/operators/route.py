@@ -22,6 +22,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lexiflow import constants as K
 from lexiflow.functions import text as T
 from lexiflow.operators import dictionary as D
+from lexiflow.session import scratch_path
 
 Classifier = Callable[[Column], Column]
 Generator = Callable[[Iterator[pd.DataFrame]], Iterable[pd.DataFrame]]
@@ -51,6 +52,31 @@ def classify(x: DataFrame, classifier) -> DataFrame:
     return x.withColumn("predicted", classifier(F.col("text")))
 
 
+def classify_rest(x: DataFrame, classifier, done: str) -> DataFrame:
+    """``predicted`` for the rows without ``done``, null for the others.
+
+    A column rule is evaluated inside the condition, so never on finished rows.  A fitted
+    model is applied to the unfinished rows alone; the scored input is written once, so
+    that the two branches do not score it twice.
+    """
+    from pyspark.ml import PipelineModel
+
+    if not isinstance(classifier, PipelineModel):
+        return x.withColumn("predicted", F.when(~F.col(done), classifier(F.col("text"))))
+    x = _once(x)
+    rest = classify(x.where(~F.col(done)), classifier)
+    return rest.unionByName(x.where(F.col(done)).withColumn("predicted", F.lit(None).cast("string")))
+
+
+def _once(x: DataFrame) -> DataFrame:
+    """Write a scored input to the shared folder and read it back: several branches use it,
+    and no cached table outlives them."""
+    spark = x.sparkSession
+    path = scratch_path(spark, "route-scored")
+    x.write.parquet(path)
+    return spark.read.schema(x.schema).parquet(path)
+
+
 def _score(col: str = "mem_score") -> Column:
     return F.round(F.col(col), 6)
 
@@ -71,7 +97,7 @@ def _resolve(
     rows matching ``gen_cond`` (and no earlier rule) go to the generator.
 
     Without a generator hook everything is one projection.  With a hook the
-    scored input is persisted and the hook runs on the unanswered rows only.
+    scored input is written once and the hook runs on the unanswered rows only.
     """
 
     def pick(rules):
@@ -93,7 +119,7 @@ def _resolve(
     for cond, _, _ in chain:
         answered = answered | F.coalesce(cond, F.lit(False))
     to_gen = ~answered & F.coalesce(gen_cond, F.lit(False))
-    x = x.withColumn("_to_gen", to_gen).persist()
+    x = _once(x.withColumn("_to_gen", to_gen))
     tr, og = pick(rules)
     rest = x.where(~F.col("_to_gen")).withColumn("translation", tr).withColumn("origin", og)
     todo = x.where(F.col("_to_gen"))
@@ -135,8 +161,7 @@ def route_idiom_first(
     x = inp.where(~(T.lookup_key("text") == F.lit(K.STOP_MARKER)) | F.col("text").isNull())
     x = memory.match(x, "id", "text") if memory is not None else _no_memory(x)
     hit = F.coalesce(F.col("mem_score") >= F.lit(threshold), F.lit(False))
-    x = classify(x.withColumn("_hit", hit), classifier)
-    x = x.withColumn("predicted", F.when(~F.col("_hit"), F.col("predicted")))
+    x = classify_rest(x.withColumn("_hit", hit), classifier, "_hit")
     if case_sensitive:
         gen_ok = F.col("predicted").isin(list(generator_labels))
     else:
@@ -146,7 +171,7 @@ def route_idiom_first(
     x = x.withColumn("score", _score())
     chain = [(F.col("_hit"), F.col("mem_standard"), "memory")]
     if lookup is not None:
-        x = D.lookup(x, lookup, T.normalize_text, "text", "lk")
+        x = D.lookup(x, lookup, T.normalize_text, "text", "lk", only=F.col("_gen"))
         chain.append((F.col("_gen") & F.col("lk_pos").isNotNull(), F.col("lk"), "lookup"))
     out = _resolve(x, chain, F.col("_gen"), generator, (F.lit(K.NO_MODULE), "none"))
     return _finish(out)
@@ -195,7 +220,7 @@ def route_gated(
     x = x.withColumn("message", F.when(~F.col("_ok"), F.col("predicted")))
     chain = [(~F.col("_ok"), F.lit(None).cast("string"), "rejected")]
     if lookup is not None:
-        x = D.lookup(x, lookup, T.lookup_key, "text", "lk")
+        x = D.lookup(x, lookup, T.lookup_key, "text", "lk", only=F.col("_ok"))  # rejected rows are not looked up
         chain.append((F.col("lk_pos").isNotNull(), F.col("lk"), "lookup"))
     out = _resolve(x, chain, F.lit(True), generator, repair_quotes=True)
     return _finish(out)

@@ -37,9 +37,13 @@ def class_quotas(df: DataFrame, label_col: str, test_size: float) -> DataFrame:
     Integer arithmetic only; remainder ties go to the smaller label.  The result
     has one row per class (a closed label vocabulary), so it is tiny.
     """
+    return quotas_of(df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c")), label_col, test_size)
+
+
+def quotas_of(counts: DataFrame, label_col: str, test_size: float) -> DataFrame:
+    """The same from a table of class sizes (label, n_c)."""
     frac = Fraction(test_size).limit_denominator(10_000)
     num, den = frac.numerator, frac.denominator
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     w_all = Window.partitionBy()  # over the class table only (one row per class)
     c = counts.withColumn("n_all", F.sum("n_c").over(w_all))
     c = c.withColumn("n_test", F.expr(f"(n_all * {num} + {den} - 1) div {den}"))
@@ -63,31 +67,29 @@ def stratified_split(
     Rows are ranked inside their class by (hash, id) and the first ``quota``
     go to the test side.  Instead of sorting a whole class in one task (a class
     may hold a third of the data), rows are counted per (class, 16-bit hash
-    bucket); buckets wholly below the quota go to test, wholly above to train,
-    and only the single boundary bucket per class is ranked exactly.
+    bucket); only the single bucket per class that the quota cuts is ranked, which
+    gives the (hash, id) of the last test row of each class.  These cut rows (one per
+    class) are broadcast, and the rows themselves are tagged where they lie: no
+    other column is shuffled.  Rows with one id stay on one side.
     """
     h = hash_key(id_col, seed)
-    rows = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring("_h", 1, HASH_BITS_HEX), 16, 10).cast("int"))
-    rows = rows.where(F.col(label_col).isNotNull())
-    quotas = class_quotas(rows, label_col, test_size)
-    buckets = rows.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    wb = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    bucket = F.conv(F.substring(h, 1, HASH_BITS_HEX), 16, 10).cast("int")
+    rows = df.where(F.col(label_col).isNotNull())
+    keys = rows.select(F.col(label_col).alias("_label"), F.col(id_col).alias("_id"), h.alias("_h"), bucket.alias("_b"))
+    buckets = keys.groupBy("_label", "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    sizes = buckets.groupBy("_label").agg(F.sum("_cnt").alias("n_c"))
+    quotas = quotas_of(sizes, "_label", test_size).select("_label", "quota")
+    wb = Window.partitionBy("_label").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_cnt").over(wb), F.lit(0)))
     edge = (
-        buckets.join(quotas, label_col)
+        buckets.join(F.broadcast(quotas), "_label")  # one row per class
         .where((F.col("_before") < F.col("quota")) & (F.col("quota") <= F.col("_before") + F.col("_cnt")))
-        .select(label_col, F.col("_b").alias("_bstar"), (F.col("quota") - F.col("_before")).alias("_need"))
-    )
-    tagged = rows.join(edge, label_col, "left")
-    test_name, train_name = names[1], names[0]
-    outer = tagged.where(F.col("_bstar").isNull() | (F.col("_b") != F.col("_bstar"))).withColumn(
-        split_col, F.when(F.col("_b") < F.col("_bstar"), F.lit(test_name)).otherwise(F.lit(train_name))
-    )
-    wi = Window.partitionBy(label_col).orderBy("_h", id_col)
-    inner = (
-        tagged.where(F.col("_b") == F.col("_bstar"))
-        .withColumn("_rn", F.row_number().over(wi))
-        .withColumn(split_col, F.when(F.col("_rn") <= F.col("_need"), F.lit(test_name)).otherwise(F.lit(train_name)))
-        .drop("_rn")
+        .select("_label", F.col("_b").alias("_bstar"), (F.col("quota") - F.col("_before")).alias("_need"))
     )
-    return outer.unionByName(inner).drop("_h", "_b", "_bstar", "_need")
+    inside = keys.join(F.broadcast(edge), "_label").where(F.col("_b") == F.col("_bstar"))
+    wi = Window.partitionBy("_label").orderBy("_h", "_id")
+    cut = inside.withColumn("_rn", F.row_number().over(wi)).where(F.col("_rn") == F.col("_need"))
+    cut = cut.select(F.col("_label"), F.struct("_h", "_id").alias("_last"))
+    tagged = rows.join(F.broadcast(cut), rows[label_col] == F.col("_label"), "left").drop("_label")
+    is_test = F.coalesce(F.struct(h.alias("_h"), F.col(id_col).alias("_id")) <= F.col("_last"), F.lit(False))
+    return tagged.withColumn(split_col, F.when(is_test, F.lit(names[1])).otherwise(F.lit(names[0]))).drop("_last")

@@ -12,7 +12,12 @@ Two physical strategies, same answer:
   join and no pair rows are ever materialised.
 
 Tie rule: the highest score wins, equal scores go to the lowest memory
-position (``argmax`` over position order).  Zero vectors never match.
+position, rows at one position are ordered by a hash of what they carry.  Zero vectors
+never match; a null label matches no label, and a null key excludes nothing.  Queries and
+memory rows are never told apart by the caller's ids: equal or null ids are rows of their own.
+
+``carry`` columns of the memory (its id, its target text) travel with the scoring state and
+come back with the match, so they are part of the size check and need no join.
 Scores are compared after rounding to 12 places, so summation order cannot
 change the winner.
 
@@ -28,20 +33,64 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-DEFAULT_MAX_BROADCAST = 256 << 20
+# bound of a broadcast memory; ``spark.lexiflow.memoryBroadcastBytes`` of the session overrides it
+DEFAULT_MAX_BROADCAST = 128 << 20
+MAX_BROADCAST_CONF = "spark.lexiflow.memoryBroadcastBytes"
 TIE_DECIMALS = 12
 # a scored block is (queries x memory rows) doubles: keep it near this size
 SCORE_BLOCK_BYTES = 32 << 20
-RESULT_SCHEMA = "qid string, match_pos long, score double"
+RESULT_FIELDS = [("qid", StringType()), ("match_pos", LongType()), ("score", DoubleType())]
 
 
 # ----------------------------------------------------------------------------- scoring kernels
 
 
+def _named(values, null: str) -> np.ndarray:
+    """Labels or keys for comparison: a null becomes ``null``, which no value equals."""
+    out = np.empty(len(values), dtype=object)
+    out[:] = [null if v is None or v is pd.NA or v != v else f"={v}" for v in values]
+    return out
+
+
+def _in_order(mem: pd.DataFrame) -> pd.DataFrame:
+    by = ["pos", "ord"] if "ord" in mem else ["pos"]
+    return mem.sort_values(by, kind="stable").reset_index(drop=True)
+
+
+def _own_columns(mem: pd.DataFrame) -> dict:
+    known = ("pos", "ord", "vec", "terms", "ws", "key", "label")
+    return {
+        "pos": mem["pos"].to_numpy(np.int64),
+        "ord": mem["ord"].to_numpy(np.int64) if "ord" in mem else None,
+        "key": _named(mem["key"], "m") if "key" in mem else None,
+        "label": _named(mem["label"], "m") if "label" in mem else None,
+        "carry": {c: mem[c].astype(object).to_numpy() for c in mem.columns if c not in known and not c.startswith("_")},
+    }
+
+
+def _result(state: dict, qid, row: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    """Winning memory row of each query (-1: none) -> result columns."""
+    found = row >= 0
+    at = np.maximum(row, 0)
+    out = {"qid": pd.Series(np.asarray(qid, dtype=object), dtype=object)}
+    for name in ("pos", "ord"):
+        if state.get(name) is not None:
+            v = pd.array(np.where(found, state[name][at] if len(state[name]) else 0, 0), dtype="Int64")
+            v[~found] = pd.NA
+            out["match_pos" if name == "pos" else "match_ord"] = v
+    out["score"] = np.where(found, score, np.nan)
+    for name, values in state.get("carry", {}).items():
+        v = np.empty(len(row), dtype=object)
+        if len(values):
+            v[found] = values[at[found]]
+        out[name] = pd.Series(v, dtype=object)
+    return pd.DataFrame(out)
+
+
 def _dense_state(mem: pd.DataFrame) -> dict:
-    mem = mem.sort_values("pos", kind="stable")
+    mem = _in_order(mem)
     m = np.stack([np.asarray(v, dtype=np.float64) for v in mem["vec"]]) if len(mem) else np.zeros((0, 0))
     norms = np.linalg.norm(m, axis=1) if len(mem) else np.zeros(0)
     valid = norms > 0
@@ -50,15 +99,13 @@ def _dense_state(mem: pd.DataFrame) -> dict:
         "kind": "dense",
         "m": m / safe[:, None] if len(mem) else m,
         "valid": valid,
-        "pos": mem["pos"].to_numpy(np.int64),
-        "key": mem["key"].astype(str).to_numpy() if "key" in mem else None,
-        "label": mem["label"].astype(str).to_numpy() if "label" in mem else None,
+        **_own_columns(mem),
     }
 
 
 def _sparse_state(mem: pd.DataFrame) -> dict:
     """Postings by term: the memory vocabulary sorted, then (row, weight) runs."""
-    mem = mem.sort_values("pos", kind="stable").reset_index(drop=True)
+    mem = _in_order(mem)
     lens = mem["terms"].map(len).to_numpy(np.int64)
     rows = np.repeat(np.arange(len(mem), dtype=np.int64), lens)
     terms = np.concatenate([np.asarray(t, dtype=object) for t in mem["terms"]]) if lens.sum() else np.zeros(0, dtype=object)
@@ -79,9 +126,7 @@ def _sparse_state(mem: pd.DataFrame) -> dict:
         "ws": ws,
         "n": len(mem),
         "valid": lens > 0,
-        "pos": mem["pos"].to_numpy(np.int64),
-        "key": mem["key"].astype(str).to_numpy() if "key" in mem else None,
-        "label": mem["label"].astype(str).to_numpy() if "label" in mem else None,
+        **_own_columns(mem),
     }
 
 
@@ -93,17 +138,6 @@ def _dense_scores(state: dict, q: pd.DataFrame) -> np.ndarray:
     return s
 
 
-def _no_match(qids) -> pd.DataFrame:
-    n = len(qids)
-    return pd.DataFrame(
-        {
-            "qid": pd.Series(np.asarray(qids, dtype=object).astype(str), dtype=object),
-            "match_pos": pd.Series(np.zeros(n, dtype=np.int64)).astype("Int64").where(np.zeros(n, bool), pd.NA),
-            "score": pd.Series(np.full(n, np.nan), dtype=np.float64),
-        }
-    )
-
-
 def _best_sparse(state: dict, q: pd.DataFrame) -> pd.DataFrame:
     """Top-1 over the candidates only: memory rows sharing a term with the query.
 
@@ -113,8 +147,9 @@ def _best_sparse(state: dict, q: pd.DataFrame) -> pd.DataFrame:
     """
     n = len(q)
     vocab, indptr, rows, mws = state["vocab"], state["indptr"], state["rows"], state["ws"]
-    qkey = q["key"].astype(str).to_numpy() if "key" in q and state["key"] is not None else None
-    qlab = q["label"].astype(str).to_numpy() if "label" in q and state["label"] is not None else None
+    qkey = _named(q["key"], "q") if "key" in q and state["key"] is not None else None
+    qlab = _named(q["label"], "q") if "label" in q and state["label"] is not None else None
+    norms = q["nrm"].to_numpy(np.float64) if "nrm" in q else None  # of whole queries, where terms are a part
     best_row = np.full(n, -1, dtype=np.int64)
     best_score = np.full(n, np.nan)
     tids = q["tids"] if "tids" in q else None  # terms already resolved to memory-vocabulary rows
@@ -122,7 +157,7 @@ def _best_sparse(state: dict, q: pd.DataFrame) -> pd.DataFrame:
         if terms is None or not len(terms) or not len(vocab):
             continue
         w = np.asarray(ws, dtype=np.float64)
-        nrm = np.sqrt(np.dot(w, w))
+        nrm = np.sqrt(np.dot(w, w)) if norms is None else norms[i]
         if nrm > 0:
             w = w / nrm  # cosine: query weights are L2-normalised here
         if tids is not None:
@@ -152,30 +187,24 @@ def _best_sparse(state: dict, q: pd.DataFrame) -> pd.DataFrame:
         cand, sc = cand[ok], sc[ok]
         j = int(np.argmax(np.round(sc, TIE_DECIMALS)))
         best_row[i], best_score[i] = cand[j], sc[j]
-    found = best_row >= 0
-    pos = pd.array(np.where(found, state["pos"][np.maximum(best_row, 0)], 0), dtype="Int64")
-    pos[~found] = pd.NA
-    return pd.DataFrame({"qid": q["qid"].astype(str).to_numpy(), "match_pos": pos, "score": best_score})
+    return _result(state, q["qid"], best_row, best_score)
 
 
 def _best(state: dict, q: pd.DataFrame) -> pd.DataFrame:
     if len(state["pos"]) == 0 or len(q) == 0:
-        return _no_match(q["qid"].to_numpy() if "qid" in q else [])
+        return _result(state, q["qid"] if "qid" in q else [], np.full(len(q), -1), np.full(len(q), np.nan))
     if state["kind"] == "sparse":
         return _best_sparse(state, q)
     s = _dense_scores(state, q)
     s[:, ~state["valid"]] = -np.inf
     if "key" in q and state["key"] is not None:
-        s[q["key"].astype(str).to_numpy()[:, None] == state["key"][None, :]] = -np.inf
+        s[_named(q["key"], "q")[:, None] == state["key"][None, :]] = -np.inf
     if "label" in q and state["label"] is not None:
-        s[q["label"].astype(str).to_numpy()[:, None] != state["label"][None, :]] = -np.inf
+        s[_named(q["label"], "q")[:, None] != state["label"][None, :]] = -np.inf
     r = np.round(s, TIE_DECIMALS)
     best = np.argmax(r, axis=1)
     top = s[np.arange(len(q)), best]
-    ok = np.isfinite(top)
-    pos = pd.array(np.where(ok, state["pos"][best], 0), dtype="Int64")
-    pos[~ok] = pd.NA
-    return pd.DataFrame({"qid": q["qid"].astype(str).to_numpy(), "match_pos": pos, "score": np.where(ok, top, np.nan)})
+    return _result(state, q["qid"], np.where(np.isfinite(top), best, -1), top)
 
 
 def _block_rows(state: dict, batch_rows: int) -> int:
@@ -197,24 +226,36 @@ def _score_batches(state: dict, batches, batch_rows: int):
 # ----------------------------------------------------------------------------- planning
 
 
-def _memory_bytes(memory: DataFrame, kind: str) -> int:
+def _memory_bytes(memory: DataFrame, kind: str, carry: tuple[str, ...] = ()) -> int:
+    """Size of the scoring state: vectors or terms, and all that travels with them."""
+    extra = F.lit(0)
+    for c in carry:
+        extra = extra + F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) * 2 + 56
     if kind == "dense":
-        stats = memory.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-        return int(stats["n"] or 0) * int(stats["d"] or 0) * 8
+        stats = memory.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d"), F.sum(extra).alias("x")).first()
+        return int(stats["n"] or 0) * int(stats["d"] or 0) * 8 + int(stats["x"] or 0)
     stats = memory.agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.size("terms")).alias("nnz"),
         F.sum(F.aggregate("terms", F.lit(0), lambda acc, t: acc + F.length(t))).alias("chars"),
+        F.sum(extra).alias("x"),
     ).first()
-    return int(stats["nnz"] or 0) * 72 + int(stats["chars"] or 0) * 4 + int(stats["n"] or 0) * 16
+    return int(stats["nnz"] or 0) * 72 + int(stats["chars"] or 0) * 4 + int(stats["n"] or 0) * 16 + int(stats["x"] or 0)
+
+
+def max_broadcast(spark, given: int | None = None) -> int:
+    """The bound of a broadcast memory: as given, else of the session, else the default."""
+    return given if given is not None else int(spark.conf.get(MAX_BROADCAST_CONF, str(DEFAULT_MAX_BROADCAST)))
 
 
 class Prepared:
     """A memory side planned once: strategy chosen from its checked size, and for
     the broadcast strategy the scoring state shipped to executors once."""
 
-    def __init__(self, memory: DataFrame, kind: str, strategy: str, n_shards: int = 1, state=None):
+    def __init__(self, memory: DataFrame, kind: str, strategy: str, n_shards: int = 1, state=None, carry: tuple[str, ...] = ()):
         self.memory, self.kind, self.strategy, self.n_shards, self.state = memory, kind, strategy, n_shards, state
+        self.carry = carry
+        self.fields = [StructField(c, memory.schema[c].dataType, True) for c in carry]
 
 
 def prepare(
@@ -222,20 +263,30 @@ def prepare(
     kind: str = "dense",
     exclude_self: bool = False,
     same_label: bool = False,
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST,
+    max_broadcast_bytes: int | None = None,
     shard_bytes: int = 64 << 20,
     force: str | None = None,
+    carry: tuple[str, ...] = (),
 ) -> Prepared:
     vcols = ["vec"] if kind == "dense" else ["terms", "ws"]
-    mcols = ["pos", *vcols] + (["key"] if exclude_self else []) + (["label"] if same_label else [])
-    m = memory.select(*mcols)
-    size = _memory_bytes(m, kind)
-    strategy = force or ("broadcast" if size <= max_broadcast_bytes else "sharded")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    named = ([text("key")] if exclude_self else []) + ([text("label")] if same_label else [])
+    last = F.coalesce(F.col("pos"), F.lit((1 << 63) - 1)).alias("pos")  # a row without position comes last
+    own = [F.xxhash64(*[F.col(c).cast("string") for c in carry]).alias("ord"), *[F.col(c) for c in carry]] if carry else []
+    m = memory.select(last, *vcols, *named, *own)
+    size = _memory_bytes(m, kind, carry)
+    strategy = force or ("broadcast" if size <= max_broadcast(m.sparkSession, max_broadcast_bytes) else "sharded")
     if strategy == "broadcast":
-        mem_pdf = m.toPandas()  # size checked above
+        mem_pdf = _pandas(m)  # size checked above
         state = _dense_state(mem_pdf) if kind == "dense" else _sparse_state(mem_pdf)
-        return Prepared(m, kind, strategy, state=m.sparkSession.sparkContext.broadcast(state))
-    return Prepared(m, kind, strategy, n_shards=max(1, math.ceil(size / shard_bytes)))
+        return Prepared(m, kind, strategy, state=m.sparkSession.sparkContext.broadcast(state), carry=carry)
+    return Prepared(m, kind, strategy, n_shards=max(1, math.ceil(size / shard_bytes)), carry=carry)
+
+
+def _pandas(m: DataFrame) -> pd.DataFrame:
+    """Rows on the driver with nulls kept as None (a nullable long must not turn float)."""
+    t = m.toArrow()
+    return pd.DataFrame({c: pd.Series(t[c].to_pylist() if c not in ("pos", "ord") else t[c].to_numpy(), dtype=object if c not in ("pos", "ord") else None) for c in t.column_names})
 
 
 def nearest(
@@ -244,13 +295,13 @@ def nearest(
     kind: str = "dense",
     exclude_self: bool = False,
     same_label: bool = False,
-    max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST,
+    max_broadcast_bytes: int | None = None,
     shard_bytes: int = 64 << 20,
     batch_rows: int = 512,
     force: str | None = None,
     query_nnz: int | None = None,
 ) -> DataFrame:
-    """Top-1 memory position per query: (qid, match_pos, score).
+    """Top-1 memory position per query row: (qid, match_pos, score) and what the memory carries.
 
     ``queries``: qid + vec (dense) or terms/ws (sparse), optional ``key`` (with
     ``exclude_self``) and ``label`` (with ``same_label``).
@@ -261,19 +312,22 @@ def nearest(
         memory, kind, exclude_self, same_label, max_broadcast_bytes, shard_bytes, force
     )
     vcols = ["vec"] if prep.kind == "dense" else ["terms", "ws"]
-    qcols = [*vcols] + (["key"] if exclude_self else []) + (["label"] if same_label else [])
-    q = queries.select(F.col("qid").cast("string").alias("qid"), *qcols)
+    named = (["key"] if exclude_self else []) + (["label"] if same_label else [])
+    q = queries.select(F.col("qid").cast("string").alias("qid"), *vcols, *[F.col(c).cast("string").alias(c) for c in named])
+    fields = [StructField(n, t, True) for n, t in RESULT_FIELDS]
+    names = [f.name for f in [*fields, *prep.fields]]
     if prep.strategy == "broadcast":
         bstate = prep.state
 
         def run(batches):
-            yield from _score_batches(bstate.value, batches, batch_rows)
+            for part in _score_batches(bstate.value, batches, batch_rows):
+                yield part[names]
 
-        return q.mapInPandas(run, RESULT_SCHEMA)
+        return q.mapInPandas(run, StructType([*fields, *prep.fields]))
     # ``query_nnz``: a caller's bound on the queries' stored terms (e.g. their token
     # count), which spares a sizing pass over the query vectors themselves
     n_blocks = _query_blocks(q, prep.kind) if query_nnz is None else _blocks_for(query_nnz * 72)
-    return _nearest_sharded(q, prep.memory, prep.kind, prep.n_shards, batch_rows, n_blocks)
+    return _nearest_sharded(q, prep, batch_rows, n_blocks).select(*names)
 
 
 def idf_state(idf_pdf: pd.DataFrame) -> dict:
@@ -324,7 +378,8 @@ def nearest_rows(
     score_col: str = "score",
 ) -> DataFrame:
     """Row-wise top-1 for a broadcast sparse memory: every input column is carried
-    through and ``pos_col``/``score_col`` are appended.
+    through and ``pos_col``/``score_col`` and the carried memory columns are appended
+    (as ``_carry_<name>``).
 
     ``terms_col`` holds each row's raw term list (tokenised JVM-side); tf, idf
     and the cosine are computed inside the scoring task, so the query stream is
@@ -334,8 +389,9 @@ def nearest_rows(
         raise ValueError("row-wise scoring needs a broadcast sparse memory")
     bstate = prep.state
     keep_cols = [f for f in rows.schema.fields if f.name != terms_col]
-    schema = StructType([*keep_cols, StructField(pos_col, LongType()), StructField(score_col, DoubleType())])
-    names = [f.name for f in keep_cols]
+    carried = [StructField(f"_carry_{f.name}", f.dataType, True) for f in prep.fields]
+    schema = StructType([*keep_cols, StructField(pos_col, LongType()), StructField(score_col, DoubleType()), *carried])
+    names, carry = [f.name for f in keep_cols], prep.carry
 
     def run(batches):
         state, iv = bstate.value, idf_bcast.value
@@ -353,6 +409,8 @@ def nearest_rows(
                 out = chunk[names].reset_index(drop=True)
                 out[pos_col] = best["match_pos"].to_numpy()
                 out[score_col] = best["score"].to_numpy()
+                for c in carry:
+                    out[f"_carry_{c}"] = best[c]
                 yield out
 
     return rows.mapInPandas(run, schema)
@@ -374,31 +432,68 @@ def _query_blocks(q: DataFrame, kind: str, block_bytes: int = 64 << 20) -> int:
     return max(1, math.ceil(size / block_bytes))
 
 
-def _nearest_sharded(q: DataFrame, m: DataFrame, kind: str, n_shards: int, batch_rows: int, n_blocks: int = 1) -> DataFrame:
-    qx = q.withColumn("_blk", F.pmod(F.xxhash64("qid"), F.lit(n_blocks))).withColumn(
-        "_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
-    )
-    mx = m.withColumn("_shard", F.pmod(F.xxhash64("pos"), F.lit(n_shards))).withColumn(
-        "_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    )
+def _nearest_sharded(q: DataFrame, prep: Prepared, batch_rows: int, n_blocks: int = 1) -> DataFrame:
+    """Memory shards against query blocks; the best of the shard winners per query row.
+
+    The queries are written once with a row number of their own, which groups, reduces
+    and joins them whatever their ids are.  A sparse query is sent only to the shards
+    that share a term with it, with the shared terms and its whole norm.
+    """
+    from lexiflow.session import scratch_path
+
+    kind, n_shards, m = prep.kind, prep.n_shards, prep.memory
+    path = scratch_path(q.sparkSession, "memory-queries")
+    q.withColumn("_rk", F.monotonically_increasing_id()).write.parquet(path)
+    q = q.sparkSession.read.parquet(path)
+    shard = F.pmod(F.xxhash64("pos"), F.lit(n_shards)).cast("int")
+    ms = m.withColumn("_shard", shard)
+    block = F.pmod(F.xxhash64("_rk"), F.lit(n_blocks)).cast("int")
+    if kind == "dense":
+        qx = q.withColumn("_blk", block).withColumn("_shard", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
+    else:
+        qx = _shared_terms(q, ms).withColumn("_blk", block)
+    mx = ms.withColumn("_blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    fields = [StructField("_rk", LongType()), StructField("match_pos", LongType()), StructField("match_ord", LongType()), StructField("score", DoubleType())]
+    names = ["qid", "match_pos", "match_ord", "score", *prep.carry]
 
     def run(qpdf: pd.DataFrame, mpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0:
-            return _no_match([])
         state = _dense_state(mpdf) if kind == "dense" else _sparse_state(mpdf)
         step = _block_rows(state, batch_rows)
+        qpdf = qpdf.assign(qid=qpdf["_rk"])
         parts = [_best(state, qpdf.iloc[lo : lo + step]) for lo in range(0, len(qpdf), step)]
-        return pd.concat(parts, ignore_index=True)
-
+        out = pd.concat(parts, ignore_index=True) if parts else _best(state, qpdf)
+        if "match_ord" not in out:
+            out["match_ord"] = out["match_pos"]
+        out = out[names].rename(columns={"qid": "_rk"})
+        return out[out["match_pos"].notna()]
+
+    # both sides come from the memory: fresh column ids keep the grouping keys apart
+    mx = mx.toDF(*mx.columns)
     cand = (
         qx.groupBy("_shard", "_blk")
         .cogroup(mx.groupBy("_shard", "_blk"))
-        .applyInPandas(run, RESULT_SCHEMA)
+        .applyInPandas(run, StructType([*fields, *prep.fields]))
+    )
+    order = Window.partitionBy("_rk").orderBy(F.desc(F.round("score", TIE_DECIMALS)), F.asc("match_pos"), F.asc("match_ord"))
+    best = cand.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
+    return q.select("_rk", "qid").join(best, "_rk", "left")
+
+
+def _shared_terms(q: DataFrame, ms: DataFrame) -> DataFrame:
+    """One row per query and memory shard that share a term: the shared terms, their raw
+    weights and the norm of the whole query."""
+    nrm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda a, w: a + w * w))
+    terms = q.withColumn("nrm", nrm).withColumn("_tw", F.explode(F.arrays_zip("terms", "ws")))
+    terms = terms.select(*[c for c in q.columns if c not in ("terms", "ws")], "nrm", F.col("_tw.terms").alias("term"), F.col("_tw.ws").alias("w"))
+    # a table of its own: the join below must not share columns with the memory side
+    where = ms.select(F.col("_shard").alias("_s"), F.explode("terms").alias("_t")).distinct().select(F.col("_t").alias("term"), F.col("_s").alias("_to"))
+    rest = [c for c in q.columns if c not in ("terms", "ws", "_rk")]
+    sent = terms.join(where, "term").groupBy("_rk", "_to").agg(
+        F.sort_array(F.collect_list(F.struct("term", "w"))).alias("_tw"), F.first("nrm").alias("nrm"), *[F.first(c).alias(c) for c in rest]
     )
-    w = Window.partitionBy("qid").orderBy(
-        F.desc_nulls_last(F.round("score", TIE_DECIMALS)), F.asc_nulls_last("match_pos")
+    return sent.select(
+        "_rk", F.col("_to").alias("_shard"), "nrm", *rest, F.transform("_tw", lambda s: s["term"]).alias("terms"), F.transform("_tw", lambda s: s["w"]).alias("ws")
     )
-    return cand.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
 # ----------------------------------------------------------------------------- helpers

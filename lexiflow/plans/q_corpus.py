@@ -134,7 +134,7 @@ def q_distinct_labels(spark, sf):
     return TB.corpus(spark, sf).select("label").distinct()
 
 
-@register("source_counts", "SELECT source, count(*) AS n FROM documents GROUP BY ROLLUP (source)")
+@register("source_counts", "SELECT source, count(*) AS n, grouping(source) = 1 AS is_total FROM documents GROUP BY ROLLUP (source)")
 def q_source_counts(spark, sf):
     return C.source_counts(TB.table(spark, sf, "documents"), "source")
 

@@ -35,7 +35,7 @@ _WORD_TF = f"tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unn
 
 @register("term_df", f"WITH {_WORD_TF} SELECT term, count(*) AS df FROM tf GROUP BY term")
 def q_term_df(spark, sf):
-    return FE.document_frequency(FE.term_counts(_docs(spark, sf)))
+    return FE.term_df(_docs(spark, sf))
 
 
 _TFIDF_WORDS = f"""WITH {_WORD_TF},
@@ -156,7 +156,7 @@ def q_seq_truncate(spark, sf):
 
 
 _PAD_SQL = f"""WITH {_VOCAB_SQL},
-tr AS (SELECT doc_id, doc_id // 2 AS batch, ids[1:{K.MAX_TRAIN_TOKENS}] AS ids FROM enc),
+tr AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 2 AS batch, ids[1:{K.MAX_TRAIN_TOKENS}] AS ids FROM enc),
 bl AS (SELECT *, ((max(len(ids)) OVER (PARTITION BY batch) + 7) // 8) * 8 AS target FROM tr)"""
 
 
@@ -294,6 +294,19 @@ def q_tfidf_top1(spark, sf):
     return out.select("doc_id", "mem_id", F.round("mem_score", 6).alias("score"))
 
 
+@register(
+    "tfidf_top1_sharded",
+    f"WITH {S.text_memory_ctes(doc_queries_sql())} SELECT q.qid AS doc_id, b.mem_id, round(b.mem_score, 6) AS score "
+    "FROM q LEFT JOIN best b USING (qid)",
+)
+def q_tfidf_top1_sharded(spark, sf):
+    """The same answer from a memory cut into shards and queries cut into blocks."""
+    mem = MEM.TextMemory(TB.memory_texts(spark, sf), force="sharded")
+    mem.prepared().n_shards = 3
+    out = mem.match(TB.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return out.select("doc_id", "mem_id", F.round("mem_score", 6).alias("score"))
+
+
 # ============================================================================ evaluation (AGG-9)
 
 _GOLD_PRED = f"SELECT lang AS gold, {S.lang_rule('text')} AS predicted FROM documents"

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from lexiflow.operators import corpus as C
 from lexiflow.operators import dictionary as D
+from lexiflow.operators import memory as MEM
 from lexiflow.plans import sqlfrag as S
 from lexiflow.plans.q_corpus import _LINES_SQL, _SEQ_LABELS, _split_sql, _PREFIX_CASE
 from lexiflow.plans.registry import DRIVER_PREFIXES, register
 from lexiflow.session import scratch_path
+from lexiflow.sources import artefacts as AR
 from lexiflow.sources import contract as CT
 from lexiflow.sources import csv as CSV
 from lexiflow.sources import lines as LN
@@ -34,15 +36,33 @@ def q_csv_roundtrip(spark, sf):
 
 @register(
     "csv_quarantine",
-    "SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_quarantined FROM documents",
+    """SELECT CAST(sum(CASE WHEN doc_id % 7 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_rows,
+  CAST(sum(CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_padded,
+  CAST(sum(CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_quarantined FROM documents""",
 )
 def q_csv_quarantine(spark, sf):
-    """Strict read of a well-formed export: every row parses, the quarantine is empty."""
-    path = _docs_csv(spark, sf)
-    rows, bad = CSV.read_csv(spark, path, columns=["doc_id", "text", "lang", "source"])
-    flags = rows.select(F.lit(1).alias("good")).unionByName(bad.select(F.lit(0).alias("good")))
+    """An export in which every seventh row has a field too many and every fifth one too
+    few: the long rows are quarantined, the short ones padded with null."""
+    d = TB.table(spark, sf, "documents")
+    two = F.concat_ws(",", F.col("doc_id").cast("string"), "lang")
+    line = F.when(F.col("doc_id") % 7 == 0, F.concat_ws(",", two, "source", F.lit("more"))).when(F.col("doc_id") % 5 == 0, two)
+    body = d.select(line.otherwise(F.concat_ws(",", two, "source")).alias("value"), "doc_id")
+    path = scratch_path(spark, "broken-csv")
+    parts = body.repartition(4, "doc_id")
+
+    def with_header(batches):  # every file of the folder starts with the header
+        import pandas as pd
+
+        yield pd.DataFrame({"value": ["doc_id,lang,source"]})
+        for b in batches:
+            yield b[["value"]]
+
+    parts.mapInPandas(with_header, "value string").write.text(path)
+    rows, bad = CSV.read_csv(spark, path)
+    flags = rows.select(F.lit(1).alias("row"), F.col("source").isNull().cast("int").alias("padded"), F.lit(0).alias("bad"))
+    flags = flags.unionByName(bad.select(F.lit(0).alias("row"), F.lit(0).alias("padded"), F.col("_corrupt_record").isNotNull().cast("int").alias("bad")))
     return flags.agg(
-        F.sum("good").cast("long").alias("n_rows"), F.sum(F.lit(1) - F.col("good")).cast("long").alias("n_quarantined")
+        F.sum("row").cast("long").alias("n_rows"), F.sum("padded").cast("long").alias("n_padded"), F.sum("bad").cast("long").alias("n_quarantined")
     )
 
 
@@ -60,19 +80,54 @@ def q_load_dataset_clean(spark, sf):
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "label", "standard")
 
 
+_CSV_CORPUS_SQL = f"""c AS (SELECT doc_id, {S.clean('text')} AS text, {S.clean('source')} AS standard, lang AS label FROM documents)"""
+
+
 @register(
     "dict_build",
-    """SELECT key, standard, pos FROM (SELECT text AS key, source AS standard, min(doc_id) OVER (PARTITION BY text) AS pos,
-  row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) AS rn FROM documents WHERE text IS NOT NULL) WHERE rn = 1""",
+    f"""WITH {_CSV_CORPUS_SQL}
+SELECT key, standard, first_doc FROM (SELECT text AS key, standard, min(doc_id) OVER (PARTITION BY text) AS first_doc,
+  row_number() OVER (PARTITION BY text ORDER BY doc_id DESC) AS rn FROM c WHERE text IS NOT NULL) WHERE rn = 1""",
 )
 def q_dict_build(spark, sf):
-    """Translator dictionary keyed on the raw text (no normalisation), written as a
-    parquet artefact and read back."""
-    corpus = TB.corpus(spark, sf)
-    d = D.build_dictionary(corpus, key_fn=None, strip_standard=False)
-    path = scratch_path(spark, "dictionary")
-    d.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path).select("key", "standard", "pos")
+    """Export -> CSV -> contract and cleaning -> last-wins dictionary by file position
+    (raw text keys) -> parquet artefact -> read back.  The exported id column tells the
+    row of the first occurrence."""
+    rows = _csv_corpus(spark, sf)
+    d = D.build_dictionary(rows, key_fn=None, strip_standard=False)
+    path = AR.save_table(d, scratch_path(spark, "dictionary"))
+    d = AR.load_table(spark, path)
+    first = rows.select(F.col("doc_id").cast("long").alias("first_doc"), F.col("pos").alias("_pos"))
+    return d.join(first, d["pos"] == first["_pos"]).select("key", "standard", "first_doc")
+
+
+def _csv_corpus(spark, sf):
+    """The documents exported in id order over several CSV files and loaded back."""
+    d = TB.table(spark, sf, "documents").select("doc_id", "text", F.col("lang").alias("label"), F.col("source").alias("standard"))
+    path = scratch_path(spark, "ordered-corpus-csv")
+    CSV.write_csv(d.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id"), path)
+    return CT.load_dataset(spark, path)
+
+
+@register(
+    "memory_from_csv",
+    f"""WITH {S.text_memory_ctes("SELECT doc_id AS qid, text FROM documents")}
+SELECT q.qid AS doc_id, 'item:' || m.mem_id AS standard, round(m.mem_score, 6) AS score FROM q LEFT JOIN best m USING (qid)""",
+)
+def q_memory_from_csv(spark, sf):
+    """Memory items exported as CSV -> contract -> last-wins dictionary -> TF-IDF memory with
+    file positions -> saved, loaded, matched against every document."""
+    items = TB.memory_texts(spark, sf).select("mem_id", "text", F.lit("idiom").alias("label"), "standard")
+    path = scratch_path(spark, "memory-csv")
+    CSV.write_csv(items.repartitionByRange(2, "mem_id").sortWithinPartitions("mem_id"), path)
+    rows = CT.load_dataset(spark, path, clean=False)
+    entries = D.build_dictionary(rows, key_fn=None, strip_standard=False).select(
+        F.col("key").alias("mem_id"), F.col("key").alias("text"), "standard", "pos"
+    )
+    saved = MEM.TextMemory(entries).save(scratch_path(spark, "memory-saved"))
+    memory = MEM.TextMemory.load(spark, saved)
+    out = memory.match(TB.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
+    return out.select("doc_id", F.col("mem_standard").alias("standard"), F.round("mem_score", 6).alias("score"))
 
 
 @register(
@@ -123,32 +178,40 @@ def q_multi_source_load(spark, sf):
     return report.select("source", "status", "rows")
 
 
-@register("ragged_csv", None)
+def _ragged_sql(table: str, key: str) -> str:
+    """Lines without quotes, cut at commas, padded and cut to three columns; blank lines skipped."""
+    cols = ", ".join(f"coalesce(nullif(p[{i}], ''), '') AS {c}" for i, c in enumerate(("text", "label", "standard"), 1))
+    return f"""SELECT {cols} FROM (SELECT string_split(line, ',') AS p FROM (
+  SELECT replace(unnest(CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) END), '"', '') AS line
+  FROM {table}) WHERE line <> '')"""
+
+
+def _ragged_file(spark, sf, table: str, key: str) -> str:
+    lines = C.lines_of(TB.table(spark, sf, table), key, "text")
+    path = scratch_path(spark, f"ragged-{table}")
+    lines.select(F.translate("before", '"', "").alias("value")).write.text(path)
+    return path
+
+
+@register("ragged_csv", _ragged_sql("documents", "doc_id"))
 def q_ragged_csv(spark, sf):
     """Document lines written as raw text, read back as a ragged 3-column CSV
     (short rows padded with '', long rows cut, empty lines skipped)."""
-    lines = C.lines_of(TB.table(spark, sf, "documents"), "doc_id", "text")
-    path = scratch_path(spark, "ragged")
-    lines.select(F.col("before").alias("value")).write.mode("overwrite").text(path)
-    return CSV.read_ragged_csv(spark, path, header=False).select("text", "label", "standard")
+    return CSV.read_ragged_csv(spark, _ragged_file(spark, sf, "documents", "doc_id"), header=False).select("text", "label", "standard")
 
 
-@register("ragged_merge", None)
+@register("ragged_merge", f"{_ragged_sql('documents', 'doc_id')} UNION ALL {_ragged_sql('conversations', 'conv_id')}")
 def q_ragged_merge(spark, sf):
     """Two ragged files (document lines, conversation lines) repaired, merged in
     source order and written as one headered CSV; the merged file is read back."""
-    doc_lines = C.lines_of(TB.table(spark, sf, "documents"), "doc_id", "text")
-    conv_lines = C.lines_of(TB.table(spark, sf, "conversations"), "conv_id", "text")
-    a, b = scratch_path(spark, "ragged-a"), scratch_path(spark, "ragged-b")
-    doc_lines.select(F.col("before").alias("value")).write.mode("overwrite").text(a)
-    conv_lines.select(F.col("before").alias("value")).write.mode("overwrite").text(b)
+    a, b = _ragged_file(spark, sf, "documents", "doc_id"), _ragged_file(spark, sf, "conversations", "conv_id")
     merged = C.union_corpora(
         [("a", CSV.read_ragged_csv(spark, a, header=False, source_rank=0)), ("b", CSV.read_ragged_csv(spark, b, header=False, source_rank=1))]
     )
     out = scratch_path(spark, "ragged-merged")
     CSV.write_csv(merged.select("text", "label", "standard"), out)
-    back, _ = CSV.read_csv(spark, out, na_tokens=None)
-    return back.select("text", "label", "standard")
+    back, _ = CSV.read_csv(spark, out, na_tokens=None, ignore_leading_ws=False)
+    return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "label", "standard")])
 
 
 @register("row_positions", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_no FROM documents")

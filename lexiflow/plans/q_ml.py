@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from lexiflow.operators import classify as CL
+from lexiflow.operators import features as FE
 from lexiflow.operators import memory as MEM
 from lexiflow.operators import report as RP
 from lexiflow.operators import sampling as SM
@@ -76,31 +75,29 @@ def q_variant_predict(spark, sf):
 
 
 DIM = 64
+_BUCKET = f"CAST(('0x' || substr(md5(gram), 1, 4)) AS INTEGER) % {DIM}"
 
 
-def hashing_encoder(batches):
-    """Example user encoder hook: hashed character trigram counts, 64 dimensions.
+def _trigram_sql(table: str, key: str) -> str:
+    return f"""SELECT k, {_BUCKET} AS b, count(*) AS n FROM (
+  SELECT k, substr(s, i, 3) AS gram FROM (SELECT k, s, unnest(range(1, length(s) - 1)) AS i FROM (
+    SELECT {key} AS k, ' ' || lower(text) || ' ' AS s FROM {table} WHERE text IS NOT NULL))) GROUP BY ALL"""
 
-    Runs per Arrow batch inside ``mapInPandas``; any sentence encoder with the same
-    (text -> vector) contract can be plugged in instead.
-    """
-    for pdf in batches:
-        vecs = []
-        for t in pdf["text"].fillna(""):
-            v = np.zeros(DIM, dtype=np.float32)
-            s = f" {t.lower()} "
-            for i in range(len(s) - 2):
-                v[hash(s[i : i + 3]) % DIM] += 1.0
-            vecs.append(v)
-        yield pd.DataFrame({"id": pdf["id"], "vec": vecs, "pos": pdf["pos"]})
 
-
-@register("encode_hook", None)
+@register(
+    "encode_hook",
+    f"""WITH m AS ({_trigram_sql('benchmark', 'item_id')}), q AS ({_trigram_sql('documents', 'doc_id')}),
+mn AS (SELECT k, sqrt(sum(n * n)) AS nrm FROM m GROUP BY k), qn AS (SELECT k, sqrt(sum(n * n)) AS nrm FROM q GROUP BY k),
+p AS (SELECT q.k AS qk, m.k AS mk, sum(q.n * m.n) AS dot FROM q JOIN m USING (b) GROUP BY ALL),
+r AS (SELECT qk, mk, dot / (qn.nrm * mn.nrm) AS score FROM p JOIN qn ON qn.k = qk JOIN mn ON mn.k = mk),
+z AS (SELECT qk, mk, score, row_number() OVER (PARTITION BY qk ORDER BY round(score, 12) DESC, mk) AS rn FROM r)
+SELECT d.doc_id, z.mk AS match_id, round(z.score, 6) AS score FROM documents d LEFT JOIN z ON z.qk = d.doc_id AND rn = 1""",
+)
 def q_encode_hook(spark, sf):
-    """Memory and queries encoded by a batch hook, then exact cosine top-1."""
-    mem_in = TB.memory_texts(spark, sf).select(F.col("mem_id").alias("id"), "text", "pos")
-    mem = mem_in.mapInPandas(hashing_encoder, "id long, vec array<float>, pos long")
+    """Memory and queries encoded as hashed character trigram counts by Spark itself, then
+    exact cosine top-1.  Any encoder with the same (id, vec, pos) contract can take its
+    place, also a batch hook (``mapInPandas``) around a foreign model."""
+    mem = TB.memory_texts(spark, sf).select(F.col("mem_id").alias("id"), "text", "pos")
     docs = TB.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("doc_id").alias("pos"))
-    qv = docs.mapInPandas(hashing_encoder, "id long, vec array<float>, pos long")
-    best = MEM.VectorMemory(mem).match(qv)
+    best = MEM.VectorMemory(FE.hashed_trigrams(mem, DIM)).match(FE.hashed_trigrams(docs, DIM))
     return best.select(F.col("qid").cast("long").alias("doc_id"), "match_id", F.round("score", 6).alias("score"))

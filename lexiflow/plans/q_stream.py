@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
+from lexiflow import constants as K
 from lexiflow.functions import text as T
+from lexiflow.operators import dictionary as D
 from lexiflow.plans.q_route import ROUTE_COLS, _RT2_SQL, _dictionary, _memory, route_idiom_lookup_df
 from lexiflow.plans.registry import register
 from lexiflow.session import scratch_path
@@ -13,25 +17,32 @@ from lexiflow.streaming import router as SR
 
 @register("stream_route", _RT2_SQL)
 def q_stream_route(spark, sf):
-    """Incoming texts land as several files; the stream routes every micro-batch
-    (memory -> classifier -> lookup -> placeholder) and appends to a parquet sink.
-    The sink equals the batch route of the same input."""
+    """Incoming texts land as several files, among them stop-marker rows; the stream drops
+    these, routes every micro-batch (memory -> classifier -> lookup -> placeholder) and
+    appends to a parquet sink.  The sink equals the batch route of the same input."""
     src = scratch_path(spark, "stream-in")
     sink = scratch_path(spark, "stream-out")
     ckpt = scratch_path(spark, "stream-ckpt")
-    TB.route_input(spark, sf).repartition(4).write.mode("overwrite").parquet(src)
-
-    # static sides built once and shared by every micro-batch
+    rows = TB.route_input(spark, sf)
+    stops = TB.user_turns(spark, sf).select(
+        F.concat(F.lit("stop:"), F.col("conv_id").cast("string")).alias("id"),
+        F.concat(F.lit(" "), F.upper(F.lit(K.STOP_MARKER)), F.lit(" ")).alias("text"),
+        F.lit("en").alias("requested_label"),
+    )
+    rows.unionByName(stops).repartition(4).write.mode("overwrite").parquet(src)
+
+    # static sides built once and shared by every micro-batch; a batch takes from the
+    # stored dictionary only the entries it may ask for
     memory = _memory(spark, sf)
     memory.prepared()
-    lookup = _dictionary(spark, sf, T.normalize_text).persist()
+    path = scratch_path(spark, "stream-dictionary")
+    D.with_digest(_dictionary(spark, sf, T.normalize_text)).write.parquet(path)
+    stored = spark.read.parquet(path)
 
     def route_batch(batch):
+        lookup = D.restrict(stored, batch)
         return route_idiom_lookup_df(spark, sf, batch, memory, lookup).select(*ROUTE_COLS)
 
     query = SR.start_router(spark, src, sink, ckpt, route_batch, max_files_per_trigger=2)
-    try:
-        SR.run_to_completion(query)
-    finally:
-        lookup.unpersist()  # the result is read back from the sink
+    SR.run_to_completion(query)
     return spark.read.parquet(sink).select(*ROUTE_COLS)

@@ -1,8 +1,9 @@
 """CSV corpora: strict headered read with quarantine, ragged read, and write.
 
-* strict: explicit string schema, RFC-4180 quotes with doubled-quote escapes,
-  multi-line fields.  ``mode='strict'`` fails fast on a malformed row; the
-  default keeps reading and returns malformed rows in a quarantine frame.
+* strict: columns bound by the names in the header, RFC-4180 quotes with doubled-quote
+  escapes, multi-line fields.  A row with too few fields is padded with nulls; a row
+  with too many goes to a quarantine frame (``mode='strict'`` fails fast on either).
+  Files of one folder must agree on their header.
 * ragged: no schema contract; rows are padded with ``''`` / cut to the column
   count, empty lines are skipped, and the header line is optionally kept as data.
 
@@ -41,45 +42,62 @@ def _position(df: DataFrame, source_rank: int = 0) -> DataFrame:
     )
 
 
+def csv_header(spark: SparkSession, path: str) -> list[str]:
+    """Column names from a CSV header (reads the first line only)."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
-    columns: list[str] = CORPUS_COLUMNS,
+    columns: list[str] | None = None,
     mode: str = "permissive",
     na_tokens: list[str] | None = K.NA_TOKENS,
     source_rank: int = 0,
     ignore_leading_ws: bool = True,
+    multiline: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Strict headered CSV -> (rows, quarantine).
+    """Headered CSV -> (rows, quarantine).
 
-    ``mode``: ``permissive`` (quarantine malformed rows), ``dropmalformed`` or
-    ``strict`` (fail fast).  NA tokens become null in every column.
+    ``columns``: the columns to keep, by name (default: all, in file order); a name that
+    the header lacks is an error.  ``mode``: ``permissive`` (pad short rows, quarantine
+    long ones), ``dropmalformed`` or ``strict`` (fail fast).  NA tokens become null in
+    every column.  ``multiline=False`` promises that no field holds a newline: a large
+    file is then read by many tasks, otherwise each file by one.
     """
+    header = csv_header(spark, path)
+    absent = [c for c in columns or [] if c not in header]
+    if absent:
+        raise ValueError(f"columns not in the header: {absent}")
     spark_mode = {"permissive": "PERMISSIVE", "dropmalformed": "DROPMALFORMED", "strict": "FAILFAST"}[mode]
+    corrupt = "_corrupt_record"
     reader = (
-        spark.read.schema(string_schema(columns, corrupt=spark_mode == "PERMISSIVE"))
+        spark.read.schema(string_schema(header, corrupt=spark_mode == "PERMISSIVE"))
         .option("header", True)
-        .option("multiLine", True)
+        .option("enforceSchema", False)  # a file with another header order raises
+        .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", spark_mode)
         .option("ignoreLeadingWhiteSpace", ignore_leading_ws)
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
+        .option("columnNameOfCorruptRecord", corrupt)
     )
     raw = _position(reader.csv(path), source_rank)
     if spark_mode != "PERMISSIVE":
-        rows = raw
-        quarantine = raw.limit(0)
+        rows, quarantine = raw, spark.createDataFrame([], "_corrupt_record string").withColumn("pos", F.lit(None).cast(raw.schema["pos"].dataType))
     else:
-        # the reader rejects plans that need only the corrupt-record column (a
-        # quarantine count prunes to it), so the parsed rows are persisted once and
-        # both outputs read that copy (the documented way to query the column)
-        raw = raw.persist()
-        rows = raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-        quarantine = raw.where(F.col("_corrupt_record").isNotNull()).select("_corrupt_record", "pos")
-    if na_tokens:
-        rows = rows.select(*[T.na_to_null(c, na_tokens).alias(c) if c in columns else F.col(c) for c in rows.columns])
-    return rows, quarantine
+        # a flagged record is parsed again with one more column: only a long row fills it.
+        # An absent field is null there; an empty one is not.
+        again = string_schema([*header, "_overflow"], corrupt=False)
+        options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "nullValue": "\u0001", "emptyValue": "", "multiLine": "true"}
+        long = F.from_csv(F.col(corrupt), F.lit(again.toDDL()), options)["_overflow"].isNotNull()
+        # the reader refuses plans that need only the corrupt-record column
+        flagged = F.col(corrupt).isNotNull() & long & (F.length(F.coalesce(F.col(f"`{header[0]}`"), F.lit(""))) >= 0)
+        rows = raw.where(~F.coalesce(flagged, F.lit(False))).drop(corrupt)
+        quarantine = raw.where(flagged).select(corrupt, "pos", F.col(f"`{header[0]}`").alias("_first")).drop("_first")
+    keep = columns or header
+    value = lambda c: T.na_to_null(c, na_tokens).alias(c) if na_tokens else F.col(c)
+    return rows.select(*[value(c) for c in keep], "pos"), quarantine
 
 
 def read_ragged_csv(
@@ -88,16 +106,20 @@ def read_ragged_csv(
     columns: list[str] = CORPUS_COLUMNS,
     header: bool = True,
     source_rank: int = 0,
+    multiline: bool = True,
 ) -> DataFrame:
     """Ragged CSV: pad short rows with '' and cut long ones to ``len(columns)``.
 
-    ``header=False`` reproduces a reader that keeps the header line as a data row.
+    ``header=False`` reproduces a reader that keeps the header line as a data row.  A
+    quoted field may hold newlines; ``multiline=False`` promises that none does and lets
+    a large file be read by many tasks.
     """
     n = len(columns)
     names = [f"_c{i}" for i in range(n)]
     raw = (
         spark.read.schema(string_schema(names, corrupt=False))
         .option("header", header)
+        .option("multiLine", multiline)
         .option("quote", '"')
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
@@ -114,5 +136,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("header", True)
         .option("quoteAll", True)
         .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
         .csv(path)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiflow import constants as K
@@ -12,16 +12,28 @@ from lexiflow.operators import corpus as C
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file_path, line_no, before): one row per line, trailing newline removed.
 
-    ``line_no`` is the line index inside its file (from an orderable row id);
-    ``wholetext`` is not used so a file never has to fit one row.
+    ``line_no`` counts the lines of a file from 0.  Lines of one split have consecutive
+    row ids; a small table with the first row id and the number of lines of every split
+    (as many rows as splits, so it is broadcast) turns them into line numbers.  No file
+    has to fit one row or one task.
     """
     raw = spark.read.text(path).select(
         F.col("value").alias("before"),
         F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
+        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_row"),
     )
-    return raw
+    splits = raw.groupBy("file_path", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_gone", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    out = raw.join(F.broadcast(splits.drop("_n")), ["file_path", "_block"])
+    return out.select("file_path", (F.col("_gone") + F.col("_row") - F.col("_first")).alias("line_no"), "before")
+
+
+def preview(spark: SparkSession, path: str, first_lines: int = 10) -> DataFrame:
+    """Changed lines among the first lines of each file: (file_path, line_no, before, after)."""
+    cleaned = C.line_cleanup(read_lines(spark, path))
+    return C.change_preview(cleaned, first_lines).select("file_path", "line_no", "before", "after")
 
 
 def write_lines(df: DataFrame, path: str, col: str = "after", mode: str = "overwrite") -> None:
@@ -36,7 +48,7 @@ def suffixed(path: str, suffix: str = K.LINE_FILE_SUFFIX) -> str:
 def cleanup_job(spark: SparkSession, path: str, out_path: str | None = None) -> DataFrame:
     """Read lines -> remove dots -> collapse white space -> write next to the input
     with the suffix -> return the (lines, changed) report."""
-    lines = read_lines(spark, path)
+    lines = spark.read.text(path).select(F.col("value").alias("before"))  # the report needs no line numbers
     cleaned = C.line_cleanup(lines)
     write_lines(cleaned, out_path or suffixed(path))
     return C.line_cleanup_report(cleaned)

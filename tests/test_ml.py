@@ -1,10 +1,9 @@
-"""ML-1/2: logistic regression objective equals an L2 (C=1) Newton solve; balanced weights."""
+"""ML-1/2: the classifier equals an L2 (C=1) Newton solve on its features; balanced weights."""
+
+import warnings
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors
-
 from lexiflow.operators import classify as CL
 from lexiflow.operators import features as FE
 
@@ -25,22 +24,42 @@ def _newton(X, y, w=None, iters=50):
 
 
 @pytest.mark.parametrize("balanced", [False, True])
-def test_lr_matches_newton(spark, balanced):
+def test_classifier_matches_newton_on_sparse_tfidf(spark, balanced):
+    """The whole pipeline against a Newton solve on the same TF-IDF rows; twice the same."""
     rng = np.random.default_rng(3)
-    X = rng.normal(size=(40, 3))
-    y = (X[:, 0] + 0.5 * rng.normal(size=40) > 0.6).astype(float)
-    w = np.ones(40)
-    if balanced:
-        n1 = y.sum()
-        w = np.where(y == 1, 40 / (2 * n1), 40 / (2 * (40 - n1)))
-    df = spark.createDataFrame([(Vectors.dense(x), float(t), float(v)) for x, t, v in zip(X, y, w)], ["f", "y", "w"])
-    lr = LogisticRegression(featuresCol="f", labelCol="y", regParam=1 / 40, elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-10)
-    if balanced:
-        lr = lr.setWeightCol("w")
-    m = lr.fit(df)
+    words = [f"word{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        lab = "a" if i % 3 else "b"
+        own = words[:25] if lab == "a" else words[15:]
+        rows.append((i, " ".join(rng.choice(own, size=int(rng.integers(2, 9)))), lab))
+    df = spark.createDataFrame(rows, "id long, text string, label string").repartition(3)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", CL.NotConverged)
+        model, again = (CL.fit_variant_classifier(df, balanced=balanced, tol=1e-8) for _ in range(2))
+    vec = model.transform(df).select("id", "_features", "label").orderBy("id").collect()
+    X = np.array([r["_features"].toArray() for r in vec])
+    y = np.array([r["label"] == "b" for r in vec], float)
+    n = len(y)
+    w = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum()))) if balanced else np.ones(n)
+    lr, lr2 = model.stages[4], again.stages[4]
+    coef = lr.coefficientMatrix.toArray()
+    assert np.array_equal(coef, lr2.coefficientMatrix.toArray())
     beta = _newton(X, y, w)
-    assert np.allclose(m.coefficients.toArray(), beta[:-1], atol=1e-4)
-    assert m.intercept == pytest.approx(beta[-1], abs=1e-4)
+    margin = coef[1] - coef[0]
+    assert np.allclose(margin, beta[:-1], atol=1e-4)
+    bias = lr.interceptVector.toArray()
+    assert bias[1] - bias[0] == pytest.approx(beta[-1], abs=1e-4)
+
+
+def test_classifier_reports_an_unconverged_fit_and_refuses_what_cannot_be_held(spark, monkeypatch):
+    rows = [(i, f"alpha beta w{i}", "x" if i % 2 else "y") for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    with pytest.warns(CL.NotConverged):
+        CL.fit_variant_classifier(df, max_iter=1, tol=1e-12)
+    monkeypatch.setattr(CL, "MAX_COEFFICIENTS", 10)
+    with pytest.raises(ValueError):
+        CL.fit_variant_classifier(df)
 
 
 def test_class_weights(spark):

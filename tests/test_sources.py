@@ -40,7 +40,9 @@ def test_strict_csv_permissive_quarantine(spark, tmp_dir):
     assert ("iki\nsatır", "deyim", "iki satır") in got
     assert ("yalnız", "tırnaklı, alan", "x") in got  # leading blank skipped, quoted field parsed
     assert (None, None, None) in got  # NA tokens -> null
-    assert bad.count() == 2  # the 2-field and 4-field rows are quarantined
+    assert ("iki alan", "osmanlica", None) in got  # a short row is padded
+    assert bad.count() == 1  # the 4-field row is quarantined
+    assert [r._corrupt_record for r in bad.collect()] == ["bir,iki,üç,dört"]
 
 
 def test_strict_csv_failfast(spark, tmp_dir):
@@ -83,8 +85,8 @@ def test_multi_source_skip_rules(spark, tmp_dir):
     bad = _write(tmp_dir, "bad.csv", "text,other\na,b\n")
     union, report = CT.load_sources(spark, [("good", good), ("bad", bad), ("gone", os.path.join(tmp_dir, "nope.csv"))])
     assert union.count() == 1
-    rep = {r.source: (r.status, r.rows) for r in report.collect()}
-    assert rep == {"good": ("loaded", 1), "bad": ("bad header", None), "gone": ("missing", None)}
+    rep = {r.source: (r.status, r.rows, r.quarantined) for r in report.collect()}
+    assert rep == {"good": ("loaded", 1, 0), "bad": ("bad header", None, None), "gone": ("missing", None, None)}
     with pytest.raises(CT.ContractError):
         CT.load_sources(spark, [("bad", bad)])
 
@@ -113,3 +115,75 @@ def test_artefacts_missing(spark, tmp_dir):
         AR.load_model(spark, os.path.join(tmp_dir, "none"))
     t = AR.save_table(spark.range(3).withColumn("k", F.col("id") * 2), os.path.join(tmp_dir, "tbl"))
     assert AR.load_table(spark, t).count() == 3
+
+
+def test_columns_are_bound_by_header_name(spark, tmp_dir):
+    p = _write(tmp_dir, "order.csv", "label,text,standard\nLAB,TXT,STD\n")
+    rows, bad = CSV.read_csv(spark, p, columns=["text", "label", "standard"])
+    assert [(r.text, r.label, r.standard) for r in rows.collect()] == [("TXT", "LAB", "STD")]
+    assert bad.count() == 0
+    with pytest.raises(ValueError):
+        CSV.read_csv(spark, p, columns=["text", "absent"])
+
+
+def test_folder_with_another_header_order_raises(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "mixed")
+    os.makedirs(d)
+    _write(d, "a.csv", "text,label\n1,2\n")
+    _write(d, "b.csv", "label,text\n3,4\n")
+    with pytest.raises(Exception):
+        CSV.read_csv(spark, d)[0].collect()
+
+
+def test_short_rows_stay_long_rows_are_counted(spark, tmp_dir):
+    p = _write(tmp_dir, "r.csv", "text,label,standard\na,b,c\nd,e\nf,g,h,i\nj,k,\n")
+    rows, bad = CT.load_dataset(spark, p, clean=False, with_quarantine=True)
+    assert sorted((r.text, r.standard) for r in rows.collect()) == [("a", "c"), ("d", None), ("j", None)]
+    assert bad.count() == 1
+    other = _write(tmp_dir, "o.csv", "text,label,more\nx,y,z\n")
+    union, report = CT.load_sources(spark, [("r", p), ("o", other)])
+    assert {(r.source, r.rows, r.quarantined) for r in report.collect()} == {("r", 3, 1), ("o", 1, 0)}
+    kept = {(r.text, r.standard, r.more) for r in union.collect()}
+    assert kept == {("a", "c", None), ("d", None, None), ("j", None, None), ("x", None, "z")}
+
+
+def test_ragged_reader_keeps_quoted_newlines(spark, tmp_dir):
+    p = _write(tmp_dir, "q.csv", '"a\nb",x,y\nc\n')
+    got = [(r.text, r.label, r.standard) for r in CSV.read_ragged_csv(spark, p, header=False).orderBy("pos").collect()]
+    assert got == [("a\nb", "x", "y"), ("c", "", "")]
+
+
+def test_line_numbers_and_preview_of_files(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "many")
+    os.makedirs(d)
+    _write(d, "a.txt", "".join(f"a. {i}\n" for i in range(2000)))
+    _write(d, "b.txt", "x\ny.\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # several splits of one file
+    try:
+        got = LN.read_lines(spark, d).collect()
+        a = {r.line_no: r.before for r in got if r.file_path.endswith("a.txt")}
+        assert a == {i: f"a. {i}" for i in range(2000)}
+        shown = LN.preview(spark, d, 3).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((os.path.basename(r.file_path), r.line_no, r.after) for r in shown) == [
+        ("a.txt", 0, "a 0"), ("a.txt", 1, "a 1"), ("a.txt", 2, "a 2"), ("b.txt", 1, "y"),
+    ]
+
+
+def test_csv_dictionary_memory_saved_and_loaded(spark, tmp_dir):
+    from lexiflow.operators import dictionary as D
+    from lexiflow.operators import memory as MEM
+
+    p = _write(tmp_dir, "m.csv", "text,label,standard\nbreak a leg,i,old\nbite the bullet,i,b\nbreak a leg,i,new\n")
+    rows = CT.load_dataset(spark, p)
+    d = D.build_dictionary(rows, key_fn=None)
+    entries = d.select(F.col("key").alias("mem_id"), F.col("key").alias("text"), "standard", "pos")  # a struct position
+    path = MEM.TextMemory(entries).save(os.path.join(tmp_dir, "memory"))
+    memory = MEM.TextMemory.load(spark, path)
+    q = spark.createDataFrame([(1, "Break a leg"), (2, "the bullet"), (3, "zzz")], "id long, text string")
+    assert {r.id: r.mem_standard for r in memory.match(q).collect()} == {1: "new", 2: "b", 3: None}
+    assert MEM.TextMemory.load(spark, os.path.join(tmp_dir, "none"), optional=True) is None
+    with pytest.raises(FileNotFoundError):
+        MEM.TextMemory.load(spark, os.path.join(tmp_dir, "none"))
