@@ -1,11 +1,11 @@
 """Quality rules: a linear-chain conditional random field labels lines.
 
-Every line with a word is content or boilerplate.  Viterbi decoding of a two-label
-chain over line features labels the lines of a document; the share of its words on
-content lines decides whether it is kept.  The field is fitted on a bounded sample of
-labelled documents (``per_class`` of each label, by hash order of the id): the lines of
-a good document are content unless they repeat an earlier line of it, those of a bad
-document are boilerplate.
+Every line with a word is content or boilerplate.  A line that repeats an earlier line of
+its document is boilerplate; Viterbi decoding of a two-label chain over line features
+labels the others, and the share of a document's words on content lines decides whether it
+is kept.  The field is fitted on a bounded sample of labelled documents (``per_class`` of
+each label, by hash order of the id): their lines count as content in a good document, as
+boilerplate in a bad one.
 
 Defined results: a null or empty text has no word and fails the base rules; words are
 ``[^\\x20\\x09-\\x0D]+``; repeated rows get the same verdict each; without labelled rows
@@ -40,7 +40,7 @@ FIELDS = T.StructType([
 
 _SYM = np.zeros(256, bool)
 _SYM[list(SYMBOLS)] = True
-N_FEATURES = 15
+N_FEATURES = 16
 
 
 def repeat_cover(word: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -111,11 +111,22 @@ class Lines:
         if len(code) > 1:
             dup[order[1:]] = (code[order][1:] == code[order][:-1]) & (self.doc[order][1:] == self.doc[order][:-1])
         self.dup = dup
+        twin = dup.copy()  # equal to any other line of its document
+        if len(code) > 1:
+            twin[order[:-1]] |= dup[order[1:]]
         self.n_dup_lines = np.bincount(self.doc[dup], minlength=n_docs)
         self.first_line = np.searchsorted(self.doc, np.arange(n_docs + 1))
-        self.x = self._features(buf, points, sym, begin, stop, lead, word, cover) if len(lead) else np.zeros((0, N_FEATURES), np.float32)
+        self.chain = np.flatnonzero(~dup)
+        self.first_link = np.searchsorted(self.doc[self.chain], np.arange(n_docs + 1))
+        self.x = self._features(buf, points, sym, begin, stop, lead, word, cover, twin) if len(lead) else np.zeros((0, N_FEATURES), np.float32)
+
+    def labels(self, field: LineField) -> np.ndarray:
+        """1 for boilerplate, per line: repeated lines, and what the chain says of the others."""
+        out = np.ones(len(self.doc), np.int8)
+        out[self.chain] = field.viterbi(self.x[self.chain], self.first_link)
+        return out
 
-    def _features(self, buf, points, sym, begin, stop, lead, word, cover) -> np.ndarray:
+    def _features(self, buf, points, sym, begin, stop, lead, word, cover, twin) -> np.ndarray:
         def span(flags):
             total = np.zeros(len(flags) + 1, np.int64)
             np.cumsum(flags, out=total[1:])
@@ -132,16 +143,19 @@ class Lines:
         ends = np.append(lead[1:], len(word))
         total = np.zeros(len(word) + 1, np.int64)
         np.cumsum(cover, out=total[1:])
-        repeated = (total[ends] - total[lead]) / self.words
+        # a repeated line says so by itself; here count the repeats of other lines
+        repeated = np.where(twin, 0, (total[ends] - total[lead]) / self.words)
         order = np.lexsort((word, lines))
         fresh = np.ones(len(word), bool)
         fresh[1:] = (word[order][1:] != word[order][:-1]) | (lines[order][1:] != lines[order][:-1])
         distinct = np.bincount(lines[order][fresh], minlength=len(lead)) / self.words
         mean = chars / self.words
+        plain = (symbols <= 0.02) & (upper <= 0.3) & (repeated <= 0.3) & ~twin
         f = [
             np.ones(len(lead)), symbols > 0.02, symbols > 0.08, symbols > 0.2, upper > 0.3, upper > 0.7,
             digits > 0.2, shouts > 0.3, repeated > 0.3, repeated > 0.7, (distinct < 0.6) & (self.words >= 8),
-            (distinct < 0.35) & (self.words >= 8), self.dup, (mean > 14), self.words < 4,
+            (distinct < 0.35) & (self.words >= 8), (mean > 14), self.words < 4,
+            plain & (self.words >= 8), plain & (self.words >= 30),
         ]
         return np.column_stack(f).astype(np.float32)
 
@@ -237,9 +251,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
             for part, text in C.slices(batch, 1):
                 ls = Lines(text)
                 bad = part.column(2).to_numpy(zero_copy_only=False) == 0
-                y = bad[ls.doc] | ls.dup
-                rows = np.packbits(ls.x.astype(bool), axis=1)
-                cut = ls.first_line
+                y = bad[ls.doc[ls.chain]]
+                rows = np.packbits(ls.x[ls.chain].astype(bool), axis=1)
+                cut = ls.first_link
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
@@ -274,7 +288,7 @@ def judge(docs: DataFrame, field: LineField, text_col: str = "text", into: str =
 
         def kernel(text):
             ls = Lines(text)
-            label = own.viterbi(ls.x, ls.first_line)
+            label = ls.labels(own)
             content = C.per_doc(np.where(label == 0, ls.words, 0), ls.first_line)
             share = content / np.maximum(ls.n_words, 1)
             failed = base_failed(ls.n_words, ls.n_repeat_words)
@@ -297,7 +311,7 @@ def label_lines(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_
         for batch in batches:
             for part, text in C.slices(batch, 1):
                 ls = Lines(text)
-                label = own.viterbi(ls.x, ls.first_line)
+                label = ls.labels(own)
                 number = np.arange(len(ls.doc)) - ls.first_line[ls.doc]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(ls.doc)), pa.array(number), pa.array(ls.words), pa.array(label == 0)],
