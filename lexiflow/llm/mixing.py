@@ -193,19 +193,20 @@ def nullable_ids(t: pa.Table) -> pd.DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a document of which the mix takes a word stays, twice if it takes more
-    than one and a half times its words."""
+    """The mix in whole documents: a document stays as often as the mix takes its words, the
+    part of a copy rounded up or down by a seeded hash, so that the sources' words come
+    near their targets.  Documents without a word go."""
     C.prepare(spark)
     own = C.fresh(docs, "_row")
     marked = docs.withColumn(own, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     taken = mix(marked, key=F.col(own))
     # wholly equal rows have one key and interchangeable amounts: shared evenly
-    plan_ = taken.groupBy("key", "id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s"))
-    plan_ = plan_.where("t > 0").select(
-        F.col("key").alias(f"{own}_k"), F.col("id").alias(f"{own}_i"), F.when(F.col("t") > 1.5 * F.col("s"), 2).otherwise(1).alias(f"{own}_n")
-    )
+    chance = F.pmod(F.xxhash64(F.lit(SEED + 1), "key", "id"), F.lit(1 << 20)) / (1 << 20)
+    times = taken.groupBy("key", "id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).where("s > 0")
+    times = times.withColumn("n", F.floor(F.col("t") / F.col("s") + chance).cast("int")).where("n > 0")
+    times = times.select(F.col("key").alias(f"{own}_k"), F.col("id").alias(f"{own}_i"), F.col("n").alias(f"{own}_n"))
     on = (F.col(own) == F.col(f"{own}_k")) & marked["doc_id"].eqNullSafe(F.col(f"{own}_i"))
-    out = marked.join(plan_, on)
+    out = marked.join(times, on)
     out = out.withColumn(f"{own}_e", F.explode(F.sequence(F.lit(1), F.col(f"{own}_n"))))
     return out.select(*[f"`{c}`" for c in docs.columns])
 

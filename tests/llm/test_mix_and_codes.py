@@ -62,6 +62,26 @@ def test_mix(spark, sf_dir):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_mix_stage_meets_the_targets_in_whole_documents(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 60)), "en", "abc"[i % 3] if i % 4 else "a", 0) for i in range(3000)]
+    d = spark.createDataFrame([*rows, (3000, None, "en", "a", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = mixing.stage(spark, d, "")
+    assert out.columns == d.columns
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(r[1].split())
+    goal = dict(zip("abc", capped([size[s] for s in "abc"], [3, 1, 2], 1.5 * sum(size.values())), strict=True))
+    got, times = Counter(), Counter()
+    for r in out.collect():
+        got[r.source] += len(r.text.split())
+        times[r.doc_id] += 1
+    assert all(abs(got[s] - goal[s]) < 0.06 * goal[s] for s in "abc")
+    assert max(times.values()) <= 2 and 3000 not in times
+
+
 def test_sainte_lague_is_highest_quotients():
     rng = np.random.default_rng(1)
     for _ in range(50):
