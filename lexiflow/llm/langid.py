@@ -111,7 +111,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                         a, b = held[name]
                         u, inv = np.unique(np.concatenate([a, u]), return_inverse=True)
                         n = np.bincount(inv, np.concatenate([b, n]), len(u)).astype(np.int64)
-                    if len(u) > 1_000_000:  # bounded memory: pass on what is held
+                    if len(u) > 300_000:  # bounded memory: pass on what is held
                         yield from out(name, u, n)
                         u, n = u[:0], n[:0]
                     held[name] = (u, n)
@@ -126,7 +126,7 @@ def gram_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
             )
 
     src = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
-    return src.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return src.mapInArrow(C.task(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 class LanguageFilters:

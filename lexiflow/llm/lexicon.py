@@ -221,7 +221,7 @@ def piece_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 n = np.bincount(code, minlength=len(distinct))
                 yield pa.RecordBatch.from_arrays([distinct, pa.array(n.astype(np.int64))], names=["piece", "n"])
 
-    return docs.select(text_col).mapInArrow(run, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).mapInArrow(C.task(run), "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
 def build(docs: DataFrame, file: str, words: int = LEXICON_WORDS, text_col: str = "text") -> Transducer:
@@ -292,7 +292,7 @@ def decode(df: DataFrame, file: str, ids_col: str = "ids", into: str = "decoded"
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, text], names=[*batch.schema.names, into])
                 a = b
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(C.task(run), schema)
 
 
 def default_file() -> str:

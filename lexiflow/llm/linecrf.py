@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
                     names=["id", "x", "y"],
                 )
 
-    rows = chosen.select("_id", "_text", "_y").mapInArrow(features, "id long, x binary, y binary").collect()
+    rows = chosen.select("_id", "_text", "_y").mapInArrow(C.task(features), "id long, x binary, y binary").collect()
     rows.sort(key=lambda r: (r["id"], r["x"]))
     rows = [r for r in rows if len(r["y"])]
     if not rows or len({b for r in rows for b in r["y"]}) < 2:
@@ -319,7 +319,7 @@ def label_lines(docs: DataFrame, field: LineField, id_col: str = "doc_id", text_
                 )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {id_type}, line_no long, n_words long, content boolean")
+    return docs.select(id_col, text_col).mapInArrow(C.task(run), f"id {id_type}, line_no long, n_words long, content boolean")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -73,15 +74,12 @@ def cut(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pieces, np.searchsorted(np.flatnonzero(start), off)
 
 
+_PLAIN = re.compile(rb"(?:[\x00-\x26\x28-\x7f]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*\Z")
+
+
 def is_odd(piece: bytes) -> bool:
     """Whether ``cut`` kept this piece whole and raw."""
-    if b"'" in piece or b"<|" in piece or not piece.isascii():
-        b = np.frombuffer(piece, np.uint8)
-        if (_ODD[b]).any() or b"<|" in piece or b"\xc3\x97" in piece or b"\xc3\xb7" in piece:
-            return True
-        tail = (b & 0xC0) == 0x80
-        return bool((tail[1:] & (b[:-1] != 0xC3)).any() or tail[0])
-    return False
+    return _PLAIN.match(piece) is None or b"<|" in piece
 
 
 def gather(code: np.ndarray, first: np.ndarray, start: np.ndarray, length: np.ndarray, pool: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -221,12 +219,16 @@ class OddChunks:
     normaliser and pre-tokeniser, then exact merges.  Keeps a bounded memo."""
 
     def __init__(self, file: str, vocab: Vocabulary):
-        from tokenizers import Tokenizer
-
-        self.tok, self.vocab, self.memo = Tokenizer.from_str(file), vocab, {}
+        self.file, self.vocab, self.memo = file, vocab, {}
         names = sorted(vocab.special, key=len, reverse=True)
         self.split = re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
 
+    @cached_property
+    def tok(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.file)  # only if a task meets such a chunk
+
     def ids(self, chunk: bytes) -> list[int]:
         got = self.memo.get(chunk)
         if got is None:

@@ -160,7 +160,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
                 u = unit(matrix(batch.column(0), dim))
                 yield pa.RecordBatch.from_arrays([pa.array([u.sum(0).tolist()]), pa.array([len(u)])], names=["s", "n"])
 
-    parts = rows.select("vec").mapInArrow(sums, "s array<double>, n long")
+    parts = rows.select("vec").mapInArrow(C.task(sums), "s array<double>, n long")
     s = parts.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     n = parts.agg(F.sum("n")).first()[0]
     centre = np.array([r["x"] for r in sorted(s, key=lambda r: r["i"])]) / n
@@ -178,7 +178,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
                 )
 
     schema = "row long, id long, vec array<double>, bits binary, scalars binary"
-    return C.stored(rows.mapInArrow(codes, schema), "ann-index"), codec
+    return C.stored(rows.mapInArrow(C.task(codes), schema), "ann-index"), codec
 
 
 def nearest(index: DataFrame, codec: Codec | None, queries: DataFrame, k: int = K) -> DataFrame:

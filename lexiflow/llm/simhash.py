@@ -118,7 +118,7 @@ def ship(fps: DataFrame, p: int) -> DataFrame:
                     names=["bucket", "fp", "left"],
                 )
 
-    return fps.mapInArrow(run, "bucket long, fp binary, left binary")
+    return fps.mapInArrow(C.task(run), "bucket long, fp binary, left binary")
 
 
 def meet(fp: np.ndarray, left: np.ndarray, bits: int, found: list) -> None:

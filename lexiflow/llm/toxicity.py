@@ -126,27 +126,37 @@ def columns(doc: np.ndarray, code: np.ndarray, count: np.ndarray, parts: list[li
     return np.concatenate(docs), np.concatenate(cols)
 
 
-def fit(doc_of: np.ndarray, word_of: np.ndarray, y: np.ndarray, n_words: int, pairs: np.ndarray) -> tuple[np.ndarray, float]:
+Swap = tuple[list[int], list[int], float]  # columns of a term, of the swapped term, weight
+
+
+def fit(doc_of: np.ndarray, word_of: np.ndarray, y: np.ndarray, n_words: int, swaps_: list[Swap]) -> tuple[np.ndarray, float]:
     """Weights and bias: logistic loss (classes weighed alike) + L1 + mean squared change of
-    the score over the counterfactual ``pairs`` (word, swapped word), by accelerated
-    proximal gradient steps."""
+    the score over the counterfactual swaps, by accelerated
+    proximal gradient steps; each coordinate's step is one over the row sum that bounds
+    its curvature, so the steps cannot diverge."""
     n = len(y)
     rate = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    df = np.bincount(word_of, rate[doc_of], n_words)
-    scale = 1 / np.sqrt(np.maximum(df, 1e-6) * 0.25 + 1e-3)  # step per coordinate
+    wide = rate * (np.bincount(doc_of, minlength=n) + 1)
+    curve = 0.25 * np.bincount(word_of, wide[doc_of], n_words)
+    row = np.array([i for i, (a, b, _) in enumerate(swaps_) for _ in [*a, *b]], np.int64)
+    col = np.array([c for a, b, _ in swaps_ for c in [*a, *b]], np.int64)
+    sign = np.array([x for a, b, _ in swaps_ for x in [1.0] * len(a) + [-1.0] * len(b)])
+    weight = np.array([w for _, _, w in swaps_]) / max(sum(w for _, _, w in swaps_), 1e-12)
+    size = np.bincount(row, minlength=len(swaps_))
+    curve += 2 * COUNTERFACTUAL * np.bincount(col, (weight * size)[row], n_words) if len(row) else 0
+    step, step_b = 1 / np.maximum(curve, 1e-4), 1 / max(0.25 * wide.sum(), 1e-4)
     theta, bias = np.zeros(n_words), 0.0
     look, look_b, t = theta, bias, 1.0
-    step = 0.5 / max(1.0, np.log2(2 + len(word_of) / max(n, 1)))
     for _ in range(STEPS):
         p = 1 / (1 + np.exp(-np.clip(look_b + np.bincount(doc_of, look[word_of], n), -500, 500)))
         err = rate * (p - y)
         grad = np.bincount(word_of, err[doc_of], n_words)
-        if len(pairs):
-            gap = 2 * COUNTERFACTUAL * (look[pairs[:, 0]] - look[pairs[:, 1]]) / len(pairs)
-            grad += np.bincount(pairs[:, 0], gap, n_words) - np.bincount(pairs[:, 1], gap, n_words)
-        new = look - step * scale * grad
-        new = np.sign(new) * np.maximum(np.abs(new) - step * scale * L1, 0)
-        new_b = look_b - step * err.sum()
+        if len(row):  # the change of the score under each swap
+            gap = 2 * COUNTERFACTUAL * weight * np.bincount(row, sign * look[col], len(swaps_))
+            grad += np.bincount(col, sign * gap[row], n_words)
+        new = look - step * grad
+        new = np.sign(new) * np.maximum(np.abs(new) - step * L1, 0)
+        new_b = look_b - step_b * err.sum()
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, look_b = new + (t - 1) / t_new * (new - theta), new_b + (t - 1) / t_new * (new_b - bias)
         theta, bias, t = new, new_b, t_new
@@ -174,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols], names=["id", "y", "words", "counts", "term", "swapped"])
 
     schema = "id long, y int, words array<string>, counts array<long>, term array<string>, swapped array<string>"
-    rows = chosen.select("_id", "_text", "_y").mapInArrow(features, schema).toArrow().combine_chunks().sort_by("id")
+    rows = chosen.select("_id", "_text", "_y").mapInArrow(C.task(features), schema).toArrow().combine_chunks().sort_by("id")
     y = rows["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         p = float(y.mean()) if len(y) else 0.0
@@ -192,14 +202,15 @@ def learn(doc: np.ndarray, code: np.ndarray, count: np.ndarray, words: list[str]
     parts = [[place.setdefault(f, len(place)) for f in features_of(w)] for w in words]
     terms = [w for ring in IDENTITY_GROUPS for w in ring]
     for w in terms:
-        place.setdefault(w, len(place))
+        for f in features_of(w):
+            place.setdefault(f, len(place))
     doc, column = columns(doc, code, count, parts, len(place))
     use = np.bincount(column, minlength=len(place) * len(LEVELS)) >= MIN_DF
-    use[[place[w] * len(LEVELS) for w in terms]] = True
+    first = {w: [place[f] * len(LEVELS) for f in features_of(w)] for w in terms}  # columns of one mention
+    use[[c for cols in first.values() for c in cols]] = True
     number = np.cumsum(use) - 1
     held = use[column]
-    term = {w: number[place[w] * len(LEVELS)] for w in terms}
-    pairs = np.array([(term[a], term[b]) for a, b in swapped], np.int64).reshape(-1, 2)
+    pairs = [([int(number[c]) for c in first[a]], [int(number[c]) for c in first[b]], float(n)) for (a, b), n in sorted(Counter(swapped).items())]
     theta, bias = fit(doc[held], number[column[held]], y.astype(np.float64), int(use.sum()), pairs)
     full = np.zeros(len(use))
     full[use] = theta

@@ -33,7 +33,7 @@ from lexiflow.session import scratch_path
 MAGIC = b"WVM1"
 SHARD_IDS = 1 << 22
 RANK_BITS = 512  # bits between two sampled ranks
-MEMO = 300_000  # pieces whose ids a task remembers
+MEMO = 250_000  # pieces whose ids a task remembers, and those of one slice
 END_ID = 1
 
 
@@ -174,53 +174,54 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
 class LibraryEncoder:
     """The tokenizers library, asked once for each distinct piece a task meets.
 
-    Plain pieces are encoded many to a call, joined by spaces: white space splits them in
-    the tokenizer too, and the id that ends a piece carries the end-of-word suffix.
+    Pieces cut by the fast path are normalised and split already: they go to the library's
+    model, many to a call, split at white space; the id that ends a piece carries the
+    end-of-word suffix.  Chunks outside the fast path go through the whole tokenizer.
     """
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         vocab = P.Vocabulary(file)
         self.tok = Tokenizer.from_str(file)
-        self.ends = np.array([t.endswith(vocab.end) for t in vocab.tokens], bool)
-        self.memo: dict[bytes, tuple[int, int]] = {}
-        self.pool = np.zeros(0, np.int32)
+        self.plain = Tokenizer(self.tok.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = dict(enumerate(P.byte_alphabet()))
+        self.last = np.array([t.endswith(vocab.end) for t in vocab.tokens], bool)
+        self.memo: dict[bytes, int] = {}  # the first MEMO pieces that the task meets
+        self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _library(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        strange = [P.is_odd(p) for p in raw]
-        plain = [p.decode() for p, s in zip(raw, strange, strict=True) if not s]
+        """(ids, number of ids of each piece)."""
+        strange = np.array([P.is_odd(p) for p in raw], bool)
+        plain = [p.decode("latin-1").translate(self.letters) for p, s in zip(raw, strange, strict=True) if not s]
         joined = [" ".join(plain[a : a + 512]) for a in range(0, len(plain), 512)]
-        got = self.tok.encode_batch(joined, add_special_tokens=False) if joined else []
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in got] or [np.zeros(0, np.int32)])
-        stop = np.flatnonzero(self.ends[ids]) + 1
+        ids = np.array([i for e in self.plain.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int32)
+        stop = np.flatnonzero(self.last[ids]) + 1
         if len(stop) != len(plain):
-            raise RuntimeError("the tokenizer does not end every piece with its word suffix")
-        length = np.zeros(len(raw), np.int64)
-        flags = np.array(strange, bool)
-        length[~flags] = np.diff(stop, prepend=0)
-        odd = [e.ids for e in self.tok.encode_batch([p.decode() for p, s in zip(raw, strange, strict=True) if s], add_special_tokens=False)]
-        length[flags] = [len(x) for x in odd]
-        offs = np.concatenate([[0], np.cumsum(length)])
-        out = np.zeros(int(offs[-1]), np.int32)
-        fill = np.repeat(flags, length)
+            raise RuntimeError("the model does not end every piece with its word suffix")
+        odd = [self.tok.encode(p.decode(), add_special_tokens=False).ids for p, s in zip(raw, strange, strict=True) if s]
+        size = np.zeros(len(raw), np.int64)
+        size[~strange] = np.diff(stop, prepend=0)
+        size[strange] = [len(x) for x in odd]
+        out = np.zeros(int(size.sum()), np.int32)
+        fill = np.repeat(strange, size)
         out[~fill] = ids
         out[fill] = [i for x in odd for i in x]
-        return out, offs
+        return out, size
 
     def resolve(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raw = distinct.to_pylist()
-        if len(self.memo) > MEMO:
-            self.memo, self.pool = {}, self.pool[:0]
-        new = [p for p in raw if p not in self.memo]
-        if new:
-            ids, offs = self._library(new)
-            base = len(self.pool)
-            self.pool = np.concatenate([self.pool, ids])
-            at = (offs + base).tolist()
-            self.memo.update(zip(new, zip(at[:-1], at[1:], strict=True), strict=True))
-        spans = np.array([self.memo[p] for p in raw], np.int64).reshape(-1, 2)
-        return spans[:, 0], spans[:, 1] - spans[:, 0], self.pool
+        at = np.array([self.memo.get(p, -1) for p in raw], np.int64)
+        new = np.flatnonzero(at < 0)
+        ids, size = self._library([raw[i] for i in new])
+        ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        pool = np.concatenate([self.pool, ids])
+        at[new] = np.arange(len(self.ends) - 1, len(ends) - 1)
+        if len(self.memo) < MEMO:
+            self.memo.update(zip((raw[i] for i in new), at[new].tolist(), strict=True))
+            self.pool, self.ends = pool, ends
+        return ends[at], ends[at + 1] - ends[at], pool
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces, first = P.cut(text)
@@ -256,7 +257,7 @@ def write_shards(docs: DataFrame, path: str, file: str, id_col: str = "doc_id",
             return out
 
         for batch in batches:
-            for rows, text in C.slices(batch, 1, TEXT_SLICE):
+            for rows, text in C.slices(batch, 1, 2 * TEXT_SLICE):
                 part = rows.column(2)[0].as_py()
                 flat, off = enc(text)
                 n = np.diff(off) + 1
@@ -282,7 +283,7 @@ def write_shards(docs: DataFrame, path: str, file: str, id_col: str = "doc_id",
         if held:
             yield flush()
 
-    shards = laid.select("id", "text", "part").mapInArrow(run, SHARD_SCHEMA)
+    shards = laid.select("id", "text", "part").mapInArrow(C.task(run), SHARD_SCHEMA)
     shards.write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
 
 
@@ -317,7 +318,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     a = b
 
     where = rows.select((F.col("base") + F.col("part_start")).alias("first"), "payload")
-    return where.mapInArrow(run, "doc_id long, start long, ids binary")
+    return where.mapInArrow(C.task(run), "doc_id long, start long, ids binary")
 
 
 def lookup(spark: SparkSession, path: str, token: int) -> DataFrame:
@@ -330,7 +331,7 @@ def lookup(spark: SparkSession, path: str, token: int) -> DataFrame:
                 at = unpack(batch.column(1)[i].as_py())[2].occurrences(token)
                 yield pa.RecordBatch.from_arrays([pa.array(at + batch.column(0)[i].as_py())], names=["position"])
 
-    return rows.select((F.col("base") + F.col("part_start")).alias("first"), "payload").mapInArrow(run, "position long")
+    return rows.select((F.col("base") + F.col("part_start")).alias("first"), "payload").mapInArrow(C.task(run), "position long")
 
 
 def count(spark: SparkSession, path: str, token: int) -> int:
@@ -341,7 +342,7 @@ def count(spark: SparkSession, path: str, token: int) -> int:
             n = [unpack(p.as_py())[2].count(token) for p in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], names=["n"])
 
-    return int(spark.read.parquet(path).select("payload").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    return int(spark.read.parquet(path).select("payload").mapInArrow(C.task(run), "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -198,8 +198,8 @@ def test_counterfactual_penalty_ties_the_weights():
     rng = np.random.default_rng(6)
     y = (rng.random(400) < 0.5).astype(float)
     doc = np.flatnonzero(rng.random(400) < np.where(y == 1, 0.8, 0.2))  # word 0 goes with label 1
-    free, _ = toxicity.fit(doc, np.zeros(len(doc), np.int64), y, 2, np.zeros((0, 2), np.int64))
-    tied, _ = toxicity.fit(doc, np.zeros(len(doc), np.int64), y, 2, np.array([[0, 1]] * 50))
+    free, _ = toxicity.fit(doc, np.zeros(len(doc), np.int64), y, 2, [])
+    tied, _ = toxicity.fit(doc, np.zeros(len(doc), np.int64), y, 2, [([0], [1], 50.0)])
     assert free[0] - free[1] > 3 * (tied[0] - tied[1])
 
 
