@@ -234,16 +234,19 @@ def hashed_trigrams(df: DataFrame, dim: int = 64, text_col: str = "text") -> Dat
     """All columns but the text, and ``vec``: counts of the character trigrams of the
     lower-cased, blank-padded text in ``dim`` buckets by md5; a null text has a zero vector.
 
-    One expression per row: the grams are hashed and counted inside it, so nothing is
-    exploded or shuffled.
+    Grams are counted per row and bucket with map-side combining, so at most ``dim`` small
+    rows of a text are shuffled.
     """
-    s = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(" "))
-    last = F.length(s) - 2
-    grams = F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
-    bucket = lambda g: F.conv(F.substring(F.md5(g), 1, 4), 16, 10).cast("int") % dim
-    hashed = F.transform(F.coalesce(grams, F.array().cast("array<string>")), bucket)
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.size(F.filter(F.col("_buckets"), lambda x: x == b)).cast("double")
-    )
     rest = [c for c in df.columns if c != text_col]
-    return df.select(*rest, hashed.alias("_buckets")).select(*rest, counts.alias("vec"))
+    text = F.concat(F.lit(" "), F.lower(F.col(text_col)), F.lit(" "))
+    at = F.when(F.length("_s") >= 3, F.sequence(F.lit(1), F.length("_s") - 2))
+    x = df.select(*rest, F.monotonically_increasing_id().alias("_r"), text.alias("_s"))
+    x = x.select(*rest, "_r", "_s", F.explode_outer(at).alias("_i"))
+    gram = F.md5(F.substring(F.col("_s"), F.col("_i"), F.lit(3)))
+    x = x.withColumn("_b", F.conv(F.substring(gram, 1, 4), 16, 10).cast("int") % dim)
+    keep = [F.first(c).alias(c) for c in rest]
+    x = x.groupBy("_r", "_b").agg(F.count("_b").cast("double").alias("_n"), *keep)
+    pair = F.when(F.col("_b").isNotNull(), F.struct("_b", "_n"))
+    x = x.groupBy("_r").agg(F.map_from_entries(F.collect_list(pair)).alias("_m"), *keep)
+    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.col("_m")[b], F.lit(0.0)))
+    return x.select(*rest, vec.alias("vec"))
