@@ -27,7 +27,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Make the package importable by Python workers, know the shared folder, and bound
     the Arrow batches by bytes: they carry whole texts."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     ensure_checkpoint_dir(spark)
     return spark
 

@@ -31,9 +31,9 @@ from lexiflow.llm.lexicon import TEXT_SLICE, default_file
 from lexiflow.session import scratch_path
 
 MAGIC = b"WVM1"
-SHARD_IDS = 1 << 22
+SHARD_IDS = 1 << 21
 RANK_BITS = 512  # bits between two sampled ranks
-MEMO = 250_000  # pieces whose ids a task remembers, and those of one slice
+MEMO = 150_000  # pieces whose ids a task remembers, and those of one slice
 END_ID = 1
 
 
@@ -257,7 +257,7 @@ def write_shards(docs: DataFrame, path: str, file: str, id_col: str = "doc_id",
             return out
 
         for batch in batches:
-            for rows, text in C.slices(batch, 1, 2 * TEXT_SLICE):
+            for rows, text in C.slices(batch, 1, TEXT_SLICE):
                 part = rows.column(2)[0].as_py()
                 flat, off = enc(text)
                 n = np.diff(off) + 1
