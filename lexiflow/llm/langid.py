@@ -249,4 +249,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     C.prepare(spark)
     docs = C.source_table(spark, sf_dir, "documents")
     out = predict(docs.select("doc_id", "text"), learn(training_rows(docs)))
-    return out.select("doc_id", (C.fold("doc_id", 3) == 1).alias("held_out"), "_lang.*")
+    return out.select("doc_id", F.coalesce(C.fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "_lang.*")

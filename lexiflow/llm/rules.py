@@ -185,7 +185,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     scored = stats.withColumn("score", model.score("_stats"))
     return scored.select(
         "doc_id",
-        (C.fold("doc_id", 5) == 0).alias("held_out"),
+        F.coalesce(C.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
     )

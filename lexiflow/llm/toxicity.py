@@ -246,4 +246,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = C.source_table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = C.source_table(spark, sf_dir, "labels").where(C.fold("doc_id", 5) != 0)
     out = predict(docs, train(docs, labels))
-    return out.select("doc_id", (C.fold("doc_id", 5) == 0).alias("held_out"), "_toxic.*")
+    return out.select("doc_id", F.coalesce(C.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "_toxic.*")
