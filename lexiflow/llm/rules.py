@@ -27,6 +27,7 @@ DEPTH = 3
 LASSO = 0.001
 THRESHOLD = 0.3
 SEED = 42
+PARTITION_ROWS = 100_000  # training rows of a partition
 
 STATS = (
     "n_words", "mean_word", "longest_word", "symbol_share", "upper_share", "digit_share", "letter_share",
@@ -160,7 +161,10 @@ def fit(train: DataFrame, stats: str = "_stats", label: str = "y") -> RuleEnsemb
         p = share[0] if share[1] else 0.5
         return RuleEnsemble([], float(np.log((p + 1e-9) / (1 - p + 1e-9))))
     values = array_to_vector(F.array(*[F.col(f"{stats}.{s}") for s in STATS]))
-    data = train.select(values.alias("features"), F.col(label).cast("double").alias("label"), F.col(stats)).persist()
+    # narrow rows that every iteration passes over: partitions by their number, not by the
+    # shuffle's
+    parts = max(4, -(-int(share[1]) // PARTITION_ROWS))
+    data = train.select(values.alias("features"), F.col(label).cast("double").alias("label"), F.col(stats)).repartition(parts).persist()
     try:
         forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, maxBins=64, featureSubsetStrategy="onethird", seed=SEED).fit(data)
         rules = sorted({r for tree in forest.trees for r in paths(tree)})
@@ -168,7 +172,7 @@ def fit(train: DataFrame, stats: str = "_stats", label: str = "y") -> RuleEnsemb
             return RuleEnsemble([], float(np.log(share[0] / (1 - share[0]))))
         flags = F.array(*[F.when(holds(r, stats), 1.0).otherwise(0.0) for r in rules])
         held = data.select(array_to_vector(flags).alias("features"), "label")
-        lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=60, tol=1e-5).fit(held)
+        lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=40, tol=1e-4).fit(held)
     finally:
         data.unpersist()
     weights = lasso.coefficients.toArray()
