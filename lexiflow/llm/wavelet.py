@@ -47,7 +47,7 @@ class WaveletMatrix:
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
         top = int(ids.max()) if len(ids) else 0
-        x = ids.astype(np.uint16 if top < 1 << 16 else np.uint32)
+        x = ids.astype(np.uint16 if top < 1 << 16 else np.uint32, copy=False)
         planes, zeros = [], []
         for b in range(max(1, top.bit_length()) - 1, -1, -1):
             bit = (x >> b) & 1 == 1
@@ -171,6 +171,10 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return ids, parts[2].view("<i8"), WaveletMatrix(head["n"], parts[3:], head["zeros"])
 
 
+def id_kind(vocab: P.Vocabulary) -> type:
+    return np.uint16 if len(vocab.tokens) <= 1 << 16 else np.uint32
+
+
 class LibraryEncoder:
     """The tokenizers library, asked once for each distinct piece a task meets.
 
@@ -186,6 +190,7 @@ class LibraryEncoder:
         self.tok = Tokenizer.from_str(file)
         self.plain = Tokenizer(self.tok.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.kind = id_kind(vocab)
         self.letters = dict(enumerate(P.byte_alphabet()))
         self.last = np.array([t.endswith(vocab.end) for t in vocab.tokens], bool)
         self.memo: dict[bytes, int] = {}  # the first MEMO pieces that the task meets
@@ -232,58 +237,59 @@ class LibraryEncoder:
 SHARD_SCHEMA = "part long, shard long, part_start long, n_ids long, n_docs long, payload binary"
 
 
+def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+    """(id, h, n, ids): ids of every document with the end id, compressed; texts are encoded
+    where they lie, and only these rows move.  ``h`` is a hash of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(file)
+
+    def run(batches):
+        enc, z = LibraryEncoder(shared.value), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for rows, text in C.slices(batch, 2, TEXT_SLICE):
+                flat, off = enc(text)
+                flat = flat.astype(enc.kind)
+                end = np.array([end_id], enc.kind).tobytes()
+                blobs = [z.compress(flat[a:b].tobytes() + end) for a, b in zip(off[:-1], off[1:], strict=True)]
+                cols = [rows.column(0), rows.column(1), pa.array(np.diff(off) + 1), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "n", "ids"])
+
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    return src.mapInArrow(C.task(run), "id long, h long, n long, ids binary")
+
+
 def write_shards(docs: DataFrame, path: str, file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
-    """Encode the documents in ascending id order and write one file per shard."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(file)
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    laid = src.repartitionByRange("id", "h").sortWithinPartitions("id", "h").withColumn("part", F.spark_partition_id().cast("long"))
+    """Encode the documents and write them in ascending id order, one file per shard."""
+    rows = C.stored(encoded(docs, file, id_col, text_col, end_id), "wavelet-ids")
+    laid = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").withColumn("part", F.spark_partition_id().cast("long"))
+    kind = id_kind(P.Vocabulary(file))
 
     def run(batches):
-        enc = LibraryEncoder(shared.value)
+        z = zstandard.ZstdDecompressor()
         ids: list[np.ndarray] = []
         names: list[int | None] = []
-        sizes: list[np.ndarray] = []
         held = start = number = part = 0
 
         def flush():
-            nonlocal ids, names, sizes, held, start, number
+            nonlocal ids, names, held, start, number
             wm = WaveletMatrix.build(np.concatenate(ids))
-            row = [[part], [number], [start], [held], [len(names)], [pack(names, np.concatenate(sizes), wm)]]
+            row = [[part], [number], [start], [held], [len(names)], [pack(names, np.array([len(x) for x in ids]), wm)]]
             kinds = [pa.int64()] * 5 + [pa.binary()]
             out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=[f.split()[0] for f in SHARD_SCHEMA.split(", ")])
             start, number = start + held, number + 1
-            ids, names, sizes, held = [], [], [], 0
+            ids, names, held = [], [], 0
             return out
 
         for batch in batches:
-            for rows, text in C.slices(batch, 1, TEXT_SLICE):
-                part = rows.column(2)[0].as_py()
-                flat, off = enc(text)
-                n = np.diff(off) + 1
-                ends = np.cumsum(n)
-                own = np.full(int(ends[-1]), end_id, np.uint32)
-                keep = np.ones(len(own), bool)
-                keep[ends - 1] = False
-                own[keep] = flat
-                a, doc = 0, rows.column(0).to_pylist()
-                while a < len(n):  # whole documents up to the size of a shard
-                    done = int(ends[a - 1]) if a else 0
-                    b = max(a + 1, int(np.searchsorted(ends, done + shard_ids - held, "right")))
-                    if held and int(ends[b - 1]) - done + held > shard_ids:
-                        yield flush()
-                        continue
-                    ids.append(own[done : int(ends[b - 1])].astype(np.uint32))
-                    names.extend(doc[a:b])
-                    sizes.append(n[a:b])
-                    held += int(ends[b - 1]) - done
-                    a = b
-                    if held >= shard_ids:
-                        yield flush()
+            for name, n, blob, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and held + n > shard_ids:  # whole documents up to the size of a shard
+                    yield flush()
+                ids.append(np.frombuffer(z.decompress(blob), kind))
+                names.append(name)
+                held += n
         if held:
             yield flush()
 
-    shards = laid.select("id", "text", "part").mapInArrow(C.task(run), SHARD_SCHEMA)
+    shards = laid.select("id", "n", "ids", "part").mapInArrow(C.task(run), SHARD_SCHEMA)
     shards.write.option("maxRecordsPerFile", 1).option("compression", "uncompressed").parquet(path)
 
 
