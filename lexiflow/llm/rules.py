@@ -12,6 +12,8 @@ training rows of both classes the score is the share of good training rows (0.5
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
@@ -25,6 +27,8 @@ from lexiflow.llm.linecrf import repeat_cover
 TREES = 10
 DEPTH = 3
 LASSO = 0.001
+MAX_ITER = 1000  # passes of the lasso at most; a fit that needs more warns
+TOLERANCE = 1e-5
 THRESHOLD = 0.3
 SEED = 42
 PARTITION_ROWS = 100_000  # training rows of a partition
@@ -35,6 +39,11 @@ STATS = (
 )
 FIELDS = T.StructType([T.StructField(s, T.DoubleType(), False) for s in STATS])
 
+
+class NotConverged(UserWarning):
+    pass
+
+
 Condition = tuple[int, bool, float]  # statistic, at most the threshold, threshold
 
 
@@ -172,7 +181,9 @@ def fit(train: DataFrame, stats: str = "_stats", label: str = "y") -> RuleEnsemb
             return RuleEnsemble([], float(np.log(share[0] / (1 - share[0]))))
         flags = F.array(*[F.when(holds(r, stats), 1.0).otherwise(0.0) for r in rules])
         held = data.select(array_to_vector(flags).alias("features"), "label")
-        lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=40, tol=1e-4).fit(held)
+        lasso = LogisticRegression(elasticNetParam=1.0, regParam=LASSO, standardization=False, maxIter=MAX_ITER, tol=TOLERANCE).fit(held)
+        if lasso.summary.totalIterations >= MAX_ITER:
+            warnings.warn(f"the lasso stopped after {MAX_ITER} passes", NotConverged, stacklevel=2)
     finally:
         data.unpersist()
     weights = lasso.coefficients.toArray()
