@@ -1,10 +1,11 @@
 """Toxicity: a counterfactually regularised linear classifier over the words of a text.
 
 A sparse logistic model of words and word beginnings (insults take endings), each by the
-steps 1, 2 and 4 of its count, is fitted on a bounded sample of labelled documents.  Its sentences that mention an identity term are copied with the term swapped
-for another of its group, and the change of the score is penalised, so that a mention of a
-group moves no score by itself; terms that the sample lacks are swapped into the sentences
-of a seeded choice of documents.  The training set is ``PER_CLASS`` labelled documents of
+steps 1, 2 and 4 of its count, is fitted on a bounded sample of labelled documents.  Its
+documents that mention an identity term are copied with all mentions swapped for another
+term of its group, and the change of the score is penalised over every count step that
+changes, so that mentions of a group move no score by themselves; terms are put into the documents
+that mention none.  The training set is ``PER_CLASS`` labelled documents of
 each class at most, by hash order of the id; the driver holds their distinct words only.
 
 Defined results: words are runs of letters in lower case; a null text is empty; an empty
@@ -71,15 +72,14 @@ def sentences(text: str) -> list[list[str]]:
     return [[w.lower() for w in _LETTERS.findall(s)] for s in re.split(r"[.!?\n]+", text)]
 
 
-def swaps(text: str, seed: int) -> list[tuple[str, str]]:
-    """(term, term it is swapped for) of every identity term of every sentence."""
-    out = []
-    for s in sentences(text):
-        for w in s:
-            g = _GROUP_OF.get(w)
-            if g is not None:
-                ring = IDENTITY_GROUPS[g]
-                out.append((w, ring[(ring.index(w) + 1 + (seed + len(out)) % (len(ring) - 1)) % len(ring)]))
+def swaps(found: dict[str, int], seed: int) -> list[tuple[str, str, int]]:
+    """(term, term it is swapped for, mentions) of every identity term of the counted words."""
+    out: list[tuple[str, str, int]] = []
+    for w, n in found.items():
+        g = _GROUP_OF.get(w)
+        if g is not None:
+            ring = IDENTITY_GROUPS[g]
+            out.append((w, ring[(ring.index(w) + 1 + (seed + len(out)) % (len(ring) - 1)) % len(ring)], n))
     return out
 
 
@@ -111,13 +111,21 @@ class ToxicWords:
 def columns(doc: np.ndarray, code: np.ndarray, count: np.ndarray, parts: list[list[int]], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(document, column) pairs: column ``f * len(LEVELS) + l`` if the words of feature f
     occur LEVELS[l] times or more; ``parts`` has the features of each word code."""
+    return reached(*totals(doc, code, count, parts, n), n)
+
+
+def totals(doc: np.ndarray, code: np.ndarray, count: np.ndarray, parts: list[list[int]], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted ``document * n + feature``, occurrences of the feature's words)."""
     size = np.array([len(p) for p in parts], np.int64)
     flat = np.array([f for p in parts for f in p], np.int64)
     start = np.cumsum(size) - size
     k = size[code]
     feature = flat[np.repeat(start[code] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))]
     pair, at = np.unique(np.repeat(doc, k) * n + feature, return_inverse=True)
-    total = np.bincount(at, np.repeat(count, k), len(pair))
+    return pair, np.bincount(at, np.repeat(count, k), len(pair))
+
+
+def reached(pair: np.ndarray, total: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     docs, cols = [], []
     for lvl, least in enumerate(LEVELS):
         some = pair[total >= least]
@@ -126,7 +134,7 @@ def columns(doc: np.ndarray, code: np.ndarray, count: np.ndarray, parts: list[li
     return np.concatenate(docs), np.concatenate(cols)
 
 
-Swap = tuple[list[int], list[int], float]  # columns of a term, of the swapped term, weight
+Swap = tuple[list[int], list[int], float]  # columns that a swap takes off, that it adds, weight
 
 
 def fit(doc_of: np.ndarray, word_of: np.ndarray, y: np.ndarray, n_words: int, swaps_: list[Swap]) -> tuple[np.ndarray, float]:
@@ -171,19 +179,20 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     def features(batches):
         for batch in batches:
             for part, text in C.slices(batch, 1):
-                words, counts, terms, swapped = [], [], [], []
+                words, counts, terms, swapped, mentions = [], [], [], [], []
                 for i, s in zip(part.column(0).to_pylist(), text.to_pylist(), strict=True):
                     found = Counter(w for x in sentences(s) for w in x)
                     words.append(list(found))
                     counts.append(list(found.values()))
-                    pair = swaps(s, i) or swaps(_absent(i), i)
-                    terms.append([a for a, _ in pair])
-                    swapped.append([b for _, b in pair])
-                lists = pa.list_(pa.string())
-                cols = [pa.array(words, lists), pa.array(counts, pa.list_(pa.int64())), pa.array(terms, lists), pa.array(swapped, lists)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols], names=["id", "y", "words", "counts", "term", "swapped"])
-
-    schema = "id long, y int, words array<string>, counts array<long>, term array<string>, swapped array<string>"
+                    pair = swaps(found, i) or swaps({_absent(i): 0}, i)
+                    terms.append([a for a, _, _ in pair])
+                    swapped.append([b for _, b, _ in pair])
+                    mentions.append([n for _, _, n in pair])
+                lists, longs = pa.list_(pa.string()), pa.list_(pa.int64())
+                cols = [pa.array(words, lists), pa.array(counts, longs), pa.array(terms, lists), pa.array(swapped, lists), pa.array(mentions, longs)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *cols], names=["id", "y", "words", "counts", "term", "swapped", "mentions"])
+
+    schema = "id long, y int, words array<string>, counts array<long>, term array<string>, swapped array<string>, mentions array<long>"
     rows = chosen.select("_id", "_text", "_y").mapInArrow(C.task(features), schema).toArrow().combine_chunks().sort_by("id")
     y = rows["y"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
@@ -193,24 +202,31 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     doc = np.repeat(np.arange(len(y)), pc.list_value_length(rows["words"]).to_numpy())
     code, distinct = C.codes(pc.list_flatten(rows["words"]).combine_chunks())
     count = pc.list_flatten(rows["counts"]).to_numpy()
-    return learn(doc, code, count, distinct.to_pylist(), y, list(zip(flat("term"), flat("swapped"), strict=True)))
+    of = np.repeat(np.arange(len(y)), pc.list_value_length(rows["term"]).to_numpy()).tolist()
+    return learn(doc, code, count, distinct.to_pylist(), y, list(zip(of, flat("term"), flat("swapped"), flat("mentions"), strict=True)))
 
 
-def learn(doc: np.ndarray, code: np.ndarray, count: np.ndarray, words: list[str], y: np.ndarray, swapped: list[tuple[str, str]]) -> ToxicWords:
-    """Fit from (document, word code, count) rows and the swapped terms."""
+def learn(doc: np.ndarray, code: np.ndarray, count: np.ndarray, words: list[str], y: np.ndarray, swapped: list[tuple[int, str, str, int]]) -> ToxicWords:
+    """Fit from (document, word code, count) rows and the (document, term, term it is
+    swapped for, mentions) of the copies; a term without a mention is put in once."""
     place: dict[str, int] = {}
     parts = [[place.setdefault(f, len(place)) for f in features_of(w)] for w in words]
     terms = [w for ring in IDENTITY_GROUPS for w in ring]
     for w in terms:
         for f in features_of(w):
             place.setdefault(f, len(place))
-    doc, column = columns(doc, code, count, parts, len(place))
+    pair, total = totals(doc, code, count, parts, len(place))
+    doc, column = reached(pair, total, len(place))
     use = np.bincount(column, minlength=len(place) * len(LEVELS)) >= MIN_DF
-    first = {w: [place[f] * len(LEVELS) for f in features_of(w)] for w in terms}  # columns of one mention
-    use[[c for cols in first.values() for c in cols]] = True
+    merged: Counter = Counter()
+    for d, a, b, n in swapped:
+        cols = _changed([place[f] for f in features_of(a)], [place[f] for f in features_of(b)], n, d * len(place), pair, total)
+        merged[cols] += max(n, 1)
+    use[[place[f] * len(LEVELS) for w in terms for f in features_of(w)]] = True
+    use[[c for off, on in merged for c in (*off, *on)]] = True
     number = np.cumsum(use) - 1
     held = use[column]
-    pairs = [([int(number[c]) for c in first[a]], [int(number[c]) for c in first[b]], float(n)) for (a, b), n in sorted(Counter(swapped).items())]
+    pairs = [([int(number[c]) for c in off], [int(number[c]) for c in on], float(n)) for (off, on), n in sorted(merged.items())]
     theta, bias = fit(doc[held], number[column[held]], y.astype(np.float64), int(use.sum()), pairs)
     full = np.zeros(len(use))
     full[use] = theta
@@ -218,6 +234,19 @@ def learn(doc: np.ndarray, code: np.ndarray, count: np.ndarray, words: list[str]
     return ToxicWords({f: tuple(grid[i].tolist()) for f, i in place.items() if grid[i].any()}, bias)
 
 
+def _changed(a: list[int], b: list[int], n: int, key: int, pair: np.ndarray, total: np.ndarray) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Columns that a document loses and gains if all its ``n`` mentions of a term (features
+    ``a``) become another (``b``); ``key`` is its first place in ``pair``."""
+    off, on = [], []
+    for f in sorted({*a, *b}):
+        at = int(np.searchsorted(pair, key + f))
+        rest = (int(total[at]) if at < len(pair) and pair[at] == key + f else 0) - n * (f in a)
+        old, new = rest + max(n, 1) * (f in a), rest + max(n, 1) * (f in b)
+        off += [f * len(LEVELS) + i for i, least in enumerate(LEVELS) if new < least <= old]
+        on += [f * len(LEVELS) + i for i, least in enumerate(LEVELS) if old < least <= new]
+    return tuple(off), tuple(on)
+
+
 def _absent(i: int) -> str:
     """A term for a sampled document that mentions none: its sentences are copied with the
     term put in, and with another of its group."""
