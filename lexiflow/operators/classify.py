@@ -8,8 +8,8 @@ The training rows are vectorised once (an integer column index per term, one row
 document) and kept for the fit.  The objective is the mean weighted log loss plus
 ``1 / (2 n) * |W|^2`` with a free intercept (an L2 penalty with C = 1); it is minimised in
 the space of the features themselves by L-BFGS: every evaluation is one Spark pass in
-which each partition sums its gradient, and the partial gradients are added in a fixed
-order.  (Spark ML's own solver rescales features to unit deviation, which conditions rare
+which each partition sums its gradient, and the partial gradients are added on Spark,
+block by block in a tree of fixed order, so that the driver gets one gradient only.  (Spark ML's own solver rescales features to unit deviation, which conditions rare
 terms so badly that it stops far from the optimum.)  The result is a Spark ML pipeline
 model.  Balanced training weighs rows by ``n / (k * n_c)``.
 """
@@ -20,7 +20,7 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
-from pyspark import keyword_only
+from pyspark import TaskContext, keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.common import _py2java
@@ -37,6 +37,8 @@ from lexiflow.session import scratch_path
 
 MAX_COEFFICIENTS = 1 << 26  # doubles the driver and each task hold; beyond it the fit is refused
 PARTITION_VALUES = 1 << 21  # stored feature values of a training partition
+BLOCK = 1 << 14  # coefficients of a block of a gradient
+FAN = 32  # partial blocks that one task adds
 TOLERANCE = 1e-5
 
 
@@ -143,9 +145,10 @@ def _minimise(data: DataFrame, n: int, n_terms: int, k: int, max_iter: int, tol:
     # two softmax rows share the margin evenly: twice the penalty gives the margin the
     # penalty that a binary model puts on its one row
     l2 = 2.0 if k == 2 else 1.0
+    parts = data.rdd.getNumPartitions()
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, grad = _loss_and_gradient(data, x.reshape(k, -1))
+        loss, grad = _loss_and_gradient(data, x.reshape(k, -1), parts)
         w = x.reshape(k, -1)[:, :-1]
         grad = grad / total
         grad[:, :-1] += l2 * w / total
@@ -189,18 +192,31 @@ def _minimise(data: DataFrame, n: int, n_terms: int, k: int, max_iter: int, tol:
     return w[:, :-1], w[:, -1] - w[:, -1].mean()
 
 
-def _loss_and_gradient(data: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray]:
-    """Sums over all rows: every partition adds its own, the driver adds the partitions'
-    in order, so a repeated fit gives the same numbers."""
+def _loss_and_gradient(data: DataFrame, w: np.ndarray, parts: int) -> tuple[float, np.ndarray]:
+    """Sums over all rows of the ``parts`` partitions."""
     shared = data.sparkSession.sparkContext.broadcast(w)
+    out = np.zeros(w.size + 1)  # the loss comes last
+    sums = _block_sums(data, shared, parts).toArrow()
+    for block, vals in zip(sums["block"].to_pylist(), sums["vals"], strict=True):
+        some = np.frombuffer(vals.as_buffer())
+        out[block * BLOCK : block * BLOCK + len(some)] = some
+    shared.destroy()
+    return float(out[-1]), out[:-1].reshape(w.shape)
+
+
+def _block_sums(data: DataFrame, shared, parts: int) -> DataFrame:
+    """(seq, block, vals): one row per block of the gradient that is not zero.  Every
+    partition sums its own rows; ``FAN`` neighbours are added at a time, in order, so a
+    repeated fit gives the same numbers."""
+    size = BLOCK
 
     def run(batches):
         w = shared.value
-        grad, loss, low = np.zeros_like(w), 0.0, None
+        grad, loss, some = np.zeros_like(w), 0.0, False
         for b in batches:
             if not b.num_rows:
                 continue
-            low = b.column(0)[0].as_py() if low is None else low
+            some = True
             y, sw = b.column(1).to_numpy(), b.column(2).to_numpy()
             cols, vals = b.column(3).flatten().to_numpy(), b.column(4).flatten().to_numpy()
             row = np.repeat(np.arange(len(y)), b.column(3).value_lengths().to_numpy())
@@ -215,16 +231,35 @@ def _loss_and_gradient(data: DataFrame, w: np.ndarray) -> tuple[float, np.ndarra
             for c in range(len(w)):
                 grad[c, :-1] += np.bincount(cols, p[row, c] * vals, w.shape[1] - 1)
             grad[:, -1] += p.sum(0)
-        if low is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([loss]), pa.array([grad.tobytes()], pa.binary())], names=["low", "loss", "grad"])
-
-    parts = data.mapInArrow(run, "low long, loss double, grad binary")
-    loss, grad = 0.0, np.zeros_like(w)
-    for r in sorted(parts.collect(), key=lambda r: r["low"]):
-        loss += r["loss"]
-        grad += np.frombuffer(r["grad"]).reshape(w.shape)
-    shared.destroy()
-    return loss, grad
+        if some:
+            yield from _blocks(TaskContext.get().partitionId(), np.append(grad.ravel(), loss), size)
+
+    sums = data.mapInArrow(run, BLOCKS)
+    while parts > 1:
+        sums = sums.groupBy(F.expr(f"seq div {FAN}"), "block").applyInArrow(_adder(FAN), BLOCKS)
+        parts = -(-parts // FAN)
+    return sums
+
+
+BLOCKS = "seq long, block long, vals binary"
+
+
+def _blocks(seq: int, flat: np.ndarray, size: int):
+    """The blocks that are not zero, a few MB at a time."""
+    held = [i for i in range(-(-len(flat) // size)) if flat[i * size : (i + 1) * size].any()]
+    for a in range(0, len(held), 32):
+        some = held[a : a + 32]
+        vals = pa.array([flat[i * size : (i + 1) * size].tobytes() for i in some], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([seq] * len(some), pa.int64()), pa.array(some, pa.int64()), vals], names=["seq", "block", "vals"])
+
+
+def _adder(fan: int):
+    def add(t: pa.Table) -> pa.Table:
+        t = t.sort_by("seq")
+        total = sum(np.frombuffer(v.as_buffer()) for v in t["vals"])
+        return pa.table({"seq": pa.array([t["seq"][0].as_py() // fan], pa.int64()), "block": t["block"].slice(0, 1), "vals": pa.array([total.tobytes()], pa.binary())})
+
+    return add
 
 
 def _lr_model(spark, coef: np.ndarray, bias: np.ndarray) -> LogisticRegressionModel:
