@@ -139,6 +139,8 @@ def annotate(
 def _arrow(t: T.DataType) -> pa.DataType:
     if isinstance(t, T.ArrayType):
         return pa.list_(pa.field("element", _arrow(t.elementType), t.containsNull))
+    if isinstance(t, T.StructType):
+        return pa.struct([pa.field(f.name, _arrow(f.dataType), f.nullable) for f in t])
     return {
         T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.float64(),
         T.BooleanType: pa.bool_(), T.StringType: pa.string(), T.BinaryType: pa.binary(),

@@ -6,7 +6,7 @@ round trips or held-out accuracy in ``tests/llm``.
 
 from __future__ import annotations
 
-from lexiflow.llm import backoff, langid, lexicon, linecrf, mixing, rabitq, rules, simhash, toxicity, wavelet
+from lexiflow.llm import backoff, langid, lexicon, linecrf, mixing, rabitq, rules, runs, simhash, toxicity, wavelet
 
 QUERIES = {
     "op1_counterfactual_toxicity": (toxicity.query, None),
@@ -19,4 +19,5 @@ QUERIES = {
     "op8_stupid_backoff": (backoff.query, backoff.ORACLE_SQL),
     "op9_one_bit_codes": (rabitq.query, rabitq.ORACLE_SQL),
     "op10_rule_ensemble": (rules.query, None),
+    "op13_periodic_runs": (runs.query, None),
 }
