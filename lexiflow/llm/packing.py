@@ -29,6 +29,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,7 @@ SHARD_TOKENS = 1 << 20
 PARTITION_SHARDS = 4
 K1, B = 1.2, 0.75
 HASHES = 3
+TEXT_SLICE = 4 << 20
 
 #: pre-tokenisation of byte-level BPE files that name no pattern of their own (fixed value)
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,7 +56,8 @@ class Encoder:
     """Ids as the ``tokenizers`` library gives them for a byte-level BPE file.
 
     Texts of plain bytes without a special token's string go to ``tiktoken`` with the same
-    vocabulary (if the file's merges are its ids in order), all others to ``tokenizers``.
+    vocabulary (if the file's merges are its ids in order), each distinct chunk once; all
+    others go to ``tokenizers`` whole.
     """
 
     def __init__(self, file: str):
@@ -62,6 +65,8 @@ class Encoder:
         spec = json.loads(file)
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.fast = self._fast(spec)
+        if self.fast is not None:
+            self.id_size = np.array([len(self.fast.decode_single_token_bytes(i)) for i in range(self.fast.n_vocab)])
 
     @cached_property
     def tok(self):
@@ -92,61 +97,131 @@ class Encoder:
         ranks = {b"".join(byte_of[c] for c in t): i for t, i in vocab.items()}
         return tiktoken.Encoding("byte-level", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, text: pa.Array, end_id: int) -> list[np.ndarray]:
-        """One array of ids per text, closed by ``end_id``."""
+    def encode(self, text: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each closed by ``end_id``; where each text's ids begin, and the end)."""
         buf, off = C.bounds(text)
-        odd = C.per_doc(~_PLAIN[buf], off) > 0
-        out = []
-        for s, strange in zip(text.to_pylist(), odd.tolist(), strict=True):
-            if self.fast is None or strange or any(x in s for x in self.special):
-                ids = np.array(self.tok.encode(s, add_special_tokens=False).ids, np.uint32)
-            else:
-                ids = self.fast.encode_to_numpy(s)
-            out.append(np.append(ids, np.uint32(end_id)))
-        return out
-
-
-def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(row, id, n, ids): ids of each document with its end id, as compressed 32-bit planes."""
+        whole = C.per_doc(~_PLAIN[buf], off) > 0
+        if self.fast is None:
+            whole[:] = True
+        elif self.special:
+            for x in self.special:
+                whole |= pc.match_substring(text, x).to_numpy(zero_copy_only=False)
+        # a chunk begins at each text, and at a space before a sign: no pre-token spans such a place
+        begins = np.zeros(len(buf) + 1, bool)
+        begins[:-2] = (buf[:-1] == 0x20) & ~C.WS[buf[1:]] if len(buf) > 1 else False
+        begins[off] = True
+        begins[-1] = False
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(buf))
+        first = np.searchsorted(starts, off)
+        plain = np.repeat(~whole, np.diff(first))
+        chunks = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(buf)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf))])
+        code, distinct = C.codes(chunks.filter(pa.array(plain)))
+        at, size, pool = self._resolved(distinct)
+        # texts that the library takes whole, and the end id, follow in the pool
+        odd = np.flatnonzero(whole)
+        extra = [np.array(self.tok.encode(text[int(d)].as_py(), add_special_tokens=False).ids, np.uint32) for d in odd]
+        extra.append(np.array([end_id], np.uint32))
+        extra_size = np.array([len(x) for x in extra])
+        extra_at = len(pool) + np.cumsum(extra_size) - extra_size
+        pool = np.concatenate([pool, *extra])
+        # parts of each text in order: its chunks (or its whole), then the end id
+        n = len(text)
+        many = np.where(whole, 1, np.diff(first))
+        close = np.cumsum(many + 1) - 1
+        part_at, part_size = np.empty(int(many.sum()) + n, np.int64), np.empty(int(many.sum()) + n, np.int64)
+        part_at[close], part_size[close] = extra_at[-1], 1
+        alone = close[odd] - 1
+        part_at[alone], part_size[alone] = extra_at[:-1], extra_size[:-1]
+        rest = np.ones(len(part_at), bool)
+        rest[close] = rest[alone] = False
+        part_at[rest], part_size[rest] = at[code], size[code]
+        stop = np.cumsum(part_size)
+        ids = pool[np.repeat(part_at - (stop - part_size), part_size) + np.arange(int(stop[-1]) if n else 0)]
+        return ids, np.concatenate([[0], stop[close]]) if n else np.zeros(1, np.int64)
+
+    def _resolved(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, length) of the ids of each chunk in the pool, and the pool."""
+        buf, off = C.bounds(chunks)
+        size = np.diff(off)
+        # chunks that begin with a space and a sign stay apart when they are joined
+        apart = np.zeros(len(chunks), bool)
+        two = np.flatnonzero(size > 1)
+        apart[two] = (buf[off[two]] == 0x20) & ~C.WS[buf[off[two] + 1]]
+        joined = chunks.filter(pa.array(apart))
+        text, ends = C.bounds(joined)
+        ids = self.fast.encode_to_numpy(text.tobytes().decode(), disallowed_special=()) if len(text) else np.zeros(0, np.uint32)
+        stop = np.searchsorted(np.cumsum(self.id_size[ids]), ends[1:]) + 1
+        rest = np.flatnonzero(~apart)
+        others = [np.array(self.fast.encode_ordinary(chunks[int(i)].as_py().decode()), np.uint32) for i in rest]
+        many = np.zeros(len(chunks), np.int64)
+        many[apart] = np.diff(stop, prepend=0)
+        at = np.zeros(len(chunks), np.int64)
+        at[apart] = stop - many[apart]
+        many[rest] = [len(x) for x in others]
+        at[rest] = len(ids) + np.cumsum(many[rest]) - many[rest]
+        return at, many, np.concatenate([ids, *others])
+
+
+DOCUMENT, FREQUENCY = 0, 1
+
+
+def encoded(docs: DataFrame, file: str, vocab: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
+    """(kind, row, id, n, ids): per document its ids with the end id, as compressed byte planes;
+    and per task a row with the number of its documents that hold each id."""
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(file)
+    names = ["kind", "row", "id", "n", "ids"]
+    width = id_bytes(vocab)
 
     def run(batches):
         enc, z = Encoder(shared.value), zstandard.ZstdCompressor(level=1)
+        total, last = np.zeros(vocab, np.int64), np.zeros(vocab, np.int64)
         for batch in batches:
-            for part, text in C.slices(batch, 2):
-                ids = enc.encode(text, end_id)
-                blobs = [z.compress(_planes(x)) for x in ids]
-                cols = [part.column(0), part.column(1), pa.array([len(x) for x in ids], pa.int64()), pa.array(blobs, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["row", "id", "n", "ids"])
+            for part, text in C.slices(batch, 2, TEXT_SLICE):
+                ids, off = enc.encode(text, end_id)
+                place = np.arange(len(ids))
+                blobs = []
+                for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+                    own = ids[a:b]
+                    last[own] = place[a:b]  # of equal ids one place stays
+                    total[own[last[own] == place[a:b]]] += 1
+                    blobs.append(z.compress(_planes(own, width)))
+                cols = [pa.array(np.zeros(len(part), np.int32)), part.column(0), part.column(1), pa.array(np.diff(off)), pa.array(blobs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        if total.any():
+            cols = [pa.array([FREQUENCY], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([z.compress(_planes(total, 8))], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return src.mapInArrow(C.task(run), "row long, id long, n long, ids binary")
+    return src.mapInArrow(C.task(run), "kind int, row long, id long, n long, ids binary")
 
 
-def _planes(ids: np.ndarray) -> bytes:
-    return np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def id_bytes(vocab: int) -> int:
+    return 2 if vocab <= 1 << 16 else 4
 
 
-def _ids(blob: bytes, z: zstandard.ZstdDecompressor) -> np.ndarray:
-    raw = np.frombuffer(z.decompress(blob), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(raw.T).reshape(-1).view("<u4")
+def _planes(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def _values(blob: bytes, width: int, z: zstandard.ZstdDecompressor) -> np.ndarray:
+    raw = np.frombuffer(z.decompress(blob), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(raw.T).reshape(-1).view(f"<u{width}")
 
 
 def document_frequency(rows: DataFrame, vocab: int) -> np.ndarray:
     """In how many documents each id occurs; as long as the vocabulary, whatever the corpus."""
 
     def run(batches):
-        z, total, last = zstandard.ZstdDecompressor(), np.zeros(vocab, np.int64), np.zeros(vocab, np.int64)
+        z, total = zstandard.ZstdDecompressor(), np.zeros(vocab, np.int64)
         for batch in batches:
             for blob in batch.column(0):
-                ids = _ids(blob.as_buffer(), z)
-                place = np.arange(len(ids))
-                last[ids] = place  # of equal ids one place stays
-                total[ids[last[ids] == place]] += 1
+                total += _values(blob.as_buffer(), 8, z).astype(np.int64)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
 
-    counts = rows.select("ids").mapInArrow(C.task(run), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    tables = rows.where(F.col("kind") == FREQUENCY).select("ids").mapInArrow(C.task(run), "term long, df long")
+    counts = tables.groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     out = np.zeros(vocab, np.int64)
     out[counts["term"].to_numpy()] = counts["df"].to_numpy()
     return out
@@ -165,13 +240,13 @@ def hash_ranks(idf: np.ndarray) -> np.ndarray:
     for k in range(HASHES):
         u = (C.mix64(ids + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % 2**64)) >> np.uint64(11)).astype(np.float64) / 2**53
         draw = -np.log1p(-u) / np.maximum(idf, 1e-9)
-        rank = np.empty(len(idf), np.int64)
-        rank[np.lexsort((ids, draw))] = np.arange(len(idf))
+        rank = np.empty(len(idf), np.int32)
+        rank[np.lexsort((ids, draw))] = np.arange(len(idf), dtype=np.int32)
         out.append(rank)
     return np.stack(out)
 
 
-def _signatures(rows: DataFrame, ranks) -> DataFrame:
+def _signatures(rows: DataFrame, ranks, width: int) -> DataFrame:
     """(row, id, ids, h0, h1, h2): the compressed ids with their min-hashes."""
     names = [f"h{k}" for k in range(HASHES)]
 
@@ -181,7 +256,7 @@ def _signatures(rows: DataFrame, ranks) -> DataFrame:
         for batch in batches:
             best = np.zeros((len(batch), HASHES), np.int64)
             for i, blob in enumerate(batch.column(2)):
-                best[i] = table[:, _ids(blob.as_buffer(), z)].min(1)
+                best[i] = table[:, _values(blob.as_buffer(), width, z)].min(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(best[:, k]) for k in range(HASHES)]], names=["row", "id", "ids", *names])
 
     return rows.select("row", "id", "ids").mapInArrow(C.task(run), "row long, id long, ids binary, " + ", ".join(f"{n} long" for n in names))
@@ -208,6 +283,14 @@ class Index:
         self.terms = local[shared]
         self.first = np.searchsorted(doc[shared], np.arange(n + 1))
 
+    def drop_used(self, unused: np.ndarray) -> None:
+        """Leave out the postings of used documents, which are never returned again."""
+        keep = unused[self.post]
+        before = np.concatenate([[0], np.cumsum(keep)])
+        self.post, self.weight = self.post[keep], self.weight[keep]
+        self.begin, ends = before[self.begin], before[self.ends]
+        self.ends, self.df = ends, ends - self.begin
+
     def scores(self, d: int) -> np.ndarray:
         """BM25 of every document of the shard for the distinct terms of document ``d``."""
         t = self.terms[self.first[d] : self.first[d + 1]]
@@ -226,6 +309,7 @@ def pack_shard(off: np.ndarray, index: Index, window: int) -> list[tuple[int, in
     seq, filled, nxt, left = 0, 0, 0, n
     seed, start = -1, 0  # the document that opens the window, and its ids already packed
     ranked: list[int] = []
+    indexed = n
     while left or seed >= 0:
         if seed < 0:
             if ranked:
@@ -246,6 +330,9 @@ def pack_shard(off: np.ndarray, index: Index, window: int) -> list[tuple[int, in
         if filled == window:
             seq, filled, ranked = seq + 1, 0, []
         elif opens and left:
+            if 2 * left < indexed:
+                index.drop_used(unused)
+                indexed = left
             ranked = _neighbours(index, done, unused, window - filled, size)
     return pieces if not filled else _split_tail(pieces, seq, filled)
 
@@ -298,15 +385,17 @@ def pack(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "te
     sc = docs.sparkSession.sparkContext
     spec = json.loads(file)
     vocab = 1 + max([end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
-    rows = C.stored(encoded(docs, file, id_col, text_col, end_id), "packing-ids")
+    width = id_bytes(vocab)
+    stored = C.stored(encoded(docs, file, vocab, id_col, text_col, end_id), "packing-ids")
+    rows = stored.where(F.col("kind") == DOCUMENT)
     whole = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("tokens")).first()
     n, tokens = int(whole["n"]), int(whole["tokens"] or 0)
-    idf = idf_of(document_frequency(rows, vocab), n)
+    idf = idf_of(document_frequency(stored, vocab), n)
     ranks, weights = sc.broadcast(hash_ranks(idf)), sc.broadcast(idf)
     mean = tokens / max(1, n)
     parts = max(1, math.ceil(tokens / (shard_tokens * PARTITION_SHARDS)))
     keys = [*[f"h{k}" for k in range(HASHES)], F.xxhash64("row"), "row"]
-    ordered = _signatures(rows, ranks).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ordered = _signatures(rows, ranks, width).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     ordered = ordered.select(F.spark_partition_id().cast("long").alias("part"), "id", "ids")
 
     def run(batches):
@@ -316,7 +405,7 @@ def pack(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             for part, i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 seq = part << 32 if seq is None else seq
-                ids = _ids(blob.as_buffer(), z)
+                ids = _values(blob.as_buffer(), width, z)
                 held.append((i, ids))
                 size += len(ids)
                 if size >= shard_tokens:
@@ -336,7 +425,7 @@ def _shard_rows(held: list, seq: int, idf: np.ndarray, mean: float, window: int)
     pieces = pack_shard(off, Index(ids.astype(np.int64), off, idf, mean), window)
     for a in range(0, len(pieces), 512):
         doc, start, length, s, at = (list(x) for x in zip(*pieces[a : a + 512], strict=True))
-        blobs = [held[d][1][i : i + m].tobytes() for d, i, m in zip(doc, start, length, strict=True)]
+        blobs = [held[d][1][i : i + m].astype("<u4").tobytes() for d, i, m in zip(doc, start, length, strict=True)]
         longs = [[held[d][0] for d in doc], start, length, [len(held[d][1]) for d in doc], [seq + x for x in s], at]
         yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in longs], pa.array(blobs, pa.binary())], names=names)
     return seq + pieces[-1][3] + 1

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -19,6 +20,20 @@ def want(text):
     return [*TOK.encode(text or "", add_special_tokens=False).ids, 0]
 
 
+def test_encoder_equals_the_library():
+    rng = random.Random(9)
+    signs = ["a", "B", "é", "ß", "1", "'s", "'LL", ".", "!?", " ", " ", " ", "  ", "\n", "\t", "\r", "<|endoftext|>", "日", "\x0b", "_", "×", "word", " the"]
+    texts = ["".join(rng.choice(signs[: rng.choice([16, 23])]) for _ in range(rng.randrange(60))) for _ in range(800)]
+    enc = K.Encoder(FILE)
+    assert enc.fast is not None
+    for a in range(0, 800, 100):
+        ids, off = enc.encode(pa.array(texts[a : a + 100]), 0)
+        assert [ids[i:j].tolist() for i, j in zip(off[:-1], off[1:])] == [want(t) for t in texts[a : a + 100]]
+    enc.fast = None
+    ids, off = enc.encode(pa.array(["a b", ""]), 0)
+    assert ids.tolist() == [*want("a b"), 0]
+
+
 def check(rows, pieces, window=1024):
     """Pieces of all documents (by id) tile them, and sequences are gapless and full."""
     by_doc, by_seq = {}, {}
@@ -125,7 +140,7 @@ def test_a_window_holds_the_seeds_neighbours():
 
 def test_signature_groups_by_rare_ids_and_one_posting_table_per_vocabulary(spark):
     df = spark.createDataFrame([(i, f"common words and topic{i % 3} again") for i in range(30)], "doc_id long, text string")
-    rows = K.encoded(df, FILE)
+    rows = K.encoded(df, FILE, 50_257)
     freq = K.document_frequency(rows, 50_257)
     assert freq[0] == 30 and freq.max() == 30 and len(freq) == 50_257
     assert sum(1 for x in freq if 0 < x < 30) == 3
