@@ -6,7 +6,7 @@ round trips or held-out accuracy in ``tests/llm``.
 
 from __future__ import annotations
 
-from lexiflow.llm import backoff, langid, lexicon, linecrf, mixing, packing, rabitq, rules, runs, simhash, toxicity, wavelet
+from lexiflow.llm import backoff, collocations, langid, lexicon, linecrf, mixing, packing, rabitq, rules, runs, simhash, toxicity, wavelet
 
 QUERIES = {
     "op1_counterfactual_toxicity": (toxicity.query, None),
@@ -20,5 +20,6 @@ QUERIES = {
     "op9_one_bit_codes": (rabitq.query, rabitq.ORACLE_SQL),
     "op10_rule_ensemble": (rules.query, None),
     "op11_bm25_packing": (packing.query, None),
+    "op12_quotient_collocations": (collocations.query, collocations.ORACLE_SQL),
     "op13_periodic_runs": (runs.query, None),
 }

@@ -11,5 +11,5 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 def test_oracles(spark):
-    res = compare(spark, SF, ["op8_stupid_backoff", "op9_one_bit_codes"], verbose=False)
+    res = compare(spark, SF, ["op8_stupid_backoff", "op9_one_bit_codes", "op12_quotient_collocations"], verbose=False)
     assert all(v == "OK" for v in res.values()), res
