@@ -168,7 +168,7 @@ DOCUMENT, FREQUENCY = 0, 1
 
 def encoded(docs: DataFrame, file: str, vocab: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
     """(kind, row, id, n, ids): per document its ids with the end id, as compressed byte planes;
-    and per task a row with the number of its documents that hold each id."""
+    and per task and id that occurs (as ``row``) the number ``n`` of its documents that hold it."""
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(file)
     names = ["kind", "row", "id", "n", "ids"]
@@ -189,9 +189,9 @@ def encoded(docs: DataFrame, file: str, vocab: int, id_col: str = "doc_id", text
                     blobs.append(z.compress(_planes(own, width)))
                 cols = [pa.array(np.zeros(len(part), np.int32)), part.column(0), part.column(1), pa.array(np.diff(off)), pa.array(blobs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-        if total.any():
-            cols = [pa.array([FREQUENCY], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0], pa.int64()), pa.array([z.compress(_planes(total, 8))], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        some = np.flatnonzero(total)
+        cols = [pa.array(np.full(len(some), FREQUENCY, np.int32)), pa.array(some), pa.nulls(len(some), pa.int64()), pa.array(total[some]), pa.nulls(len(some), pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return src.mapInArrow(C.task(run), "kind int, row long, id long, n long, ids binary")
 
@@ -211,19 +211,9 @@ def _values(blob: bytes, width: int, z: zstandard.ZstdDecompressor) -> np.ndarra
 
 def document_frequency(rows: DataFrame, vocab: int) -> np.ndarray:
     """In how many documents each id occurs; as long as the vocabulary, whatever the corpus."""
-
-    def run(batches):
-        z, total = zstandard.ZstdDecompressor(), np.zeros(vocab, np.int64)
-        for batch in batches:
-            for blob in batch.column(0):
-                total += _values(blob.as_buffer(), 8, z).astype(np.int64)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["term", "df"])
-
-    tables = rows.where(F.col("kind") == FREQUENCY).select("ids").mapInArrow(C.task(run), "term long, df long")
-    counts = tables.groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    counts = rows.where(F.col("kind") == FREQUENCY).groupBy("row").agg(F.sum("n").alias("df")).toArrow()
     out = np.zeros(vocab, np.int64)
-    out[counts["term"].to_numpy()] = counts["df"].to_numpy()
+    out[counts["row"].to_numpy()] = counts["df"].to_numpy()
     return out
 
 
