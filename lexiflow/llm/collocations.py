@@ -45,9 +45,9 @@ MAX_WORDS = 5
 TOP = 2000
 SHARE = 100  # a phrase goes if a longer one has this many hundredths of its count
 MAX_BROADCAST = 1 << 22  # words
-BUCKET_ENTRIES = 1 << 21  # n-grams of one length and range of quotients, on average
-HELD = 1 << 20  # entries of one length that a task holds before it sends them on
-TEXT_SLICE = 2 << 20
+BUCKET_ENTRIES = 1 << 20  # n-grams of one length and range of quotients, on average
+HELD = 1 << 19  # words, or n-grams of one length, that a task holds before it sends them on
+TEXT_SLICE = 1 << 20
 GROUP_ROWS = 50_000  # candidates ranked by one task
 
 _LOW = np.arange(256, dtype=np.uint8)
