@@ -1,17 +1,20 @@
 """Variant classifier: TF-IDF features + multinomial logistic regression.
 
 Feature weights follow ``tf * (ln((1+n)/(1+df)) + 1)`` with an L2 norm.  The vocabulary
-holds every term with ``df >= min_df``, ordered by term; nothing is dropped beyond that,
-and a model whose coefficients would not fit ``MAX_COEFFICIENTS`` is refused.
+holds every term with ``df >= min_df``, ordered by term; nothing is dropped beyond that.
 
 The training rows are vectorised once (an integer column index per term, one row per
 document) and kept for the fit.  The objective is the mean weighted log loss plus
 ``1 / (2 n) * |W|^2`` with a free intercept (an L2 penalty with C = 1); it is minimised in
-the space of the features themselves by L-BFGS: every evaluation is one Spark pass in
-which each partition sums its gradient, and the partial gradients are added on Spark,
-block by block in a tree of fixed order, so that the driver gets one gradient only.  (Spark ML's own solver rescales features to unit deviation, which conditions rare
-terms so badly that it stops far from the optimum.)  The result is a Spark ML pipeline
-model.  Balanced training weighs rows by ``n / (k * n_c)``.
+the space of the features themselves by L-BFGS.  (Spark ML's own solver rescales features to
+unit deviation, which conditions rare terms so badly that it stops far from the optimum.)
+
+Up to ``MAX_COEFFICIENTS`` every evaluation is one Spark pass in which each partition sums
+its gradient; the partial gradients are added on Spark, block by block in a tree of fixed
+order, so that the driver gets one gradient only, and the result is a Spark ML pipeline
+model.  Beyond, coefficients stay in blocks on Spark (:mod:`lexiflow.operators.blocked`), and
+the result is a :class:`BlockModel`: a table of terms with their coefficients, joined to the
+terms of the rows to predict.  Balanced training weighs rows by ``n / (k * n_c)``.
 """
 
 from __future__ import annotations
@@ -32,18 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as T
+from lexiflow.operators import blocked as BL
 from lexiflow.operators import features as FE
 from lexiflow.session import scratch_path
 
-MAX_COEFFICIENTS = 1 << 26  # doubles the driver and each task hold; beyond it the fit is refused
+MAX_COEFFICIENTS = 1 << 24  # doubles the driver and each task hold; beyond, they stay in blocks
 PARTITION_VALUES = 1 << 21  # stored feature values of a training partition
 BLOCK = 1 << 14  # coefficients of a block of a gradient
 FAN = 32  # partial blocks that one task adds
 TOLERANCE = 1e-5
 
 
-class NotConverged(UserWarning):
-    pass
+NotConverged = BL.NotConverged
 
 
 class TextTokens(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -77,7 +80,7 @@ def fit_variant_classifier(
     balanced: bool = False,
     clean: bool = False,
     tol: float = TOLERANCE,
-) -> PipelineModel:
+) -> PipelineModel | BlockModel:
     """Fit on ``train`` only; returns a model adding ``predicted`` (label string).
 
     ``tol`` bounds the largest component of the gradient at the end; a fit that stops at
@@ -85,26 +88,31 @@ def fit_variant_classifier(
     """
     spark = train.sparkSession
     tok = TextTokens(inputCol=text_col, outputCol="_tokens", analyzer=analyzer, clean=clean)
-    path = scratch_path(spark, "classifier-tokens")
-    rows = tok.transform(train.where(F.col(label_col).isNotNull()))
-    rows.select(F.col(label_col).cast("string").alias("label"), F.coalesce("_tokens", F.array().cast("array<string>")).alias("tokens")).withColumn(
-        "id", F.monotonically_increasing_id()
-    ).write.parquet(path)
-    docs = spark.read.parquet(path)
+    path = scratch_path(spark, "classifier")
+    text = T.clean_text(text_col) if clean else F.col(text_col)
+    rows = train.where(F.col(label_col).isNotNull())
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), text.alias("text"))
+    rows.withColumn("id", F.monotonically_increasing_id()).write.parquet(f"{path}/docs")
+    docs = spark.read.parquet(f"{path}/docs")
     sizes = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = sorted(sizes)
     if len(labels) < 2:
         raise ValueError("need at least two classes to train a classifier")
     n = sum(sizes.values())
-    df = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    vocab = FE.dense_ids(FE.with_idf(df.where(F.col("df") >= min_df), n), [F.asc("term")], "tid")
+    FE.term_counts(docs, _analyzer(analyzer)).write.parquet(f"{path}/counts")
+    counts = spark.read.parquet(f"{path}/counts")
+    vocab = FE.dense_ids(FE.with_idf(FE.document_frequency(counts, min_df), n), [F.asc("term")], "tid")
     n_terms = vocab.count()
+    weight = {c: n / (len(labels) * sizes[c]) if balanced else 1.0 for c in labels}
+    data = _vectors(docs, counts, vocab, n, labels, weight)
     if n_terms * len(labels) > MAX_COEFFICIENTS:
-        raise ValueError(f"{n_terms} terms x {len(labels)} classes: raise min_df or MAX_COEFFICIENTS")
+        coefs, bias = BL.minimise(data, n, n_terms, len(labels), max_iter, tol)
+        terms = vocab.join(coefs, "tid").select("term", "df", "idf", "coef")
+        terms.write.parquet(f"{path}/terms")
+        return BlockModel(spark.read.parquet(f"{path}/terms"), labels, bias, n, analyzer, clean, text_col)
     table = vocab.orderBy("tid").select("term", "idf").toArrow()
     terms, idf = table["term"].to_pylist(), table["idf"].to_numpy()
-    weight = {c: n / (len(labels) * sizes[c]) if balanced else 1.0 for c in labels}
-    data = _vectors(docs, vocab, labels, weight).persist()
+    data = data.persist()
     try:
         coef, bias = _minimise(data, n, n_terms, len(labels), max_iter, tol)
     finally:
@@ -120,22 +128,71 @@ def fit_variant_classifier(
     return PipelineModel(stages=stages)
 
 
-def _vectors(docs: DataFrame, vocab: DataFrame, labels: list[str], weight: dict[str, float]) -> DataFrame:
+def _analyzer(name: str):
+    return T.char_wb_ngrams if name == "char_wb" else T.word_features
+
+
+class BlockModel:
+    """A fitted classifier as tables: ``terms`` (term, df, idf, coef), and one intercept per
+    class.  Prediction joins the terms of the rows to the table and sums on Spark."""
+
+    def __init__(self, terms: DataFrame, labels: list[str], bias, n_docs: int, analyzer: str = "word", clean: bool = False, text_col: str = "text"):
+        self.terms, self.labels, self.bias = terms, list(labels), [float(b) for b in bias]
+        self.n_docs, self.analyzer, self.clean, self.text_col = int(n_docs), analyzer, clean, text_col
+
+    def margins(self, rows: DataFrame, id_col: str) -> DataFrame:
+        """(id, m): margins, with intercepts, of the rows that hold a known term."""
+        text = T.clean_text(self.text_col) if self.clean else F.col(self.text_col)
+        counts = FE.term_counts(rows.select(id_col, text.alias("_text")), _analyzer(self.analyzer), id_col, "_text")
+        joined = FE.join_idf(counts, self.terms, self.n_docs, id_col, extra=["coef"])
+        v = F.col("tf") * F.col("idf")
+        sums = [F.sum(v * F.col("coef")[i]).alias(f"_s{i}") for i in range(len(self.labels))]
+        out = joined.groupBy(id_col).agg(F.sqrt(F.sum(v * v)).alias("_norm"), *sums)
+        return out.select(id_col, F.array(*[F.col(f"_s{i}") / F.col("_norm") + b for i, b in enumerate(self.bias)]).alias("_m"))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """All columns and ``predicted``; equal margins go to the smaller label.  The rows are
+        written once with a number of their own, by which their margins are joined."""
+        path = scratch_path(df.sparkSession, "classifier-rows")
+        df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
+        rows = df.sparkSession.read.parquet(path)
+        best = rows.join(self.margins(rows, "_row"), "_row", "left")
+        m = F.coalesce("_m", F.array(*[F.lit(b) for b in self.bias]))
+        at = F.array_position(m, F.array_max(m)).cast("int")
+        label = F.element_at(F.array(*[F.lit(c) for c in self.labels]), at)
+        return best.select(*[f"`{c}`" for c in df.columns], label.alias("predicted"))
+
+    def save(self, path: str) -> str:
+        """The tables under ``path`` (:func:`lexiflow.sources.artefacts.load_model` reads them)."""
+        spark = self.terms.sparkSession
+        self.terms.write.mode("overwrite").parquet(f"{path}/block-terms")
+        row = (self.labels, self.bias, self.n_docs, self.analyzer, self.clean, self.text_col)
+        meta = spark.createDataFrame([row], "labels array<string>, bias array<double>, n_docs long, analyzer string, clean boolean, text_col string")
+        meta.write.mode("overwrite").parquet(f"{path}/block-model")
+        return path
+
+    @classmethod
+    def load(cls, spark, path: str) -> BlockModel:
+        r = spark.read.parquet(f"{path}/block-model").first()
+        return cls(spark.read.parquet(f"{path}/block-terms"), r["labels"], r["bias"], r["n_docs"], r["analyzer"], r["clean"], r["text_col"])
+
+
+def _vectors(docs: DataFrame, counts: DataFrame, vocab: DataFrame, n_docs: int, labels: list[str], weight: dict[str, float]) -> DataFrame:
     """(id, y, w, cols, vals): one row per document, unit length TF-IDF."""
-    counts = docs.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    joined = FE.join_idf(counts, vocab, docs.count(), extra=["tid"])
-    terms = joined.select("id", F.struct(F.col("tid").cast("int").alias("c"), (F.col("tf") * F.col("idf")).alias("v")).alias("s"))
+    joined = FE.join_idf(counts, vocab, n_docs, extra=["tid"])
+    terms = joined.select("id", F.struct(F.col("tid").alias("c"), (F.col("tf") * F.col("idf")).alias("v")).alias("s"))
     rows = terms.groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("s"))
     code = F.create_map(*[F.lit(x) for i, c in enumerate(labels) for x in (c, i)])
     weights = F.create_map(*[F.lit(x) for c in labels for x in (c, float(weight[c]))])
     base = docs.select("id", code[F.col("label")].alias("y"), weights[F.col("label")].alias("w"))
-    empty = F.array().cast("array<struct<c:int,v:double>>")
+    empty = F.array().cast("array<struct<c:long,v:double>>")
     out = base.join(rows, "id", "left").withColumn("s", F.coalesce("s", empty))
+    # the norm is a column of its own across the exchange below; written inside the lambda
+    # that divides by it, it would be summed again for every term
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["v"] * x["v"]))
-    out = out.select("id", "y", "w", F.transform("s", lambda x: x["c"]).alias("cols"), F.transform("s", lambda x: x["v"] / norm).alias("vals"))
-    values = out.agg(F.sum(F.size("cols")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-int(values) // PARTITION_VALUES))
-    return out.repartition(parts, "id").sortWithinPartitions("id")
+    parts = max(1, -(-counts.count() // PARTITION_VALUES))
+    out = out.withColumn("norm", norm).repartition(parts, "id").sortWithinPartitions("id")
+    return out.select("id", "y", "w", F.transform("s", lambda x: x["c"]).alias("cols"), F.transform("s", lambda x: x["v"] / F.col("norm")).alias("vals"))
 
 
 def _minimise(data: DataFrame, n: int, n_terms: int, k: int, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
@@ -278,11 +335,11 @@ def _lr_model(spark, coef: np.ndarray, bias: np.ndarray) -> LogisticRegressionMo
     return model
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | BlockModel, df: DataFrame) -> DataFrame:
     out = model.transform(df)
     return out.drop("_tokens", "_tf", "_tfidf", "_features", "_raw", "_prob", "_pred")
 
 
-def with_predictions(model: PipelineModel, df: DataFrame, text_col: str = "text") -> DataFrame:
+def with_predictions(model: PipelineModel | BlockModel, df: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``predicted`` from a fitted model, keeping every input column."""
     return predict(model, df if text_col == "text" else df.withColumnRenamed(text_col, "text"))

@@ -52,14 +52,11 @@ def test_classifier_matches_newton_on_sparse_tfidf(spark, balanced):
     assert bias[1] - bias[0] == pytest.approx(beta[-1], abs=1e-4)
 
 
-def test_classifier_reports_an_unconverged_fit_and_refuses_what_cannot_be_held(spark, monkeypatch):
+def test_classifier_reports_an_unconverged_fit(spark):
     rows = [(i, f"alpha beta w{i}", "x" if i % 2 else "y") for i in range(20)]
     df = spark.createDataFrame(rows, "id long, text string, label string")
     with pytest.warns(CL.NotConverged):
         CL.fit_variant_classifier(df, max_iter=1, tol=1e-12)
-    monkeypatch.setattr(CL, "MAX_COEFFICIENTS", 10)
-    with pytest.raises(ValueError):
-        CL.fit_variant_classifier(df)
 
 
 def test_class_weights(spark):
