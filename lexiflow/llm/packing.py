@@ -385,7 +385,9 @@ def pack(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "te
     mean = tokens / max(1, n)
     parts = max(1, math.ceil(tokens / (shard_tokens * PARTITION_SHARDS)))
     keys = [*[f"h{k}" for k in range(HASHES)], F.xxhash64("row"), "row"]
-    ordered = _signatures(rows, ranks, width).repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    # written, as a range partitioning first samples its input, which would run the step twice
+    signed = C.stored(_signatures(rows, ranks, width), "packing-signatures")
+    ordered = signed.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     ordered = ordered.select(F.spark_partition_id().cast("long").alias("part"), "id", "ids")
 
     def run(batches):
