@@ -167,15 +167,14 @@ DOCUMENT, FREQUENCY = 0, 1
 
 
 def encoded(docs: DataFrame, file: str, vocab: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(kind, row, id, n, ids): per document its ids with the end id, as compressed byte planes;
-    and per task and id that occurs (as ``row``) the number ``n`` of its documents that hold it."""
+    """(kind, row, id, n, ids): per document its ids with the end id, compressed; and per task and id that occurs (as ``row``) the number ``n`` of its documents that hold it."""
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(file)
     names = ["kind", "row", "id", "n", "ids"]
     width = id_bytes(vocab)
 
     def run(batches):
-        enc, z = Encoder(shared.value), zstandard.ZstdCompressor(level=1)
+        enc, z = Encoder(shared.value), zstandard.ZstdCompressor(level=3)
         total, last = np.zeros(vocab, np.int64), np.zeros(vocab, np.int64)
         for batch in batches:
             for part, text in C.slices(batch, 2, TEXT_SLICE):
@@ -186,7 +185,7 @@ def encoded(docs: DataFrame, file: str, vocab: int, id_col: str = "doc_id", text
                     own = ids[a:b]
                     last[own] = place[a:b]  # of equal ids one place stays
                     total[own[last[own] == place[a:b]]] += 1
-                    blobs.append(z.compress(_planes(own, width)))
+                    blobs.append(z.compress(own.astype(f"<u{width}").tobytes()))
                 cols = [pa.array(np.zeros(len(part), np.int32)), part.column(0), part.column(1), pa.array(np.diff(off)), pa.array(blobs, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         some = np.flatnonzero(total)
@@ -200,13 +199,8 @@ def id_bytes(vocab: int) -> int:
     return 2 if vocab <= 1 << 16 else 4
 
 
-def _planes(values: np.ndarray, width: int) -> bytes:
-    return np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
-
-
 def _values(blob: bytes, width: int, z: zstandard.ZstdDecompressor) -> np.ndarray:
-    raw = np.frombuffer(z.decompress(blob), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(raw.T).reshape(-1).view(f"<u{width}")
+    return np.frombuffer(z.decompress(blob), f"<u{width}")
 
 
 def document_frequency(rows: DataFrame, vocab: int) -> np.ndarray:
@@ -247,7 +241,9 @@ def _signatures(rows: DataFrame, ranks, width: int) -> DataFrame:
             best = np.zeros((len(batch), HASHES), np.int64)
             for i, blob in enumerate(batch.column(2)):
                 best[i] = table[:, _values(blob.as_buffer(), width, z)].min(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(best[:, k]) for k in range(HASHES)]], names=["row", "id", "ids", *names])
+            # equal hashes stay together, but long documents, whose ranks are low, do not
+            mixed = [C.mix64(best[:, k].astype(np.uint64)).view(np.int64) for k in range(HASHES)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, mixed)], names=["row", "id", "ids", *names])
 
     return rows.select("row", "id", "ids").mapInArrow(C.task(run), "row long, id long, ids binary, " + ", ".join(f"{n} long" for n in names))
 
