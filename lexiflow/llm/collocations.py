@@ -14,7 +14,10 @@ inside a longer one that is as frequent are dropped.
 3. The filters of a range of quotients are merged in order; counts of ``MIN_COUNT`` or more
    are unpacked into word ids.  The permutation spreads any n-grams evenly over the ranges, a
    hot n-gram is one entry per task, and the number of ranges follows the corpus.
-4. Scores, containment and ranking are joins and aggregations over the candidates.
+4. Word pairs are counted first.  The quotients that frequent pairs occupy make a bit vector of
+   ``PAIR_BITS`` at most, whatever the corpus; a longer phrase is counted only if all its
+   pairs' quotients are occupied.  No frequent phrase is lost: each of its pairs is as frequent.
+5. Scores, containment and ranking are joins and aggregations over the candidates.
 
 The word table is broadcast up to ``MAX_BROADCAST`` words (counted first); beyond it is joined
 to the distinct words of each document by shuffle, with the same result.  A key has 128 bits,
@@ -49,6 +52,8 @@ BUCKET_ENTRIES = 1 << 20  # n-grams of one length and range of quotients, on ave
 HELD = 1 << 19  # words, or n-grams of one length, that a task holds before it sends them on
 TEXT_SLICE = 1 << 20
 GROUP_ROWS = 50_000  # candidates ranked by one task
+PAIR_BITS = 29  # log2 of the longest bit vector of pair quotients (64 MB)
+BLOCK_BITS = 19  # log2 of the part of it that one group makes
 
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
@@ -208,16 +213,17 @@ def _filters(m: int, bits: int, prefix: int, run: tuple):
         yield pa.RecordBatch.from_arrays(cols, names=["words", "bucket", "size", "filter"])
 
 
-def gram_filters(docs: DataFrame, lexicon, width: int, max_words: int, buckets: int, held_entries: int | None = None) -> DataFrame:
+def gram_filters(docs: DataFrame, lexicon, width: int, lengths: range, buckets: int, pairs=None, held_entries: int | None = None) -> DataFrame:
     """(words, bucket, size, filter): n-grams of each task as counting quotient filters.
 
-    ``lexicon``: a broadcast :class:`Lexicon`, or None if the rows carry their own ids.
+    ``lexicon``: a broadcast :class:`Lexicon`, or None if the rows carry their own ids;
+    ``pairs``: broadcast bits of the pair quotients that all pairs of an n-gram must occupy.
     """
     most = held_entries or HELD
 
     def run(batches):
         lex = lexicon.value if lexicon is not None else None
-        held: dict[int, list[tuple]] = {m: [] for m in range(2, max_words + 1)}
+        held: dict[int, list[tuple]] = {m: [] for m in lengths}
         size = dict.fromkeys(held, 0)
 
         def merged(m):
@@ -230,13 +236,17 @@ def gram_filters(docs: DataFrame, lexicon, width: int, max_words: int, buckets:
                 ids = _place_ids(w, part, lex)
                 known = ids >= 0
                 link = known[1:] & known[:-1] & w.linked
+                if pairs is not None:
+                    link = link & _occupied(*pairs.value, ids, link, width)
                 ok = link
-                for m in held:
+                for m in range(2, lengths.stop):
                     if m > 2:
                         ok = ok[:-1] & link[m - 2 :]
                     at = np.flatnonzero(ok)
                     if not len(at):
                         break
+                    if m not in held:
+                        continue
                     key = cqf.pack([ids[at + j] for j in range(m)], width)
                     held[m].append(cqf.counted(*cqf.permute(*key, m * width)))
                     size[m] += len(held[m][-1][0])
@@ -253,6 +263,45 @@ def gram_filters(docs: DataFrame, lexicon, width: int, max_words: int, buckets:
     return docs.mapInArrow(C.task(run), "words int, bucket long, size long, filter binary")
 
 
+def _quotients(first: np.ndarray, second: np.ndarray, width: int, bits: int) -> np.ndarray:
+    top, _ = cqf.permute(*cqf.pack([first, second], width), 2 * width)
+    return (top >> np.uint64(min(2 * width, 64) - bits)).astype(np.int64)
+
+
+def _occupied(bits: int, vector: np.ndarray, ids: np.ndarray, link: np.ndarray, width: int) -> np.ndarray:
+    """For every place whether the pair that begins there has an occupied quotient."""
+    out = np.zeros(len(link), bool)
+    at = np.flatnonzero(link)
+    q = _quotients(ids[at], ids[at + 1], width, bits)
+    out[at] = (vector[q >> 3] >> (q & 7).astype(np.uint8)) & 1
+    return out
+
+
+def pair_vector(pairs: DataFrame, width: int) -> tuple[int, np.ndarray]:
+    """(bits, vector): bits of the quotients that frequent pairs (ids, a) occupy: at least 16 per pair, up to
+    ``PAIR_BITS``.  Groups make parts of it, so the driver gets no more than the vector."""
+    bits = min(PAIR_BITS, 2 * width, int(16 * max(1, pairs.count())).bit_length())
+
+    def place(batches):
+        for b in batches:
+            flat = b.column(0).flatten().to_numpy().reshape(-1, 2)
+            q = _quotients(flat[:, 0], flat[:, 1], width, bits)
+            yield pa.RecordBatch.from_arrays([pa.array(q >> BLOCK_BITS), pa.array(q & ((1 << BLOCK_BITS) - 1))], names=["block", "bit"])
+
+    def block(t: pa.Table) -> pa.Table:
+        own = np.zeros(1 << min(BLOCK_BITS, bits), bool)
+        own[t["bit"].to_numpy()] = True
+        return pa.table({"block": t["block"].slice(0, 1), "vector": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    placed = pairs.select("ids").mapInArrow(place, "block long, bit long").distinct()
+    got = placed.groupBy("block").applyInArrow(block, "block long, vector binary").toArrow()
+    size = max(1, 1 << min(BLOCK_BITS, bits) >> 3)
+    out = np.zeros(max(1, 1 << bits >> 3), np.uint8)
+    for i, v in zip(got["block"].to_pylist(), got["vector"], strict=True):
+        out[i * size : (i + 1) * size] = np.frombuffer(v.as_buffer(), np.uint8)
+    return bits, out
+
+
 def merge_filters(filters: DataFrame, width: int, min_count: int) -> DataFrame:
     """(ids, a): n-grams with ``min_count`` occurrences or more, from the merged filters."""
 
@@ -311,7 +360,11 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int = MAX
         source = docs.select("lang", "text")
     else:
         lexicon, source = None, _with_own_ids(docs, vocab.select("lang", "word", "id"))
-    grams = merge_filters(gram_filters(source, lexicon, width, max_words, buckets, held_entries), width, min_count)
+    count = lambda lengths, pairs: merge_filters(gram_filters(source, lexicon, width, lengths, buckets, pairs, held_entries), width, min_count)
+    grams = C.stored(count(range(2, 3), None), "collocation-pairs")
+    if max_words > 2:
+        occupied = spark.sparkContext.broadcast(pair_vector(grams, width))
+        grams = grams.unionByName(count(range(3, max_words + 1), occupied))
     return C.stored(_phrases(grams, vocab.select("id", "lang", "word")), "collocation-candidates"), vocab.select("lang", "word", "n"), totals
 
 

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexiflow.llm import collocations as L
@@ -69,6 +70,20 @@ def test_top_ranks_are_those_of_all(frame, monkeypatch):
     assert got == brute(ROWS, 4, 3, 5)
 
 
+def test_pair_vector_holds_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK_BITS", 6)
+    pairs = [(i, (7 * i) % 90) for i in range(90)]
+    frame = spark.createDataFrame([(list(p), 9) for p in pairs], "ids array<long>, a long")
+    bits, vector = L.pair_vector(frame, 7)
+    assert len(vector) * 8 == 1 << bits and np.unpackbits(vector).sum() <= 90
+    a, b = (np.array(x) for x in zip(*pairs, strict=True))
+    chain = np.stack([a, b, np.full(90, 126)], 1).ravel()
+    got = L._occupied(bits, vector, chain, np.ones(len(chain) - 1, bool), 7)
+    assert got[::3].all() and got.sum() < 90 + 60
+    tiny = spark.createDataFrame([([0, 1], 9)], "ids array<long>, a long")
+    assert L.pair_vector(tiny, 1)[0] == 2
+
+
 def test_scores_beyond_64_bits(spark):
     big = 10**15
     phrases = spark.createDataFrame([("en", ["u", "v"], big)], "lang string, words array<string>, a long")
