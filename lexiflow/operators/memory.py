@@ -16,7 +16,9 @@ from pyspark.sql.types import IntegralType
 
 from lexiflow.functions import text as T
 from lexiflow.operators import features as FE
+from lexiflow.operators import pruned as PR
 from lexiflow.operators import similarity as SIM
+from lexiflow.operators import threshold as TH
 from lexiflow.session import scratch_path
 from lexiflow.sources import artefacts as AR
 
@@ -141,6 +143,29 @@ class TextMemory:
         out = rows.join(best, "_qrow", "left")
         return out.select(*[f"`{c}`" for c in queries.columns], *[F.col(f"_best_{c}").alias(c) for c in ("mem_id", "mem_standard", "mem_score")])
 
+    def match_above(self, queries: DataFrame, threshold: float, id_col: str = "id", text_col: str = "text", label_col: str | None = None) -> DataFrame:
+        """``match`` for matches of ``threshold`` or more only (null below), by prefix filtering:
+        rows meet entries by their rare terms, however large the memory.  Adds ``mem_compared``,
+        the number of entries that a row was compared with."""
+        label = label_col if label_col is not None and self.with_label else None
+        spark = queries.sparkSession
+        path = scratch_path(spark, "memory-rows")
+        queries.withColumn("_qrow", F.monotonically_increasing_id()).write.parquet(path)
+        rows = spark.read.parquet(path)
+        counts = FE.term_counts(rows.select(F.col("_qrow").alias("qid"), F.col(text_col).alias("text")), self.analyzer, "qid")
+        # the memory's own document frequencies keep frequent terms out of the shuffle join
+        order, n = TH.term_order(self.vectors)
+        known = FE.join_idf(counts, order.drop("idf").join(self.vocab, "term"), n, "qid")
+        qv = SIM.sparse_vectors(known.withColumn("tfidf", F.col("tf") * F.col("idf")), "qid")
+        if label is not None:
+            qv = qv.join(rows.select(F.col("_qrow").alias("qid"), F.col(label).alias("label")), "qid")
+        best = TH.nearest_above(qv, self.vectors, threshold, label is not None, ("mem_id", "standard"))
+        best = best.select(F.col("qid").cast("long").alias("_qrow"), "mem_id", F.col("standard").alias("mem_standard"), F.col("score").alias("mem_score"), F.col("compared").alias("mem_compared"))
+        names = [c for c in best.columns if c != "_qrow"]
+        out = rows.join(best.withColumnsRenamed({c: f"_best_{c}" for c in names}), "_qrow", "left")
+        zero = F.coalesce("_best_mem_compared", F.lit(0).cast("long")).alias("mem_compared")
+        return out.select(*[f"`{c}`" for c in queries.columns], *[F.col(f"_best_{c}").alias(c) for c in names[:-1]], zero)
+
     def _match_rows(self, queries: DataFrame, text_col: str, label_col: str | None) -> DataFrame:
         rows = queries.withColumn("_terms", self.analyzer(F.col(text_col)))
         scored = SIM.nearest_rows(
@@ -153,7 +178,11 @@ class TextMemory:
 
 
 class VectorMemory:
-    """Memory entries ``(id, vec, pos[, label])`` with precomputed embeddings."""
+    """Memory entries ``(id, vec, pos[, label])`` with precomputed embeddings.
+
+    A memory under the broadcast bound is shipped to the queries; a larger one is cut into
+    rings, and a query visits those that can hold its match (``force``: ``broadcast``,
+    ``sharded`` — every shard — or ``pruned``)."""
 
     def __init__(self, entries: DataFrame, max_broadcast_bytes: int | None = None, force: str | None = None):
         self.entries = entries
@@ -161,16 +190,27 @@ class VectorMemory:
         self.force = force
         self._prepared = {}
 
+    def _rows(self, with_label: bool) -> DataFrame:
+        return self.entries.select("pos", "vec", F.col("id").alias("match_id"), F.col("id").cast("string").alias("key"), *(["label"] if with_label else []))
+
     def prepared(self, with_label: bool = False):
         if with_label not in self._prepared:
-            m = self.entries.select("pos", "vec", F.col("id").alias("match_id"), F.col("id").cast("string").alias("key"), *(["label"] if with_label else []))
             self._prepared[with_label] = SIM.prepare(
-                m, "dense", exclude_self=True, same_label=with_label,
-                max_broadcast_bytes=self.max_broadcast_bytes, force=self.force, carry=("match_id",),
+                self._rows(with_label), "dense", exclude_self=True, same_label=with_label,
+                max_broadcast_bytes=self.max_broadcast_bytes, force=None if self.force == "pruned" else self.force, carry=("match_id",),
             )
         return self._prepared[with_label]
 
+    def pruned(self, exclude_self: bool = False, with_label: bool = False) -> PR.PivotIndex:
+        """The memory cut into rings."""
+        which = (exclude_self, with_label)
+        if which not in self._prepared:
+            self._prepared[which] = PR.PivotIndex(self._rows(with_label), exclude_self, with_label, carry=("match_id",))
+        return self._prepared[which]
+
     def match(self, queries: DataFrame, exclude_self: bool = False, same_label: bool = False) -> DataFrame:
-        """queries: (id, vec[, label]) -> (qid, match_id, match_pos, score), a row per query row."""
+        """queries: (id, vec[, label]) -> (qid, match_pos, score, match_id), a row per query row."""
         q = queries.select(F.col("id").alias("qid"), "vec", F.col("id").cast("string").alias("key"), *(["label"] if same_label else []))
+        if self.force == "pruned" or (self.force is None and self.prepared(same_label).strategy == "sharded"):
+            return self.pruned(exclude_self, same_label).nearest(q).drop("visited")
         return SIM.nearest(q, self.prepared(same_label), "dense", exclude_self=exclude_self, same_label=same_label)

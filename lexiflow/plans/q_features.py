@@ -250,6 +250,15 @@ def q_cosine_top1_sharded(spark, sf):
     return best.select(F.col("qid").cast("long").alias("vec_id"), "match_id", F.round("score", 6).alias("score"))
 
 
+@register("cosine_top1_pruned", _loo_sql(None))
+def q_cosine_top1_pruned(spark, sf):
+    """Same answer from a memory cut into rings around pivots: a query visits only rings that
+    can beat its best."""
+    mem = MEM.VectorMemory(TB.vectors(spark, sf), force="pruned")
+    best = mem.match(TB.vectors(spark, sf), exclude_self=True)
+    return best.select(F.col("qid").cast("long").alias("vec_id"), "match_id", F.round("score", 6).alias("score"))
+
+
 @register(
     "memory_selftest",
     _loo_sql(None).replace(
@@ -307,6 +316,23 @@ def q_tfidf_top1_sharded(spark, sf):
     return out.select("doc_id", "mem_id", F.round("mem_score", 6).alias("score"))
 
 
+def _above_sql(threshold: float) -> str:
+    hit = f"b.mem_score >= {threshold}"
+    return (
+        f"WITH {S.text_memory_ctes(doc_queries_sql())} SELECT q.qid AS doc_id, CASE WHEN {hit} THEN b.mem_id END AS mem_id, "
+        f"CASE WHEN {hit} THEN round(b.mem_score, 6) END AS score FROM q LEFT JOIN best b USING (qid)"
+    )
+
+
+@register("tfidf_top1_above", _above_sql(K.MEMORY_THRESHOLD))
+def q_tfidf_top1_above(spark, sf):
+    """Closest benchmark item of every document at the memory threshold or above, by prefix
+    filtering: documents meet items by rare terms only."""
+    mem = MEM.TextMemory(TB.memory_texts(spark, sf), force="sharded")
+    out = mem.match_above(TB.table(spark, sf, "documents").select("doc_id", "text"), K.MEMORY_THRESHOLD, "doc_id", "text")
+    return out.select("doc_id", "mem_id", F.round("mem_score", 6).alias("score"))
+
+
 # ============================================================================ evaluation (AGG-9)
 
 _GOLD_PRED = f"SELECT lang AS gold, {S.lang_rule('text')} AS predicted FROM documents"
