@@ -7,6 +7,9 @@
 * ragged: no schema contract; rows are padded with ``''`` / cut to the column
   count, empty lines are skipped, and the header line is optionally kept as data.
 
+A file larger than a split is read by many tasks even if quoted fields hold newlines
+(:mod:`lexiflow.sources.csv_split`); a small one is left to Spark's reader, with the same rows.
+
 Every row carries ``pos``, an orderable file position
 ``struct(source_rank, file_path, block_start, row_id)`` used for last-wins.
 """
@@ -19,6 +22,7 @@ from pyspark.sql import types as Ty
 
 from lexiflow import constants as K
 from lexiflow.functions import text as T
+from lexiflow.sources import csv_split as SP
 
 CORPUS_COLUMNS = ["text", "label", "standard"]
 
@@ -42,6 +46,33 @@ def _position(df: DataFrame, source_rank: int = 0) -> DataFrame:
     )
 
 
+def _split_rows(
+    spark: SparkSession, path: str, schema: Ty.StructType, options: dict, names: list[str] | None, skip_header: bool, source_rank: int, keep: str | None = None
+) -> DataFrame:
+    """Parsed records and their position; ``names``: the header that every file must have;
+    ``keep``: a column that rows must not have (``mode='dropmalformed'``)."""
+    rec = SP.records(spark, path, options.get("ignoreLeadingWhiteSpace") == "true")
+    at = F.struct("block_start", "row_id")
+    if skip_header:
+        first = rec.groupBy("file_path").agg(F.min(F.struct("block_start", "row_id", "record")).alias("f")).select("file_path", "f.*")
+        if names is not None:
+            parsed = first.select("file_path", F.from_csv("record", F.lit(string_schema([f"c{i}" for i in range(len(names))], corrupt=False).toDDL()), options).alias("h"))
+            for r in parsed.collect():  # one row per file
+                if list(r["h"]) != names:
+                    raise ValueError(f"header of {r['file_path']} is {list(r['h'])}, not {names}")
+        heads = first.select(F.col("file_path").alias("_f"), F.struct("block_start", "row_id").alias("_at"))
+        rec = rec.join(F.broadcast(heads), (rec["file_path"] == F.col("_f")) & (at == F.col("_at")), "left_anti")
+    text = F.when(F.col("crlf"), F.replace("record", F.lit("\r\n"), F.lit("\n"))).otherwise(F.col("record"))
+    parsed = F.from_csv(text, F.lit(schema.toDDL()), {**options, "multiLine": "true"})
+    pos = F.struct(F.lit(source_rank).alias("source_rank"), "file_path", "block_start", "row_id")
+    out = rec.select(parsed.alias("_r"), pos.alias("pos"), "record").select("_r.*", "pos", F.col("record").alias("_raw"))
+    corrupt = options.get("columnNameOfCorruptRecord")
+    if corrupt in schema.fieldNames():  # as it stands in the file
+        out = out.withColumn(corrupt, F.when(F.col(corrupt).isNotNull(), F.col("_raw")))
+    out = out.drop("_raw")
+    return out.where(F.col(keep).isNull()).drop(keep) if keep else out
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names from a CSV header (reads the first line only)."""
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
@@ -56,14 +87,16 @@ def read_csv(
     source_rank: int = 0,
     ignore_leading_ws: bool = True,
     multiline: bool = True,
+    split: bool | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Headered CSV -> (rows, quarantine).
 
     ``columns``: the columns to keep, by name (default: all, in file order); a name that
     the header lacks is an error.  ``mode``: ``permissive`` (pad short rows, quarantine
     long ones), ``dropmalformed`` or ``strict`` (fail fast).  NA tokens become null in
-    every column.  ``multiline=False`` promises that no field holds a newline: a large
-    file is then read by many tasks, otherwise each file by one.
+    every column.  ``split``: cut files at any byte and find the records by quote state
+    (default: if a file is larger than a split); ``multiline=False`` promises that no field
+    holds a newline, which spares that.
     """
     header = csv_header(spark, path)
     absent = [c for c in columns or [] if c not in header]
@@ -71,18 +104,19 @@ def read_csv(
         raise ValueError(f"columns not in the header: {absent}")
     spark_mode = {"permissive": "PERMISSIVE", "dropmalformed": "DROPMALFORMED", "strict": "FAILFAST"}[mode]
     corrupt = "_corrupt_record"
-    reader = (
-        spark.read.schema(string_schema(header, corrupt=spark_mode == "PERMISSIVE"))
-        .option("header", True)
-        .option("enforceSchema", False)  # a file with another header order raises
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", spark_mode)
-        .option("ignoreLeadingWhiteSpace", ignore_leading_ws)
-        .option("columnNameOfCorruptRecord", corrupt)
-    )
-    raw = _position(reader.csv(path), source_rank)
+    options = {
+        "quote": '"', "escape": '"', "mode": spark_mode, "columnNameOfCorruptRecord": corrupt,
+        "ignoreLeadingWhiteSpace": str(ignore_leading_ws).lower(),
+    }
+    if multiline and (SP.is_large(spark, path) if split is None else split):
+        drop = spark_mode == "DROPMALFORMED"
+        options = {**options, "mode": "PERMISSIVE"} if drop else options
+        schema = string_schema(header, corrupt=spark_mode != "FAILFAST")
+        raw = _split_rows(spark, path, schema, options, header, True, source_rank, corrupt if drop else None)
+    else:
+        # with enforceSchema off, a file with another header order raises
+        reader = spark.read.schema(string_schema(header, corrupt=spark_mode == "PERMISSIVE")).options(header=True, enforceSchema=False, multiLine=multiline, **options)
+        raw = _position(reader.csv(path), source_rank)
     if spark_mode != "PERMISSIVE":
         rows, quarantine = raw, spark.createDataFrame([], "_corrupt_record string").withColumn("pos", F.lit(None).cast(raw.schema["pos"].dataType))
     else:
@@ -107,25 +141,21 @@ def read_ragged_csv(
     header: bool = True,
     source_rank: int = 0,
     multiline: bool = True,
+    split: bool | None = None,
 ) -> DataFrame:
     """Ragged CSV: pad short rows with '' and cut long ones to ``len(columns)``.
 
     ``header=False`` reproduces a reader that keeps the header line as a data row.  A
-    quoted field may hold newlines; ``multiline=False`` promises that none does and lets
-    a large file be read by many tasks.
+    quoted field may hold newlines; ``split`` and ``multiline`` are those of :func:`read_csv`.
     """
     n = len(columns)
     names = [f"_c{i}" for i in range(n)]
-    raw = (
-        spark.read.schema(string_schema(names, corrupt=False))
-        .option("header", header)
-        .option("multiLine", multiline)
-        .option("quote", '"')
-        .option("escape", '"')
-        .option("mode", "PERMISSIVE")
-        .csv(path)
-    )
-    raw = _position(raw, source_rank)
+    options = {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    if multiline and (SP.is_large(spark, path) if split is None else split):
+        raw = _split_rows(spark, path, string_schema(names, corrupt=False), options, None, header, source_rank)
+    else:
+        reader = spark.read.schema(string_schema(names, corrupt=False)).options(header=header, multiLine=multiline, **options)
+        raw = _position(reader.csv(path), source_rank)
     return raw.select(*[F.coalesce(F.col(a), F.lit("")).alias(c) for a, c in zip(names, columns)], "pos")
 
 
