@@ -10,8 +10,10 @@ from lexiflow.operators import corpus as C
 from lexiflow.operators import dictionary as D
 from lexiflow.operators import sampling as SM
 from lexiflow.operators import features as FE
+from lexiflow.operators import stored_dictionary as SD
 from lexiflow.plans import sqlfrag as S
 from lexiflow.plans.registry import DRIVER_PREFIXES, register
+from lexiflow.session import scratch_path
 from lexiflow.sources import tables as TB
 
 VARIANT_LABELS = ["de", "es", "fr"]  # role of the variant classes on the driver data
@@ -87,6 +89,33 @@ def q_dict_lookup(spark, sf):
     return out.select("id", "translation", F.col("translation_pos").alias("lookup_pos"))
 
 
+@register("dict_stored_lookup", _LOOKUP_SQL)
+def q_dict_stored_lookup(spark, sf):
+    """The same from a stored dictionary, bucketed by key: only the queries are shuffled."""
+    stored = SD.StoredDictionary.create(spark, scratch_path(spark, "dictionary"), TB.corpus(spark, sf))
+    out = stored.lookup(TB.route_input(spark, sf), out_col="translation")
+    return out.select("id", "translation", F.col("translation_pos").alias("lookup_pos"))
+
+
+_MERGED_SQL = """SELECT text, source AS standard, doc_id AS pos FROM documents
+UNION ALL SELECT text, role AS standard, 10000000000 + conv_id * 1000 + turn AS pos FROM conversations"""
+
+
+@register(
+    "dict_merge",
+    f"""WITH c AS ({_MERGED_SQL}), k AS (SELECT {S.normalize('text')} AS key, {S.strip('standard')} AS standard, pos FROM c WHERE text IS NOT NULL)
+SELECT key, standard, first_pos AS pos FROM (SELECT key, standard, min(pos) OVER (PARTITION BY key) AS first_pos,
+  row_number() OVER (PARTITION BY key ORDER BY pos DESC) AS rn FROM k) WHERE rn = 1""",
+)
+def q_dict_merge(spark, sf):
+    """A stored dictionary of the documents, into which the conversations are merged as a new
+    corpus part; equal to one dictionary of both."""
+    stored = SD.StoredDictionary.create(spark, scratch_path(spark, "dictionary"), TB.corpus(spark, sf))
+    turns = TB.table(spark, sf, "conversations")
+    part = turns.select("text", F.col("role").alias("standard"), (F.lit(10_000_000_000) + F.col("conv_id") * 1000 + F.col("turn")).alias("pos"))
+    return stored.merge(part).dictionary()
+
+
 @register(
     "lookup_hits",
     f"WITH d AS ({S.corpus_dictionary(S.normalize)}), i AS ({S.route_input()}) "
