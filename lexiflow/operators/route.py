@@ -22,10 +22,12 @@ from pyspark.sql.types import StringType, StructField, StructType
 from lexiflow import constants as K
 from lexiflow.functions import text as T
 from lexiflow.operators import dictionary as D
+from lexiflow.operators.hooks import ModelHook
 from lexiflow.session import scratch_path
 
 Classifier = Callable[[Column], Column]
-Generator = Callable[[Iterator[pd.DataFrame]], Iterable[pd.DataFrame]]
+# a hook that is loaded once per process, or a function over batches of rows
+Generator = ModelHook | Callable[[Iterator[pd.DataFrame]], Iterable[pd.DataFrame]]
 
 OUT_COLS = ["id", "text", "requested_label", "predicted", "label", "translation", "origin", "score", "message"]
 
@@ -42,26 +44,27 @@ def lang_rule(col) -> Column:
 
 
 def classify(x: DataFrame, classifier) -> DataFrame:
-    """Adds ``predicted``: a Column rule (JVM-side) or a fitted ``PipelineModel``."""
-    from pyspark.ml import PipelineModel
-
-    if isinstance(classifier, PipelineModel):
+    """Adds ``predicted``: a column rule (JVM-side), a model hook or a fitted model."""
+    if _fitted(classifier):
         from lexiflow.operators.classify import predict
 
         return predict(classifier, x)
     return x.withColumn("predicted", classifier(F.col("text")))
 
 
+def _fitted(classifier) -> bool:
+    """Whether this is a fitted model, which transforms rows, and not a column function."""
+    return hasattr(classifier, "transform")
+
+
 def classify_rest(x: DataFrame, classifier, done: str) -> DataFrame:
     """``predicted`` for the rows without ``done``, null for the others.
 
     A column rule is evaluated inside the condition, so never on finished rows.  A fitted
-    model is applied to the unfinished rows alone; the scored input is written once, so
+    model or a hook is applied to the unfinished rows alone; the scored input is written once, so
     that the two branches do not score it twice.
     """
-    from pyspark.ml import PipelineModel
-
-    if not isinstance(classifier, PipelineModel):
+    if not _fitted(classifier) and not isinstance(classifier, ModelHook):
         return x.withColumn("predicted", F.when(~F.col(done), classifier(F.col("text"))))
     x = _once(x)
     rest = classify(x.where(~F.col(done)), classifier)
@@ -123,12 +126,15 @@ def _resolve(
     tr, og = pick(rules)
     rest = x.where(~F.col("_to_gen")).withColumn("translation", tr).withColumn("origin", og)
     todo = x.where(F.col("_to_gen"))
-    schema = StructType([*todo.schema.fields, StructField("generated", StringType(), True)])
+    if isinstance(generator, ModelHook):
+        gen = todo.withColumn("generated", generator("text"))
+    else:
+        schema = StructType([*todo.schema.fields, StructField("generated", StringType(), True)])
 
-    def hook(batches):
-        yield from generator(batches)
+        def hook(batches):
+            yield from generator(batches)
 
-    gen = todo.mapInPandas(hook, schema)
+        gen = todo.mapInPandas(hook, schema)
     out = T.quote_repair("generated") if repair_quotes else F.col("generated")
     gen = gen.withColumn("translation", out).withColumn("origin", F.lit("generator")).drop("generated")
     return rest.unionByName(gen).drop("_to_gen")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.operators import classify as CL
 from lexiflow.operators import features as FE
+from lexiflow.operators import hooks as HK
 from lexiflow.operators import memory as MEM
 from lexiflow.operators import report as RP
 from lexiflow.operators import sampling as SM
@@ -84,15 +85,15 @@ def _trigram_sql(table: str, key: str) -> str:
     SELECT {key} AS k, ' ' || lower(text) || ' ' AS s FROM {table} WHERE text IS NOT NULL))) GROUP BY ALL"""
 
 
-@register(
-    "encode_hook",
-    f"""WITH m AS ({_trigram_sql('benchmark', 'item_id')}), q AS ({_trigram_sql('documents', 'doc_id')}),
+_ENCODE_SQL = f"""WITH m AS ({_trigram_sql('benchmark', 'item_id')}), q AS ({_trigram_sql('documents', 'doc_id')}),
 mn AS (SELECT k, sqrt(sum(n * n)) AS nrm FROM m GROUP BY k), qn AS (SELECT k, sqrt(sum(n * n)) AS nrm FROM q GROUP BY k),
 p AS (SELECT q.k AS qk, m.k AS mk, sum(q.n * m.n) AS dot FROM q JOIN m USING (b) GROUP BY ALL),
 r AS (SELECT qk, mk, dot / (qn.nrm * mn.nrm) AS score FROM p JOIN qn ON qn.k = qk JOIN mn ON mn.k = mk),
 z AS (SELECT qk, mk, score, row_number() OVER (PARTITION BY qk ORDER BY round(score, 12) DESC, mk) AS rn FROM r)
-SELECT d.doc_id, z.mk AS match_id, round(z.score, 6) AS score FROM documents d LEFT JOIN z ON z.qk = d.doc_id AND rn = 1""",
-)
+SELECT d.doc_id, z.mk AS match_id, round(z.score, 6) AS score FROM documents d LEFT JOIN z ON z.qk = d.doc_id AND rn = 1"""
+
+
+@register("encode_hook", _ENCODE_SQL)
 def q_encode_hook(spark, sf):
     """Memory and queries encoded as hashed character trigram counts by Spark itself, then
     exact cosine top-1.  Any encoder with the same (id, vec, pos) contract can take its
@@ -101,3 +102,40 @@ def q_encode_hook(spark, sf):
     docs = TB.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("doc_id").alias("pos"))
     best = MEM.VectorMemory(FE.hashed_trigrams(mem, DIM)).match(FE.hashed_trigrams(docs, DIM))
     return best.select(F.col("qid").cast("long").alias("doc_id"), "match_id", F.round("score", 6).alias("score"))
+
+
+def trigram_encoder():
+    """A model hook in plain Python: hashed character trigram counts, as the SQL has them.
+    Made once per process, so its memo of grams serves all batches."""
+    import hashlib
+
+    memo: dict[str, int] = {}
+
+    def place(gram: str) -> int:
+        if gram not in memo:
+            if len(memo) > 1_000_000:
+                memo.clear()
+            memo[gram] = int(hashlib.md5(gram.encode()).hexdigest()[:4], 16) % DIM
+        return memo[gram]
+
+    def encode(texts):
+        out = []
+        for t in texts:
+            s = f" {t.lower()} "
+            v = [0.0] * DIM
+            for i in range(len(s) - 2):
+                v[place(s[i : i + 3])] += 1.0
+            out.append(v)
+        return out
+
+    return encode
+
+
+@register("hook_encoder", _ENCODE_SQL)
+def q_hook_encoder(spark, sf):
+    """The same search with vectors from a model hook that is loaded once per process."""
+    hook = HK.ModelHook(trigram_encoder, "array<double>", batch_size=256)
+    mem = TB.memory_texts(spark, sf).select(F.col("mem_id").alias("id"), "text", "pos")
+    docs = TB.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text", F.col("doc_id").alias("pos"))
+    best = MEM.VectorMemory(hook.encode(mem)).match(hook.encode(docs))
+    return best.select(F.col("qid").cast("long").alias("doc_id"), "match_id", F.round("score", 6).alias("score"))

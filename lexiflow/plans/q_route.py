@@ -14,6 +14,7 @@ from lexiflow.functions import text as T
 from lexiflow.operators import dictionary as D
 from lexiflow.operators import memory as MEM
 from lexiflow.operators import route as R
+from lexiflow.operators.hooks import ModelHook
 from lexiflow.plans import sqlfrag as S
 from lexiflow.plans.q_corpus import VARIANT_LABELS
 from lexiflow.plans.registry import register
@@ -74,6 +75,25 @@ SELECT id, predicted, CASE WHEN hit THEN {S.sq(K.LABEL_IDIOM)} ELSE predicted EN
   round(mem_score, 6) AS score, CAST(NULL AS VARCHAR) AS message FROM z"""
 
 
+_GEN = "'gen ' || length(text) || ': ' || text"
+
+
+def echo_generator():
+    """A stand-in model for the generator hook, simple enough for SQL to repeat."""
+    return lambda texts: [f"gen {len(t)}: {t}" for t in texts]
+
+
+@register("route_generator_hook", _RT2_SQL.replace(f"{_PH} || text", _GEN).replace("THEN 'placeholder'", "THEN 'generator'"))
+def q_route_generator_hook(spark, sf):
+    """Memory -> classifier -> lookup -> a generator hook, which is loaded once per process and
+    sees the unanswered rows only."""
+    out = R.route_idiom_first(
+        TB.route_input(spark, sf), _memory(spark, sf), generator_labels=VARIANT_LABELS, generator=ModelHook(echo_generator),
+        lookup=_dictionary(spark, sf, T.normalize_text), case_sensitive=False,
+    )
+    return out.select(*ROUTE_COLS)
+
+
 def route_idiom_lookup_df(spark, sf, inp=None, memory=None, lookup=None):
     inp = TB.route_input(spark, sf) if inp is None else inp
     return R.route_idiom_first(
