@@ -143,6 +143,29 @@ def q_line_file_roundtrip(spark, sf):
     return LN.cleanup_job(spark, src)
 
 
+@register(
+    "line_files",
+    """WITH l AS (SELECT coalesce(lang, 'und') AS file, doc_id, generate_subscripts(p, 1) AS i, unnest(p) AS before FROM (
+  SELECT lang, doc_id, CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) END AS p FROM documents))
+SELECT file || '_clean.txt' AS file, row_number() OVER (PARTITION BY file ORDER BY doc_id, i) - 1 AS line_no, """
+    + S.collapse("replace(before, '.', '')")
+    + " AS line FROM l",
+)
+def q_line_files(spark, sf):
+    """A folder with a line file per language is cleaned into one suffixed output per input;
+    the outputs are read back with their line numbers."""
+    docs = TB.table(spark, sf, "documents").select(F.struct(F.coalesce("lang", F.lit("und")).alias("lang"), "doc_id").alias("key"), "text")
+    named = C.lines_of(docs, "key", "text").select(F.concat("key.lang", F.lit(".txt")).alias("file"), "key.doc_id", "line_no", "before")
+    src, out = scratch_path(spark, "line-files"), scratch_path(spark, "line-files-out")
+    LN.write_line_files(named, src, [], ["doc_id", "line_no"], col="before")
+    folders = [f"{src}/{r['file']}" for r in named.select("file").distinct().collect()]  # one per language
+    one = LN.read_lines(spark, folders, whole_folders=True).withColumn("file", F.regexp_extract("file_path", "[^/]*$", 0))
+    cleaned = C.line_cleanup(one).withColumn("target", F.regexp_replace("file", r"\.txt$", "_clean.txt"))
+    LN.write_line_files(cleaned, out, [], ["line_no"], "target")
+    back = LN.read_lines(spark, [f"{out}/{f.rsplit('/', 1)[1][:-4]}_clean.txt" for f in folders], whole_folders=True)
+    return back.select(F.regexp_extract("file_path", "[^/]*$", 0).alias("file"), "line_no", F.col("before").alias("line"))
+
+
 @register(
     "trainset_files",
     _split_sql(
