@@ -55,6 +55,21 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row; a column that holds a map anywhere, which Spark does not
+    hash, is hashed as JSON."""
+
+    def has_map(t) -> bool:
+        if isinstance(t, T.MapType):
+            return True
+        if isinstance(t, T.ArrayType):
+            return has_map(t.elementType)
+        return isinstance(t, T.StructType) and any(has_map(f.dataType) for f in t)
+
+    one = lambda f: F.to_json(F.struct(F.col(f"`{f.name}`"))) if has_map(f.dataType) else F.col(f"`{f.name}`")
+    return F.xxhash64(*[one(f) for f in df.schema.fields])
+
+
 def fold(id_col: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n`` (null for a null id)."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -72,20 +72,33 @@ def targets(sizes: list[int], weights: list[int], total: float) -> list[float]:
 def sainte_lague(votes: list[float], seats: int, most: list[int]) -> list[int]:
     """Seats by highest quotients ``votes / (2 k + 1)``, at most ``most`` each; ties to the first.
 
-    Starts at the seats that every divisor near 1 seat per share gives and lets the
-    quotients allot the rest, so the work follows the number of sources, not of seats.
+    A divisor whose quotients fill no more than the seats is found by bisection: these
+    quotients are the highest, so their seats are given at once, and a heap allots the few
+    that are left.  The work follows the number of sources, not of seats.
     """
-    total = sum(votes)
-    if total <= 0 or seats <= 0:
+    v, m = np.array(votes, float), np.array(most, np.int64)
+    if v.sum() <= 0 or seats <= 0:
         return [0] * len(votes)
-    seats = min(seats, sum(most))
-    scale = seats / total
-    got = [min(m, max(0, int(v * scale) - 1)) for v, m in zip(votes, most, strict=True)]
-    heap = [(-v / (2 * k + 1), i) for i, (v, k, m) in enumerate(zip(votes, got, most, strict=True)) if v > 0 and k < m]
+    seats = min(seats, int(m[v > 0].sum()))
+
+    def given(least: float) -> np.ndarray:
+        """Seats whose quotient is ``least`` or more."""
+        n = np.minimum(np.floor((v / least + 1) / 2), m).astype(np.int64)
+        return n - ((n > 0) & (v < least * (2 * n - 1)))  # rounding never gives a seat too many
+
+    low, high = 0.0, float(v.max()) * 2
+    for _ in range(100):
+        mid = (low + high) / 2
+        if mid in (low, high):
+            break
+        if int(given(mid).sum()) > seats:
+            low = mid
+        else:
+            high = mid
+    got = given(high).tolist()
+    heap = [(-x / (2 * k + 1), i) for i, (x, k, n) in enumerate(zip(votes, got, most, strict=True)) if x > 0 and k < n]
     heapq.heapify(heap)
     for _ in range(seats - sum(got)):
-        if not heap:
-            break
         _, i = heapq.heappop(heap)
         got[i] += 1
         if got[i] < most[i]:
@@ -151,11 +164,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = sized.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     shards = max(1, -(-int(total) // SHARD_WORDS))
     pos = F.xxhash64(F.lit(SEED), F.col("id"), F.col("key"))
-    dealt = sized.withColumn("pos", pos).withColumn("shard", F.pmod(pos, F.lit(shards)))
+    # documents without a word are set aside: a shard holds words, so it would not bound them
+    dealt = sized.where("size > 0").withColumn("pos", pos).withColumn("shard", F.pmod(pos, F.lit(shards)))
     streams = C.stored(
         dealt.groupBy("source", "shard").agg(F.sum("size").alias("words")).withColumn("blocks", n_blocks(F.col("words"))), "mix-streams"
     )
-    per = streams.groupBy("source").agg(F.sum("words").alias("words"), F.sum("blocks").alias("blocks"))
+    named = sized.groupBy("source").agg(F.sum("size").alias("words"))  # all sources, those without words too
+    filled = streams.groupBy("source").agg(F.sum("blocks").alias("blocks")).withColumnRenamed("source", "s")
+    per = named.join(filled, named["source"].eqNullSafe(filled["s"]), "left").select("source", "words", F.coalesce("blocks", F.lit(0)).alias("blocks"))
     if per.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources: their table must fit the driver")
     rows = per.orderBy(F.col("source").isNull(), "source").collect()
@@ -183,7 +199,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "id long, key long, size long, place long, taken long",
     )
     out = chosen.join(F.broadcast(table), "place")
-    return out.select("id", "key", "size", "source_size", "target", "taken")
+    empty = sized.where("size = 0")
+    empty = empty.join(F.broadcast(table), same(empty, table)).withColumn("taken", F.lit(0).cast("long"))
+    cols = ["id", "key", "size", "source_size", "target", "taken"]
+    return out.select(*cols).unionByName(empty.select(*cols))
 
 
 def nullable_ids(t: pa.Table) -> pd.DataFrame:
@@ -197,17 +216,16 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     part of a copy rounded up or down by a seeded hash, so that the sources' words come
     near their targets.  Documents without a word go."""
     C.prepare(spark)
-    own = C.fresh(docs, "_row")
-    marked = docs.withColumn(own, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    own, key, ident, many, nth = (C.fresh(docs, f"_mix_{x}") for x in ("row", "key", "id", "times", "nth"))
+    marked = docs.withColumn(own, C.row_hash(docs))
     taken = mix(marked, key=F.col(own))
     # wholly equal rows have one key and interchangeable amounts: shared evenly
     chance = F.pmod(F.xxhash64(F.lit(SEED + 1), "key", "id"), F.lit(1 << 20)) / (1 << 20)
     times = taken.groupBy("key", "id").agg(F.sum("taken").alias("t"), F.sum("size").alias("s")).where("s > 0")
     times = times.withColumn("n", F.floor(F.col("t") / F.col("s") + chance).cast("int")).where("n > 0")
-    times = times.select(F.col("key").alias(f"{own}_k"), F.col("id").alias(f"{own}_i"), F.col("n").alias(f"{own}_n"))
-    on = (F.col(own) == F.col(f"{own}_k")) & marked["doc_id"].eqNullSafe(F.col(f"{own}_i"))
-    out = marked.join(times, on)
-    out = out.withColumn(f"{own}_e", F.explode(F.sequence(F.lit(1), F.col(f"{own}_n"))))
+    times = times.select(F.col("key").alias(key), F.col("id").alias(ident), F.col("n").alias(many))
+    out = marked.join(times, (F.col(own) == F.col(key)) & marked["doc_id"].eqNullSafe(F.col(ident)))
+    out = out.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(many))))
     return out.select(*[f"`{c}`" for c in docs.columns])
 
 

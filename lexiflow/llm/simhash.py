@@ -226,8 +226,7 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fp, row_hash, component): one row per document row; the component is the least id
     reachable.  ``row_hash`` tells rows with the same id apart."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), row_hash.alias("row_hash"))
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), C.row_hash(docs).alias("row_hash"))
     marked = C.stored(fingerprints(src, "text", "s", shingle).select("id", "s.fp", "row_hash"), "simhash-docs")
     fps = C.stored(marked.groupBy("fp").agg(F.min("id").alias("least")), "simhash-fps")
     n = fps.count()
@@ -251,13 +250,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         first.join(count, first["id"].eqNullSafe(count["id"]) & (first["row_hash"] == count["row_hash"])).select(first["id"], first["row_hash"], "n"),
         "simhash-keep",
     )
-    own, key = C.fresh(docs, "_row"), C.fresh(docs, "_key")
-    marked = docs.withColumn(own, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    keep = keep.select(F.col("id").alias(key), F.col("row_hash").alias(f"{own}_h"), F.col("n").alias(f"{own}_n"))
-    on = marked["doc_id"].eqNullSafe(keep[key]) & (marked[own] == keep[f"{own}_h"])
-    chosen = marked.join(keep, on)
-    once = chosen.where(F.col(f"{own}_n") == 1).select(*[f"`{c}`" for c in docs.columns])
-    more = chosen.where(F.col(f"{own}_n") > 1).select(*[f"`{c}`" for c in docs.columns]).dropDuplicates()
+    own, key, other, times = (C.fresh(docs, f"_simhash_{x}") for x in ("row", "id", "hash", "times"))
+    marked = docs.withColumn(own, C.row_hash(docs))
+    keep = keep.select(F.col("id").alias(key), F.col("row_hash").alias(other), F.col("n").alias(times))
+    chosen = marked.join(keep, marked["doc_id"].eqNullSafe(F.col(key)) & (F.col(own) == F.col(other)))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    once = chosen.where(F.col(times) == 1).select(*cols)
+    more = chosen.where(F.col(times) > 1).groupBy(key, own).agg(F.first(F.struct(*cols)).alias("r")).select("r.*")
     return once.unionByName(more)
 
 

@@ -95,6 +95,37 @@ def test_sainte_lague_is_highest_quotients():
         assert mixing.sainte_lague(votes, seats, most) == want
 
 
+def test_sainte_lague_of_many_sources():
+    """Small shares that round up: highest quotients leave the large source fewer seats."""
+    votes, most = [1000.0] + [0.6] * 1000, [10_000] * 1001
+    got = mixing.sainte_lague(votes, 1600, most)
+    pool = sorted((-v / (2 * k + 1), i) for i, v in enumerate(votes) for k in range(1001 if i == 0 else 3))
+    want = [0] * 1001
+    for _, i in pool[:1600]:
+        want[i] += 1
+    assert got == want and got[0] == 833
+    rng = np.random.default_rng(3)
+    for seats in (1, 999, 5000):
+        votes, most = (rng.random(1000) ** 4 * 50).tolist(), rng.integers(0, 30, 1000).tolist()
+        seats = min(seats, sum(most))
+        pool = sorted((-v / (2 * k + 1), i) for i, (v, m) in enumerate(zip(votes, most, strict=True)) for k in range(m))
+        want = [0] * 1000
+        for _, i in pool[:seats]:
+            want[i] += 1
+        assert mixing.sainte_lague(votes, seats, most) == want
+
+
+def test_documents_without_a_word_reach_no_shard(spark, monkeypatch):
+    groups = spark.sparkContext.accumulator(0)
+    choose = mixing.choose
+    monkeypatch.setattr(mixing, "choose", lambda pdf, seed: groups.add(len(pdf)) or choose(pdf, seed))
+    rows = [(i, "", "a" if i % 2 else None) for i in range(500)] + [(900, "some words here", "a"), (901, " ", "only empty")]
+    got = {r.id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert len(got) == 502 and groups.value == 1
+    assert got[900].taken > 0 and got[3].taken == 0 and got[3].source_size == 3
+    assert got[901].size == 0 and got[901].source_size == 0 and got[901].target == 0
+
+
 def test_many_shards_still_meet_the_targets(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(mixing, "SHARD_WORDS", 500)
     got = mixing.query(spark, sf_dir).collect()
