@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as T
+from lexiflow.session import scratch_path
 
 
 def build_dictionary(
@@ -26,11 +27,12 @@ def build_dictionary(
 ) -> DataFrame:
     """Fixed-width aggregation, then the values by position.
 
-    The first and last position of every key are found by hash aggregation on a
-    128-bit digest of the key (map-side combined, so a hot key costs nothing), and the
-    row at the last position gives the key and its value.  Texts are neither sorted
-    nor compared in the aggregation, and the join is on unique positions.  Rows at
-    equal positions with one key leave one of them.
+    The rows are written once with their key and its 128-bit digest, so no text is normalised
+    twice.  The first and last position of every key are found by hash aggregation on the
+    digest, read alone from that table (map-side combined, so a hot key costs nothing), and
+    the row at the last position gives the key and its value.  Texts are neither sorted nor
+    compared in the aggregation, and the join is on unique positions.  Rows at equal
+    positions with one key leave one of them.
     """
     key = key_fn(F.col(text_col)) if key_fn is not None else F.col(text_col)
     # rows are filtered on a non-null text first and key_fn keeps non-null values
@@ -41,12 +43,14 @@ def build_dictionary(
     more = [c.alias(name) for name, c in (extra or {}).items()]
     src = df.where(F.col(text_col).isNotNull())
     rows = src.select(key.alias("key"), value.alias("standard"), F.col(pos_col).alias("_pos"), *more)
-    first = src.select(*digest(key), F.col(pos_col).alias("pos"))
-    ends = first.groupBy("_h1", "_h2").agg(F.max("pos").alias("_last"), F.min("pos").alias("pos"))
     d1, d2 = digest(F.col("key"))
-    at = rows.withColumn("_d1", d1).withColumn("_d2", d2)
-    on = (at["_pos"] == ends["_last"]) & (at["_d1"] == ends["_h1"]) & (at["_d2"] == ends["_h2"])
-    return at.join(ends, on).select("key", "standard", "pos", *(extra or {}))
+    rows = rows.withColumn("_d1", d1).withColumn("_d2", d2)
+    path = scratch_path(df.sparkSession, "dictionary-rows")
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.schema(rows.schema).parquet(path)
+    ends = rows.groupBy(F.col("_d1").alias("_h1"), F.col("_d2").alias("_h2")).agg(F.max("_pos").alias("_last"), F.min("_pos").alias("pos"))
+    on = (rows["_pos"] == ends["_last"]) & (rows["_d1"] == ends["_h1"]) & (rows["_d2"] == ends["_h2"])
+    return rows.join(ends, on).select("key", "standard", "pos", *(extra or {}))
 
 
 def digest(key: Column) -> tuple[Column, Column]:

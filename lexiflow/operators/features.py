@@ -114,11 +114,16 @@ def fit_transform_tfidf(
 ) -> tuple[DataFrame, DataFrame]:
     """Fit the IDF on ``fit_docs``; transform ``docs`` (default: the same docs).
 
-    Returns (idf table, long-form tfidf).  Nothing is cached: the exploded counts are
-    larger than the texts they come from.
+    Returns (idf table, long-form tfidf).  The table of terms is written once, as frequent and
+    rare terms are joined apart; the exploded counts, which are larger than the texts they
+    come from, are neither written nor cached.
     """
+    from lexiflow.session import scratch_path
+
     n_docs = fit_docs.select(id_col).count()
-    idf = with_idf(term_df(fit_docs, analyzer, min_df, id_col, text_col), n_docs)
+    path = scratch_path(fit_docs.sparkSession, "idf")
+    with_idf(term_df(fit_docs, analyzer, min_df, id_col, text_col), n_docs).write.parquet(path)
+    idf = fit_docs.sparkSession.read.parquet(path)
     counts = term_counts(fit_docs if docs is None else docs, analyzer, id_col, text_col)
     return idf, tfidf(counts, idf, id_col, n_docs)
 

@@ -202,20 +202,38 @@ def q_multi_source_load(spark, sf):
 
 
 def _ragged_sql(table: str, key: str) -> str:
-    """Lines without quotes, cut at commas, padded and cut to three columns; blank lines skipped."""
+    """Raw lines cut at commas, padded and cut to three columns; blank lines skipped.  A quote
+    that does not begin a field is text, and no line of the tables begins a field with one."""
     cols = ", ".join(f"coalesce(nullif(p[{i}], ''), '') AS {c}" for i, c in enumerate(("text", "label", "standard"), 1))
     return f"""SELECT {cols} FROM (SELECT string_split(line, ',') AS p FROM (
-  SELECT replace(unnest(CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) END), '"', '') AS line
+  SELECT unnest(CASE WHEN text = '' THEN []::VARCHAR[] ELSE string_split(regexp_replace(text, '\\n\\z', ''), chr(10)) END) AS line
   FROM {table}) WHERE line <> '')"""
 
 
 def _ragged_file(spark, sf, table: str, key: str) -> str:
     lines = C.lines_of(TB.table(spark, sf, table), key, "text")
     path = scratch_path(spark, f"ragged-{table}")
-    lines.select(F.translate("before", '"', "").alias("value")).write.text(path)
+    lines.select(F.col("before").alias("value")).write.text(path)
     return path
 
 
+@register(
+    "ragged_quoted",
+    """SELECT coalesce(text, '') AS text, CASE WHEN doc_id % 3 = 0 THEN '' ELSE coalesce(lang, '') END AS label,
+CASE WHEN doc_id % 3 = 2 THEN coalesce(source, '') ELSE '' END AS standard FROM documents""",
+)
+def q_ragged_quoted(spark, sf):
+    """Whole documents as quoted fields, with their newlines and doubled quotes, in rows of one,
+    two and four fields; the files are cut at any byte and read by many tasks."""
+    field = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+    n = F.col("doc_id") % 3
+    more = F.when(n == 0, F.lit("")).when(n == 1, F.concat(F.lit(","), field("lang"))).otherwise(F.concat_ws(",", F.lit(""), "lang", field("source"), F.lit("x,y")))
+    d = TB.table(spark, sf, "documents").select(F.concat(field("text"), more).alias("value"))
+    path = scratch_path(spark, "ragged-quoted")
+    d.write.text(path)
+    return CSV.read_ragged_csv(spark, path, header=False, split=True).select("text", "label", "standard")
+
+
 @register("ragged_csv", _ragged_sql("documents", "doc_id"))
 def q_ragged_csv(spark, sf):
     """Document lines written as raw text, read back as a ragged 3-column CSV

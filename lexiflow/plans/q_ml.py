@@ -20,18 +20,8 @@ def _split_corpus(spark, sf):
     return SM.stratified_split(TB.corpus(spark, sf), "label", "id", 0.2)
 
 
-_MODELS: dict = {}
-
-
 def _word_model(spark, sf):
-    """Fitted once per (session, data folder): the report and predict queries reuse it."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MODELS:
-        _MODELS[key] = _fit_word_model(spark, sf)
-    return _MODELS[key]
-
-
-def _fit_word_model(spark, sf):
+    """Fitted by every query that uses it, on the table it is given."""
     split = _split_corpus(spark, sf)
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
