@@ -153,13 +153,15 @@ class TextMemory:
         queries.withColumn("_qrow", F.monotonically_increasing_id()).write.parquet(path)
         rows = spark.read.parquet(path)
         counts = FE.term_counts(rows.select(F.col("_qrow").alias("qid"), F.col(text_col).alias("text")), self.analyzer, "qid")
-        # the memory's own document frequencies keep frequent terms out of the shuffle join
+        # the memory's own document frequencies keep frequent terms out of a shuffle join
         order, n = TH.term_order(self.vectors)
-        known = FE.join_idf(counts, order.drop("idf").join(self.vocab, "term"), n, "qid")
-        qv = SIM.sparse_vectors(known.withColumn("tfidf", F.col("tf") * F.col("idf")), "qid")
+        known = TH.numbered_terms(counts, order.drop("idf").join(self.vocab, "term"), n, "qid")
+        entry = F.struct("tid", (F.col("tf") * F.col("idf")).alias("w"))
+        qv = known.select("qid", entry.alias("s")).groupBy("qid").agg(F.sort_array(F.collect_list("s")).alias("s"))
+        qv = qv.withColumn("nrm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
         if label is not None:
-            qv = qv.join(rows.select(F.col("_qrow").alias("qid"), F.col(label).alias("label")), "qid")
-        best = TH.nearest_above(qv, self.vectors, threshold, label is not None, ("mem_id", "standard"))
+            qv = qv.join(rows.select(F.col("_qrow").alias("qid"), F.col(label).cast("string").alias("label")), "qid")
+        best = TH.nearest_numbered(qv, order, n, self.vectors, threshold, label is not None, ("mem_id", "standard"))
         best = best.select(F.col("qid").cast("long").alias("_qrow"), "mem_id", F.col("standard").alias("mem_standard"), F.col("score").alias("mem_score"), F.col("compared").alias("mem_compared"))
         names = [c for c in best.columns if c != "_qrow"]
         out = rows.join(best.withColumnsRenamed({c: f"_best_{c}" for c in names}), "_qrow", "left")

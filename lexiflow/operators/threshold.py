@@ -36,6 +36,9 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_TERMS = 1 << 19  # terms of a memory whose numbers are broadcast (counted first)
+
+
 def term_order(memory: DataFrame) -> tuple[DataFrame, int]:
     """((term, df, idf, tid): terms of the memory from rare to frequent, rows of the memory);
     ``idf`` is there for :func:`lexiflow.operators.features.join_idf` only."""
@@ -43,14 +46,27 @@ def term_order(memory: DataFrame) -> tuple[DataFrame, int]:
     return FE.dense_ids(df, [F.asc("df"), F.asc("term")], "tid").withColumn("idf", F.lit(1.0)), memory.count()
 
 
-def _numbered(rows: DataFrame, order: DataFrame, n: int, threshold: float, keep: list[str]) -> DataFrame:
-    """(k, tids, ws, prefix): unit vectors by term number; unknown terms count in the norm only."""
+def numbered_terms(each: DataFrame, order: DataFrame, n: int, id_col: str) -> DataFrame:
+    """``each`` (id, term, ...) with the ``tid`` and ``idf`` of known terms.  A memory's terms are
+    broadcast if they are few; else frequent terms are, and rare ones joined by shuffle."""
+    if order.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        return each.join(F.broadcast(order), "term")
+    return FE.join_idf(each, order, n, id_col, extra=["tid"])
+
+
+def _numbered(rows: DataFrame, order: DataFrame, n: int, keep: list[str]) -> DataFrame:
+    """(k, s, nrm, *keep): vectors as sorted (tid, w), unknown terms in the norm only."""
     norm = F.sqrt(F.aggregate("ws", F.lit(0.0), lambda a, w: a + w * w))
     rows = _stored(rows.select("k", "terms", "ws", norm.alias("nrm"), *keep), "vectors")
     each = rows.select("k", F.explode(F.arrays_zip("terms", "ws")).alias("s")).select("k", F.col("s.terms").alias("term"), F.col("s.ws").alias("w"))
-    known = FE.join_idf(each, order, n, "k", extra=["tid"]).select("k", F.struct("tid", "w").alias("s"))
+    known = numbered_terms(each, order, n, "k").select("k", F.struct("tid", "w").alias("s"))
     lists = known.groupBy("k").agg(F.sort_array(F.collect_list("s")).alias("s"))
-    out = rows.drop("terms", "ws").join(lists, "k").where("nrm > 0")
+    return rows.drop("terms", "ws").join(lists, "k")
+
+
+def _prefixed(out: DataFrame, threshold: float) -> DataFrame:
+    """(k, tids, ws, prefix, ...): unit vectors and the length of their prefix."""
+    out = out.where("nrm > 0")
     at = out.columns.index("s")
     nrm = out.columns.index("nrm")
     rest = [f for f in out.schema.fields if f.name not in ("s", "nrm")]
@@ -155,25 +171,45 @@ def nearest_above(queries: DataFrame, memory: DataFrame, threshold: float, same_
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is a cosine above 0")
+    q = queries.select(F.col("qid").cast("string").alias("qid"), "terms", "ws", *[F.col("label").cast("string").alias("label")][: int(same_label)])
+    order, n = term_order(memory)
+    h = _digests(["terms", "ws", *(["label"] if same_label else [])])
+    q = _stored(q.select("*", *h), "queries")
+    one = q.where("size(terms) > 0" + (" and label is not null" if same_label else "")).groupBy("h1", "h2")
+    one = one.agg(F.first("terms").alias("terms"), F.first("ws").alias("ws"), *[F.first("label").alias("label")][: int(same_label)])
+    label = ["label"] if same_label else []
+    one = _numbered(one.withColumn("k", F.monotonically_increasing_id()), order, n, [*label, "h1", "h2"])
+    return _search(q.drop("terms", "ws"), _prefixed(one, threshold), order, n, memory, threshold, same_label, carry, group_rows or GROUP_ROWS)
+
+
+def nearest_numbered(queries: DataFrame, order: DataFrame, n: int, memory: DataFrame, threshold: float, same_label: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The same for queries (qid, s, nrm[, label]) whose terms are numbered by ``order`` already."""
+    label = ["label"] if same_label else []
+    q = _stored(queries.select("qid", "s", "nrm", *label, *_digests(["s", *label])), "queries")
+    one = q.where("size(s) > 0" + (" and label is not null" if same_label else "")).groupBy("h1", "h2")
+    one = one.agg(*[F.first(c).alias(c) for c in ("s", "nrm", *label)]).withColumn("k", F.monotonically_increasing_id())
+    return _search(q.drop("s", "nrm"), _prefixed(one, threshold), order, n, memory, threshold, same_label, carry, GROUP_ROWS)
+
+
+def _digests(cols: list[str]) -> list:
+    return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(1), *cols).alias("h2")]
+
+
+def _search(q: DataFrame, one: DataFrame, order: DataFrame, n: int, memory: DataFrame, threshold: float, same_label: bool, carry: tuple[str, ...], group_rows: int) -> DataFrame:
+    """``q``: (qid, h1, h2) of all queries; ``one``: distinct vectors with their digests."""
     label = ["label"] if same_label else []
     m = SIM.prepare(memory, "sparse", False, same_label, force="sharded", carry=carry).memory
     if not carry:
         m = m.withColumn("ord", F.lit(0).cast("long"))
     if same_label:
         m = m.where("label is not null")
-    order, n = term_order(m)
     # one row per distinct vector: the memory's with the lowest position
-    h = [F.xxhash64("terms", "ws", *label).alias("h1"), F.xxhash64(F.lit(1), "terms", "ws", *label).alias("h2")]
     lowest = F.min(F.struct("pos", "ord", *carry)).alias("low")
-    mem = m.select(*m.columns, *h).groupBy("h1", "h2").agg(F.first("terms").alias("terms"), F.first("ws").alias("ws"), lowest, *[F.first(c).alias(c) for c in label])
+    mem = m.select(*m.columns, *_digests(["terms", "ws", *label])).groupBy("h1", "h2")
+    mem = mem.agg(F.first("terms").alias("terms"), F.first("ws").alias("ws"), lowest, *[F.first(c).alias(c) for c in label])
     mem = mem.select("terms", "ws", *label, "low.*").withColumn("k", F.monotonically_increasing_id())
-    mem = _numbered(mem, order, n, threshold, [*label, "pos", "ord", *carry])
-    q = queries.select(F.col("qid").cast("string").alias("qid"), "terms", "ws", *[F.col(c).cast("string").alias(c) for c in label])
-    q = _stored(q.select("*", *h), "queries")
-    one = q.where("size(terms) > 0" + (" and label is not null" if same_label else "")).groupBy("h1", "h2")
-    one = one.agg(F.first("terms").alias("terms"), F.first("ws").alias("ws"), *[F.first(c).alias(c) for c in label])
-    one = _numbered(one.withColumn("k", F.monotonically_increasing_id()), order, n, threshold, [*label, "h1", "h2"])
-    groups = _groups(mem, one, group_rows or GROUP_ROWS)
+    mem = _prefixed(_numbered(mem, order, n, [*label, "pos", "ord", *carry]), threshold)
+    groups = _groups(mem, one, group_rows)
     left = _dealt(one, groups, "blocks", "shards", label)
     right = _dealt(mem, groups, "shards", "blocks", [*label, "pos", "ord", *carry])
     right = right.toDF(*right.columns)

@@ -33,6 +33,8 @@ def entries(spark, texts):
 def test_equals_the_full_search(spark, monkeypatch, threshold, same_label, group_rows):
     """Also with groups so small that frequent terms and copies are cut into shards and blocks."""
     monkeypatch.setattr(TH, "GROUP_ROWS", group_rows)
+    if same_label:
+        monkeypatch.setattr(TH, "BROADCAST_TERMS", 3)
     texts = corpus()
     mem_rows = [*texts[:120], *[texts[3]] * 50, "the and for", "the the and"]
     q_texts = [*texts[100:], *[texts[3]] * 60, "the and for", "and for the with", "nothing known", "", None]
