@@ -60,11 +60,13 @@ def _fitted(classifier) -> bool:
 def classify_rest(x: DataFrame, classifier, done: str) -> DataFrame:
     """``predicted`` for the rows without ``done``, null for the others.
 
-    A column rule is evaluated inside the condition, so never on finished rows.  A fitted
-    model or a hook is applied to the unfinished rows alone; the scored input is written once, so
+    A column rule is evaluated inside the condition, so never on finished rows, and a hook is
+    handed nulls for them.  A fitted model is applied to the unfinished rows alone; the scored input is written once, so
     that the two branches do not score it twice.
     """
-    if not _fitted(classifier) and not isinstance(classifier, ModelHook):
+    if isinstance(classifier, ModelHook):
+        return x.withColumn("predicted", classifier(F.when(~F.col(done), F.col("text"))))
+    if not _fitted(classifier):
         return x.withColumn("predicted", F.when(~F.col(done), classifier(F.col("text"))))
     x = _once(x)
     rest = classify(x.where(~F.col(done)), classifier)
@@ -99,8 +101,9 @@ def _resolve(
     """Pick ``translation``/``origin`` from the first matching rule of ``chain``;
     rows matching ``gen_cond`` (and no earlier rule) go to the generator.
 
-    Without a generator hook everything is one projection.  With a hook the
-    scored input is written once and the hook runs on the unanswered rows only.
+    Without a generator everything is one projection, and with a model hook too: it is
+    handed the texts of the unanswered rows only, nulls for the others.  For a function
+    over batches of rows the scored input is written once and split.
     """
 
     def pick(rules):
@@ -122,19 +125,22 @@ def _resolve(
     for cond, _, _ in chain:
         answered = answered | F.coalesce(cond, F.lit(False))
     to_gen = ~answered & F.coalesce(gen_cond, F.lit(False))
+    if isinstance(generator, ModelHook):
+        x = x.withColumn("_to_gen", to_gen)
+        x = x.withColumn("generated", generator(F.when(F.col("_to_gen"), F.col("text"))))
+        own = (F.col("_to_gen"), T.quote_repair("generated") if repair_quotes else F.col("generated"), "generator")
+        tr, og = pick([*rules[: len(chain)], own, *rules[len(chain) :]])
+        return x.withColumn("translation", tr).withColumn("origin", og).drop("_to_gen", "generated")
     x = _once(x.withColumn("_to_gen", to_gen))
     tr, og = pick(rules)
     rest = x.where(~F.col("_to_gen")).withColumn("translation", tr).withColumn("origin", og)
     todo = x.where(F.col("_to_gen"))
-    if isinstance(generator, ModelHook):
-        gen = todo.withColumn("generated", generator("text"))
-    else:
-        schema = StructType([*todo.schema.fields, StructField("generated", StringType(), True)])
+    schema = StructType([*todo.schema.fields, StructField("generated", StringType(), True)])
 
-        def hook(batches):
-            yield from generator(batches)
+    def hook(batches):
+        yield from generator(batches)
 
-        gen = todo.mapInPandas(hook, schema)
+    gen = todo.mapInPandas(hook, schema)
     out = T.quote_repair("generated") if repair_quotes else F.col("generated")
     gen = gen.withColumn("translation", out).withColumn("origin", F.lit("generator")).drop("generated")
     return rest.unionByName(gen).drop("_to_gen")
