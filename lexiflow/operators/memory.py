@@ -161,8 +161,8 @@ class TextMemory:
         qv = qv.withColumn("nrm", F.sqrt(F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"] * x["w"])))
         if label is not None:
             qv = qv.join(rows.select(F.col("_qrow").alias("qid"), F.col(label).cast("string").alias("label")), "qid")
-        best = TH.nearest_numbered(qv, order, n, self.vectors, threshold, label is not None, ("mem_id", "standard"))
-        best = best.select(F.col("qid").cast("long").alias("_qrow"), "mem_id", F.col("standard").alias("mem_standard"), F.col("score").alias("mem_score"), F.col("compared").alias("mem_compared"))
+        best = TH.nearest_numbered(qv.withColumnRenamed("qid", "k"), order, n, self.vectors, threshold, label is not None, ("mem_id", "standard"))
+        best = best.select(F.col("k").alias("_qrow"), "mem_id", F.col("standard").alias("mem_standard"), F.col("score").alias("mem_score"), F.col("compared").alias("mem_compared"))
         names = [c for c in best.columns if c != "_qrow"]
         out = rows.join(best.withColumnsRenamed({c: f"_best_{c}" for c in names}), "_qrow", "left")
         zero = F.coalesce("_best_mem_compared", F.lit(0).cast("long")).alias("mem_compared")

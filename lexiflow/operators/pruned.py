@@ -36,6 +36,7 @@ PIVOT_BYTES = 32 << 20
 BINS = 256  # of the angle to a pivot
 PIVOTS_PER_SHARD = 8
 SLACK = 1e-7  # radians
+TASK_PAIRS = 1 << 29  # comparisons of a task
 BOUND_CELLS = 1 << 22  # bounds that a task computes at a time
 
 
@@ -167,7 +168,8 @@ class PivotIndex:
         """Scores of queries against all rows of the shards that they visit: (_rk, match_pos,
         match_ord, score, carried), a row per query and shard; null where nothing matches."""
         per_group = dict(self._visits(asked, more, True).groupBy("_group").agg(F.sum("n").alias("n")).collect())  # a row per group
-        blocks = {g: max(1, math.ceil(n * self.dim * 8 / block_bytes)) for g, n in per_group.items()}
+        rows = min(self.n, max(1, self.shard_bytes // (8 * self.dim)))
+        blocks = {g: max(1, math.ceil(n * self.dim * 8 / block_bytes), math.ceil(n * rows / TASK_PAIRS)) for g, n in per_group.items()}
         self.copies += sum(self.parts[g] * n for g, n in blocks.items())
         sizes = self._table([(g, self.first[g], self.parts[g], n) for g, n in blocks.items()] or [(-1, 0, 1, 1)], "_group long, _first long, _parts long, _blocks long")
         visits = self._visits(asked, more)

@@ -64,8 +64,9 @@ def _numbered(rows: DataFrame, order: DataFrame, n: int, keep: list[str]) -> Dat
     return rows.drop("terms", "ws").join(lists, "k")
 
 
-def _prefixed(out: DataFrame, threshold: float) -> DataFrame:
-    """(k, tids, ws, prefix, ...): unit vectors and the length of their prefix."""
+def _prefixed(out: DataFrame, threshold: float, among=None) -> DataFrame:
+    """(k, tids, ws, prefix, ...): unit vectors and the length of their prefix; ``among``: a
+    broadcast sorted array of term numbers, one of which the prefix must hold."""
     out = out.where("nrm > 0")
     at = out.columns.index("s")
     nrm = out.columns.index("nrm")
@@ -87,9 +88,14 @@ def _prefixed(out: DataFrame, threshold: float) -> DataFrame:
             short = (np.sqrt(np.maximum(after, 0.0)) >= threshold - SLACK).astype(np.int64)
             prefix = np.minimum(np.add.reduceat(short, off[:-1]) + 1, np.diff(off)) if len(w) else np.zeros(len(b), np.int64)
             lists = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x)) for x in (tid, w)]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in held], *lists, pa.array(prefix, pa.int32())], names=names)
+            made = pa.RecordBatch.from_arrays([*[b.column(i) for i in held], *lists, pa.array(prefix, pa.int32())], names=names)
+            if among is not None and len(w):
+                place = np.arange(len(w)) - np.repeat(off[:-1], np.diff(off))
+                met = np.isin(tid, among.value) & (place < np.repeat(prefix, np.diff(off)))
+                made = made.filter(pa.array(np.logical_or.reduceat(met, off[:-1])))
+            yield made
 
-    return _stored(out.mapInArrow(run, schema), "numbered")
+    return out.mapInArrow(run, schema)
 
 
 def _postings(vectors: DataFrame) -> DataFrame:
@@ -169,34 +175,29 @@ def nearest_above(queries: DataFrame, memory: DataFrame, threshold: float, same_
     ``queries``: qid, terms, ws[, label] with weights of any norm; ``memory``: pos, terms, ws of
     unit norm[, label] and the carried columns.
     """
-    if not 0 < threshold <= 1:
-        raise ValueError("the threshold is a cosine above 0")
-    q = queries.select(F.col("qid").cast("string").alias("qid"), "terms", "ws", *[F.col("label").cast("string").alias("label")][: int(same_label)])
-    order, n = term_order(memory)
-    h = _digests(["terms", "ws", *(["label"] if same_label else [])])
-    q = _stored(q.select("*", *h), "queries")
-    one = q.where("size(terms) > 0" + (" and label is not null" if same_label else "")).groupBy("h1", "h2")
-    one = one.agg(F.first("terms").alias("terms"), F.first("ws").alias("ws"), *[F.first("label").alias("label")][: int(same_label)])
     label = ["label"] if same_label else []
-    one = _numbered(one.withColumn("k", F.monotonically_increasing_id()), order, n, [*label, "h1", "h2"])
-    return _search(q.drop("terms", "ws"), _prefixed(one, threshold), order, n, memory, threshold, same_label, carry, group_rows or GROUP_ROWS)
+    q = queries.select(F.col("qid").cast("string").alias("qid"), "terms", "ws", *[F.col(c).cast("string").alias(c) for c in label])
+    q = _stored(q.withColumn("k", F.monotonically_increasing_id()), "queries")
+    order, n = term_order(memory)
+    got = _search(_numbered(q.where("size(terms) > 0"), order, n, label), order, n, memory, threshold, same_label, carry, group_rows or GROUP_ROWS)
+    out = q.select("k", "qid").join(got, "k", "left")
+    return out.select("qid", "match_pos", "score", *carry, F.coalesce("compared", F.lit(0).cast("long")).alias("compared"))
 
 
 def nearest_numbered(queries: DataFrame, order: DataFrame, n: int, memory: DataFrame, threshold: float, same_label: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The same for queries (qid, s, nrm[, label]) whose terms are numbered by ``order`` already."""
-    label = ["label"] if same_label else []
-    q = _stored(queries.select("qid", "s", "nrm", *label, *_digests(["s", *label])), "queries")
-    one = q.where("size(s) > 0" + (" and label is not null" if same_label else "")).groupBy("h1", "h2")
-    one = one.agg(*[F.first(c).alias(c) for c in ("s", "nrm", *label)]).withColumn("k", F.monotonically_increasing_id())
-    return _search(q.drop("s", "nrm"), _prefixed(one, threshold), order, n, memory, threshold, same_label, carry, GROUP_ROWS)
+    """(k, match_pos, score, carried columns, compared) of queries (k, s, nrm[, label]) whose terms
+    are numbered by ``order`` already; only of those that share a prefix term with the memory."""
+    return _search(queries, order, n, memory, threshold, same_label, carry, GROUP_ROWS)
 
 
 def _digests(cols: list[str]) -> list:
     return [F.xxhash64(*cols).alias("h1"), F.xxhash64(F.lit(1), *cols).alias("h2")]
 
 
-def _search(q: DataFrame, one: DataFrame, order: DataFrame, n: int, memory: DataFrame, threshold: float, same_label: bool, carry: tuple[str, ...], group_rows: int) -> DataFrame:
-    """``q``: (qid, h1, h2) of all queries; ``one``: distinct vectors with their digests."""
+def _search(q: DataFrame, order: DataFrame, n: int, memory: DataFrame, threshold: float, same_label: bool, carry: tuple[str, ...], group_rows: int) -> DataFrame:
+    """``q``: (k, s, nrm[, label]), a row per query."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold is a cosine above 0")
     label = ["label"] if same_label else []
     m = SIM.prepare(memory, "sparse", False, same_label, force="sharded", carry=carry).memory
     if not carry:
@@ -208,7 +209,16 @@ def _search(q: DataFrame, one: DataFrame, order: DataFrame, n: int, memory: Data
     mem = m.select(*m.columns, *_digests(["terms", "ws", *label])).groupBy("h1", "h2")
     mem = mem.agg(F.first("terms").alias("terms"), F.first("ws").alias("ws"), lowest, *[F.first(c).alias(c) for c in label])
     mem = mem.select("terms", "ws", *label, "low.*").withColumn("k", F.monotonically_increasing_id())
-    mem = _prefixed(_numbered(mem, order, n, [*label, "pos", "ord", *carry]), threshold)
+    mem = _stored(_prefixed(_numbered(mem, order, n, [*label, "pos", "ord", *carry]), threshold), "memory")
+    # queries that share no prefix term with the memory are left out before anything is shuffled
+    met = _postings(mem).select("tid").distinct()
+    few = met.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    among = mem.sparkSession.sparkContext.broadcast(np.sort(met.toArrow()["tid"].to_numpy())) if few else None
+    q = q.where("label is not null") if same_label else q
+    asked = _prefixed(q, threshold, among)
+    asked = _stored(asked.select(*asked.columns, *_digests(["tids", "ws", *label])).withColumnRenamed("k", "own"), "asked")
+    one = asked.groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in ("tids", "ws", "prefix", *label)])
+    one = _stored(one.withColumn("k", F.monotonically_increasing_id()), "distinct")
     groups = _groups(mem, one, group_rows)
     left = _dealt(one, groups, "blocks", "shards", label)
     right = _dealt(mem, groups, "shards", "blocks", [*label, "pos", "ord", *carry])
@@ -229,7 +239,7 @@ def _search(q: DataFrame, one: DataFrame, order: DataFrame, n: int, memory: Data
     best = own.orderBy(F.desc_nulls_last(F.round("score", SIM.TIE_DECIMALS)), F.asc_nulls_last("match_pos"), F.asc_nulls_last("match_ord"))
     got = got.withColumn("rn", F.row_number().over(best)).withColumn("compared", F.sum("compared").over(own)).where("rn = 1").drop("rn", "match_ord")
     got = one.select("k", F.col("h1").alias("d1"), F.col("h2").alias("d2")).join(got, "k").drop("k")
-    out = q.join(got, (q["h1"] == got["d1"]) & (q["h2"] == got["d2"]), "left")
+    out = asked.select("own", "h1", "h2").join(got, (F.col("h1") == F.col("d1")) & (F.col("h2") == F.col("d2")))
     reached = F.col("score") >= threshold
     found = lambda c: F.when(reached, F.col(c)).alias(c)
-    return out.select("qid", found("match_pos"), found("score"), *[found(c) for c in carry], F.coalesce("compared", F.lit(0).cast("long")).alias("compared"))
+    return out.select(F.col("own").alias("k"), found("match_pos"), found("score"), *[found(c) for c in carry], "compared")
