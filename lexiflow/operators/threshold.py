@@ -7,9 +7,9 @@ terms would, and that vector's rest alone bounds the cosine.  So the vectors mee
 terms of their prefixes only, which are few and rare, and are compared exactly there.
 
 Equal vectors (of one label) are compared once: of the memory's the lowest position can win, of
-the queries' all get its match.  Prefix terms are hashed into groups that fit a task; a term
-that fills groups of its own is cut into memory shards and query blocks.  Vectors are shuffled
-once per group they belong to, and no pair of rows leaves a task.
+the queries' all get its match.  Prefix terms are hashed into groups whose memory rows fit a task
+(a term that fills several is cut into shards), and their queries are cut into blocks.  Vectors
+are shuffled once per group they belong to, and no pair of rows leaves a task.
 """
 
 from __future__ import annotations
@@ -103,17 +103,20 @@ def _postings(vectors: DataFrame) -> DataFrame:
 
 
 def _groups(mem: DataFrame, q: DataFrame, group_rows: int) -> DataFrame:
-    """(tid, grp, shards, blocks) of the prefix terms that both sides hold."""
+    """(tid, grp, shards, blocks) of the prefix terms that both sides hold.
+
+    The memory sets the number of groups, so a query goes to few; a group's queries are cut
+    into blocks, each with a copy of the group's memory rows.  A term that fills groups of the
+    memory by itself is a group of its own, cut into shards."""
     count = lambda x, name: _postings(x).groupBy("tid").agg(F.count(F.lit(1)).alias(name))
     terms = _stored(count(mem, "m").join(count(q, "q"), "tid"), "terms")
-    total = terms.agg(F.sum(F.least("m", F.lit(group_rows))).alias("m"), F.sum(F.least("q", F.lit(group_rows))).alias("q")).first()
-    groups = max(1, math.ceil(max(int(total["m"] or 0), int(total["q"] or 0)) / group_rows))
-    parts = lambda c: F.ceil(F.col(c) / F.lit(group_rows)).cast("long")
-    heavy = (F.col("m") > group_rows) | (F.col("q") > group_rows)
-    return terms.select(
-        "tid", F.when(heavy, -1 - F.col("tid")).otherwise(F.pmod(F.xxhash64("tid"), F.lit(groups))).alias("grp"),
-        F.when(heavy, parts("m")).otherwise(F.lit(1)).alias("shards"), F.when(heavy, parts("q")).otherwise(F.lit(1)).alias("blocks"),
-    )
+    light = int(terms.where(F.col("m") <= group_rows).agg(F.sum("m").alias("m")).first()["m"] or 0)
+    groups = max(1, math.ceil(light / group_rows))
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / F.lit(group_rows)), F.lit(1)).cast("long")
+    grp = F.when(F.col("m") > group_rows, -1 - F.col("tid")).otherwise(F.pmod(F.xxhash64("tid"), F.lit(groups)))
+    terms = terms.withColumn("grp", grp).withColumn("shards", F.when(F.col("grp") < 0, parts("m")).otherwise(F.lit(1).cast("long")))
+    blocks = terms.groupBy("grp").agg(F.sum("q").alias("q")).select("grp", parts("q").alias("blocks"))
+    return terms.select("tid", "grp", "shards").join(blocks, "grp")
 
 
 def _dealt(vectors: DataFrame, groups: DataFrame, own: str, other: str, cols: list[str]) -> DataFrame:
