@@ -46,7 +46,7 @@ def build_dictionary(
     d1, d2 = digest(F.col("key"))
     rows = rows.withColumn("_d1", d1).withColumn("_d2", d2)
     path = scratch_path(df.sparkSession, "dictionary-rows")
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     rows = df.sparkSession.read.schema(rows.schema).parquet(path)
     ends = rows.groupBy(F.col("_d1").alias("_h1"), F.col("_d2").alias("_h2")).agg(F.max("_pos").alias("_last"), F.min("_pos").alias("pos"))
     on = (rows["_pos"] == ends["_last"]) & (rows["_d1"] == ends["_h1"]) & (rows["_d2"] == ends["_h2"])
