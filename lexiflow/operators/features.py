@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions import text as T
+from lexiflow.operators import slices as SL
 
 
 def _spread(docs: DataFrame, id_col: str, partitions: int | None) -> DataFrame:
@@ -47,7 +48,7 @@ def term_df(
     """(term, df) straight from the texts: an analyzer that gives a term array is made
     distinct inside the row, so no text is shuffled and only terms are counted."""
     if getattr(analyzer, "rows", None) is not None:
-        return document_frequency(term_counts(docs, analyzer, id_col, text_col), min_df)
+        return gram_df(docs, analyzer, min_df, id_col, text_col)
     terms = docs.select(F.explode(F.array_distinct(analyzer(F.col(text_col)))).alias("term"))
     df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return df.where(F.col("df") >= min_df) if min_df > 1 else df
@@ -104,6 +105,33 @@ def tfidf(counts: DataFrame, idf: DataFrame, id_col: str = "id", n_docs: int | N
     return raw.withColumn("tfidf", F.col("_w") / norm).drop("_w")
 
 
+def term_profile(
+    docs: DataFrame, analyzer: Callable[[Column], Column] = T.word_features, id_col: str = "id", text_col: str = "text"
+) -> DataFrame:
+    """(id, n, n_distinct): terms and distinct terms of every document that has one."""
+    n = SL.plan(docs, id_col, text_col)
+    if n is None:
+        counts = term_counts(docs, analyzer, id_col, text_col)
+        return counts.groupBy(id_col).agg(F.sum("tf").cast("long").alias("n"), F.count(F.lit(1)).alias("n_distinct"))
+    rows = SL.sliced(docs, n, analyzer, id_col, text_col)
+    return SL.profile(rows, analyzer, docs.schema[id_col].dataType.simpleString()).withColumnRenamed("id", id_col)
+
+
+def gram_df(
+    docs: DataFrame, analyzer: Callable[[Column], Column], min_df: int = 1, id_col: str = "id", text_col: str = "text"
+) -> DataFrame:
+    """(term, df) over documents with distinct ids, counted slice by slice."""
+    n = SL.plan(docs, id_col, text_col)
+    if n is None:
+        return document_frequency(term_counts(docs, analyzer, id_col, text_col), min_df)
+    return _summed(SL.slice_terms(SL.sliced(docs, n, analyzer, id_col, text_col), analyzer), min_df)
+
+
+def _summed(needs: DataFrame, min_df: int) -> DataFrame:
+    df = needs.groupBy("term").agg(F.sum("n").alias("df"))
+    return df.where(F.col("df") >= min_df) if min_df > 1 else df
+
+
 def fit_transform_tfidf(
     fit_docs: DataFrame,
     docs: DataFrame | None = None,
@@ -111,21 +139,42 @@ def fit_transform_tfidf(
     min_df: int = 1,
     id_col: str = "id",
     text_col: str = "text",
+    summary: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Fit the IDF on ``fit_docs``; transform ``docs`` (default: the same docs).
 
-    Returns (idf table, long-form tfidf).  The table of terms is written once, as frequent and
-    rare terms are joined apart; the exploded counts, which are larger than the texts they
-    come from, are neither written nor cached.
+    Returns (idf table, long-form tfidf); with ``summary`` the second is (id, n_features, l1,
+    max_w), the sum and maximum of a document's weights, without its rows.  The table of terms
+    is written once.  The counts of a document are made in the task that weighs them
+    (:mod:`lexiflow.operators.slices`) and never shuffled.
     """
     from lexiflow.session import scratch_path
 
+    spark = fit_docs.sparkSession
     n_docs = fit_docs.select(id_col).count()
-    path = scratch_path(fit_docs.sparkSession, "idf")
-    with_idf(term_df(fit_docs, analyzer, min_df, id_col, text_col), n_docs).write.parquet(path)
-    idf = fit_docs.sparkSession.read.parquet(path)
-    counts = term_counts(fit_docs if docs is None else docs, analyzer, id_col, text_col)
-    return idf, tfidf(counts, idf, id_col, n_docs)
+    path = scratch_path(spark, "idf")
+    target = fit_docs if docs is None else docs
+    n = SL.plan(target, id_col, text_col)
+    if n is None:
+        with_idf(term_df(fit_docs, analyzer, min_df, id_col, text_col), n_docs).write.parquet(path)
+        idf = spark.read.parquet(path)
+        long_form = tfidf(term_counts(target, analyzer, id_col, text_col), idf, id_col, n_docs)
+        if summary:
+            sums = [F.count(F.lit(1)).alias("n_features"), F.sum("tfidf").alias("l1"), F.max("tfidf").alias("max_w")]
+            long_form = long_form.groupBy(id_col).agg(*sums)
+        return idf, long_form
+    rows = SL.sliced(target, n, analyzer, id_col, text_col)
+    needs_path = scratch_path(spark, "slice-terms")
+    SL.slice_terms(rows, analyzer).write.parquet(needs_path)
+    needs = spark.read.parquet(needs_path)
+    if docs is None and getattr(analyzer, "rows", None) is not None:
+        df = _summed(needs, min_df)
+    else:
+        df = term_df(fit_docs, analyzer, min_df, id_col, text_col)
+    with_idf(df, n_docs).write.parquet(path)
+    idf = spark.read.parquet(path)
+    id_type = target.schema[id_col].dataType.simpleString()
+    return idf, SL.weigh(rows, needs, idf, analyzer, id_col, id_type, summary)
 
 
 def class_weights(df: DataFrame, label_col: str = "label") -> DataFrame:

@@ -120,12 +120,8 @@ SELECT doc_id, count(*) AS n_features, round(sum(v), 6) AS l1, round(max(v), 6)
 )
 def q_tfidf_chars(spark, sf):
     """Char 3-5 gram TF-IDF (min_df 3), summarised per document."""
-    _, long_form = FE.fit_transform_tfidf(_docs(spark, sf), analyzer=T.char_wb_ngrams, min_df=3)
-    return long_form.groupBy(F.col("id").alias("doc_id")).agg(
-        F.count(F.lit(1)).alias("n_features"),
-        F.round(F.sum("tfidf"), 6).alias("l1"),
-        F.round(F.max("tfidf"), 6).alias("max_w"),
-    )
+    _, per_doc = FE.fit_transform_tfidf(_docs(spark, sf), analyzer=T.char_wb_ngrams, min_df=3, summary=True)
+    return per_doc.select(F.col("id").alias("doc_id"), "n_features", F.round("l1", 6).alias("l1"), F.round("max_w", 6).alias("max_w"))
 
 
 # ============================================================================ vocabulary and sequences (SEQ-*)
