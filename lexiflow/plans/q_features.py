@@ -97,10 +97,8 @@ ctf AS (SELECT doc_id, gram, count(*) AS tf FROM grams GROUP BY ALL)"""
     f"WITH {_cwb_sql()} SELECT doc_id, CAST(sum(tf) AS BIGINT) AS n_grams, count(*) AS n_distinct FROM ctf GROUP BY doc_id",
 )
 def q_char_ngrams(spark, sf):
-    counts = FE.term_counts(_docs(spark, sf), T.char_wb_ngrams)
-    return counts.groupBy(F.col("id").alias("doc_id")).agg(
-        F.sum("tf").cast("long").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct")
-    )
+    counts = FE.term_profile(_docs(spark, sf), T.char_wb_ngrams)
+    return counts.select(F.col("id").alias("doc_id"), F.col("n").alias("n_grams"), "n_distinct")
 
 
 @register("char_df3", f"WITH {_cwb_sql()} SELECT gram, count(*) AS df FROM ctf GROUP BY gram HAVING count(*) >= 3")
