@@ -103,8 +103,7 @@ def q_char_ngrams(spark, sf):
 
 @register("char_df3", f"WITH {_cwb_sql()} SELECT gram, count(*) AS df FROM ctf GROUP BY gram HAVING count(*) >= 3")
 def q_char_df3(spark, sf):
-    counts = FE.term_counts(_docs(spark, sf), T.char_wb_ngrams)
-    return FE.document_frequency(counts, min_df=3).select(F.col("term").alias("gram"), "df")
+    return FE.gram_df(_docs(spark, sf), T.char_wb_ngrams, min_df=3).select(F.col("term").alias("gram"), "df")
 
 
 @register(
