@@ -284,23 +284,70 @@ def _encode_rows(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str)
     return rows.mapInArrow(run, f"`{id_col}` {id_type}, ids array<long>")
 
 
+TRIGRAM_SLICE = 1 << 20  # characters that a task hashes at a time
+TRIGRAM_MEMO = 1 << 20  # grams whose bucket a task remembers
+
+
+class TrigramBuckets:
+    """Buckets of character trigrams by md5; a gram is hashed once per task."""
+
+    def __init__(self, dim: int):
+        self.dim, self.memo = dim, {}
+
+    def _bucket(self, code: int) -> int:
+        import hashlib
+
+        gram = chr(code >> 42) + chr(code >> 21 & 0x1FFFFF) + chr(code & 0x1FFFFF)
+        return int(hashlib.md5(gram.encode()).hexdigest()[:4], 16) % self.dim
+
+    def __call__(self, texts: list[str]):
+        """(texts x dim) counts."""
+        import numpy as np
+
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        cp = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+        at = np.flatnonzero(np.arange(len(cp)) + 3 <= np.repeat(np.cumsum(size), size))
+        row = np.repeat(np.arange(len(texts)), size)[at]
+        grams, code = np.unique(cp[at] << 42 | cp[at + 1] << 21 | cp[at + 2] if len(at) else at, return_inverse=True)
+        memo = self.memo
+        if len(memo) > TRIGRAM_MEMO:
+            memo.clear()
+        bucket = np.zeros(len(grams), np.int64)
+        for i, g in enumerate(grams.tolist()):
+            b = memo.get(g)
+            if b is None:
+                b = memo[g] = self._bucket(g)
+            bucket[i] = b
+        return np.bincount(row * self.dim + bucket[code], minlength=len(texts) * self.dim).reshape(len(texts), self.dim).astype(np.float64)
+
+
 def hashed_trigrams(df: DataFrame, dim: int = 64, text_col: str = "text") -> DataFrame:
     """All columns but the text, and ``vec``: counts of the character trigrams of the
     lower-cased, blank-padded text in ``dim`` buckets by md5; a null text has a zero vector.
 
-    Grams are counted per row and bucket with map-side combining, so at most ``dim`` small
-    rows of a text are shuffled.
+    Rows are encoded where they lie; no gram is a row and nothing is shuffled.
     """
+    import numpy as np
+    import pyarrow as pa
+
     rest = [c for c in df.columns if c != text_col]
     text = F.concat(F.lit(" "), F.lower(F.col(text_col)), F.lit(" "))
-    at = F.when(F.length("_s") >= 3, F.sequence(F.lit(1), F.length("_s") - 2))
-    x = df.select(*rest, F.monotonically_increasing_id().alias("_r"), text.alias("_s"))
-    x = x.select(*rest, "_r", "_s", F.explode_outer(at).alias("_i"))
-    gram = F.md5(F.substring(F.col("_s"), F.col("_i"), F.lit(3)))
-    x = x.withColumn("_b", F.conv(F.substring(gram, 1, 4), 16, 10).cast("int") % dim)
-    keep = [F.first(c).alias(c) for c in rest]
-    x = x.groupBy("_r", "_b").agg(F.count("_b").cast("double").alias("_n"), *keep)
-    pair = F.when(F.col("_b").isNotNull(), F.struct("_b", "_n"))
-    x = x.groupBy("_r").agg(F.map_from_entries(F.collect_list(pair)).alias("_m"), *keep)
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda b: F.coalesce(F.col("_m")[b], F.lit(0.0)))
-    return x.select(*rest, vec.alias("vec"))
+    src = df.select(*rest, F.coalesce(text, F.lit("")).alias("_s"))
+    most = TRIGRAM_SLICE
+
+    def run(batches):
+        kernel = TrigramBuckets(dim)
+        for batch in batches:
+            texts = batch.column(len(rest)).to_pylist()
+            ends = np.cumsum([len(t) for t in texts])
+            a = 0
+            while a < len(texts):
+                done = int(ends[a - 1]) if a else 0
+                b = max(a + 1, int(np.searchsorted(ends, done + most, "right")))
+                vec = kernel(texts[a:b])
+                out = pa.ListArray.from_arrays(np.arange(0, (b - a + 1) * dim, dim, dtype=np.int32), pa.array(vec.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(rest))), out], names=[*rest, "vec"])
+                a = b
+
+    fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest]
+    return src.mapInArrow(run, ", ".join([*fields, "vec array<double>"]))

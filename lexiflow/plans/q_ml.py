@@ -85,7 +85,7 @@ SELECT d.doc_id, z.mk AS match_id, round(z.score, 6) AS score FROM documents d L
 
 @register("encode_hook", _ENCODE_SQL)
 def q_encode_hook(spark, sf):
-    """Memory and queries encoded as hashed character trigram counts by Spark itself, then
+    """Memory and queries encoded as hashed character trigram counts in Arrow batches, then
     exact cosine top-1.  Any encoder with the same (id, vec, pos) contract can take its
     place, also a batch hook (``mapInPandas``) around a foreign model."""
     mem = TB.memory_texts(spark, sf).select(F.col("mem_id").alias("id"), "text", "pos")
