@@ -255,6 +255,9 @@ def q_ragged_merge(spark, sf):
     return back.select(*[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "label", "standard")])
 
 
+EXPORT_BYTES = 32 << 20  # characters of the texts of an exported file, which one task reads
+
+
 @register("row_positions", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_no FROM documents")
 def q_row_positions(spark, sf):
     """Row renumbering from file positions: the corpus is exported in order over
@@ -264,7 +267,9 @@ def q_row_positions(spark, sf):
 
     d = TB.table(spark, sf, "documents").select("doc_id", "text")
     path = scratch_path(spark, "ordered-csv")
-    CSV.write_csv(d.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id"), path)
+    size = d.agg(F.sum(F.length("text"))).first()[0] or 0
+    files = max(3, -(-int(size) // EXPORT_BYTES))
+    CSV.write_csv(d.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id"), path)
     rows, _ = CSV.read_csv(spark, path, columns=["doc_id", "text"])
     numbered = FE.dense_ids(rows.select("doc_id", "pos"), [F.asc("pos")], "row_no")
     return numbered.select(F.col("doc_id").cast("long").alias("doc_id"), "row_no")
