@@ -241,20 +241,21 @@ def encode(
 
     A vocabulary under ``max_broadcast_bytes`` (measured, not estimated) is broadcast and
     every row is encoded where it lies (Arrow hash lookup of its tokens): no token or text
-    is shuffled.  A larger vocabulary is joined by shuffle, with AQE splitting hot terms.
+    is shuffled.  A larger vocabulary is joined to the distinct tokens of slices of the rows
+    (:mod:`lexiflow.operators.slices`), so that a frequent token crosses once per slice.
     """
+    from lexiflow.session import scratch_path
+
     v = vocab.select("term", "tid")
     if vocabulary_bytes(v) <= max_broadcast_bytes:
         return _encode_rows(docs, v, id_col, text_col)
-    spread = _spread(docs.select(id_col, text_col), id_col, None)
-    # the outer explode keeps a (null) row for a document without tokens and the left
-    # join keeps unknown tokens as null ids, so every document reaches its group and
-    # no join back to the document list is needed; collect_list skips the nulls
-    toks = spread.select(id_col, F.posexplode_outer(T.tokens(F.col(text_col))).alias("p", "term"))
-    joined = toks.join(v, "term", "left")
-    known = F.when(F.col("tid").isNotNull(), F.struct("p", "tid"))
-    grouped = joined.groupBy(id_col).agg(F.array_sort(F.collect_list(known)).alias("_pt"))
-    return grouped.select(id_col, F.transform("_pt", lambda s: s["tid"]).alias("ids"))
+    path = scratch_path(docs.sparkSession, "encode-rows")
+    n = SL.count_slices(docs.agg(F.sum(F.length(text_col))).first()[0], docs)
+    at = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    rows = docs.select(at.alias("_slice"), F.col(id_col).alias("_id"), T.tokens(F.col(text_col)).alias("_tokens"))
+    rows.write.parquet(path)  # so that a row stays in its slice
+    rows = docs.sparkSession.read.parquet(path)
+    return SL.translate(rows, v, id_col, docs.schema[id_col].dataType.simpleString())
 
 
 def _encode_rows(docs: DataFrame, vocab: DataFrame, id_col: str, text_col: str) -> DataFrame:

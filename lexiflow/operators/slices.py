@@ -39,7 +39,12 @@ def plan(docs: DataFrame, id_col: str, text_col: str) -> int | None:
     r = sizes.agg(F.sum("b").alias("b"), F.max(F.when(F.col("n") > 1, F.col("b"))).alias("most")).first()
     if (r["most"] or 0) > SLICE_BYTES:
         return None
-    total = int(r["b"] or 0)
+    return count_slices(r["b"], docs)
+
+
+def count_slices(size: int | None, docs: DataFrame) -> int:
+    """Slices for texts of ``size`` characters in all."""
+    total = int(size or 0)
     return max(1, -(-total // SLICE_BYTES), min(4 * slots(docs), -(-total // LEAST_BYTES)))
 
 

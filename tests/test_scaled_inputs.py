@@ -4,6 +4,7 @@ import hashlib
 
 import pytest
 from lexiflow.operators import features as FE
+from lexiflow.operators import slices as SL
 from lexiflow.plans import q_io as IO
 from lexiflow.sources import csv as CSV
 
@@ -43,3 +44,16 @@ def test_exported_files_grow_with_the_table(spark, monkeypatch, tmp_path):
     got = sorted((r.row_no, r.doc_id) for r in IO.q_row_positions(spark, str(tmp_path)).collect())
     assert got == [(i, i) for i in range(100)]
     assert spark.read.text(seen[0]).inputFiles().__len__() >= 10
+
+
+def test_large_vocabulary_encodes_every_row_by_slices(spark, monkeypatch):
+    """Rows with one id stay rows of their own, as with a small vocabulary; no token is a row."""
+    monkeypatch.setattr(SL, "LEAST_BYTES", 5)
+    docs = spark.createDataFrame([(1, "b a b zz"), (2, ""), (3, None), (1, "a"), (None, "zz a"), (None, "zz a")], "id long, text string")
+    vocab = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "term string, tid long")
+    out = FE.encode(docs, vocab, max_broadcast_bytes=0)
+    assert "Generate" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got, small = (sorted(((r.id or 0, r.ids) for r in x.collect())) for x in (out, FE.encode(docs, vocab)))
+    assert got == small == [(0, [1]), (0, [1]), (1, [1]), (1, [2, 1, 2]), (2, []), (3, [])]
+    none = FE.encode(docs, vocab.where("tid < 0"), max_broadcast_bytes=0)
+    assert sorted(r.ids for r in none.collect()) == [[]] * 6
