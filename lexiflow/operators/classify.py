@@ -37,9 +37,12 @@ from pyspark.sql import functions as F
 from lexiflow.functions import text as T
 from lexiflow.operators import blocked as BL
 from lexiflow.operators import features as FE
+from lexiflow.operators import slices as SL
 from lexiflow.session import scratch_path
 
-MAX_COEFFICIENTS = 1 << 24  # doubles the driver and each task hold; beyond, they stay in blocks
+# coefficients of a fit on the driver, which holds some 25 vectors of them, and their terms; beyond,
+# they stay in blocks
+MAX_COEFFICIENTS = 1 << 20
 PARTITION_VALUES = 1 << 21  # stored feature values of a training partition
 BLOCK = 1 << 14  # coefficients of a block of a gradient
 FAN = 32  # partial blocks that one task adds
@@ -99,22 +102,31 @@ def fit_variant_classifier(
     if len(labels) < 2:
         raise ValueError("need at least two classes to train a classifier")
     n = sum(sizes.values())
-    FE.term_counts(docs, _analyzer(analyzer)).write.parquet(f"{path}/counts")
-    counts = spark.read.parquet(f"{path}/counts")
-    vocab = FE.dense_ids(FE.with_idf(FE.document_frequency(counts, min_df), n), [F.asc("term")], "tid")
-    n_terms = vocab.count()
     weight = {c: n / (len(labels) * sizes[c]) if balanced else 1.0 for c in labels}
-    data = _vectors(docs, counts, vocab, n, labels, weight)
+    code = F.create_map(*[F.lit(x) for i, c in enumerate(labels) for x in (c, i)])
+    weights = F.create_map(*[F.lit(x) for c in labels for x in (c, float(weight[c]))])
+    docs = docs.withColumn("y", code[F.col("label")].cast("int")).withColumn("w", weights[F.col("label")])
+    slices = SL.count_slices(docs.agg(F.sum(F.length("text"))).first()[0], docs)
+    rows = SL.sliced(docs, slices, _analyzer(analyzer), "id", "text", keep=("y", "w"))
+    SL.slice_terms(rows, _analyzer(analyzer)).write.parquet(f"{path}/needs")
+    needs = spark.read.parquet(f"{path}/needs")
+    df = needs.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
+    vocab = FE.dense_ids(FE.with_idf(df, n), [F.asc("term")], "tid")
+    n_terms = vocab.count()
     if n_terms * len(labels) > MAX_COEFFICIENTS:
+        data = SL.matrix(rows, needs, vocab, _analyzer(analyzer), packed=False)
         coefs, bias = BL.minimise(data, n, n_terms, len(labels), max_iter, tol)
         terms = vocab.join(coefs, "tid").select("term", "df", "idf", "coef")
         terms.write.parquet(f"{path}/terms")
         return BlockModel(spark.read.parquet(f"{path}/terms"), labels, bias, n, analyzer, clean, text_col)
     table = vocab.orderBy("tid").select("term", "idf").toArrow()
     terms, idf = table["term"].to_pylist(), table["idf"].to_numpy()
-    data = data.persist()
+    SL.matrix(rows, needs, vocab, _analyzer(analyzer), packed=True).write.parquet(f"{path}/matrix")
+    data = spark.read.schema(SL.PACKED).parquet(f"{path}/matrix")
+    # a fixed layout, so that a repeated fit gives the same numbers
+    data = data.repartition(max(1, min(slices, 4 * SL.slots(data))), "_slice").sortWithinPartitions("_slice", "part").persist()
     try:
-        coef, bias = _minimise(data, n, n_terms, len(labels), max_iter, tol)
+        coef, bias = _minimise(data, n, n_terms, len(labels), max_iter, tol, idf)
     finally:
         data.unpersist()
     stages = [
@@ -195,19 +207,25 @@ def _vectors(docs: DataFrame, counts: DataFrame, vocab: DataFrame, n_docs: int,
     return out.select("id", "y", "w", F.transform("s", lambda x: x["c"]).alias("cols"), F.transform("s", lambda x: x["v"] / F.col("norm")).alias("vals"))
 
 
-def _minimise(data: DataFrame, n: int, n_terms: int, k: int, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
-    """L-BFGS with backtracking; returns (k x terms coefficients, intercepts)."""
+def _minimise(data: DataFrame, n: int, n_terms: int, k: int, max_iter: int, tol: float, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """L-BFGS with backtracking over packed rows; returns (k x terms coefficients, intercepts)."""
     size = k * (n_terms + 1)
-    total = float(data.agg(F.sum("w")).first()[0])
+
+    def weight(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([float(np.frombuffer(x.as_buffer()).sum()) for x in b.column(0)], pa.float64())], names=["t"])
+
+    total = float(data.select("w").mapInArrow(weight, "t double").agg(F.sum("t")).first()[0])
+    factor = np.append(idf, 1.0)  # the values are counts: the idf belongs to the column
     # two softmax rows share the margin evenly: twice the penalty gives the margin the
     # penalty that a binary model puts on its one row
     l2 = 2.0 if k == 2 else 1.0
     parts = data.rdd.getNumPartitions()
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, grad = _loss_and_gradient(data, x.reshape(k, -1), parts)
+        loss, grad = _loss_and_gradient(data, x.reshape(k, -1) * factor, parts)
         w = x.reshape(k, -1)[:, :-1]
-        grad = grad / total
+        grad = grad * factor / total
         grad[:, :-1] += l2 * w / total
         return loss / total + 0.5 * l2 * float((w * w).sum()) / total, grad.ravel()
 
@@ -267,17 +285,22 @@ def _block_sums(data: DataFrame, shared, parts: int) -> DataFrame:
     repeated fit gives the same numbers."""
     size = BLOCK
 
+    def chunks(b):
+        if b.schema.names[0] == "_slice":
+            yield from (SL.unpacked(*x) for x in zip(*b.columns[2:], strict=True))
+        elif b.num_rows:
+            sizes = b.column(3).value_lengths().to_numpy().astype(np.int64)
+            vals = b.column(4).flatten().to_numpy()
+            yield b.column(1).to_numpy(), b.column(2).to_numpy(), sizes, b.column(3).flatten().to_numpy(), vals, np.ones(len(sizes))
+
     def run(batches):
         w = shared.value
+        k, n_terms = len(w), w.shape[1] - 1
         grad, loss, some = np.zeros_like(w), 0.0, False
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for y, sw, sizes, cols, vals, scale in (c for b in batches for c in chunks(b)):
             some = True
-            y, sw = b.column(1).to_numpy(), b.column(2).to_numpy()
-            cols, vals = b.column(3).flatten().to_numpy(), b.column(4).flatten().to_numpy()
-            row = np.repeat(np.arange(len(y)), b.column(3).value_lengths().to_numpy())
-            z = np.stack([np.bincount(row, w[c, cols] * vals, len(y)) + w[c, -1] for c in range(len(w))], 1)
+            row = np.repeat(np.arange(len(y)), sizes)
+            z = np.stack([np.bincount(row, w[c, cols] * vals, len(y)) * scale + w[c, -1] for c in range(k)], 1)
             top = z.max(1, keepdims=True)
             p = np.exp(z - top)
             sums = p.sum(1, keepdims=True)
@@ -285,9 +308,11 @@ def _block_sums(data: DataFrame, shared, parts: int) -> DataFrame:
             p /= sums
             p[np.arange(len(y)), y] -= 1
             p *= sw[:, None]
-            for c in range(len(w)):
-                grad[c, :-1] += np.bincount(cols, p[row, c] * vals, w.shape[1] - 1)
+            for c in range(k - 1 if k == 2 else k):
+                grad[c, :-1] += np.bincount(cols, (p[:, c] * scale)[row] * vals, n_terms)
             grad[:, -1] += p.sum(0)
+        if k == 2:
+            grad[1, :-1] = -grad[0, :-1]  # two residuals of a document sum to zero
         if some:
             yield from _blocks(TaskContext.get().partitionId(), np.append(grad.ravel(), loss), size)
 

@@ -246,3 +246,78 @@ def translate(rows: DataFrame, vocab: DataFrame, id_col: str, id_type: str) -> D
 def _distinct(t: pa.Table) -> pa.Table:
     words = _codes(_flat(t["_tokens"])[0])[1]
     return _table(["_slice", "term"], [[pa.array(np.full(len(words), t["_slice"][0].as_py(), np.int32)), words.cast(pa.string())]])
+
+
+PACKED = "_slice int, part int, y binary, w binary, size binary, cols binary, vals binary, scale binary"
+_COUNTS = (np.uint8, np.uint16, np.uint32)
+
+
+def packed_row(at: int, part: int, y, w, size, cols, vals, scale) -> list:
+    """Documents of a matrix as one row: labels, weights, number of terms, columns (32 bit), values
+    and a factor per document.  Counts are kept in as few bytes as hold them; the first byte of
+    ``vals`` tells the kind (3: doubles)."""
+    kind, vals = 3, np.asarray(vals)
+    if vals.dtype.kind in "iu":
+        top = int(vals.max()) if len(vals) else 0
+        kind = 0 if top < 1 << 8 else 1 if top < 1 << 16 else 2
+        vals = vals.astype(_COUNTS[kind])
+    parts = [np.asarray(y, np.int32), np.asarray(w, np.float64), np.asarray(size, np.int64), np.asarray(cols, np.int32)]
+    blobs = [*(x.tobytes() for x in parts), bytes([kind]) + vals.tobytes(), np.asarray(scale, np.float64).tobytes()]
+    return [pa.array([at], pa.int32()), pa.array([part], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)]
+
+
+def unpacked(y, w, size, cols, vals, scale) -> tuple[np.ndarray, ...]:
+    raw = vals.as_buffer()
+    kind = raw[0]
+    kind = np.float64 if kind == 3 else _COUNTS[kind]
+    read = lambda x, t: np.frombuffer(x.as_buffer(), t)
+    return read(y, np.int32), read(w, np.float64), read(size, np.int64), read(cols, np.int32), np.frombuffer(raw, kind, offset=1), read(scale, np.float64)
+
+
+def matrix(rows: DataFrame, needs: DataFrame, vocab: DataFrame, analyzer: Callable[[Column], Column], packed: bool) -> DataFrame:
+    """Unit length TF-IDF of documents with distinct ids, from ``rows`` (_slice, _id, _tokens, y, w)
+    and ``vocab`` (term, tid, idf).  ``packed``: rows as :data:`PACKED`, values are counts and the
+    factor one over the norm, so the value of a term is count x idf x factor; else (id, y, w, cols,
+    vals), a row per document."""
+    chars = analyzer is T.char_wb_ngrams
+    answers = needs.select("_slice", "term").join(vocab.select("term", "tid", "idf"), "term").select("_slice", "term", "tid", "idf")
+    names = [f.split()[0] for f in PACKED.split(", ")] if packed else ["id", "y", "w", "cols", "vals"]
+
+    def run(t: pa.Table, known: pa.Table) -> pa.Table:
+        t = t.sort_by("_id")
+        x = Terms(t["_id"], t["_tokens"], chars)
+        at = pc.index_in(x.terms.cast(pa.string()), value_set=known["term"].combine_chunks().cast(pa.string()))
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
+        tid, idf = known["tid"].to_numpy(), known["idf"].to_numpy()
+        y, w, slice_ = t["y"].to_numpy(), t["w"].to_numpy(), t["_slice"][0].as_py() if t.num_rows else 0
+        parts, bare = [], np.ones(len(y), bool)
+
+        def add(doc, size, cols, tf, v, scale):
+            if packed:
+                parts.append(packed_row(slice_, len(parts), y[doc], w[doc], size, cols, tf, scale))
+                return
+            off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(off, pa.array(c)) for c in (cols.astype(np.int64), v * np.repeat(scale, size))]
+            parts.append([x.ids.take(pa.array(doc)).cast(pa.int64()), pa.array(y[doc], pa.int32()), pa.array(w[doc], pa.float64()), *lists])
+
+        for row, term, tf in x.pairs():
+            place = at[term]
+            row, place, tf = row[place >= 0], place[place >= 0], tf[place >= 0]
+            if not len(row):
+                continue
+            order = np.lexsort((tid[place], row))
+            row, place, tf = row[order], place[order], tf[order]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            v = tf * idf[place]
+            doc = row[first]
+            bare[doc] = False
+            add(doc, np.diff(np.append(first, len(row))), tid[place], tf, v, 1 / np.sqrt(np.add.reduceat(v * v, first)))
+        rest = np.flatnonzero(bare)
+        if len(rest):
+            none = np.zeros(0, np.int64)
+            add(rest, np.zeros(len(rest), np.int64), none, none, np.zeros(0), np.ones(len(rest)))
+        return _table(names, parts)
+
+    left = rows.select("_slice", "_id", "_tokens", "y", "w").groupBy("_slice")
+    schema = PACKED if packed else "id long, y int, w double, cols array<long>, vals array<double>"
+    return left.cogroup(answers.groupBy("_slice")).applyInArrow(run, schema)

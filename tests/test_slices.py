@@ -4,8 +4,10 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lexiflow.functions import text as T
+from lexiflow.operators import classify as CL
 from lexiflow.operators import features as FE
 from lexiflow.operators import slices as SL
 from tests.test_text import py_char_wb
@@ -92,3 +94,30 @@ def test_grams_of_words():
     assert len(set(grams)) == len(grams) and math.prod(off.shape) == len(words) + 1
     for i, w in enumerate(words):
         assert sorted(grams[g] for g in np.asarray(number[off[i] : off[i + 1]])) == sorted(py_char_wb(w))
+
+
+def test_matrix_packed_and_plain_are_one(spark, cut):
+    """A packed term takes a byte for its count and four for its column; rows without terms are kept."""
+    rows = [(i, t, i % 2, 1.0 + i) for i, (_, t) in enumerate(ROWS)]
+    df = spark.createDataFrame(rows, "id long, text string, y int, w double")
+    sliced = SL.sliced(df, 3, T.char_wb_ngrams, "id", "text", keep=("y", "w"))
+    needs = SL.slice_terms(sliced, T.char_wb_ngrams)
+    vocab = FE.dense_ids(FE.with_idf(FE._summed(needs, 2), len(rows)), ["term"], "tid")
+    idf = {r.tid: r.idf for r in vocab.collect()}
+    plain = {r.id: r for r in SL.matrix(sliced, needs, vocab, T.char_wb_ngrams, packed=False).collect()}
+    assert plain.keys() == set(range(len(rows))) and {(r.y, r.w) for r in plain.values()} == {(y, w) for _, _, y, w in rows}
+    got = {}
+    for r in SL.matrix(sliced, needs, vocab, T.char_wb_ngrams, packed=True).collect():
+        y, w, size, cols, tf, scale = SL.unpacked(*(pa.scalar(bytes(v), pa.binary()) for v in r[2:]))
+        assert len(r["cols"]) + len(r["vals"]) == 5 * len(cols) + 1
+        ends = np.cumsum(size)
+        for a, b, one, f in zip(ends - size, ends, w, scale, strict=True):
+            got[int(one - 1)] = (cols[a:b].tolist(), [n * idf[c] * f for n, c in zip(tf[a:b], cols[a:b], strict=True)])
+    assert got.keys() == plain.keys()
+    for i, (cols, vals) in got.items():
+        assert cols == plain[i].cols and vals == pytest.approx(plain[i].vals)
+        assert not vals or sum(v * v for v in vals) == pytest.approx(1)
+
+
+def test_vectors_of_a_fit_stay_small_on_the_driver():
+    assert 25 * 8 * CL.MAX_COEFFICIENTS < 300 << 20  # the point, the gradient, ten pairs of history
