@@ -2,11 +2,13 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from lexiflow.operators import features as FE
 from lexiflow.operators import slices as SL
 from lexiflow.plans import q_io as IO
 from lexiflow.sources import csv as CSV
+from pyspark.sql import functions as F
 
 TEXTS = [(1, "Die rote Katze"), (1, "Die rote Katze"), (None, "ÜBER \U0001f600b"), (3, None), (4, ""), (5, "a"), (6, "x" * 300)]
 
@@ -57,3 +59,14 @@ def test_large_vocabulary_encodes_every_row_by_slices(spark, monkeypatch):
     assert got == small == [(0, [1]), (0, [1]), (1, [1]), (1, [2, 1, 2]), (2, []), (3, [])]
     none = FE.encode(docs, vocab.where("tid < 0"), max_broadcast_bytes=0)
     assert sorted(r.ids for r in none.collect()) == [[]] * 6
+
+
+def test_a_python_batch_is_a_few_megabytes(spark):
+    rows = spark.range(600, numPartitions=1).select(F.repeat(F.lit("ab "), 20_000).alias("text"))
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    got = [r.n for r in rows.mapInArrow(size, "n long").collect()]
+    assert sum(got) == 600 and max(got) * 60_000 < 12 << 20
