@@ -3,13 +3,14 @@
 Feature weights follow ``tf * (ln((1+n)/(1+df)) + 1)`` with an L2 norm.  The vocabulary
 holds every term with ``df >= min_df``, ordered by term; nothing is dropped beyond that.
 
-The training rows are vectorised once (an integer column index per term, one row per
-document) and kept for the fit.  The objective is the mean weighted log loss plus
+The training rows are kept for the fit as counts of words in documents and of terms in words
+(an integer column index per term): a term's weight is added up once per distinct word of a
+slice, not once per document that holds the word.  The objective is the mean weighted log loss plus
 ``1 / (2 n) * |W|^2`` with a free intercept (an L2 penalty with C = 1); it is minimised in
 the space of the features themselves by L-BFGS.  (Spark ML's own solver rescales features to
 unit deviation, which conditions rare terms so badly that it stops far from the optimum.)
 
-Up to ``MAX_COEFFICIENTS`` every evaluation is one Spark pass in which each partition sums
+Up to ``MAX_COEFFICIENTS`` (two classes mirror each other and have one row) every evaluation is one Spark pass in which each partition sums
 its gradient; the partial gradients are added on Spark, block by block in a tree of fixed
 order, so that the driver gets one gradient only, and the result is a Spark ML pipeline
 model.  Beyond, coefficients stay in blocks on Spark (:mod:`lexiflow.operators.blocked`), and
@@ -106,14 +107,17 @@ def fit_variant_classifier(
     code = F.create_map(*[F.lit(x) for i, c in enumerate(labels) for x in (c, i)])
     weights = F.create_map(*[F.lit(x) for c in labels for x in (c, float(weight[c]))])
     docs = docs.withColumn("y", code[F.col("label")].cast("int")).withColumn("w", weights[F.col("label")])
-    slices = SL.count_slices(docs.agg(F.sum(F.length("text"))).first()[0], docs)
+    # whole slices: the fewer they are, the fewer words and terms they repeat
+    total = int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    slots = spark.sparkContext.defaultParallelism
+    slices = max(1, -(-total // SL.SLICE_BYTES), min(2 * slots, -(-total // SL.LEAST_BYTES)))
     rows = SL.sliced(docs, slices, _analyzer(analyzer), "id", "text", keep=("y", "w"))
     SL.slice_terms(rows, _analyzer(analyzer)).write.parquet(f"{path}/needs")
     needs = spark.read.parquet(f"{path}/needs")
     df = needs.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
     vocab = FE.dense_ids(FE.with_idf(df, n), [F.asc("term")], "tid")
     n_terms = vocab.count()
-    if n_terms * len(labels) > MAX_COEFFICIENTS:
+    if n_terms * (1 if len(labels) == 2 else len(labels)) > MAX_COEFFICIENTS:
         data = SL.matrix(rows, needs, vocab, _analyzer(analyzer), packed=False)
         coefs, bias = BL.minimise(data, n, n_terms, len(labels), max_iter, tol)
         terms = vocab.join(coefs, "tid").select("term", "df", "idf", "coef")
@@ -121,10 +125,10 @@ def fit_variant_classifier(
         return BlockModel(spark.read.parquet(f"{path}/terms"), labels, bias, n, analyzer, clean, text_col)
     table = vocab.orderBy("tid").select("term", "idf").toArrow()
     terms, idf = table["term"].to_pylist(), table["idf"].to_numpy()
-    SL.matrix(rows, needs, vocab, _analyzer(analyzer), packed=True).write.parquet(f"{path}/matrix")
-    data = spark.read.schema(SL.PACKED).parquet(f"{path}/matrix")
-    # a fixed layout, so that a repeated fit gives the same numbers
-    data = data.repartition(max(1, min(slices, 4 * SL.slots(data))), "_slice").sortWithinPartitions("_slice", "part").persist()
+    SL.factored(rows, needs, vocab, _analyzer(analyzer)).write.parquet(f"{path}/matrix")
+    data = spark.read.schema(SL.FACTORED).parquet(f"{path}/matrix")
+    # a fixed layout, so that a repeated fit gives the same numbers; every partition sends a gradient
+    data = data.repartitionByRange(max(1, min(slices, 2 * slots)), "_slice").sortWithinPartitions("_slice").persist()
     try:
         coef, bias = _minimise(data, n, n_terms, len(labels), max_iter, tol, idf)
     finally:
@@ -208,8 +212,11 @@ def _vectors(docs: DataFrame, counts: DataFrame, vocab: DataFrame, n_docs: int,
 
 
 def _minimise(data: DataFrame, n: int, n_terms: int, k: int, max_iter: int, tol: float, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """L-BFGS with backtracking over packed rows; returns (k x terms coefficients, intercepts)."""
-    size = k * (n_terms + 1)
+    """L-BFGS with backtracking over factored rows; returns (k x terms coefficients, intercepts).
+    Two classes have opposite coefficients all along, so the second's are kept alone, and
+    products of two vectors count twice."""
+    rows, both = (1, 2.0) if k == 2 else (k, 1.0)
+    size = rows * (n_terms + 1)
 
     def weight(batches):
         for b in batches:
@@ -223,11 +230,11 @@ def _minimise(data: DataFrame, n: int, n_terms: int, k: int, max_iter: int, tol:
     parts = data.rdd.getNumPartitions()
 
     def value(x: np.ndarray) -> tuple[float, np.ndarray]:
-        loss, grad = _loss_and_gradient(data, x.reshape(k, -1) * factor, parts)
-        w = x.reshape(k, -1)[:, :-1]
+        loss, grad = _loss_and_gradient(data, x.reshape(rows, -1) * factor, parts)
+        w = x.reshape(rows, -1)[:, :-1]
         grad = grad * factor / total
         grad[:, :-1] += l2 * w / total
-        return loss / total + 0.5 * l2 * float((w * w).sum()) / total, grad.ravel()
+        return loss / total + 0.5 * l2 * both * float((w * w).sum()) / total, grad.ravel()
 
     x = np.zeros(size)
     f, g = value(x)
@@ -245,10 +252,10 @@ def _minimise(data: DataFrame, n: int, n_terms: int, k: int, max_iter: int, tol:
         if s_list:
             d = d * ((s_list[-1] @ y_list[-1]) / (y_list[-1] @ y_list[-1]))
         else:
-            d = d / max(1.0, np.linalg.norm(g))
+            d = d / max(1.0, both**0.5 * np.linalg.norm(g))
         for (s, y), a in zip(zip(s_list, y_list, strict=True), reversed(alphas), strict=True):
             d = d + (a - (y @ d) / (y @ s)) * s
-        slope = float(g @ d)
+        slope = both * float(g @ d)
         step = 1.0
         while True:
             new, g_new = value(x + step * d)
@@ -263,12 +270,15 @@ def _minimise(data: DataFrame, n: int, n_terms: int, k: int, max_iter: int, tol:
         x, f, g = x + step * d, new, g_new
     if np.abs(g).max() > tol:
         warnings.warn(f"stopped with a gradient of {np.abs(g).max():.2e} (objective {f:.6f})", NotConverged, stacklevel=3)
-    w = x.reshape(k, -1)
+    w = x.reshape(rows, -1)
+    if k == 2:
+        w = np.concatenate([-w, w])
     return w[:, :-1], w[:, -1] - w[:, -1].mean()
 
 
 def _loss_and_gradient(data: DataFrame, w: np.ndarray, parts: int) -> tuple[float, np.ndarray]:
-    """Sums over all rows of the ``parts`` partitions."""
+    """Sums over all rows of the ``parts`` partitions; one row of ``w`` is that of the second of
+    two classes with opposite coefficients."""
     shared = data.sparkSession.sparkContext.broadcast(w)
     out = np.zeros(w.size + 1)  # the loss comes last
     sums = _block_sums(data, shared, parts).toArrow()
@@ -287,20 +297,23 @@ def _block_sums(data: DataFrame, shared, parts: int) -> DataFrame:
 
     def chunks(b):
         if b.schema.names[0] == "_slice":
-            yield from (SL.unpacked(*x) for x in zip(*b.columns[2:], strict=True))
+            yield from (SL.factors(*x) for x in zip(*b.columns[1:], strict=True))
         elif b.num_rows:
             sizes = b.column(3).value_lengths().to_numpy().astype(np.int64)
             vals = b.column(4).flatten().to_numpy()
-            yield b.column(1).to_numpy(), b.column(2).to_numpy(), sizes, b.column(3).flatten().to_numpy(), vals, np.ones(len(sizes))
+            yield b.column(1).to_numpy(), b.column(2).to_numpy(), sizes, b.column(3).flatten().to_numpy(), vals, np.ones(len(sizes)), None, None
 
     def run(batches):
         w = shared.value
         k, n_terms = len(w), w.shape[1] - 1
         grad, loss, some = np.zeros_like(w), 0.0, False
-        for y, sw, sizes, cols, vals, scale in (c for b in batches for c in chunks(b)):
+        for y, sw, sizes, words, vals, scale, grams, cols in (c for b in batches for c in chunks(b)):
             some = True
-            row = np.repeat(np.arange(len(y)), sizes)
-            z = np.stack([np.bincount(row, w[c, cols] * vals, len(y)) * scale + w[c, -1] for c in range(k)], 1)
+            z = []
+            for c in range(k):
+                per_word = w[c] if grams is None else _sums(w[c, cols], grams)
+                z.append(_sums(per_word[words] * vals, sizes) * scale + w[c, -1])
+            z = np.stack([-z[0], z[0]] if k == 1 else z, 1)
             top = z.max(1, keepdims=True)
             p = np.exp(z - top)
             sums = p.sum(1, keepdims=True)
@@ -308,11 +321,15 @@ def _block_sums(data: DataFrame, shared, parts: int) -> DataFrame:
             p /= sums
             p[np.arange(len(y)), y] -= 1
             p *= sw[:, None]
-            for c in range(k - 1 if k == 2 else k):
-                grad[c, :-1] += np.bincount(cols, (p[:, c] * scale)[row] * vals, n_terms)
+            p = p[:, -k:]
+            for c in range(k):
+                back = np.repeat(p[:, c] * scale, sizes) * vals
+                if grams is None:
+                    grad[c, :-1] += np.bincount(words, back, n_terms)
+                else:
+                    back = np.bincount(words, back, len(grams))
+                    grad[c, :-1] += np.bincount(cols, np.repeat(back, grams), n_terms)
             grad[:, -1] += p.sum(0)
-        if k == 2:
-            grad[1, :-1] = -grad[0, :-1]  # two residuals of a document sum to zero
         if some:
             yield from _blocks(TaskContext.get().partitionId(), np.append(grad.ravel(), loss), size)
 
@@ -323,6 +340,14 @@ def _block_sums(data: DataFrame, shared, parts: int) -> DataFrame:
     return sums
 
 
+def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``values``; an empty run has none."""
+    out, some = np.zeros(len(sizes)), np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.add.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
 BLOCKS = "seq long, block long, vals binary"
 
 

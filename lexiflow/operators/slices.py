@@ -256,22 +256,74 @@ def packed_row(at: int, part: int, y, w, size, cols, vals, scale) -> list:
     """Documents of a matrix as one row: labels, weights, number of terms, columns (32 bit), values
     and a factor per document.  Counts are kept in as few bytes as hold them; the first byte of
     ``vals`` tells the kind (3: doubles)."""
-    kind, vals = 3, np.asarray(vals)
+    parts = [np.asarray(y, np.int32), np.asarray(w, np.float64), np.asarray(size, np.int64), np.asarray(cols, np.int32)]
+    blobs = [*(x.tobytes() for x in parts), _small(np.asarray(vals)), np.asarray(scale, np.float64).tobytes()]
+    return [pa.array([at], pa.int32()), pa.array([part], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)]
+
+
+def _small(vals: np.ndarray) -> bytes:
+    kind = 3
     if vals.dtype.kind in "iu":
         top = int(vals.max()) if len(vals) else 0
         kind = 0 if top < 1 << 8 else 1 if top < 1 << 16 else 2
         vals = vals.astype(_COUNTS[kind])
-    parts = [np.asarray(y, np.int32), np.asarray(w, np.float64), np.asarray(size, np.int64), np.asarray(cols, np.int32)]
-    blobs = [*(x.tobytes() for x in parts), bytes([kind]) + vals.tobytes(), np.asarray(scale, np.float64).tobytes()]
-    return [pa.array([at], pa.int32()), pa.array([part], pa.int32()), *(pa.array([b], pa.binary()) for b in blobs)]
+    return bytes([kind]) + vals.tobytes()
+
+
+def _read(x, kind) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), kind)
+
+
+def _read_small(x) -> np.ndarray:
+    raw = x.as_buffer()
+    return np.frombuffer(raw, np.float64 if raw[0] == 3 else _COUNTS[raw[0]], offset=1)
 
 
 def unpacked(y, w, size, cols, vals, scale) -> tuple[np.ndarray, ...]:
-    raw = vals.as_buffer()
-    kind = raw[0]
-    kind = np.float64 if kind == 3 else _COUNTS[kind]
-    read = lambda x, t: np.frombuffer(x.as_buffer(), t)
-    return read(y, np.int32), read(w, np.float64), read(size, np.int64), read(cols, np.int32), np.frombuffer(raw, kind, offset=1), read(scale, np.float64)
+    return _read(y, np.int32), _read(w, np.float64), _read(size, np.int64), _read(cols, np.int32), _read_small(vals), _read(scale, np.float64)
+
+
+FACTORED = "_slice int, y binary, w binary, size binary, words binary, counts binary, scale binary, grams binary, cols binary"
+
+
+def factors(y, w, size, words, counts, scale, grams, cols) -> tuple[np.ndarray, ...]:
+    """The arrays of a row of :func:`factored`."""
+    docs = _read(y, np.int32), _read(w, np.float64), _read(size, np.int64), _read(words, np.int32), _read_small(counts), _read(scale, np.float64)
+    return *docs, _read(grams, np.int64), _read(cols, np.int32)
+
+
+def factored(rows: DataFrame, needs: DataFrame, vocab: DataFrame, analyzer: Callable[[Column], Column]) -> DataFrame:
+    """The matrix of :func:`matrix` as a product, a row (:data:`FACTORED`) per slice: documents x
+    their distinct words (``size`` words a document, ``counts``) and words x their terms (``grams``
+    terms a word, columns with repeats).  A word has its grams once, however many documents hold
+    it.  The value of a term is its count over the words x idf x ``scale`` of the document."""
+    chars = analyzer is T.char_wb_ngrams
+    answers = needs.select("_slice", "term").join(vocab.select("term", "tid", "idf"), "term").select("_slice", "term", "tid", "idf")
+
+    def run(t: pa.Table, known: pa.Table) -> pa.Table:
+        t = t.sort_by("_id")
+        x = Terms(t["_id"], t["_tokens"], chars)
+        at = pc.index_in(x.terms.cast(pa.string()), value_set=known["term"].combine_chunks().cast(pa.string()))
+        at = pc.fill_null(at, -1).to_numpy(zero_copy_only=False)
+        tid, idf = known["tid"].to_numpy(), known["idf"].to_numpy()
+        n = len(x.ids)
+        square = np.zeros(n)
+        for row, term, tf in x.pairs():
+            has = at[term] >= 0
+            v = tf[has] * idf[at[term[has]]]
+            square += np.bincount(row[has], v * v, n)
+        grams, off = (at, np.arange(len(at) + 1)) if x._off is None else (at[x._gram], x._off)
+        ends = np.concatenate([[0], np.cumsum(grams >= 0)])[off]
+        parts = [
+            t["y"].to_numpy().astype(np.int32), t["w"].to_numpy().astype(np.float64), np.bincount(x._row, minlength=n).astype(np.int64), x._word.astype(np.int32),
+            x._count, 1 / np.sqrt(np.where(square > 0, square, 1.0)), np.diff(ends).astype(np.int64), tid[grams[grams >= 0]].astype(np.int32),
+        ]
+        blobs = [_small(p) if i == 4 else p.tobytes() for i, p in enumerate(parts)]
+        at_slice = pa.array([t["_slice"][0].as_py()] if n else [], pa.int32())
+        return _table([f.split()[0] for f in FACTORED.split(", ")], [[at_slice, *(pa.array([b] if n else [], pa.binary()) for b in blobs)]])
+
+    left = rows.select("_slice", "_id", "_tokens", "y", "w").groupBy("_slice")
+    return left.cogroup(answers.groupBy("_slice")).applyInArrow(run, FACTORED)
 
 
 def matrix(rows: DataFrame, needs: DataFrame, vocab: DataFrame, analyzer: Callable[[Column], Column], packed: bool) -> DataFrame:
