@@ -37,7 +37,8 @@ BINS = 256  # of the angle to a pivot
 PIVOTS_PER_SHARD = 8
 SLACK = 1e-7  # radians
 TASK_PAIRS = 1 << 29  # comparisons of a task
-BOUND_CELLS = 1 << 22  # bounds that a task computes at a time
+BOUND_CELLS = 1 << 20  # bounds that a task computes at a time, some six arrays of doubles
+SHARD_BYTES = 16 << 20  # vectors of a shard; a task holds them several times over
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
@@ -95,7 +96,7 @@ class PivotIndex:
         exclude_self: bool = False,
         same_label: bool = False,
         carry: tuple[str, ...] = (),
-        shard_bytes: int = 64 << 20,
+        shard_bytes: int = SHARD_BYTES,
         n_pivots: int | None = None,
     ):
         self.exclude_self, self.same_label, self.carry, self.shard_bytes = exclude_self, same_label, carry, shard_bytes
@@ -234,7 +235,7 @@ class PivotIndex:
 
         return q.mapInArrow(run, "_group long, n long" if count else schema)
 
-    def nearest(self, queries: DataFrame, block_bytes: int = 64 << 20, batch_rows: int = 512) -> DataFrame:
+    def nearest(self, queries: DataFrame, block_bytes: int = SHARD_BYTES, batch_rows: int = 512) -> DataFrame:
         """(qid, match_pos, score, carried columns, visited): the best memory row of every query
         row, and how many shards it was compared with.  ``copies`` counts the shard copies."""
         self.copies = 0
