@@ -76,6 +76,9 @@ def restrict(
     """
     key = key_fn(F.col(text_col)) if key_fn is not None else F.col(text_col)
     keys = batch.select(*digest(key)).distinct()
+    path = scratch_path(batch.sparkSession, "batch-keys")  # counted and broadcast: the texts are normalised once
+    keys.write.parquet(path)
+    keys = batch.sparkSession.read.schema(keys.schema).parquet(path)
     if keys.limit(BATCH_KEYS + 1).count() > BATCH_KEYS:
         return stored.drop("_h1", "_h2")
     return stored.join(F.broadcast(keys), ["_h1", "_h2"], "left_semi").drop("_h1", "_h2")

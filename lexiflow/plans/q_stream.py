@@ -15,11 +15,21 @@ from lexiflow.sources import tables as TB
 from lexiflow.streaming import router as SR
 
 
+FILE_ROWS = 1 << 12  # of an arriving file, some 10 MB of text; a task reads one or a few
+
+
+def arriving_files(n: int) -> int:
+    """How many files ``n`` rows arrive in."""
+    return max(4, -(-n // FILE_ROWS))
+
+
 @register("stream_route", _RT2_SQL)
 def q_stream_route(spark, sf):
     """Incoming texts land as several files, among them stop-marker rows; the stream drops
     these, routes every micro-batch (memory -> classifier -> lookup -> placeholder) and
-    appends to a parquet sink.  The sink equals the batch route of the same input."""
+    appends to a parquet sink.  The sink equals the batch route of the same input.  Larger input
+    arrives in more files of one size, so a micro-batch has tasks for all slots; there are two
+    micro-batches whatever the size, as each reads the dictionary's digests."""
     src = scratch_path(spark, "stream-in")
     sink = scratch_path(spark, "stream-out")
     ckpt = scratch_path(spark, "stream-ckpt")
@@ -29,7 +39,9 @@ def q_stream_route(spark, sf):
         F.concat(F.lit(" "), F.upper(F.lit(K.STOP_MARKER)), F.lit(" ")).alias("text"),
         F.lit("en").alias("requested_label"),
     )
-    rows.unionByName(stops).repartition(4).write.mode("overwrite").parquet(src)
+    incoming = rows.unionByName(stops)
+    files = arriving_files(incoming.count())
+    incoming.repartition(files).write.mode("overwrite").parquet(src)
 
     # static sides built once and shared by every micro-batch; a batch takes from the
     # stored dictionary only the entries it may ask for
@@ -43,6 +55,6 @@ def q_stream_route(spark, sf):
         lookup = D.restrict(stored, batch)
         return route_idiom_lookup_df(spark, sf, batch, memory, lookup).select(*ROUTE_COLS)
 
-    query = SR.start_router(spark, src, sink, ckpt, route_batch, max_files_per_trigger=2)
+    query = SR.start_router(spark, src, sink, ckpt, route_batch, max_files_per_trigger=-(-files // 2))
     SR.run_to_completion(query)
     return spark.read.parquet(sink).select(*ROUTE_COLS)
