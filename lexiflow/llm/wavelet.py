@@ -17,7 +17,11 @@ file and reads back as no rows; a document longer than a shard has a shard of it
 from __future__ import annotations
 
 import json
+import os
 import struct
+from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +31,15 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm import common as C
 from lexiflow.llm import pieces as P
-from lexiflow.llm.lexicon import TEXT_SLICE, default_file
+from lexiflow.llm.lexicon import default_file
 from lexiflow.session import scratch_path
 
 MAGIC = b"WVM1"
 SHARD_IDS = 1 << 21
+TEXT_SLICE = 4 << 20
 RANK_BITS = 512  # bits between two sampled ranks
-MEMO = 150_000  # pieces whose ids a task remembers, and those of one slice
+MEMO = 300_000  # pieces whose ids a Python worker remembers, and those of one slice
+BLOCK = 1 << 16  # ids that a plane moves at a time: they stay in the cache
 END_ID = 1
 
 
@@ -50,13 +56,26 @@ class WaveletMatrix:
         x = ids.astype(np.uint16 if top < 1 << 16 else np.uint32, copy=False)
         planes, zeros = [], []
         for b in range(max(1, top.bit_length()) - 1, -1, -1):
-            bit = (x >> b) & 1 == 1
+            bit = x & x.dtype.type(1 << b) != 0
             planes.append(np.packbits(bit))
-            low = x[~bit]
-            zeros.append(len(low))
-            x = np.concatenate([low, x[bit]])
+            zeros.append(len(x) - int(np.count_nonzero(bit)))
+            y = np.empty_like(x)
+            for part, low, one, high in cls._moves(bit, zeros[-1]):
+                y[low], y[high] = x[part].take(np.flatnonzero(~one)), x[part].take(np.flatnonzero(one))
+            x = y
         return cls(len(ids), planes, zeros)
 
+    @staticmethod
+    def _moves(bit: np.ndarray, zeros: int) -> Iterator[tuple[slice, slice, np.ndarray, slice]]:
+        """Block by block: its places above a plane, where its ids with bit 0 go below, its
+        bits, and where its ids with bit 1 go."""
+        a, b = 0, zeros
+        for start in range(0, len(bit), BLOCK):
+            one = bit[start : start + BLOCK]
+            n = int(np.count_nonzero(one))
+            yield slice(start, start + len(one)), slice(a, a + len(one) - n), one, slice(b, b + n)
+            a, b = a + len(one) - n, b + n
+
     def _bits(self, k: int) -> np.ndarray:
         return np.unpackbits(self.planes[k], count=self.n).view(bool)
 
@@ -65,10 +84,11 @@ class WaveletMatrix:
         kind = np.uint16 if len(self.planes) <= 16 else np.uint32
         x = np.zeros(self.n, kind)
         for k in range(len(self.planes) - 1, -1, -1):
-            bit = self._bits(k)
+            x[self.zeros[k] :] |= kind(1 << (len(self.planes) - 1 - k))
             y = np.empty(self.n, kind)
-            y[~bit] = x[: self.zeros[k]]
-            y[bit] = x[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k))
+            for part, low, one, high in self._moves(self._bits(k), self.zeros[k]):
+                block = y[part]
+                block[np.flatnonzero(~one)], block[np.flatnonzero(one)] = x[low], x[high]
             x = y
         return x
 
@@ -171,12 +191,12 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]
     return ids, parts[2].view("<i8"), WaveletMatrix(head["n"], parts[3:], head["zeros"])
 
 
-def id_kind(vocab: P.Vocabulary) -> type:
-    return np.uint16 if len(vocab.tokens) <= 1 << 16 else np.uint32
+def id_kind(tok) -> type:
+    return np.uint16 if max(tok.get_vocab(with_added_tokens=True).values()) < 1 << 16 else np.uint32
 
 
 class LibraryEncoder:
-    """The tokenizers library, asked once for each distinct piece a task meets.
+    """The tokenizers library, asked once for each distinct piece that is not remembered.
 
     Pieces cut by the fast path are normalised and split already: they go to the library's
     model, many to a call, split at white space; the id that ends a piece carries the
@@ -186,27 +206,40 @@ class LibraryEncoder:
     def __init__(self, file: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
-        vocab = P.Vocabulary(file)
         self.tok = Tokenizer.from_str(file)
         self.plain = Tokenizer(self.tok.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.kind = id_kind(vocab)
-        self.letters = dict(enumerate(P.byte_alphabet()))
-        self.last = np.array([t.endswith(vocab.end) for t in vocab.tokens], bool)
-        self.memo: dict[bytes, int] = {}  # the first MEMO pieces that the task meets
+        self.kind = id_kind(self.tok)
+        self.sign = np.array([ord(c) for c in P.byte_alphabet()], "<u4")
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[i for t, i in vocab.items() if t.endswith(self.tok.model.end_of_word_suffix)]] = True
+        self.memo: dict[bytes, int] = {}  # the first MEMO pieces met, by number
         self.pool, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _library(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _joined(self, pieces: pa.Array, many: int = 512) -> list[str]:
+        """The pieces in printable characters, a space between two, ``many`` to a string."""
+        buf, off = C.bounds(pieces)
+        n = len(pieces)
+        if n == 0:
+            return []
+        text = np.full(len(buf) + n, 0x20, "<u4")
+        text[np.arange(len(buf)) + np.repeat(np.arange(n), np.diff(off))] = self.sign[buf]
+        at = [*range(0, n, many), n]
+        cuts = (off[at] + at).tolist()
+        return [text[a : b - 1].tobytes().decode("utf-32-le") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+    def _library(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each piece)."""
-        strange = np.array([P.is_odd(p) for p in raw], bool)
-        plain = [p.decode("latin-1").translate(self.letters) for p, s in zip(raw, strange, strict=True) if not s]
-        joined = [" ".join(plain[a : a + 512]) for a in range(0, len(plain), 512)]
-        ids = np.array([i for e in self.plain.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], np.int32)
+        strange = P.odd(pieces)
+        plain = pieces.filter(pa.array(~strange))
+        got = self.plain.encode_batch_fast(self._joined(plain), add_special_tokens=False)
+        ids = np.concatenate([np.zeros(0, np.int32), *(np.array(e.ids, np.int32) for e in got)])
         stop = np.flatnonzero(self.last[ids]) + 1
         if len(stop) != len(plain):
             raise RuntimeError("the model does not end every piece with its word suffix")
-        odd = [self.tok.encode(p.decode(), add_special_tokens=False).ids for p, s in zip(raw, strange, strict=True) if s]
-        size = np.zeros(len(raw), np.int64)
+        odd = [self.tok.encode(p.decode(), add_special_tokens=False).ids for p in pieces.filter(pa.array(strange)).to_pylist()]
+        size = np.zeros(len(pieces), np.int64)
         size[~strange] = np.diff(stop, prepend=0)
         size[strange] = [len(x) for x in odd]
         out = np.zeros(int(size.sum()), np.int32)
@@ -216,15 +249,15 @@ class LibraryEncoder:
         return out, size
 
     def resolve(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        raw = distinct.to_pylist()
-        at = np.array([self.memo.get(p, -1) for p in raw], np.int64)
+        raw = distinct.to_numpy(zero_copy_only=False).tolist()  # bytes; to_pylist is slower by far
+        at = np.fromiter(map(self.memo.get, raw, repeat(-1)), np.int64, len(raw))
         new = np.flatnonzero(at < 0)
-        ids, size = self._library([raw[i] for i in new])
+        ids, size = self._library(distinct.take(pa.array(new)))
         ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
         pool = np.concatenate([self.pool, ids])
         at[new] = np.arange(len(self.ends) - 1, len(ends) - 1)
         if len(self.memo) < MEMO:
-            self.memo.update(zip((raw[i] for i in new), at[new].tolist(), strict=True))
+            self.memo.update((raw[i], k) for i, k in zip(new.tolist(), at[new].tolist(), strict=True))
             self.pool, self.ends = pool, ends
         return ends[at], ends[at + 1] - ends[at], pool
 
@@ -234,6 +267,14 @@ class LibraryEncoder:
         return P.gather(code, first, *self.resolve(distinct))
 
 
+@lru_cache(maxsize=1)
+def worker_encoder(file: str) -> LibraryEncoder:
+    """The encoder of this Python worker: it serves many tasks.  A task has one slot, so the
+    library's own threads would only take those of other tasks."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return LibraryEncoder(file)
+
+
 SHARD_SCHEMA = "part long, shard long, part_start long, n_ids long, n_docs long, payload binary"
 
 
@@ -243,7 +284,7 @@ def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(file)
 
     def run(batches):
-        enc, z = LibraryEncoder(shared.value), zstandard.ZstdCompressor(level=1)
+        enc, z = worker_encoder(shared.value), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for rows, text in C.slices(batch, 2, TEXT_SLICE):
                 flat, off = enc(text)
@@ -259,9 +300,11 @@ def encoded(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
 
 def write_shards(docs: DataFrame, path: str, file: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Encode the documents and write them in ascending id order, one file per shard."""
+    from tokenizers import Tokenizer
+
     rows = C.stored(encoded(docs, file, id_col, text_col, end_id), "wavelet-ids")
     laid = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").withColumn("part", F.spark_partition_id().cast("long"))
-    kind = id_kind(P.Vocabulary(file))
+    kind = id_kind(Tokenizer.from_str(file))
 
     def run(batches):
         z = zstandard.ZstdDecompressor()

@@ -232,3 +232,55 @@ def test_shards_round_trip(spark, docs, tok, tmp_path):
         assert wavelet.count(spark, path, t) == (whole == t).sum()
         at = sorted(r.position for r in wavelet.lookup(spark, path, t).collect())
         assert at == np.flatnonzero(whole == t).tolist()
+
+
+def test_planes_move_in_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(wavelet, "BLOCK", 64)
+    for top, n in ((1, 1), (2, 64), (50000, 1000), (2**20, 129), (1, 0)):
+        x = rng.integers(0, top, n)
+        wm = wavelet.WaveletMatrix.build(x)
+        order = x
+        for k, b in enumerate(range(len(wm.planes) - 1, -1, -1)):
+            bit = (order >> b) & 1
+            assert (np.unpackbits(wm.planes[k], count=n) == bit).all() and wm.zeros[k] == (bit == 0).sum()
+            order = np.concatenate([order[bit == 0], order[bit == 1]])
+        assert (wm.decode() == x).all()
+
+
+def test_pieces_reach_the_library_without_a_step_of_python_each(tok, monkeypatch):
+    """Signs, joins and ids are arrays; a piece that is remembered is not asked again."""
+    monkeypatch.setattr(pieces, "is_odd", None)
+    enc = wavelet.LibraryEncoder(lexicon.default_file())
+    asked = []
+    library = enc._library
+    enc._library = lambda p: asked.append(p.to_pylist()) or library(p)
+    words = [f"w{chr(97 + i % 26) * (i % 40)}x{chr(97 + i // 26 % 26)}" for i in range(2000)]
+    for batch in (words, [*words, "été", "don't", ""], [*ODD, *words], [], [""]):
+        ids, off = enc(pa.array(batch, pa.string()))
+        for k, s in enumerate(batch):
+            assert ids[off[k] : off[k + 1]].tolist() == tok.encode(s, add_special_tokens=False).ids, s
+    assert asked[1] == ["été".encode(), b"don't"] and len(asked[0]) > 1000
+    assert not asked[3] and not asked[4]
+
+
+def test_odd_pieces_of_an_array():
+    at = [*ODD, "<", "|", "a<", "|b", "Ã", "é", "ß", "×", "÷", "À", "'", "x'y", "\x00", "¡", "a½"]
+    raw = [p for t in at for p in (t.encode(), *pieces.cut(pa.array([t]))[0].to_pylist())]
+    for batch in (raw, raw[5:], [b"", *raw, b""], [b""], []):
+        assert pieces.odd(pa.array(batch, pa.binary())).tolist() == [pieces.is_odd(p) for p in batch]
+
+
+def test_a_worker_makes_one_encoder_for_all_its_tasks(spark, docs):
+    from lexiflow.llm import common
+
+    common.prepare(spark)
+    wavelet.encoded(docs.repartition(48), lexicon.default_file()).write.format("noop").mode("overwrite").save()
+
+    def state(batches):
+        for batch in batches:
+            info = wavelet.worker_encoder.cache_info()
+            yield pa.RecordBatch.from_arrays([pa.array([info.misses]), pa.array([info.hits])], names=["misses", "hits"])
+
+    got = spark.range(0, 48, 1, 48).mapInArrow(state, "misses long, hits long").collect()
+    assert max(r.misses for r in got) == 1 and max(r.hits for r in got) > 0
