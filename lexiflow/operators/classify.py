@@ -4,18 +4,19 @@ Feature weights follow ``tf * (ln((1+n)/(1+df)) + 1)`` with an L2 norm.  The voc
 holds every term with ``df >= min_df``, ordered by term; nothing is dropped beyond that.
 
 The training rows are kept for the fit as counts of words in documents and of terms in words
-(an integer column index per term): a term's weight is added up once per distinct word of a
-slice, not once per document that holds the word.  The objective is the mean weighted log loss plus
-``1 / (2 n) * |W|^2`` with a free intercept (an L2 penalty with C = 1); it is minimised in
-the space of the features themselves by L-BFGS.  (Spark ML's own solver rescales features to
+(:mod:`lexiflow.operators.shards`): a term's weight is added up once per distinct word of a
+shard, not once per document that holds the word.  The objective is the mean weighted log loss plus
+``1 / (2 n) * |W|^2`` with a free intercept (an L2 penalty with C = 1), minimised
+in the space of the features themselves.  (Spark ML's own solver rescales features to
 unit deviation, which conditions rare terms so badly that it stops far from the optimum.)
 
-Up to ``MAX_COEFFICIENTS`` (two classes mirror each other and have one row) every evaluation is one Spark pass in which each partition sums
+Up to ``MAX_COEFFICIENTS`` (two classes mirror each other and have one row) the solver is L-BFGS and every evaluation one Spark pass in which each partition sums
 its gradient; the partial gradients are added on Spark, block by block in a tree of fixed
 order, so that the driver gets one gradient only, and the result is a Spark ML pipeline
-model.  Beyond, coefficients stay in blocks on Spark (:mod:`lexiflow.operators.blocked`), and
-the result is a :class:`BlockModel`: a table of terms with their coefficients, joined to the
-terms of the rows to predict.  Balanced training weighs rows by ``n / (k * n_c)``.
+model.  Beyond, nothing of the size of the vocabulary is on the driver
+(:mod:`lexiflow.operators.subspace`, or :mod:`lexiflow.operators.blocked` for many classes), and
+the result is a :class:`BlockModel`: a table of terms with their coefficients, met by the distinct
+terms of the shards to predict.  Balanced training weighs rows by ``n / (k * n_c)``.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import warnings
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext, keyword_only
 from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegressionModel
@@ -38,7 +40,9 @@ from pyspark.sql import functions as F
 from lexiflow.functions import text as T
 from lexiflow.operators import blocked as BL
 from lexiflow.operators import features as FE
+from lexiflow.operators import shards as SH
 from lexiflow.operators import slices as SL
+from lexiflow.operators import subspace as SS
 from lexiflow.session import scratch_path
 
 # coefficients of a fit on the driver, which holds some 25 vectors of them, and their terms; beyond,
@@ -93,42 +97,38 @@ def fit_variant_classifier(
     spark = train.sparkSession
     tok = TextTokens(inputCol=text_col, outputCol="_tokens", analyzer=analyzer, clean=clean)
     path = scratch_path(spark, "classifier")
-    text = T.clean_text(text_col) if clean else F.col(text_col)
+    text = T.clean_text("text") if clean else F.col("text")
     rows = train.where(F.col(label_col).isNotNull())
-    rows = rows.select(F.col(label_col).cast("string").alias("label"), text.alias("text"))
-    rows.withColumn("id", F.monotonically_increasing_id()).write.parquet(f"{path}/docs")
-    docs = spark.read.parquet(f"{path}/docs")
-    sizes = {r["label"]: r["n"] for r in docs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
+    packed, packed_path = SH.pack(rows, text, _analyzer(analyzer), ["label"], SH.FIT_BYTES)
+    sizes = {r["label"]: r["n"] for r in packed.select(F.explode("_k0").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = sorted(sizes)
     if len(labels) < 2:
         raise ValueError("need at least two classes to train a classifier")
     n = sum(sizes.values())
     weight = {c: n / (len(labels) * sizes[c]) if balanced else 1.0 for c in labels}
-    code = F.create_map(*[F.lit(x) for i, c in enumerate(labels) for x in (c, i)])
-    weights = F.create_map(*[F.lit(x) for c in labels for x in (c, float(weight[c]))])
-    docs = docs.withColumn("y", code[F.col("label")].cast("int")).withColumn("w", weights[F.col("label")])
-    # whole slices: the fewer they are, the fewer words and terms they repeat
-    total = int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
-    slots = spark.sparkContext.defaultParallelism
-    slices = max(1, -(-total // SL.SLICE_BYTES), min(2 * slots, -(-total // SL.LEAST_BYTES)))
-    rows = SL.sliced(docs, slices, _analyzer(analyzer), "id", "text", keep=("y", "w"))
-    SL.slice_terms(rows, _analyzer(analyzer)).write.parquet(f"{path}/needs")
-    needs = spark.read.parquet(f"{path}/needs")
-    df = needs.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
-    vocab = FE.dense_ids(FE.with_idf(df, n), [F.asc("term")], "tid")
-    n_terms = vocab.count()
-    if n_terms * (1 if len(labels) == 2 else len(labels)) > MAX_COEFFICIENTS:
-        data = SL.matrix(rows, needs, vocab, _analyzer(analyzer), packed=False)
-        coefs, bias = BL.minimise(data, n, n_terms, len(labels), max_iter, tol)
-        terms = vocab.join(coefs, "tid").select("term", "df", "idf", "coef")
-        terms.write.parquet(f"{path}/terms")
+    held = packed.agg(F.sum("n_terms").alias("pairs"), F.count(F.lit(1)).alias("shards")).first()
+    words = SH.vocabulary(packed, SH.count_buckets(held["pairs"], spark), min_df)
+    words.write.partitionBy("kind").parquet(f"{path}/words")
+    words = spark.read.schema(words.schema).parquet(f"{path}/words")
+    vocab = words.where(F.col("kind") == "terms")
+    n_terms = int(vocab.agg(F.sum("n")).first()[0] or 0)
+    large = n_terms * (1 if len(labels) == 2 else len(labels)) > MAX_COEFFICIENTS
+    if large and len(labels) > SS.CLASSES:
+        return _fit_blocks(spark, rows.withColumn("text", text), sizes, weight, analyzer, min_df, max_iter, tol, clean, text_col)
+    matrix = SH.matrix(packed, words.where(F.col("kind") == "answers"), labels, [float(weight[c]) for c in labels], n)
+    matrix.write.parquet(f"{path}/shards")
+    SH.drop(spark, packed_path)
+    SH.free(spark)
+    shards = spark.read.schema(matrix.schema).parquet(f"{path}/shards")
+    total = float(sum(sizes[c] * weight[c] for c in labels))
+    if large:
+        bias = SS.minimise(shards, vocab, len(labels), n, total, max_iter, tol, f"{path}/terms")
+        SH.drop(spark, f"{path}/shards")
         return BlockModel(spark.read.parquet(f"{path}/terms"), labels, bias, n, analyzer, clean, text_col)
-    table = vocab.orderBy("tid").select("term", "idf").toArrow()
-    terms, idf = table["term"].to_pylist(), table["idf"].to_numpy()
-    SL.factored(rows, needs, vocab, _analyzer(analyzer)).write.parquet(f"{path}/matrix")
-    data = spark.read.schema(SL.FACTORED).parquet(f"{path}/matrix")
+    terms, idf, data = _on_driver(vocab, shards, n)
     # a fixed layout, so that a repeated fit gives the same numbers; every partition sends a gradient
-    data = data.repartitionByRange(max(1, min(slices, 2 * slots)), "_slice").sortWithinPartitions("_slice").persist()
+    data = data.repartitionByRange(max(1, min(int(held["shards"]), 2 * spark.sparkContext.defaultParallelism)), "_slice").sortWithinPartitions("_slice").persist()
     try:
         coef, bias = _minimise(data, n, n_terms, len(labels), max_iter, tol, idf)
     finally:
@@ -144,6 +144,62 @@ def fit_variant_classifier(
     return PipelineModel(stages=stages)
 
 
+def _on_driver(vocab: DataFrame, shards: DataFrame, n_docs: int) -> tuple[list[str], np.ndarray, DataFrame]:
+    """(terms in their order, their idf, the shards as :data:`lexiflow.operators.slices.FACTORED` rows with
+    the terms' places in that order)."""
+    table = vocab.orderBy("bucket").select("bucket", "lens", "terms", "df").toArrow()
+    some = [SH.unpacked(a, b) for a, b in zip(table["lens"], table["terms"], strict=True)]
+    flat = pa.concat_arrays([pa.array([], pa.string()), *some])
+    df = np.concatenate([np.zeros(0, np.int64), *(SH.array(x, np.int64) for x in table["df"])])
+    order = np.argsort(pa.compute.rank(flat, tiebreaker="first").to_numpy()) if len(flat) else np.zeros(0, np.int64)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    first = np.zeros(max(table["bucket"].to_pylist(), default=0) + 1, np.int64)
+    first[table["bucket"].to_numpy()] = np.cumsum([0, *map(len, some)])[:-1] if some else []
+    shared = shards.sparkSession.sparkContext.broadcast((place, first))
+    names = [f.split()[0] for f in SL.FACTORED.split(", ")]
+
+    def run(batches):
+        place, first = shared.value
+        for b in batches:
+            for values in zip(*b.columns, strict=True):
+                row = dict(zip(b.schema.names, values, strict=True))
+                x = SH.Shard(row)
+                tid = np.where(x.idx >= 0, place[np.where(x.idx >= 0, first[x.bucket] + x.idx, 0)] if len(place) else 0, -1)
+                # the terms of a word, without those that were dropped
+                cols, grams = (tid[x.cols], x.grams) if x.chars else (tid, np.ones(len(tid), np.int64))
+                ends = np.concatenate([[0], np.cumsum(cols >= 0)])[np.concatenate([[0], np.cumsum(grams)])]
+                kept = [*(row[c].as_py() for c in ("y", "w", "size")), x.words.tobytes(), SL._small(x.counts), row["scale"].as_py()]
+                blobs = [*kept, np.diff(ends).astype(np.int64).tobytes(), cols[cols >= 0].astype(np.int32).tobytes()]
+                yield SH.rows_of(names, [pa.array([row["number"].as_py()], pa.int32()), *(pa.array([v], pa.binary()) for v in blobs)])
+
+    numbers = F.create_map(*[F.lit(v) for i, r in enumerate(shards.select("shard").orderBy("shard").collect()) for v in (r["shard"], i)])
+    return flat.take(pa.array(order)).to_pylist(), SH.idf_of(df[order], n_docs), shards.withColumn("number", numbers[F.col("shard")]).mapInArrow(run, SL.FACTORED)
+
+
+def _fit_blocks(spark, rows: DataFrame, sizes: dict, weight: dict, analyzer: str, min_df: int, max_iter: int, tol: float, clean: bool, text_col: str) -> BlockModel:
+    """Many classes and terms: coefficients in blocks on Spark (:mod:`lexiflow.operators.blocked`)."""
+    path = scratch_path(spark, "classifier-rows")
+    rows.withColumn("id", F.monotonically_increasing_id()).write.parquet(f"{path}/docs")
+    docs, labels, n = spark.read.parquet(f"{path}/docs"), sorted(sizes), sum(sizes.values())
+    code = F.create_map(*[F.lit(x) for i, c in enumerate(labels) for x in (c, i)])
+    weights = F.create_map(*[F.lit(x) for c in labels for x in (c, float(weight[c]))])
+    docs = docs.withColumn("y", code[F.col("label")].cast("int")).withColumn("w", weights[F.col("label")])
+    # whole slices: the fewer they are, the fewer words and terms they repeat
+    total = int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+    slots = spark.sparkContext.defaultParallelism
+    slices = max(1, -(-total // SL.SLICE_BYTES), min(2 * slots, -(-total // SL.LEAST_BYTES)))
+    rows = SL.sliced(docs, slices, _analyzer(analyzer), "id", "text", keep=("y", "w"))
+    SL.slice_terms(rows, _analyzer(analyzer)).write.parquet(f"{path}/needs")
+    needs = spark.read.parquet(f"{path}/needs")
+    df = needs.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= min_df)
+    vocab = FE.dense_ids(FE.with_idf(df, n), [F.asc("term")], "tid")
+    data = SL.matrix(rows, needs, vocab, _analyzer(analyzer), packed=False)
+    coefs, bias = BL.minimise(data, n, vocab.count(), len(labels), max_iter, tol)
+    vocab.join(coefs, "tid").select("term", "df", "idf", "coef").write.parquet(f"{path}/terms")
+    return BlockModel(spark.read.parquet(f"{path}/terms"), labels, bias, n, analyzer, clean, text_col)
+
+
 def _analyzer(name: str):
     return T.char_wb_ngrams if name == "char_wb" else T.word_features
 
@@ -156,27 +212,15 @@ class BlockModel:
         self.terms, self.labels, self.bias = terms, list(labels), [float(b) for b in bias]
         self.n_docs, self.analyzer, self.clean, self.text_col = int(n_docs), analyzer, clean, text_col
 
-    def margins(self, rows: DataFrame, id_col: str) -> DataFrame:
-        """(id, m): margins, with intercepts, of the rows that hold a known term."""
-        text = T.clean_text(self.text_col) if self.clean else F.col(self.text_col)
-        counts = FE.term_counts(rows.select(id_col, text.alias("_text")), _analyzer(self.analyzer), id_col, "_text")
-        joined = FE.join_idf(counts, self.terms, self.n_docs, id_col, extra=["coef"])
-        v = F.col("tf") * F.col("idf")
-        sums = [F.sum(v * F.col("coef")[i]).alias(f"_s{i}") for i in range(len(self.labels))]
-        out = joined.groupBy(id_col).agg(F.sqrt(F.sum(v * v)).alias("_norm"), *sums)
-        return out.select(id_col, F.array(*[F.col(f"_s{i}") / F.col("_norm") + b for i, b in enumerate(self.bias)]).alias("_m"))
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        """All columns and ``predicted``; equal margins go to the smaller label.  The rows are
-        written once with a number of their own, by which their margins are joined."""
-        path = scratch_path(df.sparkSession, "classifier-rows")
-        df.withColumn("_row", F.monotonically_increasing_id()).write.parquet(path)
-        rows = df.sparkSession.read.parquet(path)
-        best = rows.join(self.margins(rows, "_row"), "_row", "left")
-        m = F.coalesce("_m", F.array(*[F.lit(b) for b in self.bias]))
-        at = F.array_position(m, F.array_max(m)).cast("int")
-        label = F.element_at(F.array(*[F.lit(c) for c in self.labels]), at)
-        return best.select(*[f"`{c}`" for c in df.columns], label.alias("predicted"))
+    def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """The columns ``keep`` (all, if not given) and ``predicted``; equal margins go to the smaller
+        label.  Rows are packed into shards once, which ask the table for their distinct terms."""
+        keep = list(df.columns if keep is None else keep)
+        text = T.clean_text(F.col(self.text_col)) if self.clean else F.col(self.text_col)
+        packed, _ = SH.pack(df, text, _analyzer(self.analyzer), keep)
+        pairs = int(packed.agg(F.sum("n_terms")).first()[0] or 0)
+        SH.free(df.sparkSession)
+        return SH.classify(packed, self.terms, [df.schema[c] for c in keep], len(self.labels), self.bias, self.labels, pairs)
 
     def save(self, path: str) -> str:
         """The tables under ``path`` (:func:`lexiflow.sources.artefacts.load_model` reads them)."""
@@ -385,8 +429,11 @@ def _lr_model(spark, coef: np.ndarray, bias: np.ndarray) -> LogisticRegressionMo
     return model
 
 
-def predict(model: PipelineModel | BlockModel, df: DataFrame) -> DataFrame:
-    out = model.transform(df)
+def predict(model: PipelineModel | BlockModel, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """``predicted`` beside the columns ``keep`` (all, if not given): others are not carried along."""
+    if isinstance(model, BlockModel):
+        return model.transform(df, keep)
+    out = model.transform(df) if keep is None else model.transform(df).select(*keep, "predicted")
     return out.drop("_tokens", "_tf", "_tfidf", "_features", "_raw", "_prob", "_pred")
 
 

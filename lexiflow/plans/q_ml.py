@@ -33,13 +33,13 @@ def _word_model(spark, sf):
 def q_variant_train_predict(spark, sf):
     """Word TF-IDF + LR fitted on the 80 % side; predictions for the 20 % hold-out."""
     model, test = _word_model(spark, sf)
-    return CL.predict(model, test).select("id", "label", "predicted")
+    return CL.predict(model, test, ["id", "label"]).select("id", "label", "predicted")
 
 
 @register("variant_train_report", None)
 def q_variant_train_report(spark, sf):
     model, test = _word_model(spark, sf)
-    pred = CL.predict(model, test).select(F.col("label").alias("gold"), "predicted")
+    pred = CL.predict(model, test, ["label"]).select(F.col("label").alias("gold"), "predicted")
     return RP.classification_report(pred, "gold", "predicted")
 
 
@@ -62,7 +62,7 @@ def q_variant_predict(spark, sf):
     path = scratch_path(spark, "variant-model")
     AR.save_model(model, path)
     loaded = AR.load_model(spark, path)
-    return CL.predict(loaded, TB.route_input(spark, sf)).select("id", "requested_label", "predicted")
+    return CL.predict(loaded, TB.route_input(spark, sf), ["id", "requested_label"]).select("id", "requested_label", "predicted")
 
 
 DIM = 64
