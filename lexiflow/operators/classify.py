@@ -97,10 +97,9 @@ def fit_variant_classifier(
     spark = train.sparkSession
     tok = TextTokens(inputCol=text_col, outputCol="_tokens", analyzer=analyzer, clean=clean)
     path = scratch_path(spark, "classifier")
-    text = T.clean_text("text") if clean else F.col("text")
     rows = train.where(F.col(label_col).isNotNull())
     rows = rows.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    packed, packed_path = SH.pack(rows, text, _analyzer(analyzer), ["label"], SH.FIT_BYTES)
+    packed, packed_path = SH.pack(rows, F.col("text"), _analyzer(analyzer), ["label"], clean, SH.FIT_BYTES)
     sizes = {r["label"]: r["n"] for r in packed.select(F.explode("_k0").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = sorted(sizes)
     if len(labels) < 2:
@@ -115,7 +114,7 @@ def fit_variant_classifier(
     n_terms = int(vocab.agg(F.sum("n")).first()[0] or 0)
     large = n_terms * (1 if len(labels) == 2 else len(labels)) > MAX_COEFFICIENTS
     if large and len(labels) > SS.CLASSES:
-        return _fit_blocks(spark, rows.withColumn("text", text), sizes, weight, analyzer, min_df, max_iter, tol, clean, text_col)
+        return _fit_blocks(spark, rows.withColumn("text", T.clean_text("text")) if clean else rows, sizes, weight, analyzer, min_df, max_iter, tol, clean, text_col)
     matrix = SH.matrix(packed, words.where(F.col("kind") == "answers"), labels, [float(weight[c]) for c in labels], n)
     matrix.write.parquet(f"{path}/shards")
     SH.drop(spark, packed_path)
@@ -216,8 +215,7 @@ class BlockModel:
         """The columns ``keep`` (all, if not given) and ``predicted``; equal margins go to the smaller
         label.  Rows are packed into shards once, which ask the table for their distinct terms."""
         keep = list(df.columns if keep is None else keep)
-        text = T.clean_text(F.col(self.text_col)) if self.clean else F.col(self.text_col)
-        packed, _ = SH.pack(df, text, _analyzer(self.analyzer), keep)
+        packed, _ = SH.pack(df, F.col(self.text_col), _analyzer(self.analyzer), keep, self.clean)
         pairs = int(packed.agg(F.sum("n_terms")).first()[0] or 0)
         SH.free(df.sparkSession)
         return SH.classify(packed, self.terms, [df.schema[c] for c in keep], len(self.labels), self.bias, self.labels, pairs)

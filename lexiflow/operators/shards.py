@@ -109,18 +109,22 @@ PACKED = "shard long, docs long, n_terms long, size binary, words binary, counts
 _NAMES = [f.split()[0] for f in PACKED.split(", ")]
 
 
-def pack(df: DataFrame, text: Column, analyzer, keep: list[str], most: int = 0) -> tuple[DataFrame, str]:
+def pack(df: DataFrame, text: Column, analyzer, keep: list[str], clean: bool = False, most: int = 0) -> tuple[DataFrame, str]:
     """(table, its folder): a row (:data:`PACKED`) per shard, and arrays ``_k0``, ``_k1``, ... of the
     columns ``keep`` of its documents.  ``words`` are numbers of terms, or with character grams of words whose
     terms are ``gram`` between the ends ``off``; ``freq`` is the documents of the shard that hold a term."""
     spark, chars, most = df.sparkSession, analyzer is T.char_wb_ngrams, most or SHARD_BYTES
-    tokens = T.tokens(F.lower(text)) if chars else analyzer(text)
+    # words of a clean text lie between single blanks
+    plain = clean and analyzer is T.word_features
+    most = max(1, most * 5 // 8) if plain else most  # a blank stands for the four bytes of an offset
+    tokens = T.clean_text(text) if clean else text
+    tokens = tokens if plain else T.tokens(F.lower(tokens)) if chars else analyzer(tokens)
     src = df.select(tokens.alias("_tokens"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)])
     kinds = "".join(f", _k{i} array<{df.schema[c].dataType.simpleString()}>" for i, c in enumerate(keep))
 
     def shard(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
         t = pa.Table.from_batches(held)
-        x = SL.Terms(pa.array(np.arange(t.num_rows)), t["_tokens"], chars)
+        x = SL.Terms(pa.array(np.arange(t.num_rows)), _words(t["_tokens"]) if plain else t["_tokens"], chars)
         n = len(x.terms)
         order = np.argsort(hashes(x.terms), kind="stable")
         place = np.empty(n, np.int64)
@@ -154,6 +158,15 @@ def pack(df: DataFrame, text: Column, analyzer, keep: list[str], most: int = 0)
     return spark.read.schema(out.schema).parquet(path), path
 
 
+def _words(texts: pa.ChunkedArray) -> pa.Array:
+    """The words of two characters or more of clean texts (:func:`lexiflow.functions.text.word_features`)."""
+    lists = pc.split_pattern(pc.fill_null(pa.concat_arrays(texts.chunks), ""), " ")
+    flat, off = lists.values, lists.offsets.to_numpy()
+    long = pc.greater_equal(pc.utf8_length(flat), 2)
+    ends = np.concatenate([[0], np.cumsum(long.to_numpy(zero_copy_only=False))])[off]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat.filter(long))
+
+
 def sent(shards: DataFrame, buckets: int) -> DataFrame:
     """(bucket, shard, lens, terms, freq): the terms of every shard, by bucket and hash."""
 

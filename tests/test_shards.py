@@ -86,7 +86,12 @@ def test_shards_hold_every_row_whatever_their_size(spark):
 
     df = spark.createDataFrame(_rows(), "id long, text string, label string").repartition(2)
     for most in (1, 0):
-        table, _ = SH.pack(df, F.col("text"), T.word_features, ["id", "label"], most)
+        table, _ = SH.pack(df, F.col("text"), T.word_features, ["id", "label"], most=most)
         got = table.select(F.explode(F.arrays_zip("_k0", "_k1"))).select("col.*").collect()
         assert sorted(map(str, [tuple(r) for r in got])) == sorted(map(str, [(i, lab) for i, _, lab in _rows()]))
+        texts = df.withColumn("text", F.concat("text", F.lit("  İİ ΣΑΣ a 𝒳 𝒳𝒳 b_c\u00a0d\tee")))
+        clean, _ = SH.pack(texts, F.col("text"), T.word_features, [], True, most)
+        words, _ = SH.pack(texts, T.clean_text("text"), T.word_features, [], False, most)
+        names = ["shard", "size", "words", "counts", "terms", "freq"]
+        assert sorted(map(str, clean.select(*names).collect())) == sorted(map(str, words.select(*names).collect()))
         assert sum(r.docs for r in table.collect()) == len(_rows())
