@@ -95,3 +95,19 @@ def test_shards_hold_every_row_whatever_their_size(spark):
         names = ["shard", "size", "words", "counts", "terms", "freq"]
         assert sorted(map(str, clean.select(*names).collect())) == sorted(map(str, words.select(*names).collect()))
         assert sum(r.docs for r in table.collect()) == len(_rows())
+
+
+def test_report_beyond_the_limit_is_that_of_the_driver(spark, monkeypatch):
+    """The report of the hold-out, with its text left behind, in a bounded number of jobs."""
+    from lexiflow.plans import q_ml as Q
+
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.integers(20 * (i % 3), 20 * (i % 3) + 30, 12)), "abc"[i % 3], "s") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(2)
+    monkeypatch.setattr(Q.TB, "table", lambda *_: docs)
+    want = sorted(map(str, Q.q_variant_train_report(spark, "").collect()))
+    monkeypatch.setattr(CL, "MAX_COEFFICIENTS", 10)
+    jobs = spark.sparkContext._jsc.sc().dagScheduler()
+    before = jobs.numTotalJobs()
+    assert sorted(map(str, Q.q_variant_train_report(spark, "").collect())) == want
+    assert jobs.numTotalJobs() - before < 200
